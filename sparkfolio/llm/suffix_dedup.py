@@ -10,8 +10,9 @@ after a selected seed are compared, about one in a hundred bytes:
    and after the seed.  Per seed they are ordered by multikey quicksort to a shallow depth and, where longer
    prefixes are common, by a blind trie; common extensions to the left and right that reach ``size`` together
    with the seed mark what is repeated.
-3. Seeds with more than ``GROUP`` neighbourhoods are settled exactly by Spark aggregation on the hashes of their
-   windows instead, so no group grows in one task.
+3. Seeds with more than ``GROUP`` neighbourhoods are settled by the hashes of their windows, in time and memory that
+   are linear in the group; with more than ``LARGE`` by Spark aggregation on these hashes, so no group grows in one
+   task without a bound.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import SpanHash, mix, pieces, sliding_argmin
+from .text import _BASE, _BYTE, SpanHash, mix, pieces, powers, sliding_argmin
 
-SHALLOW, GROUP = 16, 1024
+SHALLOW, GROUP, LARGE = 16, 1024, 100_000
 SEEDS = "seed long, near long, doc_id long, at int, a int, b int, dup boolean"
 
 
@@ -61,7 +62,8 @@ def _seeds(size: int):
                 travels[first] = True
                 dup = many[back] > 1
                 base = p.offsets[owner]
-                cols = [np.where(travels, seed, near).view(np.int64), near.view(np.int64), ident, (place - base).astype(np.int32), (a - base).astype(np.int32), (b - base).astype(np.int32)]
+                alone = mix(near + mix(np.arange(len(near), dtype=np.uint64) ^ ident.astype(np.uint64)))
+                cols = [np.where(travels, seed, alone).view(np.int64), near.view(np.int64), ident, (place - base).astype(np.int32), (a - base).astype(np.int32), (b - base).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(dup)], SEEDS.replace(",", "").split()[::2])
 
     return run
@@ -245,8 +247,31 @@ def _extents(group: list[tuple], need: int) -> list[tuple[int, int] | None]:
     return out
 
 
+def _window_extents(group: list[tuple], need: int) -> list[tuple[int, int] | None]:
+    """As _extents, by the hashes of all windows: offset by offset, the prefix sums of both sides move one byte on."""
+    m = len(group)
+    sides, sizes = [], []
+    for strings in ([x[-2][::-1] for x in group], [x[-1] for x in group]):
+        sizes.append(np.minimum([len(s) for s in strings], need))
+        sides.append(np.frombuffer(b"".join(s[:need].ljust(need, b"\0") for s in strings), dtype=np.uint8).reshape(m, need))
+    weight = powers(_BASE, need)
+    left, right = np.zeros(m, dtype=np.uint64), np.zeros(m, dtype=np.uint64)
+    for k in range(need):
+        right += _BYTE[sides[1][:, k]] * weight[k]
+    low, high = np.full(m, need + 1), np.full(m, -1)
+    for j in range(need + 1):
+        fits = np.flatnonzero((sizes[0] >= j) & (sizes[1] >= need - j))
+        _, back, many = np.unique(mix(left[fits] * np.uint64(3) + mix(right[fits])), return_inverse=True, return_counts=True)
+        again = fits[many[back] > 1]
+        low[again], high[again] = np.minimum(low[again], j), j
+        if j < need:
+            left += _BYTE[sides[0][:, j]] * weight[j]
+            right -= _BYTE[sides[1][:, need - j - 1]] * weight[need - j - 1]
+    return [(int(h), need - int(x)) if h >= 0 else None for x, h in zip(low, high, strict=True)]
+
+
 def _compare(size: int):
-    """Input ordered by seed.  Kind 0: a repeated range; kind 1: a window by its hash, of a seed with many neighbourhoods."""
+    """Input ordered by seed.  Kind 0: a repeated range; kind 1: a window by its hash, of a seed with very many neighbourhoods."""
     half = size // 2
 
     def hashed(group: list[tuple]) -> Iterator[tuple]:
@@ -258,7 +283,8 @@ def _compare(size: int):
                 yield 1, doc, start, start + size, x
 
     def closed(group: list[tuple]) -> Iterator[tuple]:
-        for (doc, at, done, *_), both in zip(group, _extents([(x[0], x[1], x[2], x[3], x[4]) for x in group], size - half), strict=True):
+        extents = _extents if len(group) <= GROUP else _window_extents
+        for (doc, at, done, *_), both in zip(group, extents([x[:5] for x in group], size - half), strict=True):
             if both and not done:
                 yield 0, doc, at - both[0], at + half + both[1], 0
 
@@ -271,7 +297,7 @@ def _compare(size: int):
                         yield from closed(group)
                     last, group, large = seed, [], False
                 group.append((*x, seed))
-                if large or len(group) > GROUP:
+                if large or len(group) > LARGE:
                     yield from hashed(group)
                     group, large = [], True
         if not large and len(group) > 1:

@@ -66,9 +66,10 @@ def test_substring_dedup(spark, docs):
         assert (kept[d].n_words, kept[d].n_removed, kept[d].kept) == (len(x), len(x) - sum(keep), expected)
 
 
-@pytest.mark.parametrize("group", [8192, 2])
-def test_suffix_dedup(spark, docs, group, monkeypatch):
+@pytest.mark.parametrize("group, large", [(1024, 100_000), (2, 100_000), (2, 2)])
+def test_suffix_dedup(spark, docs, group, large, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "LARGE", large)
     got = by_id(suffix_dedup.remove_long_repeats(docs, 400))
     raw = {i: (t or "").encode() for i, t in enumerate(texts())}
     count = collections.Counter(b[i : i + 400] for b in raw.values() for i in range(len(b) - 399))
