@@ -35,3 +35,60 @@ def attribute_leaks(claims: DataFrame) -> DataFrame:
     best = W.partitionBy("trade_id").orderBy(F.abs("share").desc(), "pattern")
     c = c.withColumn("first", F.row_number().over(best) == 1)
     return c.groupBy("pattern").agg(F.sum("share").alias("naive"), F.sum(F.when(F.col("first"), F.col("share")).otherwise(0.0)).alias("exclusive"), F.count("*").alias("n_trades"), F.count_if("first").alias("n_exclusive"))
+
+
+# Compared means, least reported significance.
+METRICS = {"net": "net", "win_rate": "cast(net > 0 as int)", "r_multiple": "r_multiple", "duration": "duration", "quantity": "quantity"}
+ALPHA = 0.05
+
+
+def compare_periods(trades: DataFrame, current: tuple[str, str], previous: tuple[str, str], permutations: int = 1000) -> DataFrame:
+    """Per metric: both periods' means and numbers, p of a permutation test, q over the family, and the direction:
+    up, down or flat only where q is at most ALPHA, else unchanged.
+
+    Each permutation calls the first n rows of a hashed order the current period; metrics are windows of their own.
+    """
+    from ..functions.exprs import MIN_SAMPLE
+    from .resample import draw
+    from .sequences import benjamini_hochberg
+
+    within = lambda p: F.col("session_date").between(F.to_date(F.lit(p[0])), F.to_date(F.lit(p[1])))
+    t = trades.withColumn("now", F.when(within(current), True).when(within(previous), False)).filter("now is not null")
+    each = F.array(*(F.struct(F.lit(k).alias("metric"), F.expr(e).cast("double").alias("x")) for k, e in METRICS.items()))
+    v = t.select("trade_id", "now", F.explode(each).alias("e")).select("trade_id", "now", "e.metric", "e.x").filter("x is not null")
+    real = v.groupBy("metric").agg(F.count_if("now").alias("n_current"), F.count_if(~F.col("now")).alias("n_previous"), F.avg(F.when(F.col("now"), F.col("x"))).alias("current"), F.avg(F.when(~F.col("now"), F.col("x"))).alias("previous"), F.sum("x").alias("total"))
+    tested = real.filter((F.col("n_current") >= MIN_SAMPLE) & (F.col("n_previous") >= MIN_SAMPLE))
+    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    order = W.partitionBy("metric", "rep").orderBy(draw(F.lit("period"), "rep", "trade_id"), "trade_id")
+    dealt = reps.select("metric", "rep", "x", F.row_number().over(order).alias("i")).join(F.broadcast(tested), "metric").filter("i <= n_current")  # five rows
+    gap = F.abs(F.col("s") / F.col("n_current") - (F.col("total") - F.col("s")) / F.col("n_previous"))
+    far = F.abs(F.col("current") - F.col("previous"))
+    sums = dealt.groupBy("metric", "rep", "n_current", "n_previous", "current", "previous", "total").agg(F.sum("x").alias("s"))
+    p = sums.groupBy("metric").agg(((F.count_if(gap >= far * (1 - 1e-9)) + 1) / F.lit(permutations + 1)).alias("p"))
+    q = benjamini_hochberg(real.join(p, "metric", "left"), "p")
+    diff = F.col("current") - F.col("previous")
+    way = F.when(~F.coalesce(F.col("q") <= ALPHA, F.lit(False)), "unchanged").when(diff > 0, "up").when(diff < 0, "down").otherwise("flat")
+    return q.select("metric", "n_current", "n_previous", "current", "previous", "p", "q", way.alias("direction"))
+
+
+def evidence(summary: DataFrame, by: str) -> DataFrame:
+    """(key, value, gap): every number of a summary under ``by.column``; an undefined one has a NULL value and is a gap."""
+    names = [f.name for f in summary.schema if f.name != by and f.dataType.simpleString().split("(")[0] in ("int", "bigint", "double", "decimal")]
+    each = F.array(*(F.struct(F.lit(n).alias("k"), F.col(n).cast("double").alias("v")) for n in names))
+    return summary.select(F.col(by).cast("string").alias("_b"), F.explode(each).alias("e")).select(F.concat_ws(".", "_b", "e.k").alias("key"), F.col("e.v").alias("value"), F.col("e.v").isNull().alias("gap"))
+
+
+def check_claims(claims: DataFrame, known: DataFrame) -> DataFrame:
+    """(claim_id, problems): uncited, unknown, undefined and unsupported, sorted; empty for a sound claim.
+
+    claims: (claim_id, text, cites array<string>).  A numeral is supported when it equals a cited value at the digits
+    it is written with, as such or as a percentage.
+    """
+    cited = claims.select("claim_id", F.explode_outer("cites").alias("key")).join(known, "key", "left")
+    a = cited.groupBy("claim_id").agg(F.count("key").alias("n"), F.count_if(F.col("key").isNotNull() & F.col("gap").isNull()).alias("unknown"), F.count_if("gap").alias("undefined"), F.collect_list("value").alias("values"))
+    c = claims.select("claim_id", F.coalesce("text", F.lit("")).alias("text")).join(a, "claim_id")
+    digits = lambda s: F.length(F.regexp_extract(s, r"\.([0-9]+)", 1))
+    near = lambda s: F.exists("values", lambda v: (F.abs(F.abs(v) - s.cast("double")) <= F.pow(F.lit(10.0), -digits(s)) / 2 + 1e-9) | (F.abs(F.abs(v) * 100 - s.cast("double")) <= F.pow(F.lit(10.0), -digits(s)) / 2 + 1e-9))
+    bad = F.exists(F.regexp_extract_all("text", F.lit(r"([0-9]+(?:\.[0-9]+)?)"), 1), lambda s: ~near(s))
+    found = F.array(F.when(F.col("n") == 0, "uncited"), F.when(F.col("undefined") > 0, "undefined"), F.when(F.col("unknown") > 0, "unknown"), F.when(bad, "unsupported"))
+    return c.select("claim_id", F.array_sort(F.filter(found, lambda x: x.isNotNull())).alias("problems"))

@@ -51,3 +51,96 @@ def permutation_test(values: DataFrame, value: str, label: str, permutations: in
     sums = a.join(b, ["rep", "i"]).filter("g is not null").groupBy("rep", "g").agg(F.sum("x").alias("ps"))
     hit = sums.join(F.broadcast(real), "g").withColumn("k", (gap("ps") >= F.col("d") - 1e-9).cast("int")).groupBy("g", "n", "s", "tn", "ts").agg(F.sum("k").alias("k"))
     return hit.select(F.col("g").alias(label), "n", (F.col("s") / F.col("n") - (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("difference"), ((F.col("k") + 1) / F.lit(permutations + 1)).alias("p"))
+
+
+def _picks(groups: DataFrame, kind: str, replicates: int, draws: Column) -> DataFrame:
+    """(g, rep, k, i): per group and replicate so many draws k of a number i under n."""
+    each = groups.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), draws.cast("long") - 1)))
+    return each.select("g", "n", "rep", "k", F.pmod(draw(F.lit(kind), "g", "rep", "k"), F.col("n")).alias("i"))
+
+
+def _numbered(values: DataFrame, value: str, group: str) -> tuple[DataFrame, DataFrame]:
+    """Values numbered in their group, and the groups of at least MIN_SAMPLE values."""
+    v = values.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("decimal(20,8)").alias("x"), "trade_id")
+    v = v.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("trade_id")) - 1)
+    return v, v.groupBy("g").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_SAMPLE)
+
+
+def paths(values: DataFrame, value: str, group: str, iterations: int = 5000, length: int = 100, ruin: float | None = None) -> DataFrame:
+    """(group, rep, final, max_drawdown, ruined): resampled futures of ``length`` values; a path ends where its sum first
+    is at or below -ruin.  Rows grow with iterations x length, not with the values."""
+    v, groups = _numbered(values, value, group)
+    steps = _picks(groups, "path", iterations, F.lit(length)).join(v.select("g", "i", "x"), ["g", "i"])
+    order = W.partitionBy("g", "rep").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    s = steps.withColumn("equity", F.sum("x").over(order))
+    over = F.lit(False) if ruin is None else F.col("equity") <= F.lit(-ruin)
+    s = s.withColumn("peak", F.greatest(F.lit(0), F.max("equity").over(order))).withColumn("over", over)
+    s = s.withColumn("ended", F.coalesce(F.max(F.col("over").cast("int")).over(W.partitionBy("g", "rep").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).filter("ended = 0")
+    out = s.groupBy("g", "rep").agg(F.max_by("equity", "k").alias("final"), F.max(F.col("peak") - F.col("equity")).alias("max_drawdown"), F.max("over").alias("ruined"))
+    return out.withColumnRenamed("g", group)
+
+
+def path_summary(p: DataFrame, group: str) -> DataFrame:
+    """Percentiles of final equity and drawdown, chance of loss and of ruin, per group of paths()."""
+    q = [0.05, 0.25, 0.5, 0.75, 0.95]
+    a = p.groupBy(group).agg(F.count("*").alias("iterations"), F.percentile("final", q).alias("f"), F.percentile("max_drawdown", q).alias("d"), F.count_if(F.col("final") < 0).alias("l"), F.count_if("ruined").alias("r"))
+    cols = [F.col(c)[i].alias(f"{name}_p{int(x * 100)}") for c, name in (("f", "final"), ("d", "drawdown")) for i, x in enumerate(q)]
+    return a.select(group, "iterations", *cols, ratio(F.col("l"), F.col("iterations")).alias("p_loss"), ratio(F.col("r"), F.col("iterations")).alias("p_ruin"))
+
+
+def risk_of_ruin(values: DataFrame, value: str, group: str, equity: float, fraction: float = 0.5, iterations: int = 5000) -> DataFrame:
+    return path_summary(paths(values, value, group, iterations, 1000, equity * fraction), group).select(group, "p_ruin")
+
+
+def chance_of_profit(values: DataFrame, value: str, group: str, iterations: int = 5000) -> DataFrame:
+    return path_summary(paths(values, value, group, iterations, 100), group).select(group, (1 - F.col("p_loss")).alias("p_profit"))
+
+
+def paired_test(values: DataFrame, delta: str, group: str, replicates: int = 1000) -> DataFrame:
+    """Are the differences robust to which rows occurred?  p is twice the smaller tail of the bootstrap means, zero in
+    both, at least 1 / replicates and at most 1; d is the mean in units of the differences' own deviation."""
+    v, groups = _numbered(values, delta, group)
+    means = _picks(groups, "pair", replicates, F.col("n")).join(v.select("g", "i", "x"), ["g", "i"]).groupBy("g", "rep").agg(F.sum("x").alias("s"))
+    tails = means.groupBy("g").agg(F.count_if(F.col("s") <= 0).alias("lo"), F.count_if(F.col("s") >= 0).alias("hi"))
+    real = v.groupBy("g").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("difference"), F.stddev_samp(F.col("x").cast("double")).alias("sd"))
+    p = F.least(F.lit(1.0), F.greatest(2 * F.least("lo", "hi") / F.lit(replicates), F.lit(1 / replicates)))
+    return real.join(tails, "g", "left").select(F.col("g").alias(group), "n", "difference", ratio(F.col("difference"), F.col("sd")).alias("effect"), p.alias("p"))
+
+
+MIN_BLOCKS = 10
+
+
+def block_skill(predictions: DataFrame, replicates: int = 1000, level: float = 0.95) -> DataFrame:
+    """One row: skill against predicting the mean, and its interval when whole sessions are drawn again.
+
+    predictions: (session, predicted, actual).  A session comes down to four sums, so a replicate is a sum of drawn
+    sessions' sums.  The interval takes the value of rank floor(f * n), and is NULL under MIN_BLOCKS sessions or if
+    fewer than half the replicates have a skill.
+    """
+    y, e = F.col("actual").cast("double"), F.col("actual").cast("double") - F.col("predicted").cast("double")
+    blocks = predictions.groupBy("session").agg(F.count("*").alias("m"), F.sum(e * e).alias("e"), F.sum(y).alias("y"), F.sum(y * y).alias("yy"))
+    blocks = blocks.withColumn("i", F.row_number().over(W.orderBy("session")) - 1)  # sessions are days of the calendar
+    sums = [F.sum(c).alias(c) for c in ("m", "e", "y", "yy")]
+    base = F.col("yy") - F.col("y") * F.col("y") / F.col("m")
+    skill = F.when((F.col("m") >= 2) & (base > 1e-12), 1 - F.col("e") / base)
+    n = blocks.agg(F.lit("").alias("g"), F.count("*").alias("n")).filter(F.col("n") >= MIN_BLOCKS)
+    reps = _picks(n, "block", replicates, F.col("n")).join(blocks, "i").groupBy("rep").agg(*sums).select(skill.alias("s")).filter("s is not null")
+    at = lambda f: F.element_at("a", F.least(F.floor(F.lit(f) * F.size("a") + 1e-9).cast("int") + 1, F.size("a")))
+    tail = (1 - level) / 2
+    ci = reps.agg(F.array_sort(F.collect_list("s")).alias("a"))  # one value a replicate
+    ci = ci.select(*(F.when(F.size("a") >= max(replicates // 2, 1), at(f)).alias(c) for f, c in ((tail, "low"), (1 - tail, "high"))))
+    one = blocks.agg(F.count("*").alias("sessions"), *sums).select("sessions", F.col("m").alias("predictions"), skill.alias("skill"))
+    return one.withColumn("j", F.lit(0)).join(ci.withColumn("j", F.lit(0)), "j").drop("j").withColumn("established", F.coalesce(F.col("low") > 0, F.lit(False)))
+
+
+def calibration(predictions: DataFrame, draws: int = 1000) -> DataFrame:
+    """One row: count-weighted calibration error over ten bins, and the share of ``draws`` in which outcomes that follow
+    the predictions themselves are off as much, (k + 1) / (draws + 1).  predictions: (trade_id, predicted, actual)."""
+    bin_ = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col("p") * 10))).cast("int").alias("bin")
+    x = predictions.select("trade_id", F.col("predicted").cast("double").alias("p"), F.col("actual").cast("int").alias("y"))
+    off = lambda df, *by: df.groupBy(*by, bin_).agg(F.count("*").alias("m"), F.abs(F.sum("p") - F.sum("y")).alias("gap")).groupBy(*by).agg((F.sum("gap") / F.sum("m")).alias("ece"), F.sum("m").alias("n"))
+    sims = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("y", (draw(F.lit("cal"), "rep", "trade_id") < F.col("p") * F.lit(float(1 << 32))).cast("int"))
+    real = off(x).withColumn("j", F.lit(0))
+    null = off(sims, "rep").select("ece").withColumnRenamed("ece", "null_ece").withColumn("j", F.lit(0))
+    hit = null.join(F.broadcast(real), "j").groupBy("ece", "n").agg(F.count_if(F.col("null_ece") >= F.col("ece") - 1e-9).alias("k"))  # real has one row
+    return hit.select("n", "ece", ((F.col("k") + 1) / F.lit(draws + 1)).alias("p"))

@@ -52,6 +52,15 @@ def r(x: str, name: str | None = None, digits: int = 6) -> str:
 _REL = "CASE WHEN n < 5 THEN 'insufficient' WHEN n < 30 THEN 'provisional' ELSE 'reliable' END AS reliability"
 _RULES = "CAST(index < 6 AS BOOLEAN) AS r1, (losses_before < 2 OR minutes_since_exit >= 10) AS r2, (pnl_before >= 0 OR qo <= 2) AS r3"
 _DRAW = "('0x' || substr(md5('20260731:' || {}), 1, 8))::BIGINT"
+_PRED = "pred AS (SELECT trade_id, session_date AS session, CAST(0.1 AS DOUBLE) + (trade_id % 8) * CAST(0.1 AS DOUBLE) AS predicted, CASE WHEN net > 0 THEN 1 ELSE 0 END AS actual FROM facts)"
+_EXITS = "x AS (SELECT session_date, r_multiple AS r, risk, trade_id % 5 <> 0 AS known, CASE WHEN trade_id % 5 <> 0 THEN abs(r_multiple) + (trade_id % 7) * 0.75 END AS mfe FROM facts)"
+_PICK = """e AS (SELECT fold, target, count(*) AS n, count(CASE WHEN known AND r IS NOT NULL THEN 1 END) AS applicable, sum(CASE WHEN known AND r IS NOT NULL AND mfe >= target THEN (target - r) * CAST(risk AS DOUBLE) ELSE 0 END) AS delta FROM x JOIN d USING (session_date), (VALUES (1.0::DOUBLE), (1.5), (2.0), (3.0), (4.0)) t(target) GROUP BY 1, 2),
+ b AS (SELECT *, sum(n) OVER w AS bn, sum(applicable) OVER w AS ba, sum(delta) OVER w AS bd FROM e WINDOW w AS (PARTITION BY target ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ pick AS (SELECT fold, target, applicable, delta, round(bd / ba, 9) AS score FROM b WHERE fold > 0 AND ba >= bn * 0.5 QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(bd / ba, 9) DESC, target) = 1)"""
+_SPECS = "specs AS (SELECT p_partkey AS contract_id, p_brand AS symbol, CASE WHEN p_size % 40 % 2 = 0 THEN 0.25 ELSE 0.01 END AS tick, p_size % 40 * 5 + 5 AS point FROM part)"
+_MAPPED = _SPECS + """, mapped AS (SELECT event_id AS id, o_custkey AS account, symbol, CASE WHEN event_id % 7 <> 0 THEN 1.25 ELSE 0 END AS commission, CASE WHEN event_id % 7 <> 0 THEN 0.5 ELSE 0 END AS fees,
+ CASE WHEN o_custkey IS NULL THEN 'order missing' WHEN symbol IS NULL THEN 'contract missing' WHEN event_id % 7 = 0 AND ts > TIMESTAMP '2024-01-01 05:55:00' THEN 'fee not settled' END AS reason
+ FROM events LEFT JOIN orders ON o_orderkey = event_id * 2 LEFT JOIN specs ON contract_id = event_id % 2500 + 1)"""
 _DETECT = """det AS (SELECT trade_id, unnest(['revenge', 'overtrading', 'while_down', 'after_losing_streak', 'first_of_session', 'holding_losers']) AS behaviour,
  unnest([CASE WHEN index > 0 THEN prev_loss AND minutes_since_exit <= 10 END, index >= 6, pnl_before < 0, losses_before >= 2, index = 0, CASE WHEN net <> 0 THEN net < 0 END]) AS present, unnest([net, net, net, net, net, CAST(duration AS DOUBLE)]) AS value FROM state),
 beh AS (SELECT behaviour, count(*) FILTER (present) AS n_with, avg(value) FILTER (present) AS mean_with, var_samp(value) FILTER (present) AS var_with, count(*) FILTER (NOT present) AS n_without, avg(value) FILTER (NOT present) AS mean_without, var_samp(value) FILTER (NOT present) AS var_without FROM det WHERE present IS NOT NULL AND value IS NOT NULL GROUP BY 1),
@@ -106,4 +115,43 @@ SELECT dimension, key, n, winners, {r('net')}, {r('expectancy', None, 9)}, {r('r
     "e02_leaks": f"WITH {_STATE}, {_DETECT}, c AS (SELECT behaviour AS pattern, trade_id, cost / count(*) OVER (PARTITION BY behaviour) AS share FROM det JOIN behc USING (behaviour) WHERE present AND cost < 0), f AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY abs(share) DESC, pattern) = 1 AS first FROM c) SELECT pattern, {r('sum(share)', 'naive', 3)}, {r('sum(CASE WHEN first THEN share ELSE 0 END)', 'exclusive', 3)}, count(*) AS n_trades, count(*) FILTER (first) AS n_exclusive FROM f GROUP BY 1",
     "e03_due_periods": f"WITH {_ORDERS}, d AS (SELECT DISTINCT account, session_date FROM facts), p AS (SELECT account, unnest(['daily', 'weekly', 'monthly', 'quarterly', 'yearly']) AS report_type, unnest([session_date, CAST(date_trunc('week', session_date) AS DATE), CAST(date_trunc('month', session_date) AS DATE), CAST(date_trunc('quarter', session_date) AS DATE), CAST(date_trunc('year', session_date) AS DATE)]) AS period_start FROM d), c AS (SELECT account, report_type, period_start, count(*) AS sessions FROM p GROUP BY 1, 2, 3), e AS (SELECT *, CAST(CASE report_type WHEN 'daily' THEN period_start WHEN 'weekly' THEN period_start + 6 WHEN 'monthly' THEN period_start + INTERVAL 1 MONTH - INTERVAL 1 DAY WHEN 'quarterly' THEN period_start + INTERVAL 3 MONTH - INTERVAL 1 DAY ELSE period_start + INTERVAL 1 YEAR - INTERVAL 1 DAY END AS DATE) AS period_end FROM c) SELECT account, report_type, period_start, sessions, period_end FROM e WHERE period_end < DATE '1999-06-15' AND sessions >= CASE report_type WHEN 'daily' THEN 1 WHEN 'weekly' THEN 3 WHEN 'monthly' THEN 8 WHEN 'quarterly' THEN 20 ELSE 60 END",
     "f_s1_root_symbols": "SELECT upper(substr(o_orderpriority, 3, 2)) AS root, count(*) AS n FROM orders GROUP BY 1",
+    "b04_paths": f"""WITH {_ORDERS}, v AS (SELECT instrument AS g, CAST(net AS DECIMAL(20,8)) AS x, row_number() OVER (PARTITION BY instrument ORDER BY trade_id) - 1 AS i FROM facts), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5),
+ d AS (SELECT g, rep, k, {_DRAW.format("'path:' || g || ':' || rep || ':' || k")} % n AS i FROM n, range(50) a(rep), range(100) b(k)),
+ e AS (SELECT g, rep, k, sum(x) OVER (PARTITION BY g, rep ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d JOIN v USING (g, i)),
+ w AS (SELECT *, min(CASE WHEN equity <= -20000 THEN k END) OVER (PARTITION BY g, rep) AS fin, greatest(0, max(equity) OVER (PARTITION BY g, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) AS peak FROM e),
+ p AS (SELECT g, rep, CAST(arg_max(equity, k) AS DOUBLE) AS final, CAST(max(peak - equity) AS DOUBLE) AS dd, bool_or(fin IS NOT NULL) AS ruined FROM w WHERE fin IS NULL OR k <= fin GROUP BY 1, 2),
+ q AS (SELECT g, count(*) AS iterations, quantile_cont(final, [0.05, 0.25, 0.5, 0.75, 0.95]) AS f, quantile_cont(dd, [0.05, 0.25, 0.5, 0.75, 0.95]) AS d, count(*) FILTER (final < 0) AS l, count(*) FILTER (ruined) AS r FROM p GROUP BY 1)
+SELECT g AS instrument, iterations, {', '.join(r(f'{c}[{i + 1}]', f'{m}_p{x}') for c, m in (('f', 'final'), ('d', 'drawdown')) for i, x in enumerate((5, 25, 50, 75, 95)))}, {r('l / iterations', 'p_loss')}, {r('r / iterations', 'p_ruin')} FROM q""",
+    "b08_block_skill": f"""WITH {_ORDERS}, {_PRED}, b AS (SELECT session, count(*) AS m, sum((actual - predicted) ** 2) AS e, sum(actual) AS y, sum(actual * actual) AS yy, row_number() OVER (ORDER BY session) - 1 AS i FROM pred GROUP BY 1), c AS (SELECT count(*) AS n, sum(m) AS m, sum(e) AS e, sum(y) AS y, sum(yy) AS yy FROM b),
+ d AS (SELECT rep, {_DRAW.format("'block::' || rep || ':' || k")} % n AS i FROM c, range(20) a(rep), range(n) z(k)),
+ s AS (SELECT rep, sum(m) AS m, sum(e) AS e, sum(y) AS y, sum(yy) AS yy FROM d JOIN b USING (i) GROUP BY 1), k AS (SELECT list(1 - e / (yy - y * y / m) ORDER BY 1 - e / (yy - y * y / m)) AS a FROM s)
+SELECT n AS sessions, CAST(m AS BIGINT) AS predictions, {r('1 - e / (yy - y * y / m)', 'skill')}, {r('a[1]', 'low')}, {r('a[20]', 'high')}, a[1] > 0 AS established FROM c, k""",
+    "b09_paired_test": f"""WITH {_TRADES}, n AS (SELECT *, row_number() OVER w AS k, CASE WHEN lag(net, 1) OVER w < 0 AND lag(net, 2) OVER w < 0 THEN 1 ELSE 0 END AS trip FROM facts WINDOW w AS (PARTITION BY session_date ORDER BY opened_at, trade_id)), s AS (SELECT *, max(trip) OVER (PARTITION BY session_date ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING) AS stopped FROM n),
+ v AS (SELECT segment AS g, CASE WHEN k <= 5 AND stopped = 0 THEN 0 ELSE -net END AS x, row_number() OVER (PARTITION BY segment ORDER BY trade_id) - 1 AS i FROM s), c AS (SELECT g, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM v GROUP BY 1),
+ d AS (SELECT g, rep, {_DRAW.format("'pair:' || g || ':' || rep || ':' || k")} % n AS i FROM (SELECT g, n, rep, unnest(range(n)) AS k FROM c, range(100) a(rep) WHERE n >= 5)), t AS (SELECT g, rep, sum(CAST(x AS DECIMAL(20,8))) AS s FROM d JOIN v USING (g, i) GROUP BY 1, 2), h AS (SELECT g, count(*) FILTER (s <= 0) AS lo, count(*) FILTER (s >= 0) AS hi FROM t GROUP BY 1)
+SELECT g AS segment, n, {r('m', 'difference')}, {r('m / nullif(sd, 0)', 'effect')}, CASE WHEN lo IS NOT NULL THEN {r('least(1, greatest(2 * least(lo, hi) / 100, 0.01))', 'p').replace(' AS p', '')} END AS p FROM c LEFT JOIN h USING (g)""",
+    "b10_calibration": f"""WITH {_ORDERS}, {_PRED}, x AS (SELECT trade_id, predicted AS p, actual AS y, CAST(least(9, greatest(0, floor(predicted * 10))) AS INT) AS bin FROM pred), s AS (SELECT rep, bin, p, CASE WHEN {_DRAW.format("'cal:' || rep || ':' || trade_id")} < p * 4294967296 THEN 1 ELSE 0 END AS y FROM x, range(20) a(rep)),
+ o AS (SELECT sum(gap) / sum(m) AS ece, CAST(sum(m) AS BIGINT) AS n FROM (SELECT count(*) AS m, abs(sum(p) - sum(y)) AS gap FROM x GROUP BY bin)), u AS (SELECT rep, sum(gap) / sum(m) AS e FROM (SELECT rep, count(*) AS m, abs(sum(p) - sum(y)) AS gap FROM s GROUP BY rep, bin) GROUP BY 1)
+SELECT n, {r('ece')}, {r('(count(*) FILTER (e >= ece - 1e-9) + 1) / 21', 'p')} FROM o, u GROUP BY n, ece""",
+    "d10_feature_matrix": f"WITH {_ORDERS}, x AS (SELECT trade_id, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h, CAST(isodow(session_date) - 1 AS DOUBLE) AS w FROM facts), a AS (SELECT avg(q) AS mq, stddev_samp(q) AS sq, avg(h) AS mh, stddev_samp(h) AS sh, avg(w) AS mw, stddev_samp(w) AS sw FROM x) SELECT trade_id, {r('(q - mq) / sq', 'quantity')}, {r('(h - mh) / sh', 'hold')}, {r('(w - mw) / sw', 'weekday')} FROM x, a",
+    "l04_ridge": f"""WITH {_ORDERS}, x AS (SELECT CAST(net AS DOUBLE) AS y, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h FROM facts), m AS (SELECT avg(y) AS my, avg(q) AS mq, avg(h) AS mh FROM x), c AS (SELECT any_value(my) AS my, any_value(mq) AS mq, any_value(mh) AS mh, sum((q - mq) ** 2) + 10 AS qq, sum((h - mh) ** 2) + 10 AS hh, sum((q - mq) * (h - mh)) AS qh, sum((q - mq) * (y - my)) AS qy, sum((h - mh) * (y - my)) AS hy FROM x, m),
+ b AS (SELECT *, (qy * hh - hy * qh) / (qq * hh - qh * qh) AS bq, (hy * qq - qy * qh) / (qq * hh - qh * qh) AS bh FROM c) SELECT unnest(['intercept', 'quantity', 'hold']) AS term, unnest([{r('my - bq * mq - bh * mh', 'a', 4).replace(' AS a', '')}, {r('bq', 'a', 4).replace(' AS a', '')}, {r('bh', 'a', 4).replace(' AS a', '')}]) AS beta FROM b""",
+    "l07_walk_forward": f"WITH {_ORDERS}, d AS (SELECT session_date, greatest(0, (row_number() OVER (ORDER BY session_date) - 21) // 200 + 1) AS fold FROM (SELECT DISTINCT session_date FROM facts)), i AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM d) SELECT CAST(fold AS BIGINT) AS fold, count(*) FILTER (r_multiple IS NOT NULL) AS scored, count(DISTINCT session_date) AS sessions, count(r_multiple) AS predicted FROM facts JOIN d USING (session_date) JOIN i USING (session_date) WHERE i > 20 GROUP BY 1",
+    "q05_exit_selection": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 100 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK}
+SELECT CAST(fold AS BIGINT) AS fold, {r('target', None, 4)}, {r('score', None, 4)}, applicable AS scored, {r('delta', None, 4)} FROM pick""",
+    "q06_exit_recommendation": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK},
+ m AS (SELECT target, count(*) AS votes FROM pick GROUP BY 1), t AS (SELECT arg_max(target, votes * 100 - target) AS target, max(votes) AS votes FROM m), a AS (SELECT count(*) AS folds, CAST(sum(applicable) AS BIGINT) AS scored, sum(delta) AS delta FROM pick)
+SELECT folds, scored, {r('target', None, 4)}, {r('votes / folds', 'stability', 4)}, {r('delta / scored', 'mean_delta', 4)}, CASE WHEN scored < 40 THEN 'too few scored trades' WHEN votes / folds < 0.6 THEN 'unstable choice' WHEN NOT delta / scored > 0 THEN 'no improvement' END AS reason FROM a, t""",
+    "e01_period_comparison": f"""WITH {_ORDERS}, v AS (SELECT trade_id, session_date >= DATE '1996-01-01' AS now, unnest(['net', 'win_rate', 'r_multiple', 'duration', 'quantity']) AS metric, unnest([CAST(net AS DOUBLE), CASE WHEN net > 0 THEN 1 ELSE 0 END, r_multiple, duration, quantity]) AS x FROM facts WHERE session_date BETWEEN DATE '1995-12-01' AND DATE '1996-01-31'),
+ a AS (SELECT metric, count(*) FILTER (now) AS n_current, count(*) FILTER (NOT now) AS n_previous, avg(x) FILTER (now) AS cur, avg(x) FILTER (NOT now) AS prev, sum(x) AS total FROM v WHERE x IS NOT NULL GROUP BY 1),
+ o AS (SELECT metric, rep, x, row_number() OVER (PARTITION BY metric, rep ORDER BY {_DRAW.format("'period:' || rep || ':' || trade_id")}, trade_id) AS i FROM v, range(50) z(rep) WHERE x IS NOT NULL),
+ s AS (SELECT a.metric, rep, n_current, n_previous, cur, prev, total, sum(x) AS s FROM o JOIN a ON a.metric = o.metric AND i <= n_current WHERE n_current >= 5 AND n_previous >= 5 GROUP BY ALL),
+ p AS (SELECT metric, (count(*) FILTER (abs(s / n_current - (total - s) / n_previous) >= abs(cur - prev) * (1 - 1e-9)) + 1) / 51 AS p FROM s GROUP BY 1),
+ k AS (SELECT metric, p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p), q AS (SELECT metric, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
+SELECT metric, n_current, n_previous, {r('cur', 'current')}, {r('prev', 'previous')}, {r('p', 'p')}, {r('q', 'q')}, CASE WHEN NOT coalesce(q <= 0.05, FALSE) THEN 'unchanged' WHEN cur > prev THEN 'up' WHEN cur < prev THEN 'down' ELSE 'flat' END AS direction FROM a LEFT JOIN q USING (metric)""",
+    "e07_evidence": f"""WITH {_ORDERS}, a AS (SELECT account, count(*) AS n, count(*) FILTER (net > 0) AS w, count(*) FILTER (net < 0) AS l, avg(CAST(net AS DOUBLE)) FILTER (net > 0) AS aw, avg(CAST(net AS DOUBLE)) FILTER (net < 0) AS al FROM facts GROUP BY 1),
+k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a) SELECT account || '.' || k AS key, {r('v', 'value')}, v IS NULL AS gap FROM k""",
+    "s35_map_fills": f"WITH {_MAPPED} SELECT id, account, symbol, {r('commission')}, {r('fees')}, reason FROM mapped",
+    "s36_specs": f"WITH {_SPECS} SELECT contract_id, symbol, {r('tick')}, {r('point * tick', 'tick_value')}, CAST(2 AS BIGINT) AS digits FROM specs",
+    "s37_next_cursor": f"WITH {_MAPPED}, z(lo, hi, cur, k) AS (VALUES (100, 140, 99, 1), (0, 2000000000, 3, 2), (0, 2000000000, 50, 3)) SELECT CAST(greatest(cur, least(greatest(max(id), cur), min(CASE WHEN reason IS NOT NULL THEN id END) - 1)) AS BIGINT) AS cursor FROM z JOIN mapped ON id BETWEEN lo AND hi AND (k <> 2 OR reason IS NULL) GROUP BY cur, k",
 }

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import effect, outcome, reliability, root_symbol, to_tick
 from ..operators import bars as B
-from ..operators import fifo, reports, rules, stats
+from ..operators import fifo, models, reports, rules, stats
 from ..operators import resample as R
 from ..operators import sequences as Q
-from ..sources import stores, views
+from ..sources import mapping, stores, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -254,6 +254,119 @@ def f_s1_root_symbols(spark, sf):
     return views.table(spark, sf, "orders").groupBy(root_symbol(s).alias("root")).agg(F.count("*").alias("n"))
 
 
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """A made-up chance of a gain per order, by its key."""
+    t = views.order_facts(spark, sf)
+    return t.select("trade_id", F.col("session_date").alias("session"), (F.lit(0.1) + (F.col("trade_id") % 8) * 0.1).alias("predicted"), (F.col("net") > 0).cast("int").alias("actual"))
+
+
+def exits_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders with made-up excursions; every fifth has none."""
+    t = views.order_facts(spark, sf)
+    known = F.col("trade_id") % 5 != 0
+    return t.withColumns({"mfe_r": F.when(known, F.abs("r_multiple") + (F.col("trade_id") % 7) * 0.75), "mae_r": F.when(known, F.lit(0.5))})
+
+
+def features() -> dict:
+    """Three of use, one known for half of the trades and a constant one."""
+    return {"quantity": F.col("quantity"), "hold": F.col("duration") / 86400, "weekday": F.weekday("session_date"), "half": F.when(F.col("trade_id") % 2 == 0, F.col("quantity")), "constant": F.lit(1)}
+
+
+@query
+def b04_paths(spark, sf):
+    return rounded(R.path_summary(R.paths(views.order_facts(spark, sf), "net", "instrument", 50, 100, 20000.0), "instrument"))
+
+
+@query
+def b08_block_skill(spark, sf):
+    return rounded(R.block_skill(predictions(spark, sf), 20))
+
+
+@query
+def b09_paired_test(spark, sf):
+    t = Q.what_if(facts(spark, sf), max_trades=5, stop_after_losses=2)
+    return rounded(R.paired_test(t, "delta", "segment", 100))
+
+
+@query
+def b10_calibration(spark, sf):
+    return rounded(R.calibration(predictions(spark, sf), 20))
+
+
+@query
+def d10_feature_matrix(spark, sf):
+    m, _ = models.feature_matrix(views.order_facts(spark, sf), features())
+    return rounded(m)
+
+
+@query
+def l04_ridge(spark, sf):
+    """Coefficients of net on quantity and days held, penalty 10."""
+    t = views.order_facts(spark, sf).select(F.col("net").cast("double").alias("net"), F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
+    b = models.fit_linear(t, ["quantity", "hold"], "net", 10.0)
+    rows = [] if b is None else list(zip(["intercept", "quantity", "hold"], map(float, b), strict=True))
+    return rounded(spark.createDataFrame(rows, "term string, beta double"), 4)
+
+
+@query
+def l07_walk_forward(spark, sf):
+    t = views.order_facts(spark, sf).select("trade_id", "session_date", F.col("r_multiple").alias("y"), F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
+    w = models.walk_forward(t, ["quantity", "hold"], "y", step=200)
+    return rounded(w.groupBy("fold").agg(F.count("*").alias("scored"), F.count_distinct("session_date").alias("sessions"), F.count("predicted").alias("predicted")))
+
+
+@query
+def q05_exit_selection(spark, sf):
+    return rounded(models.exit_selection(exits_input(spark, sf), 25, 100), 4)
+
+
+@query
+def q06_exit_recommendation(spark, sf):
+    return rounded(models.exit_recommendation(exits_input(spark, sf)), 4)
+
+
+@query
+def e01_period_comparison(spark, sf):
+    return rounded(reports.compare_periods(views.order_facts(spark, sf), ("1996-01-01", "1996-01-31"), ("1995-12-01", "1995-12-31"), 50))
+
+
+@query
+def e07_evidence(spark, sf):
+    return rounded(reports.evidence(stats.kelly(views.order_facts(spark, sf), "account").select("account", "n", "kelly"), "account"))
+
+
+def mapped(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as raw fills of orders and of parts as contracts; every seventh has no fee yet."""
+    e = views.table(spark, sf, "events")
+    raw = e.select(F.col("event_id").alias("id"), (F.col("event_id") * 2).alias("order_id"), (F.col("event_id") % 2500 + 1).alias("contract_id"), F.col("ts").cast("timestamp").alias("ts"))
+    orders = views.table(spark, sf, "orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("account"))
+    fees = raw.filter("id % 7 != 0").select("id", F.lit(1.25).alias("commission"), F.lit(0.5).alias("fees"))
+    return mapping.map_fills(raw, orders, contract_specs(spark, sf), fees, "2024-01-01 06:00:00")
+
+
+def contract_specs(spark: SparkSession, sf: str) -> DataFrame:
+    p = views.table(spark, sf, "part")
+    contracts = p.select(F.col("p_partkey").alias("contract_id"), F.col("p_brand").alias("symbol"), (F.col("p_size") % 40).alias("product_id"))
+    products = spark.range(45).select(F.col("id").alias("product_id"), (F.col("id") * 5 + 5).alias("point"), F.when(F.col("id") % 2 == 0, "0.25").otherwise("0.01").alias("tick"))
+    return mapping.specs(contracts, products)
+
+
+@query
+def s35_map_fills(spark, sf):
+    return rounded(mapped(spark, sf).select("id", "account", "symbol", "commission", "fees", "reason"))
+
+
+@query
+def s36_specs(spark, sf):
+    return rounded(contract_specs(spark, sf))
+
+
+@query
+def s37_next_cursor(spark, sf):
+    m = mapped(spark, sf)
+    return mapping.next_cursor(m.filter("id between 100 and 140"), 99).unionByName(mapping.next_cursor(m.filter("reason is null"), 3)).unionByName(mapping.next_cursor(m, 50))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per account: FIFO trades of its fills, by session."""
     return facts(spark, sf).groupBy("account").agg(F.count("*").alias("n"), F.count_distinct("session_date").alias("sessions"), F.sum("net").alias("net"), F.count_if(F.col("net") > 0).alias("winners")).orderBy("account")
