@@ -24,6 +24,8 @@ from .storage import cut
 from .text import Piece, SpanHash, mix, pieces, window_hash
 
 BLOCK = 1024
+#: Bits of the map that keeps most texts without a candidate out of the shuffle; it's broadcast as 64-bit words.
+MAP_BITS = 1 << 22
 
 
 def choose_bands(threshold: float, recall: float, rows: tuple[int, ...] = (3, 4, 5, 6)) -> tuple[int, int]:
@@ -168,6 +170,15 @@ def _verify(size: int, threshold: float):
     return run
 
 
+def _maybe(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose doc_id may be in ``ids``: all that are, and of the others those that meet a set bit of a
+    map of ``MAP_BITS`` bits.  The map's size is fixed, so it may be broadcast whatever the tables' sizes."""
+    spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+    words = ids.select(spot(key).alias("s")).groupBy((F.col("s") / 64).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("bits"))
+    at = docs.withColumn("_s", spot("doc_id")).withColumn("word", (F.col("_s") / 64).cast("int"))
+    return at.join(F.broadcast(words), "word").filter(F.expr("getbit(bits, cast(_s % 64 as int)) = 1")).drop("_s", "word", "bits")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, recall: float = 0.999999) -> DataFrame:
     """(doc_id, class_id, n_links, n_copies) of every row.
 
@@ -190,7 +201,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     found = cut(found.join(found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "component").join(groups.select("node", "copies"), "node"), "candidates")
     block = found.select("*", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     dealt = (
-        docs.join(block, docs.doc_id == block.node).select("component", "node", "copies", "block", "text", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+        _maybe(docs, found, "node").join(block, F.col("doc_id") == F.col("node")).select("component", "node", "copies", "block", "text", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
         .select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "copies", "block", "text")
         .repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node")
     )
