@@ -98,39 +98,55 @@ VERIFIED = "node long, root long, links long"
 def _verify(size: int, threshold: float):
     num, den = round(threshold * 1000), 1000
 
-    def linked(sets: list[np.ndarray]) -> np.ndarray:
-        """Which pairs reach the threshold."""
-        m, n = len(sets), np.array([len(s) for s in sets])
-        owner, flat = np.repeat(np.arange(m), n), np.concatenate(sets)
-        by = np.argsort(flat, kind="stable")
-        owner, flat = owner[by], flat[by]
-        new = np.ones(len(flat), dtype=bool)
-        new[1:] = flat[1:] != flat[:-1]
-        head = np.flatnonzero(new)
-        often = np.diff(np.append(head, len(flat)))
-        both = np.zeros((m, m), dtype=np.float32)
-        for f in np.unique(often[(often > 1) & (often <= 24)]):
-            h = head[often == f]
-            for part in np.array_split(h, max(1, len(h) * f * f // 2_000_000)):
-                own = owner[part[:, None] + np.arange(f)]
-                both += np.bincount((own[:, :, None] * m + own[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
-        dense = np.flatnonzero(often > 24)
-        for part in np.array_split(dense, max(1, len(dense) * m // 4_000_000)):
-            if len(part):
-                c, column = often[part], np.repeat(np.arange(len(part)), often[part])
-                at = np.repeat(head[part], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                hot = np.zeros((m, len(part)), dtype=np.float32)
-                hot[owner[at], column] = 1
-                both += hot @ hot.T
-        inter = both.astype(np.int64)
-        out = inter * den >= num * (n[:, None] + n[None, :] - inter)
+    def ramp(n: np.ndarray) -> np.ndarray:
+        """0 to n - 1 for each n."""
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+    def shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+        """How many n-grams each set of one has in common with each of two."""
+        flat, owner, first, often = [], [], [], []
+        for sets in (one, two):
+            all_of, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            by = np.argsort(all_of, kind="stable")
+            flat.append(all_of[by])
+            owner.append(of[by])
+        grams = np.intersect1d(*flat)
+        for f in flat:
+            first.append(np.searchsorted(f, grams))
+            often.append(np.searchsorted(f, grams, "right") - first[-1])
+        out = np.zeros((len(one), len(two)), dtype=np.int64)
+        pairs = often[0] * often[1]
+        few, many = np.flatnonzero(pairs <= 576), np.flatnonzero(pairs > 576)
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(pairs[few]) // 1_000_000)) + 1):
+            n, m = often[0][part], often[1][part]
+            k = np.repeat(np.arange(len(part)), n)
+            row = np.repeat(owner[0][np.repeat(first[0][part], n) + ramp(n)], m[k])
+            column = owner[1][np.repeat(first[1][part][k], m[k]) + ramp(m[k])]
+            out += np.bincount(row * len(two) + column, minlength=out.size).reshape(out.shape)
+        for part in np.array_split(many, len(many) * (len(one) + len(two)) // 4_000_000 + 1):
+            hot = []
+            for own, at, n, sets in zip(owner, first, often, (one, two), strict=True):
+                h = np.zeros((len(sets), len(part)), dtype=np.float32)
+                h[own[np.repeat(at[part], n[part]) + ramp(n[part])], np.repeat(np.arange(len(part)), n[part])] = 1
+                hot.append(h)
+            out += (hot[0] @ hot[1].T).astype(np.int64)
+        return out
+
+    def linked(block: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """Which pairs reach the threshold; of two blocks, only pairs across them (the others are another task's)."""
+        a, b = np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])
+        b = b if len(b) else a
+        n = np.array([len(s) for s in sets])
+        inter = shared([sets[i] for i in a], [sets[i] for i in b])
+        near = inter * den >= num * (n[a][:, None] + n[b][None, :] - inter)
+        out = np.zeros((len(sets), len(sets)), dtype=bool)
+        out[np.ix_(a, b)] = near
+        out[np.ix_(b, a)] = near.T
         np.fill_diagonal(out, False)
         return out
 
     def closed(nodes: np.ndarray, copies: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> tuple:
-        link = linked(sets)
-        if (block != block[0]).any():  # two blocks: each block's own pairs are another task's
-            link &= block[:, None] != block[None, :]
+        link = linked(block, sets)
         far = nodes.copy()
         seen = np.zeros(len(nodes), dtype=bool)
         for i in np.argsort(nodes, kind="stable"):
