@@ -127,6 +127,101 @@ def walk_forward(rows: DataFrame, columns: list[str], label: str, session: str =
     return full.join(F.broadcast(model), F.col(session) == F.col("_day")).withColumn("predicted", predicted).drop("_day", "beta")  # one row a day
 
 
+def walk_forward_logistic(rows: DataFrame, columns: list[str], label: str, session: str = "session_date", first: int = MODEL_FOLDS[0], step: int = MODEL_FOLDS[1], iterations: int = 40, tol: float = 1e-6) -> DataFrame | None:
+    """walk_forward() for a chance: adds fold, penalty, converged and predicted to the rows in tested sessions.
+
+    All folds and penalties are fitted at once: a Newton step is one aggregation of products per (fold, penalty), and
+    rows meet the coefficients through the folds that train on their session.  A fold without both outcomes isn't scored.
+    """
+    rows = rows.filter(F.col(session).isNotNull())
+    full = rows.dropna(subset=[*columns, label]).withColumn("_y", F.col(label).cast("double"))
+    days = [(r[session], r["i"], r["fold"]) for r in folds(rows, first, step, session).orderBy(session).collect()]  # one row a day
+    if len(days) < first + 1:
+        return None
+    spark, top, k = full.sparkSession, max(f for *_, f in days), len(columns) + 1
+    ends = {f: first + (f - 1) * step for f in range(1, top + 1)}
+    inner = {f: int(n * 0.7) for f, n in ends.items()}
+    per = dict(moments(full, columns, label, session))
+    calendar = [(d, f, next((g for g in inner if inner[g] >= i), top + 1)) for d, i, f in days]
+    kind = full.schema[session].dataType
+    calendar = spark.createDataFrame(calendar, T.StructType([T.StructField("_day", kind), T.StructField("_fold", T.IntegerType()), T.StructField("_inner", T.IntegerType())]))
+    dated = full.join(F.broadcast(calendar), F.col(session) == F.col("_day"))  # one row a day
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
+
+    def chance(model: list[tuple]) -> tuple[DataFrame, Column]:
+        m = spark.createDataFrame([(f, p, [float(b) for b in beta], bool(done)) for f, p, beta, done in model], "fold int, penalty double, beta array<double>, converged boolean")
+        s = sum((F.element_at("beta", i + 1) * c for i, c in enumerate(x)), F.lit(0.0))
+        return F.broadcast(m), 1 / (1 + F.exp(-s))  # folds x penalties
+
+    def trained(start: str, stop: Column) -> DataFrame:
+        return dated.filter(F.col(start) <= stop).withColumn("fold", F.explode(F.sequence(F.col(start), stop)))
+
+    def fit(wanted: list[tuple[int, float]], start: str, upto: dict[int, int]) -> list[tuple]:
+        todo, done = {}, []
+        for f, p in wanted:
+            m = sum((per[d] for d, i, _ in days if i <= upto[f] and d in per), np.zeros((k + 1, k + 1)))
+            if 0 < m[0, k] < m[0, 0]:
+                todo[f, p] = (standardiser(m)[:k, :k], np.zeros(k))
+        for _ in range(iterations):
+            if not todo:
+                break
+            model, p = chance([(f, q, b @ t, False) for (f, q), (t, b) in todo.items()])
+            w = [F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h_{i}_{j}") for i in range(k) for j in range(i, k)]
+            g = [F.sum((F.col("_y") - p) * x[i]).alias(f"g_{i}") for i in range(k)]
+            for r in trained(start, F.lit(top)).join(model, "fold").groupBy("fold", "penalty").agg(*w, *g).collect():  # one row a model
+                key = r["fold"], r["penalty"]
+                t, b = todo[key]
+                h = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+                d = key[1] * np.diag([0.0] + [1.0] * (k - 1))
+                try:
+                    move = np.linalg.solve(t @ h @ t.T + d, t @ np.array([r[f"g_{i}"] for i in range(k)]) - d @ b)
+                except np.linalg.LinAlgError:
+                    del todo[key]
+                    continue
+                todo[key] = (t, b + move)
+                if np.abs(move).max() < tol:
+                    done.append((*key, (b + move) @ t, True))
+                    del todo[key]
+        return done + [(f, q, b @ t, False) for (f, q), (t, b) in todo.items()]
+
+    dated_inner = dated.withColumn("_first", F.col("_fold") + 1)
+    tried = fit([(f, p) for f in ends if ends[f] >= 4 for p in PENALTIES], "_inner", inner)
+    best = {}
+    if tried:
+        model, p = chance(tried)
+        rest = dated_inner.filter("_first < _inner").withColumn("fold", F.explode(F.expr("sequence(_first, _inner - 1)")))
+        for r in rest.join(model, "fold").groupBy("fold", "penalty").agg(F.avg((F.col("_y") - p) * (F.col("_y") - p)).alias("e")).orderBy("e", "penalty").collect():
+            best.setdefault(r["fold"], r["penalty"])
+    dated = dated_inner
+    final = fit([(f, best.get(f, PENALTY)) for f in ends], "_first", ends)
+    model, p = chance(final)
+    out = dated.withColumnRenamed("_fold", "fold").join(model, "fold").withColumn("predicted", F.greatest(F.lit(CLAMP[0]), F.least(F.lit(CLAMP[1]), p)))
+    return out.drop("_day", "_inner", "_first", "_y", "beta")
+
+
+# Least scored trades of a served model, significance of its calibration test.
+SERVED, CALIBRATION_ALPHA = 50, 0.05
+
+
+def gate(predictions: DataFrame, probability: bool = True, replicates: int = 1000, draws: int = 1000) -> DataFrame:
+    """One row: scored, skill, low, ece, p and the first reason against serving the model (NULL: none).
+
+    predictions: (trade_id, session, predicted, actual) out of sample.  Skill comes before calibration, which only a
+    chance has.
+    """
+    from .resample import block_skill, calibration
+
+    s = block_skill(predictions, replicates).select(F.lit(0).alias("_j"), F.coalesce("predictions", F.lit(0)).alias("scored"), "skill", "low", "established")
+    if probability:
+        s = s.join(calibration(predictions, draws).select(F.lit(0).alias("_j"), "ece", "p"), "_j", "left")
+    else:
+        s = s.withColumns({"ece": F.lit(None).cast("double"), "p": F.lit(None).cast("double")})
+    why = F.when(F.col("scored") < SERVED, "too few scored trades").when(F.col("skill").isNull(), "skill unknown").when(F.col("skill") <= 0, "no skill").when(F.col("low").isNull(), "too few sessions").when(~F.col("established"), "skill within chance")
+    if probability:
+        why = why.when(F.coalesce(F.col("p") <= CALIBRATION_ALPHA, F.lit(True)), "miscalibrated")
+    return s.select("scored", "skill", "low", "ece", "p", why.alias("reason"))
+
+
 def fit_linear(rows: DataFrame, columns: list[str], label: str, penalty: float = 1.0) -> np.ndarray | None:
     found = moments(rows.dropna(subset=[*columns, label]).withColumn("_all", F.lit(0)), columns, label, "_all")
     return ridge(found[0][1], penalty) if found else None

@@ -25,6 +25,28 @@ def due_periods(trades: DataFrame, today: str, generated: DataFrame | None = Non
     return p if generated is None else p.join(generated, ["account", "report_type", "period_start"], "left_anti")
 
 
+def next_reports(due: DataFrame, most: int = 25) -> DataFrame:
+    """The oldest of the due periods, as many as one run builds."""
+    return due.orderBy("period_end", "period_start", "account", "report_type").limit(most)
+
+
+def compose(sections: dict[str, tuple[DataFrame, str]], sessions: int, report_type: str) -> DataFrame:
+    """(section, key, value, reason): every number of a report, or one row with the reason for which a section is withheld.
+
+    sections: name to (summary, the column that names its rows).
+    """
+    out = None
+    for name, (summary, by) in sections.items():
+        why = "too few sessions" if sessions < MIN_SESSIONS[report_type] else "nothing found" if summary.isEmpty() else None
+        if why:
+            part = summary.sparkSession.range(1).select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("double").alias("value"))
+        else:
+            part = evidence(summary, by).select("key", "value")
+        part = part.select(F.lit(name).alias("section"), "key", "value", F.lit(why).cast("string").alias("reason"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def attribute_leaks(claims: DataFrame) -> DataFrame:
     """Per pattern: its naive cost and the exclusive one, when each trade counts for its largest claim only.
 
@@ -46,26 +68,17 @@ def compare_periods(trades: DataFrame, current: tuple[str, str], previous: tuple
     """Per metric: both periods' means and numbers, p of a permutation test, q over the family, and the direction:
     up, down or flat only where q is at most ALPHA, else unchanged.
 
-    Each permutation calls the first n rows of a hashed order the current period; metrics are windows of their own.
+    Each permutation calls the first n rows of a hashed order the current period; metrics are tests of their own.
     """
-    from ..functions.exprs import MIN_SAMPLE
-    from .resample import draw
+    from .resample import two_sample
     from .sequences import benjamini_hochberg
 
     within = lambda p: F.col("session_date").between(F.to_date(F.lit(p[0])), F.to_date(F.lit(p[1])))
     t = trades.withColumn("now", F.when(within(current), True).when(within(previous), False)).filter("now is not null")
     each = F.array(*(F.struct(F.lit(k).alias("metric"), F.expr(e).cast("double").alias("x")) for k, e in METRICS.items()))
     v = t.select("trade_id", "now", F.explode(each).alias("e")).select("trade_id", "now", "e.metric", "e.x").filter("x is not null")
-    real = v.groupBy("metric").agg(F.count_if("now").alias("n_current"), F.count_if(~F.col("now")).alias("n_previous"), F.avg(F.when(F.col("now"), F.col("x"))).alias("current"), F.avg(F.when(~F.col("now"), F.col("x"))).alias("previous"), F.sum("x").alias("total"))
-    tested = real.filter((F.col("n_current") >= MIN_SAMPLE) & (F.col("n_previous") >= MIN_SAMPLE))
-    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = W.partitionBy("metric", "rep").orderBy(draw(F.lit("period"), "rep", "trade_id"), "trade_id")
-    dealt = reps.select("metric", "rep", "x", F.row_number().over(order).alias("i")).join(F.broadcast(tested), "metric").filter("i <= n_current")  # five rows
-    gap = F.abs(F.col("s") / F.col("n_current") - (F.col("total") - F.col("s")) / F.col("n_previous"))
-    far = F.abs(F.col("current") - F.col("previous"))
-    sums = dealt.groupBy("metric", "rep", "n_current", "n_previous", "current", "previous", "total").agg(F.sum("x").alias("s"))
-    p = sums.groupBy("metric").agg(((F.count_if(gap >= far * (1 - 1e-9)) + 1) / F.lit(permutations + 1)).alias("p"))
-    q = benjamini_hochberg(real.join(p, "metric", "left"), "p")
+    tests = two_sample(v.withColumnRenamed("metric", "test"), "period", permutations).withColumnsRenamed({"test": "metric", "n_in": "n_current", "n_out": "n_previous", "mean_in": "current", "mean_out": "previous"})
+    q = benjamini_hochberg(tests, "p")
     diff = F.col("current") - F.col("previous")
     way = F.when(~F.coalesce(F.col("q") <= ALPHA, F.lit(False)), "unchanged").when(diff > 0, "up").when(diff < 0, "down").otherwise("flat")
     return q.select("metric", "n_current", "n_previous", "current", "previous", "p", "q", way.alias("direction"))

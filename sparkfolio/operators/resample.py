@@ -144,3 +144,22 @@ def calibration(predictions: DataFrame, draws: int = 1000) -> DataFrame:
     null = off(sims, "rep").select("ece").withColumnRenamed("ece", "null_ece").withColumn("j", F.lit(0))
     hit = null.join(F.broadcast(real), "j").groupBy("ece", "n").agg(F.count_if(F.col("null_ece") >= F.col("ece") - 1e-9).alias("k"))  # real has one row
     return hit.select("n", "ece", ((F.col("k") + 1) / F.lit(draws + 1)).alias("p"))
+
+
+def two_sample(values: DataFrame, kind: str, permutations: int = 1000) -> DataFrame:
+    """Per test: numbers and means of the rows inside and outside, and the two-sided p of their difference (NULL under
+    MIN_SAMPLE rows on a side).  values: (test, now, x, trade_id); rows with a NULL are left out.
+
+    Each permutation takes the first rows of a hashed order, as many as are inside, for the inside.
+    """
+    v = values.select("test", "now", F.col("x").cast("double").alias("x"), "trade_id").dropna(subset=["test", "now", "x"])
+    side = lambda f, b: f(F.when(F.col("now") == F.lit(b), F.col("x")))
+    real = v.groupBy("test").agg(side(F.count, True).alias("n_in"), side(F.count, False).alias("n_out"), side(F.avg, True).alias("mean_in"), side(F.avg, False).alias("mean_out"), F.sum("x").alias("total"))
+    tested = real.filter((F.col("n_in") >= MIN_SAMPLE) & (F.col("n_out") >= MIN_SAMPLE))
+    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    order = W.partitionBy("test", "rep").orderBy(draw(F.lit(kind), "rep", "trade_id"), "trade_id")
+    dealt = reps.select("test", "rep", "x", F.row_number().over(order).alias("i")).join(F.broadcast(tested), "test").filter("i <= n_in")  # a row a test
+    sums = dealt.groupBy("test", "rep", "n_in", "n_out", "mean_in", "mean_out", "total").agg(F.sum("x").alias("s"))
+    gap = F.abs(F.col("s") / F.col("n_in") - (F.col("total") - F.col("s")) / F.col("n_out"))
+    p = sums.groupBy("test").agg(((F.count_if(gap >= F.abs(F.col("mean_in") - F.col("mean_out")) * (1 - 1e-9)) + 1) / F.lit(permutations + 1)).alias("p"))
+    return real.drop("total").join(p, "test", "left")

@@ -154,4 +154,24 @@ k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CA
     "s35_map_fills": f"WITH {_MAPPED} SELECT id, account, symbol, {r('commission')}, {r('fees')}, reason FROM mapped",
     "s36_specs": f"WITH {_SPECS} SELECT contract_id, symbol, {r('tick')}, {r('point * tick', 'tick_value')}, CAST(2 AS BIGINT) AS digits FROM specs",
     "s37_next_cursor": f"WITH {_MAPPED}, z(lo, hi, cur, k) AS (VALUES (100, 140, 99, 1), (0, 2000000000, 3, 2), (0, 2000000000, 50, 3)) SELECT CAST(greatest(cur, least(greatest(max(id), cur), min(CASE WHEN reason IS NOT NULL THEN id END) - 1)) AS BIGINT) AS cursor FROM z JOIN mapped ON id BETWEEN lo AND hi AND (k <> 2 OR reason IS NULL) GROUP BY cur, k",
+    "x03_replay_windows": f"WITH {_TRADES}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 WHEN duration <= 14400 THEN 300 WHEN duration <= 86400 THEN 900 ELSE 3600 END AS b FROM facts) SELECT trade_id, symbol, CAST(b AS BIGINT) AS bar_seconds, opened_at - to_seconds(b * 120) AS window_start, closed_at + to_seconds(b * 60) AS window_end FROM z",
+    "x03_replay_markers": f"WITH {_SLICES}, k AS (SELECT *, row_number() OVER (PARTITION BY account, symbol, tid, role ORDER BY ts, fill_id) AS i, count(*) OVER (PARTITION BY account, symbol, tid, role) AS n FROM slices) SELECT account, symbol, CAST(tid AS BIGINT) AS tid, CASE WHEN role = 'entry' THEN CASE WHEN i = 1 THEN 'entry' ELSE 'scale_in' END WHEN i = n THEN 'exit' ELSE 'scale_out' END AS kind, fill_id, ts, {r('price')}, {r('q', 'qty')} FROM k",
+    "x03_replay_bars": f"WITH {_TRADES}, {_BARS.format(s=300)}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 ELSE 300 END AS b FROM facts WHERE duration <= 14400), j AS (SELECT trade_id, z.b, bars.* FROM z JOIN bars ON z.symbol = bars.symbol AND ts BETWEEN opened_at - to_seconds(b * 120) AND closed_at + to_seconds(b * 60)) SELECT trade_id, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY trade_id ORDER BY ts)) > b, FALSE) AS gap FROM j",
+    "d16_behaviour_scan": f"""WITH {_STATE}, {_DETECT}, v AS (SELECT trade_id, behaviour AS test, present AS now, CAST(value AS DOUBLE) AS x FROM det WHERE present IS NOT NULL AND value IS NOT NULL),
+ a AS (SELECT test, count(*) FILTER (now) AS n_in, count(*) FILTER (NOT now) AS n_out, avg(x) FILTER (now) AS mi, avg(x) FILTER (NOT now) AS mo, sum(x) AS total FROM v GROUP BY 1),
+ o AS (SELECT test, rep, x, row_number() OVER (PARTITION BY test, rep ORDER BY {_DRAW.format("'scan:' || rep || ':' || trade_id")}, trade_id) AS i FROM v, range(50) z(rep)),
+ s AS (SELECT a.test, rep, n_in, n_out, mi, mo, total, sum(x) AS s FROM o JOIN a ON a.test = o.test AND i <= n_in WHERE n_in >= 5 AND n_out >= 5 GROUP BY ALL),
+ p AS (SELECT test, (count(*) FILTER (abs(s / n_in - (total - s) / n_out) >= abs(mi - mo) * (1 - 1e-9)) + 1) / 51 AS p FROM s GROUP BY 1),
+ k AS (SELECT test, p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p), q AS (SELECT test, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
+SELECT test, n_in, n_out, {r('mi', 'mean_in')}, {r('mo', 'mean_out')}, {r('p', 'p')}, {r('q', 'q')}, coalesce(q <= 0.05, FALSE) AS found FROM a LEFT JOIN q USING (test)""",
 }
+ORACLE["e05_next_reports"] = f"SELECT * FROM ({ORACLE['e03_due_periods']}) ORDER BY period_end, period_start, account, report_type LIMIT 25"
+ORACLE["e08_claims"] = f"WITH {_ORDERS}, n AS (SELECT account, count(*) AS n FROM facts GROUP BY 1) SELECT account AS claim_id, CASE WHEN account % 5 = 0 THEN 'uncited,unsupported' WHEN account % 3 = 0 THEN 'unsupported' ELSE '' END AS problems FROM n"
+ORACLE["l11_gate"] = f"""SELECT predictions AS scored, skill, low, ece, p, CASE WHEN predictions < 50 THEN 'too few scored trades' WHEN skill IS NULL THEN 'skill unknown' WHEN skill <= 0 THEN 'no skill' WHEN low IS NULL THEN 'too few sessions' WHEN NOT established THEN 'skill within chance' WHEN p <= 0.05 THEN 'miscalibrated' END AS reason
+FROM ({ORACLE['b08_block_skill']}), ({ORACLE['b10_calibration']})"""
+_WON = f"WITH {_ORDERS}, d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM (SELECT DISTINCT session_date FROM facts))"
+ORACLE["l07_walk_forward_logistic"] = f"{_WON} SELECT CAST((i - 21) // 400 + 1 AS BIGINT) AS fold, count(*) AS scored, count(DISTINCT session_date) AS sessions, count(*) AS converged FROM facts JOIN d USING (session_date) WHERE i > 20 GROUP BY 1"
+ORACLE["e04_report"] = f"""WITH {_ORDERS}, a AS (SELECT instrument, count(*) AS n, count(*) FILTER (net > 0) AS w, count(*) FILTER (net < 0) AS l, avg(CAST(net AS DOUBLE)) FILTER (net > 0) AS aw, avg(CAST(net AS DOUBLE)) FILTER (net < 0) AS al FROM facts WHERE session_date BETWEEN DATE '1996-01-01' AND DATE '1996-01-31' GROUP BY 1),
+ k AS (SELECT instrument, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a),
+ c AS (SELECT metric, unnest(['n_current', 'n_previous', 'current', 'previous', 'q']) AS k, unnest([n_current, n_previous, current, previous, q]) AS v FROM ({ORACLE['e01_period_comparison']}))
+SELECT 'performance' AS section, instrument || '.' || k AS key, {r('v', 'value')}, CAST(NULL AS VARCHAR) AS reason FROM k UNION ALL SELECT 'comparison', metric || '.' || k, {r('v', 'value')}, NULL FROM c"""

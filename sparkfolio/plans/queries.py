@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import effect, outcome, reliability, root_symbol, to_tick
 from ..operators import bars as B
-from ..operators import fifo, models, reports, rules, stats
+from ..operators import discovery, fifo, models, replay, reports, rules, stats
 from ..operators import resample as R
 from ..operators import sequences as Q
 from ..sources import mapping, stores, views
@@ -367,6 +367,64 @@ def s37_next_cursor(spark, sf):
     return mapping.next_cursor(m.filter("id between 100 and 140"), 99).unionByName(mapping.next_cursor(m.filter("reason is null"), 3)).unionByName(mapping.next_cursor(m, 50))
 
 
+@query
+def x03_replay_windows(spark, sf):
+    return rounded(replay.windows(facts(spark, sf)))
+
+
+@query
+def x03_replay_markers(spark, sf):
+    return rounded(replay.markers(fifo.slices(views.fills(spark, sf))))
+
+
+@query
+def x03_replay_bars(spark, sf):
+    return rounded(replay.window_bars(replay.windows(facts(spark, sf).filter("duration <= 14400")), views.bars(spark, sf, 300)))
+
+
+@query
+def d16_behaviour_scan(spark, sf):
+    return rounded(discovery.scan(state(spark, sf), None, 50))
+
+
+@query
+def e04_report(spark, sf):
+    """January 1996: Kelly by instrument, and the comparison with the month before."""
+    t = views.order_facts(spark, sf)
+    now = t.filter("session_date between '1996-01-01' and '1996-01-31'")
+    compared = reports.compare_periods(t, ("1996-01-01", "1996-01-31"), ("1995-12-01", "1995-12-31"), 50).select("metric", "n_current", "n_previous", "current", "previous", "q")
+    sections = {"performance": (stats.kelly(now, "instrument").select("instrument", "n", "kelly"), "instrument"), "comparison": (compared, "metric")}
+    return rounded(reports.compose(sections, now.select("session_date").distinct().count(), "monthly"))
+
+
+@query
+def e05_next_reports(spark, sf):
+    return rounded(reports.next_reports(reports.due_periods(views.order_facts(spark, sf), "1999-06-15")))
+
+
+@query
+def e08_claims(spark, sf):
+    """Claims on accounts' numbers of trades: every third is off by one, every fifth cites nothing."""
+    n = views.order_facts(spark, sf).groupBy("account").agg(F.count("*").alias("n"))
+    said = F.when(F.col("account") % 3 == 0, F.col("n") + 1).otherwise(F.col("n"))
+    cites = F.when(F.col("account") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.col("account").cast("string"), F.lit(".n"))))
+    claims = n.select(F.col("account").alias("claim_id"), F.concat(F.lit("made "), said, F.lit(" trades")).alias("text"), cites.alias("cites"))
+    return reports.check_claims(claims, reports.evidence(n, "account")).select("claim_id", F.concat_ws(",", "problems").alias("problems"))
+
+
+@query
+def l11_gate(spark, sf):
+    return rounded(models.gate(predictions(spark, sf), True, 20, 20))
+
+
+@query
+def l07_walk_forward_logistic(spark, sf):
+    """Chance of a gain by quantity and days held; per fold what was scored."""
+    t = views.order_facts(spark, sf).select("trade_id", "session_date", (F.col("net") > 0).cast("int").alias("y"), F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
+    w = models.walk_forward_logistic(t, ["quantity", "hold"], "y", step=400)
+    return rounded(w.groupBy("fold").agg(F.count("*").alias("scored"), F.count_distinct("session_date").alias("sessions"), F.count_if("converged").alias("converged")))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per account: FIFO trades of its fills, by session."""
     return facts(spark, sf).groupBy("account").agg(F.count("*").alias("n"), F.count_distinct("session_date").alias("sessions"), F.sum("net").alias("net"), F.count_if(F.col("net") > 0).alias("winners")).orderBy("account")
