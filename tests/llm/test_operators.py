@@ -207,6 +207,19 @@ def test_automaton_merges_and_tells_formats_apart():
     assert not secret_scan.is_credential("internationalisation_2024") and not secret_scan.is_credential("aaaaaaaaaaaaaaaaaaaa")
 
 
+def test_secrets_with_few_digits_or_letters(spark):
+    few = lambda s: sum(c.isdigit() for c in s) < 3 or sum(c.isalpha() for c in s) < 3
+    for name in ("code host token", "map key", "payment key", "secret key", "cloud access id"):
+        keys = [s for s in secret_scan.labelled_credentials(name, 2000, 7) if few(s)][:40]
+        assert len(keys) >= 20 and np.mean([secret_scan.is_credential(s) for s in keys]) > 0.9, name
+    plain = ["4111111111111111", "3668798256337530", "20240131123000000", "Donaudampfschifffahrtsgesellschaft", "getUserAccountBalanceFromHttpRequest", "SCREAMING_CASE_CONSTANT_NAME",
+             "counterrevolutionaries", "thanonontioniner.", "abababababababab", "----------------", "================", "src/main/java/org/Example", "ACGTTGCAACGTGGCATTACGATCG", "1234567890123456", "deadbeefdeadbeefdeadbee"]
+    assert not [s for s in plain if secret_scan.is_credential(s)]
+    key = "sk_live_" + "qZxWvKjBnMtRgHpLcYdFsXwQ"
+    got = secret_scan.scan(spark.createDataFrame([(1, f"x {key} y")], "doc_id long, text string")).collect()
+    assert [tuple(s) for s in got[0].spans] == [("format", 2, 2 + len(key))]
+
+
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
