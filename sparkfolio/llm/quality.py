@@ -22,10 +22,13 @@ _CLASS[list(b".,;:'\"?!-()")] = 4
 _CLASS[list(SYMBOLS)] = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Common words are looked for among words of at most so many bytes, and so many are kept per language.
-SHORT, COMMON = 6, 60
+#: So many common words are kept per language.
+COMMON = 60
 #: Least characters and words from which a histogram is compared, and the largest distances (0 to 1) of a kept text.
 MIN_CHARS, MIN_WORDS, MAX_CLASS, MAX_WORDS = 200, 50, 0.33, 0.55
+#: A language's texts of one power of two of words are kept up to so many times the way from the median distance to the upper
+#: quartile, or LEAST from the median; with fewer than ENOUGH different distances the next shorter texts' limit holds.
+SPREAD, LEAST, ENOUGH = 6, 0.05, 30
 
 
 def _trimmed(p):
@@ -40,7 +43,7 @@ def _trimmed(p):
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per piece and language: counts of character classes (word null, with the class in ``bin``) and of short words."""
+    """Per piece and language: counts of character classes (word null, with the class in ``bin``) and of words by hash."""
     for batch in batches:
         langs = np.array([x or "" for x in batch.column("lang").to_pylist()], dtype=object)
         for p in pieces(batch.column("text"), 8 << 20):
@@ -49,30 +52,31 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             owner = np.repeat(own, np.diff(p.offsets))
             classes = np.bincount(owner * CLASSES + _CLASS[p.data], minlength=len(names) * CLASSES)
             words = np.bincount(own[doc], minlength=len(names))
-            few = np.flatnonzero(stop - start <= SHORT)
-            key = np.zeros(len(few), dtype=np.uint64)
-            for t in range(SHORT):
-                inside = start[few] + t < stop[few]
-                key[inside] |= data[start[few][inside] + t].astype(np.uint64) << np.uint64(8 * t)
-            key |= own[doc[few]].astype(np.uint64) << np.uint64(48)
-            key, n = np.unique(key, return_counts=True)
-            raw = [int(k).to_bytes(8, "little") for k in key]
-            lang = [str(names[b[6] + 256 * b[7]]) for b in raw]
+            keys, owners = SpanHash(data)(start, stop).view(np.int64), own[doc]
             rows = [(str(x), None, k, int(classes[i * CLASSES + k])) for i, x in enumerate(names) for k in range(CLASSES)]
             rows += [(str(x), None, -1, int(words[i])) for i, x in enumerate(names)]
-            rows += [(x, b[:6].rstrip(b"\0"), 0, int(c)) for x, b, c in zip(lang, raw, n, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.binary(), pa.int32(), pa.int64()), strict=True)], ["lang", "word", "bin", "n"])
+            yield _counts(*zip(*rows, strict=True))
+            for i, x in enumerate(names):
+                key, n = np.unique(keys[owners == i], return_counts=True)
+                yield _counts([str(x)] * len(key), key, np.zeros(len(key), dtype=np.int32), n)
 
 
-def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Per language ("" for null): shares of character classes, its common words, their shares and that of all others.
+def _counts(*columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["lang", "word", "bin", "n"])
 
-    Counts are over all documents; a language has CLASSES + COMMON + 1 of them, which is all that reaches the driver.
+
+def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per language ("" for null): shares of character classes, hashes of its common words, their shares and that of all others.
+
+    Counts are over all documents and words of any length; a language has CLASSES + COMMON + 1 of them, which is all that
+    reaches the driver.  Words are ranked in parts by hash first, so no task ranks a whole vocabulary.
     """
-    seen = docs.select("lang", "text").mapInArrow(_survey, "lang string, word binary, bin int, n long").groupBy("lang", "word", "bin").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(W.partitionBy("lang", F.col("word").isNull()).orderBy(F.desc("n"), "word", "bin"))
-    out: dict[str, tuple[np.ndarray, list[bytes], np.ndarray]] = {}
-    rows = seen.withColumn("top", top).filter((F.col("top") <= COMMON) | F.col("word").isNull()).collect()
+    seen = docs.select("lang", "text").mapInArrow(_survey, "lang string, word long, bin int, n long").groupBy("lang", "word", "bin").agg(F.sum("n").alias("n"))
+    for part in (F.pmod("word", F.lit(256)), F.lit(0)):
+        top = F.row_number().over(W.partitionBy("lang", F.col("word").isNull(), part).orderBy(F.desc("n"), "word", "bin"))
+        seen = seen.withColumn("top", top).filter((F.col("top") <= COMMON) | F.col("word").isNull())
+    out: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    rows = seen.collect()
     for lang in {r["lang"] for r in rows}:
         own = [r for r in rows if r["lang"] == lang]
         classes = np.zeros(CLASSES)
@@ -80,9 +84,32 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, list[bytes], np.n
             if r["word"] is None and r["bin"] >= 0:
                 classes[r["bin"]] = r["n"]
         total = sum(r["n"] for r in own if r["word"] is None and r["bin"] < 0)
-        words = sorted((bytes(r["word"]), r["n"]) for r in own if r["word"] is not None)
-        share = np.array([n for _, n in words] + [total - sum(n for _, n in words)], dtype=float)
-        out[lang] = classes / max(classes.sum(), 1), [w for w, _ in words], share / max(share.sum(), 1)
+        words = [(r["word"], r["n"]) for r in own if r["word"] is not None]
+        hashes = np.array([w for w, _ in words], dtype=np.int64).view(np.uint64)
+        by = np.argsort(hashes)
+        share = np.append(np.array([n for _, n in words], dtype=float)[by], total - sum(n for _, n in words))
+        out[lang] = classes / max(classes.sum(), 1), hashes[by], share / max(share.sum(), 1)
+    return out
+
+
+def limits(docs: DataFrame, refs, most: float = MAX_WORDS) -> dict[str, list[float]]:
+    """Per language the largest word distance of a kept text, by the power of two of its words.
+
+    From the quartiles of all documents' distances, as short texts are further away by chance; different distances count
+    once each, so that copies have no weight.  Always less than the distance of a text with none of the common words.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(refs)
+    far = docs.select("lang", "text").mapInArrow(_distances(shared), "lang string, power int, distance double").distinct()
+    rows = far.groupBy("lang", "power").agg(F.count("*").alias("n"), F.percentile_approx("distance", [0.5, 0.75], F.lit(1000)).alias("q")).collect()
+    seen = {(r["lang"], r["power"]): r["q"] for r in rows if r["n"] >= ENOUGH}
+    out = {}
+    for lang, (_, _, share) in refs.items():
+        none = np.append(np.zeros(len(share) - 1), 1.0)[None]
+        limit, out[lang] = min(most, float(jensen_shannon(none, share)[0]) - 1e-6), []
+        for power in range(64):
+            if (q := seen.get((lang, power))) is not None:
+                limit = min(limit, q[0] + max(SPREAD * (q[1] - q[0]), LEAST))
+            out[lang].append(limit)
     return out
 
 
@@ -94,7 +121,7 @@ def jensen_shannon(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(d / 2, 0))
 
 
-MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double"
+MEASURED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, class_distance double, word_distance double, word_limit double"
 
 
 def base_counts(p) -> dict[str, np.ndarray]:
@@ -143,42 +170,57 @@ def _again(value: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner[by[same]], minlength=n)
 
 
+def _word_distances(p, own: np.ndarray, refs) -> np.ndarray:
+    """Of each document of a piece: the distance of its common words from its language's."""
+    data, start, _, stop, doc = _trimmed(p)
+    words, far = SpanHash(data)(start, stop), np.zeros(p.n)
+    for lang in set(own):
+        _, keys, share = refs[lang]
+        rows = np.flatnonzero(own == lang)
+        mine = np.zeros(p.n, dtype=bool)
+        mine[rows] = True
+        w = np.flatnonzero(mine[doc])
+        i = np.searchsorted(keys, words[w])
+        i[i == len(keys)] = 0
+        hit = keys[i] == words[w] if len(keys) else np.zeros(len(w), dtype=bool)
+        count = np.bincount(doc[w] * len(share) + np.where(hit, i, len(keys)), minlength=p.n * len(share)).reshape(p.n, -1)[rows]
+        far[rows] = jensen_shannon(count / np.maximum(count.sum(axis=1), 1)[:, None], share)
+    far[np.bincount(doc, minlength=p.n) < MIN_WORDS] = 0
+    return far
+
+
+def _powers(n_words: np.ndarray) -> np.ndarray:
+    return np.frexp(n_words)[1]
+
+
+def _distances(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = np.array([x or "" for x in batch.column("lang").to_pylist()], dtype=object)
+            for p in pieces(batch.column("text")):
+                own, n = langs[p.rows], np.bincount(p.words()[2], minlength=p.n)
+                far, some = _word_distances(p, own, shared.value), n >= MIN_WORDS
+                yield pa.RecordBatch.from_arrays([pa.array(own[some], pa.string()), pa.array(_powers(n[some]).astype(np.int32)), pa.array(far[some])], ["lang", "power", "distance"])
+
+    return run
+
+
 def _measure(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        refs = shared.value
-        hashes = {}
-        for lang, (_, words, _) in refs.items():
-            data = np.frombuffer(b"".join(words), dtype=np.uint8)
-            ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-            h = SpanHash(data)(np.append(0, ends[:-1]).astype(np.int64), ends) if words else np.zeros(0, dtype=np.uint64)
-            by = np.argsort(h)
-            hashes[lang] = h[by], by
+        refs, most = shared.value
         for batch in batches:
-            langs = [x or "" for x in batch.column("lang").to_pylist()]
+            langs = np.array([x or "" for x in batch.column("lang").to_pylist()], dtype=object)
             for p in pieces(batch.column("text")):
-                out = base_counts(p)
-                data, start, _, stop, doc = _trimmed(p)
-                words = SpanHash(data)(start, stop)
+                out, own = base_counts(p), langs[p.rows]
                 owner = np.repeat(np.arange(p.n), np.diff(p.offsets))
                 classes = np.bincount(owner * CLASSES + _CLASS[p.data], minlength=p.n * CLASSES).reshape(p.n, CLASSES)
-                chars, far = classes.sum(axis=1), np.zeros((2, p.n))
-                own = np.array(langs[p.rows], dtype=object)
+                chars, far = classes.sum(axis=1), np.zeros((3, p.n))
                 for lang in set(own):
-                    ref, _, share = refs[lang]
                     rows = np.flatnonzero(own == lang)
-                    far[0, rows] = jensen_shannon(classes[rows] / np.maximum(chars[rows], 1)[:, None], ref)
-                    keys, by = hashes[lang]
-                    mine = np.zeros(p.n, dtype=bool)
-                    mine[rows] = True
-                    w = np.flatnonzero(mine[doc])
-                    i = np.searchsorted(keys, words[w])
-                    i[i == len(keys)] = 0
-                    hit = keys[i] == words[w] if len(keys) else np.zeros(len(w), dtype=bool)
-                    column = np.where(hit, by[i] if len(keys) else 0, len(keys))
-                    count = np.bincount(doc[w] * len(share) + column, minlength=p.n * len(share)).reshape(p.n, -1)[rows]
-                    far[1, rows] = jensen_shannon(count / np.maximum(count.sum(axis=1), 1)[:, None], share)
+                    far[0, rows] = jensen_shannon(classes[rows] / np.maximum(chars[rows], 1)[:, None], refs[lang][0])
+                    far[2, rows] = np.array(most[lang])[_powers(out["n_words"][rows])]
                 far[0, chars < MIN_CHARS] = 0
-                far[1, out["n_words"] < MIN_WORDS] = 0
+                far[1] = _word_distances(p, own, refs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[p.rows], *(pa.array(out[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), *map(pa.array, far)], [x.split()[0] for x in MEASURED.split(", ")])
 
     return run
@@ -188,11 +230,13 @@ def quality(docs: DataFrame, max_class: float = MAX_CLASS, max_words: float = MA
     """Per row: the base counts, class_distance, word_distance (0 under the least lengths), base_failed and kept.
 
     A text fails the base rules with fewer than 10 words or with more than a fifth of its words in repeated 5-word
-    windows.  It is kept if it passes and neither histogram is further from its language's than allowed.  Null
-    counts as empty; a null language is compared with all rows of null language; repeated rows are measured each.
+    windows.  It is kept if it passes and neither histogram is further from its language's than allowed (max_class, and
+    what limits() finds for its length, max_words at most).  Null counts as empty; a null language is compared with all rows of null language; repeated rows are measured each.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs))
+    refs = references(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((refs, limits(docs, refs, max_words)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     seen = docs.mapInArrow(_measure(shared), MEASURED).withColumn("base_failed", failed)
-    return seen.withColumn("kept", ~F.col("base_failed") & (F.col("class_distance") <= max_class) & (F.col("word_distance") <= max_words))
+    kept = ~F.col("base_failed") & (F.col("class_distance") <= max_class) & (F.col("word_distance") <= F.col("word_limit"))
+    return seen.withColumn("kept", kept).drop("word_limit")

@@ -182,6 +182,22 @@ def test_quality_base_counts(spark, docs):
         assert r.base_failed == (len(w) < 10 or 100 * sum(covered) > 20 * len(w)) and (not r.kept or not r.base_failed)
 
 
+def test_quality_drops_texts_without_common_words(spark):
+    rng = random.Random(5)
+    common = {"en": ["the", "of", "something", "otherwise"], "de": ["der", "und", "gesellschaft", "ebenfalls"]}
+    rare = lambda k: "".join(rng.choice("abcdefghiklmnoprst") for _ in range(k))
+    say = lambda lang, n: " ".join(rng.choice(common[lang]) if rng.random() < 0.37 else rare(rng.randint(4, 9)) for _ in range(n))
+    rows = [(i, say(lang, rng.randint(55, 500)), lang) for i in range(600) for lang in [["en", "de"][i % 2]]]
+    rows += [(1000 + i, " ".join(rare(rng.randint(4, 9)) for _ in range(55 << i % 4)), ["en", "de"][i % 2]) for i in range(8)]  # word lists
+    rows += [(2000 + i, say("de", 200 + i), "en") for i in range(4)] + [(3000 + i, " ".join(rng.choice(common["en"][:1]) if k % 33 == 0 else rare(7) for k in range(300)), "en") for i in range(4)]
+    got = by_id(quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not [i for i in got if i >= 1000 and got[i].kept]
+    assert sum(got[i].kept for i in range(600)) >= 594
+    refs = quality.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    word = np.frombuffer(b"something", dtype=np.uint8)
+    assert quality.SpanHash(word)(np.array([0]), np.array([9]))[0] in refs["en"][1]
+
+
 def test_jensen_shannon():
     assert quality.jensen_shannon(np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0.5, 0.5])) == pytest.approx([0.5579, 0], abs=1e-3)
 
