@@ -9,9 +9,10 @@ a window is its source coordinate and every later document's window is a repeat;
 of the current k-mer in memory, each once.  Repeated paths of a document are joined where they overlap.
 
 A copy inside one task's piece of text is settled on the spot and only its first holder travels, so a passage
-held by a third of all documents costs a row per piece of text, not one per document.
+held by a third of all documents costs a row per piece of text, not one per document.  The windows of a k-mer with
+many paths are dealt out one by one, each with its places in the document, so its different windows spread.
 
-Windows are compared by 64 bits of k-mer hash and 32 of window hash.
+Windows are equal if the 64 bits of their k-mer and their own 64 bits are.
 """
 
 from __future__ import annotations
@@ -26,26 +27,39 @@ from pyspark.sql import functions as F
 from .text import SpanHash, binaries, mix, pieces, sliding_argmin, spaced, window_hash
 
 PIECE = 4 << 20
-PATHS = "kmer long, doc_id long, at int, windows binary, found boolean"
+PATHS = "kmer long, doc_id long, at int, windows binary, kind tinyint"
 SPANS = "doc_id long, span long"
-
-
-def _paths(size: int, seed: int):
+#: A path's windows; windows found to repeat within the piece, with their number; the places of one window of a hot k-mer.
+PATH, FOUND, PLACES = 0, 1, 2
+#: K-mers of about so many paths are dealt out by window, as one of SAMPLE documents tells.  This only decides where windows
+#: are compared, never whether they are equal.
+HOT, SAMPLE = 16384, 16
+
+
+def _windows(p, size: int, seed: int):
+    """Hashes and places of a piece's k-mers and windows: k-mers, least k-mer's place, window, first word, document."""
+    start, end, doc = p.words()
+    if len(start) < size:
+        return None
+    words = SpanHash(p.data)(start, end)
+    kmers, windows = window_hash(words, seed), window_hash(words, size)
+    at = sliding_argmin(kmers, size - seed + 1)
+    inside = np.flatnonzero(doc[: len(windows)] == doc[size - 1 :])
+    return (kmers, at[inside], windows[inside], inside, doc) if len(inside) else None
+
+
+def _paths(size: int, seed: int, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = np.zeros(0, dtype=np.uint64) if shared is None else shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for p in pieces(batch.column("text"), PIECE):
-                start, end, doc = p.words()
-                if len(start) < size:
-                    continue
-                words = SpanHash(p.data)(start, end)
-                kmers, windows = window_hash(words, seed), window_hash(words, size)
-                at = sliding_argmin(kmers, size - seed + 1)
-                inside = np.flatnonzero(doc[: len(windows)] == doc[size - 1 :])
-                if not len(inside):
+                if (seen := _windows(p, size, seed)) is None:
                     continue
-                at, own, owner = at[inside], windows[inside], doc[inside]
+                kmers, at, own, inside, doc = seen
+                owner = doc[inside]
                 ident = ids[p.rows][owner]
+                place = inside - np.searchsorted(doc, np.arange(p.n))[owner]
                 # copies within the piece: the least document's window is the one that travels
                 by = np.lexsort((ident, own))
                 new = np.ones(len(by), dtype=bool)
@@ -53,23 +67,57 @@ def _paths(size: int, seed: int):
                 first = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
                 local = np.zeros(len(by), dtype=bool)
                 local[by] = ident[by] > ident[by[first]]
+                kind = np.where(local, FOUND, np.where(np.isin(kmers[at], hot), PLACES, PATH) if len(hot) else PATH)
                 cut = np.ones(len(inside), dtype=bool)
-                cut[1:] = (np.diff(inside) != 1) | (np.diff(at) != 0) | (local[1:] != local[:-1])
+                cut[1:] = (np.diff(inside) != 1) | (kind[1:] != kind[:-1]) | ((np.diff(at) != 0) & (kind[1:] == PATH))
                 row = np.flatnonzero(cut)
                 counts = np.diff(np.append(row, len(inside)))
-                first_word = np.searchsorted(doc, np.arange(p.n))
-                short = np.where(local, 0, (own >> np.uint64(32))).astype("<u4")
-                found = local[row]
-                # found paths only tell their length; they keep their document's company in the shuffle
-                key = np.where(found, own[row], kmers[at[row]]).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(ident[row]), pa.array((inside[row] - first_word[owner[row]]).astype(np.int32)), binaries(short, counts), pa.array(found)],
-                    ["kmer", "doc_id", "at", "windows", "found"],
-                )
+                counts, row = counts[kind[row] != PLACES], row[kind[row] != PLACES]
+                found = kind[row] == FOUND
+                flat = own.copy()
+                flat[row[found]] = counts[found]
+                flat = flat[(kind == PATH) | (cut & (kind == FOUND))]
+                # found paths need no company: they are dealt out evenly
+                key = np.where(found, mix(mix(ident[row].astype(np.int64).view(np.uint64)) ^ place[row].astype(np.uint64)), kmers[at[row]])
+                yield _rows(key, ident[row], place[row], flat, np.where(found, 1, counts), kind[row])
+                one = np.flatnonzero(kind == PLACES)
+                if len(one):
+                    one = one[np.lexsort((place[one], ident[one], own[one]))]
+                    head = np.ones(len(one), dtype=bool)
+                    head[1:] = (own[one[1:]] != own[one[:-1]]) | (ident[one[1:]] != ident[one[:-1]])
+                    row = one[head]
+                    counts = np.diff(np.append(np.flatnonzero(head), len(one)))
+                    yield _rows(own[row], ident[row], np.zeros(len(row)), place[one].astype(np.uint64), counts, kind[row])
 
     return run
 
 
+def _rows(key, ident, at, flat, counts, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(key.view(np.int64)), pa.array(ident.astype(np.int64)), pa.array(at.astype(np.int32)), binaries(flat.astype("<u8"), counts), pa.array(kind.astype(np.int8))],
+        ["kmer", "doc_id", "at", "windows", "kind"],
+    )
+
+
+def _path_counts(size: int, seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in pieces(batch.column("text"), PIECE):
+                if (seen := _windows(p, size, seed)) is not None:
+                    kmers, at, _, _, _ = seen
+                    key, n = np.unique(kmers[np.unique(at)].view(np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], ["kmer", "n"])
+
+    return run
+
+
+def hot_kmers(docs: DataFrame, size: int, seed: int) -> np.ndarray:
+    """K-mers that are least in about HOT or more paths; at most one in HOT paths of them reach the driver."""
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    counts = some.mapInArrow(_path_counts(size, seed), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+    return np.array(sorted(r["kmer"] for r in counts.filter(F.col("n") * SAMPLE >= HOT).select("kmer").collect()), dtype=np.int64).view(np.uint64)
+
+
 def _repeats(size: int):
     """Input ordered by k-mer and document: spans of windows that an earlier document holds."""
 
@@ -78,46 +126,49 @@ def _repeats(size: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kmer, doc, at = (batch.column(c).to_numpy() for c in ("kmer", "doc_id", "at"))
-            found = batch.column("found").to_numpy(zero_copy_only=False)
+            kmer, doc, at, kind = (batch.column(c).to_numpy() for c in ("kmer", "doc_id", "at", "kind"))
             column = batch.column("windows")
-            flat = np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").astype(np.uint64)
+            flat = np.frombuffer(b"".join(column.to_pylist()), dtype="<u8")
             counts = np.frombuffer(column.buffers()[1], dtype=np.int32, count=column.offset + len(column) + 1)[column.offset :]
-            counts = np.diff(counts) // 4
+            counts = np.diff(counts) // 8
             row = np.repeat(np.arange(len(kmer)), counts)
-            place = at[row] + spaced(counts)
-            gone = found[row]
+            what = kind[row]
+            place = np.where(what == PLACES, flat.view(np.int64), at[row] + spaced(counts))
+            gone = what == FOUND
+            last = place + np.where(gone, flat.view(np.int64) - 1, 0)
             live = np.flatnonzero(~gone)
             k, d = kmer[row[live]], doc[row[live]]
-            key = _key(k, flat[live])
+            key = np.where(what[live] == PLACES, k.view(np.uint64), flat[live])
             if held is not None and len(k) and held[0] == k[0]:
                 key, d, k = np.concatenate([held[1], key]), np.concatenate([held[2], d]), np.concatenate([np.full(len(held[1]), held[0]), k])
             kept = len(key) - len(live)
             if len(key):
-                unique, first, back = np.unique(key, return_index=True, return_inverse=True)
-                gone[live] = (d > d[first][back])[kept:]
-                last = k[first] == k[-1]
-                held = (k[-1], unique[last], d[first][last])
+                by = np.lexsort((key, k))  # stable: a window's first place is its least document's
+                new = np.ones(len(by), dtype=bool)
+                new[1:] = (key[by[1:]] != key[by[:-1]]) | (k[by[1:]] != k[by[:-1]])
+                first = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+                more = np.zeros(len(by), dtype=bool)
+                more[by] = d[by] > d[first]
+                gone[live] = more[kept:]
+                hold = by[new & (k[by] == k[-1])]
+                held = (k[-1], key[hold], d[hold])
             take = np.flatnonzero(gone)
             if len(take):
                 cut = np.ones(len(take), dtype=bool)
-                cut[1:] = (np.diff(take) != 1) | (row[take[1:]] != row[take[:-1]])
+                cut[1:] = (row[take[1:]] != row[take[:-1]]) | (place[take[1:]] != last[take[:-1]] + 1)
                 head = np.flatnonzero(cut)
                 tail = np.append(head[1:], len(take)) - 1
-                span = (place[take[head]].astype(np.int64) << 32) | (place[take[tail]] + size)
+                span = (place[take[head]].astype(np.int64) << 32) | (last[take[tail]] + size)
                 yield pa.RecordBatch.from_arrays([pa.array(doc[row[take[head]]]), pa.array(span)], ["doc_id", "span"])
 
     return run
 
 
-def _key(kmer: np.ndarray, window: np.ndarray) -> np.ndarray:
-    return mix(kmer.view(np.uint64) ^ mix(window + np.uint64(0x1234567)))
-
-
 def repeated_spans(docs: DataFrame, size: int = 13, seed: int = 5) -> DataFrame:
     """(doc_id, span): word ranges ``start << 32 | end`` whose windows start in a document of smaller doc_id."""
-    paths = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_paths(size, seed), PATHS)
-    dealt = paths.repartition("kmer").sortWithinPartitions("kmer", "doc_id")
+    docs = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(hot_kmers(docs, size, seed))
+    dealt = docs.mapInArrow(_paths(size, seed, shared), PATHS).repartition("kmer").sortWithinPartitions("kmer", "doc_id")
     return dealt.mapInArrow(_repeats(size), SPANS)
 
 

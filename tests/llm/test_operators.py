@@ -66,6 +66,47 @@ def test_substring_dedup(spark, docs):
         assert (kept[d].n_words, kept[d].n_removed, kept[d].kept) == (len(x), len(x) - sum(keep), expected)
 
 
+def spans_of(texts, size=13):
+    """Spans by document, without Spark; also how many rows each k-mer has."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    rows = [b for i in range(0, len(texts), 50) for b in substring_dedup._paths(size, 5)(iter([batch.slice(i, 50)]))]
+    t = pa.Table.from_batches(rows).sort_by([("kmer", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+    spans = [(d, s >> 32, s & 0xFFFFFFFF) for b in substring_dedup._repeats(size)(iter(t.to_batches())) for d, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return spans, collections.Counter(t.column("kmer").to_pylist())
+
+
+def test_substring_windows_that_share_32_bits(monkeypatch):
+    # the upper halves of all windows' hashes are alike, their lower halves are not
+    real = substring_dedup.window_hash
+    monkeypatch.setattr(substring_dedup, "window_hash", lambda w, n: real(w, n) >> np.uint64(32) if n == 13 else real(w, n))
+    phrase = "one phrase of five words"
+    texts = [" ".join(f"w{k}x{i}" for i in range(8)) + f" {phrase} " + " ".join(f"v{k}x{i}" for i in range(8)) for k in range(60)]
+    assert spans_of(texts)[0] == []
+    assert {(d, a, b) for d, a, b in spans_of([texts[0], texts[1], texts[0]])[0] if d != 2} == set()
+
+
+def test_substring_settled_rows_have_no_company():
+    spans, rows = spans_of([f"n{k} " + "a b " * 100 for k in range(400)])
+    assert max(rows.values()) <= 8 * 189  # each of 8 pieces sends its first document's windows; no key gathers what is settled
+    assert {d for d, _, _ in spans} == set(range(1, 400))
+
+
+def test_substring_dedup_with_hot_kmers(spark, docs, monkeypatch):
+    t = texts() + [" ".join([*(f"w{k}x{i}" for i in range(k % 9)), "one phrase of five words", "a b " * (k % 20), *(f"v{k % 7}x{i}" for i in range(20))]) for k in range(60)]
+    d = table(spark, list(enumerate(t))).repartition(6).cache()
+    row = lambda r: (r.doc_id, r.n_words, r.n_removed, r.kept)
+    before = sorted(map(row, substring_dedup.remove_repeats(d).collect()))
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 1)
+    for hot in (1, 10):
+        monkeypatch.setattr(substring_dedup, "HOT", hot)
+        assert len(substring_dedup.hot_kmers(d.filter("text is not null"), 13, 5)) > 0
+        assert sorted(map(row, substring_dedup.remove_repeats(d).collect())) == before
+    monkeypatch.setattr(substring_dedup, "HOT", 1)
+    test_substring_dedup(spark, docs)
+
+
 @pytest.mark.parametrize("group, large", [(1024, 100_000), (2, 100_000), (2, 2)])
 def test_suffix_dedup(spark, docs, group, large, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", group)
