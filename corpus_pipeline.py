@@ -9,6 +9,9 @@ from sparkfolio.llm import decontamination, language_id, mixing, ngram_join, tok
 from sparkfolio.llm.queries import table, tokenizer_path
 from sparkfolio.llm.storage import cut
 
+#: The rows' own key while a stage joins.
+KEY = "_row"
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID doesn't reject."""
@@ -16,28 +19,37 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model, tuple(docs.columns)).filter("not rejected").select(docs.columns)
 
 
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """The rows in a written table, each with a key of its own, as doc_id may be null or repeated."""
+    return cut(docs.withColumn(KEY, F.monotonically_increasing_id()), f"{name}_rows")
+
+
+def by_key(rows: DataFrame, *columns: str) -> DataFrame:
+    """What an operator reads, with the key as doc_id."""
+    return rows.select(F.col(KEY).alias("doc_id"), *columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group of near duplicates; repeated rows with that id stay once."""
-    classes = ngram_join.near_duplicates(docs)
-    first = classes.filter("class_id = doc_id").select("doc_id").distinct()
-    more = docs.groupBy("doc_id").count().filter("count > 1")
-    kept = docs.join(first, "doc_id", "left_semi")
-    if more.isEmpty():
-        return kept.select(docs.columns)
-    repeated = kept.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(more, "doc_id", "left_anti").select(docs.columns).unionByName(repeated.select(docs.columns))
+    """The row of least doc_id of each group of near duplicates, without one only if all are; of equal ids, by the text's hash."""
+    rows = keyed(docs, "near_duplicates")
+    classes = ngram_join.near_duplicates(by_key(rows, "text")).select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text"), F.col(KEY).alias("key")))
+    first = rows.select("doc_id", KEY, F.xxhash64("text").alias("_text")).join(classes, KEY).groupBy("_class").agg(least.alias("least")).select(F.col("least.key").alias(KEY))
+    return rows.join(first, KEY, "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any occurrence of a benchmark window."""
-    hit = decontamination.contamination(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+    """Rows without any occurrence of a benchmark window."""
+    rows = keyed(docs, "decontamination")
+    found = decontamination.contamination(by_key(rows, "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)), KEY, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    times = mixing.mix(docs).filter("times > 0").select("doc_id", "times")
-    return docs.join(times, "doc_id").withColumn("time", F.explode(F.expr("sequence(1L, times)"))).select(docs.columns)
+    """Each row as often as the mixture takes it."""
+    rows = keyed(docs, "mixing")
+    times = mixing.mix(rows, keep=(KEY,)).filter("times > 0").select(KEY, F.col("times").alias("_times"))
+    return rows.join(times, KEY).withColumn("_time", F.explode(F.expr("sequence(1L, _times)"))).select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

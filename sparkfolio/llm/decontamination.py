@@ -101,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     window of ``size`` consecutive benchmark words, and the sorted item_ids (as strings) whose windows occur.
 
     A null or empty text has no words; an item without words has no window; a shorter item is one window.
-    Rows with one doc_id count as one document.  Without benchmark items nothing is hit.
+    Rows with one doc_id count as one document, rows without a doc_id are left out.  Without benchmark items nothing is hit.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     index, windows, plan_ = prepare(docs, benchmark, size)

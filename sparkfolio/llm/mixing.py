@@ -46,7 +46,7 @@ def water_fill(sources: DataFrame, total: float, epochs: float) -> DataFrame:
     return sources.withColumn("target", cap if level == math.inf else F.least(cap, F.col("weight") * F.lit(level)))
 
 
-def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple[float, ...] = (3, 1, 2), seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, times, taken) of every row: ``times`` whole repetitions of the document.
 
     ``share`` of all words is dealt to the sources by weight, each capped at ``epochs`` times its size.  A source
@@ -54,8 +54,9 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     to what is left; long sources are ordered in buckets of about BUCKET documents, each near its own share.
     Null and empty texts have size 0 and take no words; a null source is a source of its own; repeated rows and
     rows without a doc_id are documents of their own.  An empty table gives an empty result.
+    The columns ``keep`` are carried along.
     """
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size")), "sized")
+    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", n_words(F.col("text")).alias("size"), *keep), "sized")
     sources = cut(position_weights(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))), "sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     filled = water_fill(sources, share * total, epochs).select(
@@ -68,4 +69,4 @@ def mix(docs: DataFrame, share: float = 1.5, epochs: float = 2.0, weights: tuple
     part = each.withColumn("upto", F.sum("size").over(order)).withColumn("all", F.sum("size").over(W.partitionBy("source", "bucket")))
     more = (F.col("size") > 0) & (F.col("upto") - F.col("size") / 2 <= (F.col("rate") - F.floor("rate")) * F.col("all"))
     times = F.floor("rate").cast("long") + more.cast("long")
-    return part.withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"))
+    return part.withColumn("times", times).select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), *keep)

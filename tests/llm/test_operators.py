@@ -367,3 +367,24 @@ def test_pipeline(spark, tmp_path):
         assert docs.columns == before.columns, name
         assert docs.select("doc_id").distinct().join(before.select("doc_id").distinct(), "doc_id", "left_anti").isEmpty()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() > 0
+
+
+def test_pipeline_decides_each_row_once(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    say = lambda: " ".join("".join(rng.choice("abcdefghiklm") for _ in range(6)) for _ in range(60))
+    a, b, c, d, leak = (say() for _ in range(5))
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts_of = lambda stage, rows: sorted((r.doc_id or -1, r.text) for r in stage(spark, table(spark, rows), str(tmp_path)).collect())
+    # a clean row without an id stays, a copy goes, one id with two texts keeps both
+    rows = [(None, a), (7, b), (7, c), (7, c), (8, b), (None, d), (9, d)]
+    assert texts_of(corpus_pipeline.near_duplicates, rows) == sorted([(-1, a), (7, b), (7, c), (9, d)])
+    rows = [(None, leak), (None, a), (7, b), (7, leak), (8, c)]
+    assert texts_of(corpus_pipeline.decontaminated, rows) == sorted([(-1, a), (7, b), (8, c)])
+    rows = [(None, a), (None, b), (7, b), (7, b), (7, b), (8, c)]
+    want = collections.Counter()
+    for r in mixing.mix(table(spark, rows)).collect():
+        want[r.doc_id or -1] += r.times
+    got = collections.Counter(i for i, _ in texts_of(corpus_pipeline.mixture, rows))
+    assert got == +want
