@@ -30,9 +30,14 @@ from .text import Piece, SpanHash, mix, pieces, spaced
 
 #: Rolling window, expected length beyond the least one, least and largest length of a chunk, in ids.
 WINDOW, MEAN, LEAST, MOST = 32, 512, 128, 4096
-#: Words whose ids a task remembers, and digests of chunks it has sent.
-CACHE, SENT, PIECE = 3_000_000, 1_000_000, 3 << 20
+#: Words whose ids a worker remembers (about 30 bytes each), and digests of chunks a task has sent (about 100 bytes each).
+CACHE, SENT = 400_000, 100_000
 END_ID = 1
+#: Texts on which the encoding by words must give what the tokenizer gives for the whole text.
+PROBE = (
+    "", " ", "one", "A plain sentence, of words. And another one.", "Tabs\tand\nlines\r\n\n  two  spaces", "end... 3.14, 1,000 e.g. a.b, (x), [y] x=y; it's \"so\"!?",
+    "\u00c9t\u00e9 Stra\u00dfe \u0130 na\u00efve e\u0301", "\u4e2d\u6587 \u3000 \u0440\u0443\u0441\u0441\u043a\u0438\u0439. \u0645\u0631\u062d\u0628\u0627 \U0001f600", "CamelCase HTML5 snake_case x1y2 --flag http://a.b/c?d=e&f", "\x0b\x0c\x1c\x85 \u2028 \xa0 end.",
+)
 
 
 def digest(raw: bytes) -> bytes:
@@ -40,10 +45,11 @@ def digest(raw: bytes) -> bytes:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file that lower-cases and whose tokens never hold white space.
+    """Ids of texts by a tokenizer file.
 
-    Each different word of a piece is encoded once; a worker remembers the words it has met in sorted hash arrays, up
-    to CACHE of them.
+    If the file lower-cases and its tokens never hold white space (PROBE tells), each different word of a piece is
+    encoded once and a worker remembers the words it has met in sorted hash arrays, up to CACHE of them.  With any
+    other file whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -53,6 +59,19 @@ class Encoder:
         self.model = self.tokenizer.model
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.forget()
+        probe = list(pieces(pa.array(PROBE)))[0]
+        whole = self.whole(probe)
+        try:
+            self.by_words = all(np.array_equal(a, b) for a, b in zip(self.words(probe), whole, strict=True))
+        except ValueError:  # a model that can't be asked for single words
+            self.by_words = False
+
+    def whole(self, p: Piece) -> list[np.ndarray]:
+        return [np.array(self.tokenizer.encode(p.text(i), add_special_tokens=False).ids, dtype=self.width) for i in range(p.n)]
+
+    def __call__(self, p: Piece) -> list[np.ndarray]:
+        """The id stream of each document of a piece."""
+        return self.words(p) if self.by_words else self.whole(p)
 
     def forget(self) -> None:
         self.key, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
@@ -64,23 +83,20 @@ class Encoder:
         return self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
 
     def learn(self, key: np.ndarray, check: np.ndarray, raws: list[bytes]) -> None:
-        if len(self.key) + len(key) > CACHE:
-            self.forget()
         ids = [self.word(raw) for raw in raws]
         size = np.array([len(x) for x in ids], dtype=np.int32)
         at = np.cumsum(size) - size + len(self.flat)
         self.flat = np.concatenate([self.flat, np.array([t for x in ids for t in x], dtype=self.width)])
-        key, check, at, size = (np.concatenate(x) for x in ((self.key, key), (self.check, check), (self.at, at), (self.size, size)))
-        by = np.argsort(key, kind="stable")
-        self.key, self.check, self.at, self.size = key[by], check[by], at[by], size[by]
+        into = np.searchsorted(self.key, key)  # both are sorted
+        self.key, self.check, self.at, self.size = (np.insert(a, into, b) for a, b in ((self.key, key), (self.check, check), (self.at, at), (self.size, size)))
 
     def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.key, key)
         i[i == len(self.key)] = 0
         return i, (self.key[i] == key) & (self.check[i] == check) if len(self.key) else np.zeros(len(key), dtype=bool)
 
-    def __call__(self, p: Piece) -> list[np.ndarray]:
-        """The id stream of each document of a piece."""
+    def words(self, p: Piece) -> list[np.ndarray]:
+        """The id stream of each document of a piece, word by word."""
         start, end, doc = p.words()
         low = _LOWER[p.data]
         # one full stop or comma after a letter and at a word's end is a token of its own
@@ -159,7 +175,7 @@ def _encode(path: str):
         encode, pack, sent = encoder(path), zstandard.ZstdCompressor(3), set()
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for p in pieces(batch.column("text"), PIECE):
+            for p in pieces(batch.column("text")):
                 rows = []
                 for i, stream in enumerate(encode(p)):
                     stream = np.append(stream, np.array([END_ID], dtype=stream.dtype))
@@ -256,9 +272,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(table: DataFrame, name: str, leaf) -> DataFrame:
-    """Per first byte the hash over the sorted leaves: sums of sorted runs are bounded by the 4,096 branches below."""
-    low = table.select(F.hex(leaf).alias("leaf")).groupBy(F.substring("leaf", 1, 4).alias("branch")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("leaf"))), 256).alias("hash"))
-    return low.groupBy(F.substring("branch", 1, 2).alias("branch")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list(F.concat("branch", "hash")))), 256).alias("hash")).withColumn("table", F.lit(name))
+    """Per first byte the hash over the sorted leaves, by way of a million branches with one leaf in a million each, so even
+    10^11 leaves are at most some 100,000 in a branch; above, a branch has 4,096 below it."""
+    hashed = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_list(c))), 256).alias("hash")
+    low = table.select(F.hex(leaf).alias("leaf")).groupBy(F.substring("leaf", 1, 5).alias("branch")).agg(hashed(F.col("leaf")))
+    return low.groupBy(F.substring("branch", 1, 2).alias("branch")).agg(hashed(F.concat("branch", "hash"))).withColumn("table", F.lit(name))
 
 
 def manifest(chunks: DataFrame, recipes: DataFrame) -> DataFrame:
@@ -279,15 +297,16 @@ def write_store(docs: DataFrame, tokenizer: str, folder: str | None = None) -> s
     folder = folder or new_path(spark, "store")
     encoded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer), ENCODED)
     encoded.repartition("deal").sortWithinPartitions("kind", "deal").mapInArrow(_unique, ENCODED).withColumnRenamed("deal", "digest").write.partitionBy("kind").parquet(f"{folder}/objects")
-    recipes = _objects(spark, folder, 1).select("doc_id", "n_tokens", "digests")
-    dealt = cut(recipes.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()), "dealt")
+    # rows of one doc_id may be many: what they hold and, of equal rows, where they stand in the files part them further
+    recipes = _objects(spark, folder, 1).select("doc_id", "n_tokens", "digests", F.xxhash64("digests").alias("held"), F.monotonically_increasing_id().alias("place"))
+    dealt = cut(recipes.repartitionByRange("doc_id", "n_tokens", "held", "place").withColumn("part", F.spark_partition_id()), "dealt")
     parts = dealt.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     before, rows = 0, []
     for r in parts:
         rows.append((r["part"], before))
         before += r["n"]
     offsets = spark.createDataFrame(rows, "part int, before long")
-    order = W.partitionBy("part").orderBy("doc_id", "n_tokens", "digests").rowsBetween(W.unboundedPreceding, 0)
+    order = W.partitionBy("part").orderBy("doc_id", "n_tokens", "held", "place").rowsBetween(W.unboundedPreceding, 0)
     placed = dealt.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(order) - F.col("n_tokens"))
     placed.select("doc_id", "start", "n_tokens", "digests").write.parquet(f"{folder}/recipes")
     manifest(_objects(spark, folder, 0), spark.read.parquet(f"{folder}/recipes")).write.parquet(f"{folder}/manifest")
@@ -303,7 +322,8 @@ def read_store(spark: SparkSession, folder: str, tokenizer: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document from the files alone; stops if they are damaged."""
     chunks, recipes = _objects(spark, folder, 0), spark.read.parquet(f"{folder}/recipes")
     now, then = manifest(chunks, recipes), spark.read.parquet(f"{folder}/manifest")
-    if not now.exceptAll(then).isEmpty() or not then.exceptAll(now).isEmpty():
+    both = now.withColumn("n", F.lit(1)).unionByName(then.withColumn("n", F.lit(-1)))
+    if not both.groupBy("table", "branch", "hash").agg(F.sum("n").alias("n")).filter("n <> 0").isEmpty():
         raise ValueError(f"the manifest of {folder} doesn't fit its tables")
     held = chunks.select("digest", "body").mapInArrow(_checked(Encoder(tokenizer).width), "digest binary, n long, crc long")
     asked = recipes.select("doc_id", "start", F.posexplode("digests").alias("at", "digest"))
