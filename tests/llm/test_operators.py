@@ -312,19 +312,7 @@ def test_language_id(spark):
     got = by_id(language_id.identify(d, language_id.fit(d.filter(~language_id.held_out()))))
     assert all(got[i].lang_pred == lang and 0 <= got[i].score <= 1 and not got[i].rejected for i, _, lang in rows[:120])
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (900, 901, 902)) and got[903].rejected
-    assert language_id.fit(d.limit(0)) is None and by_id(language_id.identify(d, None))[0].lang_pred == "und"
-
-
-def test_kneser_ney_sums_to_one():
-    counts = collections.Counter()
-    for s in (" abracadabra", " banana band", " a bad cab"):
-        counts.update(s[k : k + 5] for k in range(len(s) - 4))
-        counts.update(s[:k] for k in range(1, 5))
-    model = language_id.Model(["x"], [("x", g, n) for g, n in counts.items()])
-    seen = sorted({c for g in counts for c in g})
-    unseen = np.exp(model.unknown[0])
-    total = sum(np.exp(model.logp[0][i, 0]) for i in range(len(model.keys[0])))
-    assert total + unseen == pytest.approx(1, abs=1e-6) and len(seen) == len(model.keys[0])
+    assert language_id.fit(d.limit(0)) == [] and by_id(language_id.identify(d, []))[0].lang_pred == "und"
 
 
 def test_chat_format(spark):
