@@ -243,40 +243,6 @@ def test_jensen_shannon():
     assert quality.jensen_shannon(np.array([[1.0, 0.0], [0.5, 0.5]]), np.array([0.5, 0.5])) == pytest.approx([0.5579, 0], abs=1e-3)
 
 
-def test_secrets(spark):
-    key = "AKIA" + "ABCDEFGH23456723"
-    rows = [
-        (0, None), (1, "é password = 'hunter22x' and TOKEN:abc"), (2, f"x {key} y"), (3, "0123456789abcdef" * 2), (4, "secret=" + "f" * 30),
-        (5, "see ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8"), (6, "plain words and 4111111111111111 only"), (7, "Apikey=" + "q" * 5), (8, "ſecret=abcdefgh"),
-    ]
-    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secret_scan.scan(d).collect()}
-    assert got == {i: secret_scan.secrets(t or "") for i, t in rows}
-    assert [k for k, _, _ in got[4]] == ["assign", "hex"] and got[1] == [("assign", 2, 23)] and got[2] == [("access", 2, 22)] and got[3] == [("hex", 0, 32)]
-    assert [k for k, _, _ in got[5]] == ["format"] and not got[6] and not got[7] and not got[8]
-
-
-def test_automaton_merges_and_tells_formats_apart():
-    a, low = secret_scan.automata()[0]
-    assert a.states < 40
-    fresh = secret_scan.labelled_credentials("cloud access id", 100, 99)
-    assert np.mean([a.score(s) >= low for s in fresh]) > 0.9
-    assert not secret_scan.is_credential("internationalisation_2024") and not secret_scan.is_credential("aaaaaaaaaaaaaaaaaaaa")
-
-
-def test_secrets_with_few_digits_or_letters(spark):
-    few = lambda s: sum(c.isdigit() for c in s) < 3 or sum(c.isalpha() for c in s) < 3
-    for name in ("code host token", "map key", "payment key", "secret key", "cloud access id"):
-        keys = [s for s in secret_scan.labelled_credentials(name, 2000, 7) if few(s)][:40]
-        assert len(keys) >= 20 and np.mean([secret_scan.is_credential(s) for s in keys]) > 0.9, name
-    plain = ["4111111111111111", "3668798256337530", "20240131123000000", "Donaudampfschifffahrtsgesellschaft", "getUserAccountBalanceFromHttpRequest", "SCREAMING_CASE_CONSTANT_NAME",
-             "counterrevolutionaries", "thanonontioniner.", "abababababababab", "----------------", "================", "src/main/java/org/Example", "ACGTTGCAACGTGGCATTACGATCG", "1234567890123456", "deadbeefdeadbeefdeadbee"]
-    assert not [s for s in plain if secret_scan.is_credential(s)]
-    key = "sk_live_" + "qZxWvKjBnMtRgHpLcYdFsXwQ"
-    got = secret_scan.scan(spark.createDataFrame([(1, f"x {key} y")], "doc_id long, text string")).collect()
-    assert [tuple(s) for s in got[0].spans] == [("format", 2, 2 + len(key))]
-
-
 def test_token_store(spark, docs):
     from tokenizers import Tokenizer
 
