@@ -342,3 +342,21 @@ def test_pipeline_decides_each_row_once(spark, tmp_path):
         want[r.doc_id or -1] += r.times
     got = collections.Counter(i for i, _ in texts_of(corpus_pipeline.mixture, rows))
     assert got == +want
+
+
+def test_pipeline_stages_with_clashing_names_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    names = ["time", "times", "score", "rejected", "entropy", "lang_pred", "class_id", "n_hit", "col", "key", "n", "bucket", "target"]
+    rng = random.Random(9)
+    say = lambda k: " ".join("".join(rng.choice(["abc", "klm", "xyz"][k % 3]) for _ in range(5)) for _ in range(60))
+    rows = [(i, say(i), f"l{i % 3}", f"s{i % 2}", *([7] * len(names))) for i in range(90)] + [(None, say(0), "l0", None, *([7] * len(names))), (3, None, "l0", "s1", *([7] * len(names)))]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{x}` long" for x in names)
+    spark.createDataFrame([(1, say(1))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table_of in (rows, []):
+        docs = spark.createDataFrame(table_of, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns, name
+            kept = out.collect()
+            assert bool(kept) == bool(table_of) and all(r[x] == 7 for r in kept for x in names), name
