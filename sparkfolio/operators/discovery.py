@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .resample import two_sample
-from .sequences import benjamini_hochberg, detectors
+from .sequences import benjamini_hochberg, detectors, typical_size
 
 # Least confidence of a proposed member, significance.
 CONFIDENCE, ALPHA = 0.55, 0.05
@@ -18,7 +18,7 @@ def scan(state: DataFrame, clustered: DataFrame | None = None, permutations: int
     state: session_state() of the trades; clustered: (trade_id, cluster), at most a handful of clusters.  Each cluster's
     P&L is held against that of all other clustered trades.
     """
-    each = F.array(*(F.struct(F.lit(k).alias("test"), p.alias("now"), v.alias("x")) for k, (p, v) in detectors().items()))
+    each = F.array(*(F.struct(F.lit(k).alias("test"), p.alias("now"), v.alias("x")) for k, (p, v) in detectors(typical_size(state)).items()))
     v = state.select("trade_id", F.explode(each).alias("e")).select("trade_id", "e.test", "e.now", "e.x")
     if clustered is not None:
         names = [r["cluster"] for r in clustered.select("cluster").distinct().orderBy("cluster").collect()]  # one row a cluster

@@ -1,7 +1,9 @@
-"""Seeded resampling: draws are hashes of (seed, replicate, draw), so results don't depend on partitioning."""
+"""Seeded resampling: draws are hashes of (seed, replicate, row or draw), so results don't depend on partitioning."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,40 +19,110 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
 
 
-def bootstrap_mean(values: DataFrame, value: str, group: str, replicates: int = 1000, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean per group; NULL under MIN_SAMPLE values.
+#: A 128-bit hash serves so many replicates.
+LANES = 4
+#: 2^32 times the chance of a Poisson weight (mean 1) of at most 0, 1, 2, ...
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(12)]
+
+
+def lane(h: str, i: int) -> Column:
+    """The i-th 32-bit integer of a hexadecimal hash."""
+    return F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson weight that a 32-bit integer draws."""
+    out = F.lit(len(POISSON))
+    for k in reversed(range(len(POISSON))):
+        out = F.when(u < POISSON[k], k).otherwise(out)
+    return out.cast("double")
+
 
-    Each replicate draws n values with replacement.  A draw is a number of a value in its group, so replicates are an
-    equi-join of draws with numbered values, summed at once; groups are independent.
+def hashed(values: DataFrame, kind: str, replicates: int) -> DataFrame:
+    """Each row once for every LANES replicates, with a hash ``_h`` of (seed, kind, block, trade_id)."""
+    blocks = values.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // LANES))))
+    return blocks.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{SEED}:{kind}"), F.col("_block").cast("string"), F.col("trade_id").cast("string"))))
+
+
+def replicate_sums(values: DataFrame, terms: dict[str, Column], group: str, kind: str, replicates: int) -> DataFrame:
+    """(g, rep, a sum for each term) of a Poisson bootstrap: a row's weight in a replicate is drawn from its own hash.
+
+    So draws need no numbering of rows and no join: partitions add up weighted terms, and only their sums, a row for each
+    group and LANES replicates, are shuffled.  A replicate has about as many draws as there are rows, not exactly.  A
+    NULL term counts as 0.
     """
-    v = values.filter(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("x"), "trade_id")
-    v = v.withColumn("i", F.row_number().over(W.partitionBy("g").orderBy("trade_id")) - 1)
-    n = v.groupBy("g").agg(F.count("*").alias("n"), F.avg("x").alias("mean"))
-    many = n.filter(F.col("n") >= MIN_SAMPLE).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("k", F.explode(F.expr("sequence(0L, n - 1)")))
-    picks = many.select("g", "rep", "n", F.pmod(draw("g", "rep", "k"), F.col("n")).alias("i"))
-    reps = picks.join(v, ["g", "i"]).groupBy("g", "rep").agg((F.sum("x") / F.max("n")).alias("m"))
+    v = values.select(F.col(group).alias("g"), "trade_id", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{t}") for t, c in terms.items()))
+    w = hashed(v, kind, replicates).select("g", "_block", *(f"_{t}" for t in terms), *(poisson(lane("_h", i)).alias(f"_w{i}") for i in range(LANES)))
+    sums = w.groupBy("g", "_block").agg(*(F.sum(F.col(f"_w{i}") * F.col(f"_{t}")).alias(f"{t}_{i}") for t in terms for i in range(LANES)))
+    each = F.array(*(F.struct((F.col("_block") * LANES + i).alias("rep"), *(F.col(f"{t}_{i}").alias(t) for t in terms)) for i in range(LANES)))
+    return sums.select("g", F.explode(each).alias("e")).select("g", "e.*").filter(F.col("rep") < replicates)
+
+
+def bootstrap_statistic(values: DataFrame, terms: dict[str, Column], statistic: str, group: str, replicates: int = 2000, level: float = 0.95, kind: str = "boot") -> DataFrame:
+    """(group, n, value, low, high, share_not_above, reliability) of any statistic that is an expression of sums of terms.
+
+    The interval takes percentiles over replicates; it's NULL under MIN_SAMPLE rows, or if the statistic is defined in
+    fewer than half of the replicates.  share_not_above: of the replicates in which it's 0 or less.
+    """
+    whole = values.groupBy(F.col(group).alias("g")).agg(F.count("*").alias("_n"), *(F.sum(F.coalesce(c.cast("double"), F.lit(0.0))).alias(t) for t, c in terms.items()))
+    whole = whole.select("g", "_n", F.expr(statistic).alias("value"))
+    reps = replicate_sums(values, terms, group, kind, replicates).select("g", F.expr(statistic).alias("m"))
     tail = (1 - level) / 2
-    ci = reps.groupBy("g").agg(F.percentile("m", [tail, 1 - tail]).alias("p"), ratio(F.count_if(F.col("m") <= 0), F.count("*")).alias("share_not_above"))
-    return n.join(ci, "g", "left").select(F.col("g").alias(group), "n", "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), "share_not_above", reliability(F.col("n")).alias("reliability"))
+    ci = reps.groupBy("g").agg(F.percentile("m", [tail, 1 - tail]).alias("p"), F.count("m").alias("k"), F.count_if(F.col("m") <= 0).alias("below"))
+    good = (F.col("_n") >= MIN_SAMPLE) & (F.col("k") * 2 >= replicates)
+    return whole.join(ci, "g", "left").select(
+        F.col("g").alias(group), F.col("_n").alias("n"), "value", F.when(good, F.col("p")[0]).alias("low"), F.when(good, F.col("p")[1]).alias("high"),
+        F.when(good, ratio(F.col("below"), F.col("k"))).alias("share_not_above"), reliability(F.col("_n")).alias("reliability"),
+    )
+
+
+def bootstrap_mean(values: DataFrame, value: str, group: str, replicates: int = 10_000, level: float = 0.95) -> DataFrame:
+    """bootstrap_statistic of the mean; rows without a value are left out."""
+    v = values.filter(F.col(value).isNotNull())
+    out = bootstrap_statistic(v, {"s": F.col(value), "w": F.lit(1.0)}, "try_divide(s, w)", group, replicates, level)
+    return out.withColumnRenamed("value", "mean")
+
 
+def edge_test(values: DataFrame, value: str, group: str, replicates: int = 10_000) -> DataFrame:
+    """bootstrap_mean, and whether the interval lies above 0, which shows an edge; NULL where too few rows tell."""
+    return bootstrap_mean(values, value, group, replicates).withColumn("edge", F.col("low") > 0).withColumnRenamed("share_not_above", "p")
 
-def permutation_test(values: DataFrame, value: str, label: str, permutations: int = 1000) -> DataFrame:
+
+def _scaled(s: str, m: str, total: str, n: str) -> Column:
+    """The distance of two parts' means in units that don't depend on the parts' sizes; 0 if one part is empty."""
+    rest = F.col(n) - F.col(m)
+    gap = F.abs(F.col(s) / F.col(m) - (F.col(total) - F.col(s)) / rest) * F.sqrt(F.col(m) * rest / F.col(n))
+    return F.when((F.col(m) > 0) & (rest > 0), gap).otherwise(0.0)
+
+
+def permutation_test(values: DataFrame, value: str, label: str, permutations: int = 1000, kind: str = "perm") -> DataFrame:
     """Two-sided p of each label's mean against that of all other rows, (k + 1) / (permutations + 1).
 
-    One shuffle of the values per replicate serves every label: rows are re-paired by a hashed order, and the rest's mean
-    is the total less the label's.  Rows without a label count in the rest.
+    In a replicate each row's hash draws its label, with the labels' shares as chances; one draw serves all labels, so
+    partitions add up counts and sums by label, and no replicate is ever sorted.  Labels' sizes vary about their own, so
+    distances of means are compared in units of their size.  Rows without a label count in the rest.  The labels, not the
+    rows, are listed on the driver.
     """
     v = values.filter(F.col(value).isNotNull()).select(F.col(label).alias("g"), F.col(value).cast("double").alias("x"), "trade_id")
-    total = v.agg(F.count("*").alias("tn"), F.sum("x").alias("ts"))
-    real = v.filter("g is not null").groupBy("g").agg(F.count("*").alias("n"), F.sum("x").alias("s")).crossJoin(F.broadcast(total))  # one row
-    gap = lambda s: F.abs(F.col(s) / F.col("n") - (F.col("ts") - F.col(s)) / (F.col("tn") - F.col("n")))
-    real = real.filter((F.col("n") >= MIN_SAMPLE) & (F.col("tn") - F.col("n") >= MIN_SAMPLE)).withColumn("d", gap("s"))
-    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    a = reps.select("rep", "g", F.row_number().over(W.partitionBy("rep").orderBy("trade_id")).alias("i"))
-    b = reps.select("rep", "x", F.row_number().over(W.partitionBy("rep").orderBy(draw("rep", "trade_id"), "trade_id")).alias("i"))
-    sums = a.join(b, ["rep", "i"]).filter("g is not null").groupBy("rep", "g").agg(F.sum("x").alias("ps"))
-    hit = sums.join(F.broadcast(real), "g").withColumn("k", (gap("ps") >= F.col("d") - 1e-9).cast("int")).groupBy("g", "n", "s", "tn", "ts").agg(F.sum("k").alias("k"))
-    return hit.select(F.col("g").alias(label), "n", (F.col("s") / F.col("n") - (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))).alias("difference"), ((F.col("k") + 1) / F.lit(permutations + 1)).alias("p"))
+    own = v.groupBy("g").agg(F.count("*").alias("n"), F.sum("x").alias("s")).orderBy(F.col("g").asc_nulls_last()).collect()  # one row a label
+    tn, ts = sum(r["n"] for r in own), sum(r["s"] for r in own)
+    spark, out, upto, drawn = values.sparkSession, [], 0, F.lit(None).cast("int")
+    bounds = []
+    for i, r in enumerate(own):
+        upto += r["n"]
+        bounds.append((upto * 2**32 // tn, i))
+        if r["g"] is not None and MIN_SAMPLE <= r["n"] <= tn - MIN_SAMPLE:
+            out.append((i, r["g"], r["n"], r["s"], tn, ts))
+    schema = f"i int, g {v.schema['g'].dataType.simpleString()}, n long, s double, tn long, ts double"
+    real = spark.createDataFrame(out, schema).withColumn("d", _scaled("s", "n", "ts", "tn"))
+    for bound, i in reversed(bounds):
+        drawn = F.when(F.col("u") < bound, i).otherwise(drawn)
+    draws = hashed(v, kind, permutations).select("x", "_block", F.posexplode(F.array(*(lane("_h", i) for i in range(LANES)))).alias("j", "u"))
+    draws = draws.select("x", (F.col("_block") * LANES + F.col("j")).alias("rep"), drawn.alias("i")).filter(F.col("rep") < permutations)
+    sums = draws.groupBy("rep", "i").agg(F.count("*").alias("pn"), F.sum("x").alias("ps"))
+    hit = sums.join(F.broadcast(real), "i").groupBy("i").agg(F.count_if(_scaled("ps", "pn", "ts", "tn") >= F.col("d") * (1 - 1e-9)).alias("k"))
+    gap = F.col("s") / F.col("n") - (F.col("ts") - F.col("s")) / (F.col("tn") - F.col("n"))
+    return real.join(hit, "i", "left").select(F.col("g").alias(label), "n", gap.alias("difference"), ((F.coalesce("k", F.lit(0)) + 1) / F.lit(permutations + 1)).alias("p"))
 
 
 def _picks(groups: DataFrame, kind: str, replicates: int, draws: Column) -> DataFrame:
@@ -96,15 +168,20 @@ def chance_of_profit(values: DataFrame, value: str, group: str, iterations: int
     return path_summary(paths(values, value, group, iterations, 100), group).select(group, (1 - F.col("p_loss")).alias("p_profit"))
 
 
-def paired_test(values: DataFrame, delta: str, group: str, replicates: int = 1000) -> DataFrame:
-    """Are the differences robust to which rows occurred?  p is twice the smaller tail of the bootstrap means, zero in
-    both, at least 1 / replicates and at most 1; d is the mean in units of the differences' own deviation."""
-    v, groups = _numbered(values, delta, group)
-    means = _picks(groups, "pair", replicates, F.col("n")).join(v.select("g", "i", "x"), ["g", "i"]).groupBy("g", "rep").agg(F.sum("x").alias("s"))
-    tails = means.groupBy("g").agg(F.count_if(F.col("s") <= 0).alias("lo"), F.count_if(F.col("s") >= 0).alias("hi"))
-    real = v.groupBy("g").agg(F.count("*").alias("n"), F.avg(F.col("x").cast("double")).alias("difference"), F.stddev_samp(F.col("x").cast("double")).alias("sd"))
-    p = F.least(F.lit(1.0), F.greatest(2 * F.least("lo", "hi") / F.lit(replicates), F.lit(1 / replicates)))
-    return real.join(tails, "g", "left").select(F.col("g").alias(group), "n", "difference", ratio(F.col("difference"), F.col("sd")).alias("effect"), p.alias("p"))
+def two_tails(lo: Column, hi: Column, replicates: int) -> Column:
+    """Twice the smaller tail, zero in both, at least 1 / replicates and at most 1."""
+    return F.least(F.lit(1.0), F.greatest(2 * F.least(lo, hi) / F.lit(replicates), F.lit(1 / replicates)))
+
+
+def paired_test(values: DataFrame, delta: str, group: str, replicates: int = 10_000) -> DataFrame:
+    """Are the differences robust to which rows occurred?  p is two_tails() of the bootstrap sums; effect is the mean in
+    units of the differences' own deviation."""
+    v = values.filter(F.col(delta).isNotNull())
+    x = F.col(delta).cast("double")
+    real = v.groupBy(group).agg(F.count("*").alias("n"), F.avg(x).alias("difference"), F.stddev_samp(x).alias("sd"))
+    tails = replicate_sums(v, {"s": x}, group, "pair", replicates).groupBy(F.col("g").alias(group)).agg(F.count_if(F.col("s") <= 1e-9).alias("lo"), F.count_if(F.col("s") >= -1e-9).alias("hi"))
+    p = F.when(F.col("n") >= MIN_SAMPLE, two_tails(F.col("lo"), F.col("hi"), replicates))
+    return real.join(tails, group, "left").select(group, "n", "difference", ratio(F.col("difference"), F.col("sd")).alias("effect"), p.alias("p"))
 
 
 MIN_BLOCKS = 10
@@ -139,7 +216,8 @@ def calibration(predictions: DataFrame, draws: int = 1000) -> DataFrame:
     bin_ = F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.col("p") * 10))).cast("int").alias("bin")
     x = predictions.select("trade_id", F.col("predicted").cast("double").alias("p"), F.col("actual").cast("int").alias("y"))
     off = lambda df, *by: df.groupBy(*by, bin_).agg(F.count("*").alias("m"), F.abs(F.sum("p") - F.sum("y")).alias("gap")).groupBy(*by).agg((F.sum("gap") / F.sum("m")).alias("ece"), F.sum("m").alias("n"))
-    sims = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("y", (draw(F.lit("cal"), "rep", "trade_id") < F.col("p") * F.lit(float(1 << 32))).cast("int"))
+    sims = hashed(x.drop("y"), "cal", draws).select("p", "_block", F.posexplode(F.array(*(lane("_h", i) for i in range(LANES)))).alias("j", "u"))
+    sims = sims.select("p", (F.col("_block") * LANES + F.col("j")).alias("rep"), (F.col("u") < F.col("p") * F.lit(float(1 << 32))).cast("int").alias("y")).filter(F.col("rep") < draws)
     real = off(x).withColumn("j", F.lit(0))
     null = off(sims, "rep").select("ece").withColumnRenamed("ece", "null_ece").withColumn("j", F.lit(0))
     hit = null.join(F.broadcast(real), "j").groupBy("ece", "n").agg(F.count_if(F.col("null_ece") >= F.col("ece") - 1e-9).alias("k"))  # real has one row
@@ -150,16 +228,22 @@ def two_sample(values: DataFrame, kind: str, permutations: int = 1000) -> DataFr
     """Per test: numbers and means of the rows inside and outside, and the two-sided p of their difference (NULL under
     MIN_SAMPLE rows on a side).  values: (test, now, x, trade_id); rows with a NULL are left out.
 
-    Each permutation takes the first rows of a hashed order, as many as are inside, for the inside.
+    In a replicate each row's hash tells whether it is inside, with the inside's share as the chance; see permutation_test().
     """
     v = values.select("test", "now", F.col("x").cast("double").alias("x"), "trade_id").dropna(subset=["test", "now", "x"])
     side = lambda f, b: f(F.when(F.col("now") == F.lit(b), F.col("x")))
-    real = v.groupBy("test").agg(side(F.count, True).alias("n_in"), side(F.count, False).alias("n_out"), side(F.avg, True).alias("mean_in"), side(F.avg, False).alias("mean_out"), F.sum("x").alias("total"))
-    tested = real.filter((F.col("n_in") >= MIN_SAMPLE) & (F.col("n_out") >= MIN_SAMPLE))
-    reps = v.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    order = W.partitionBy("test", "rep").orderBy(draw(F.lit(kind), "rep", "trade_id"), "trade_id")
-    dealt = reps.select("test", "rep", "x", F.row_number().over(order).alias("i")).join(F.broadcast(tested), "test").filter("i <= n_in")  # a row a test
-    sums = dealt.groupBy("test", "rep", "n_in", "n_out", "mean_in", "mean_out", "total").agg(F.sum("x").alias("s"))
-    gap = F.abs(F.col("s") / F.col("n_in") - (F.col("total") - F.col("s")) / F.col("n_out"))
-    p = sums.groupBy("test").agg(((F.count_if(gap >= F.abs(F.col("mean_in") - F.col("mean_out")) * (1 - 1e-9)) + 1) / F.lit(permutations + 1)).alias("p"))
-    return real.drop("total").join(p, "test", "left")
+    real = v.groupBy("test").agg(
+        side(F.count, True).alias("n_in"), side(F.count, False).alias("n_out"), side(F.avg, True).alias("mean_in"), side(F.avg, False).alias("mean_out"), F.sum("x").alias("ts"),
+        F.coalesce(side(F.sum, True), F.lit(0.0)).alias("s"), F.count("*").alias("tn"),
+    )
+    bound = F.floor(F.col("n_in") * F.lit(2.0**32) / F.col("tn"))
+    tested = real.filter((F.col("n_in") >= MIN_SAMPLE) & (F.col("n_out") >= MIN_SAMPLE)).withColumn("d", _scaled("s", "n_in", "ts", "tn")).select("test", "ts", "tn", "d", bound.alias("bound"))
+    # one row a test: dimensions of a scan, never rows of data
+    draws = hashed(v.join(F.broadcast(tested.select("test", "bound")), "test"), kind, permutations)
+    draws = draws.select("test", "bound", "x", "_block", *((lane("_h", i) < F.col("bound")).alias(f"_i{i}") for i in range(LANES)))
+    inside = lambda i, c: F.sum(F.when(F.col(f"_i{i}"), c).otherwise(0.0))
+    sums = draws.groupBy("test", "_block").agg(*(inside(i, F.lit(1.0)).alias(f"n{i}") for i in range(LANES)), *(inside(i, F.col("x")).alias(f"s{i}") for i in range(LANES)))
+    each = F.array(*(F.struct((F.col("_block") * LANES + i).alias("rep"), F.col(f"n{i}").alias("pn"), F.col(f"s{i}").alias("ps")) for i in range(LANES)))
+    reps = sums.select("test", F.explode(each).alias("e")).select("test", "e.*").filter(F.col("rep") < permutations).join(F.broadcast(tested), "test")
+    p = reps.groupBy("test").agg(((F.count_if(_scaled("ps", "pn", "ts", "tn") >= F.col("d") * (1 - 1e-9)) + 1) / F.lit(permutations + 1)).alias("p"))
+    return real.drop("ts", "s", "tn").join(p, "test", "left")

@@ -1,4 +1,4 @@
-"""State before each trade, as windows; behaviours; what-if walks; false-discovery adjustment."""
+"""State before each trade, as windows; behaviours; false-discovery adjustment."""
 
 from __future__ import annotations
 
@@ -31,9 +31,9 @@ def session_state(trades: DataFrame, *by: str) -> DataFrame:
 
 
 def entry_snapshots(trades: DataFrame) -> DataFrame:
-    """What is known at each entry: session count, P&L and fractional minutes since the previous entry, and streaks over
-    the whole history, where a scratch counts as a loss."""
-    day, all_ = W.partitionBy("session_date").orderBy("opened_at", "trade_id"), W.partitionBy("account").orderBy("opened_at", "trade_id")
+    """What is known at each entry of an account: session count, P&L and fractional minutes since the previous entry, and
+    streaks over the whole history, where a scratch counts as a loss."""
+    day, all_ = W.partitionBy("account", "session_date").orderBy("opened_at", "trade_id"), W.partitionBy("account").orderBy("opened_at", "trade_id")
     before = day.rowsBetween(W.unboundedPreceding, -1)
     t = trades.withColumn("won", F.col("net") > 0).withColumn("n_before", F.row_number().over(day) - 1).withColumn("pnl_before", F.coalesce(F.sum("net").over(before), F.lit(0)))
     t = t.withColumn("gap_minutes", (F.expr("unix_micros(opened_at)") - F.lag(F.expr("unix_micros(opened_at)")).over(day)) / 60_000_000)
@@ -43,8 +43,9 @@ def entry_snapshots(trades: DataFrame) -> DataFrame:
     return t.withColumn("win_streak", F.when(F.col("_pw"), F.col("_ps")).otherwise(0)).withColumn("loss_streak", F.when(~F.col("_pw"), F.col("_ps")).otherwise(0)).drop("_i", "_r", "_s", "_ps", "_pw")
 
 
-def detectors() -> dict[str, tuple[Column, Column]]:
-    """Behaviours: (present, NULL to leave a trade out; value)."""
+def detectors(typical: float | None = None, size: str = "qty_opened") -> dict[str, tuple[Column, Column]]:
+    """Behaviours: (present, NULL to leave a trade out; value).  typical: the median position, without which growing
+    positions while down can't be told."""
     net, first = F.col("net").cast("double"), F.col("index") == 0
     return {
         "revenge": (F.when(~first, F.col("prev_loss") & (F.col("minutes_since_exit") <= REVENGE_MINUTES)), net),
@@ -53,12 +54,18 @@ def detectors() -> dict[str, tuple[Column, Column]]:
         "after_losing_streak": (F.col("losses_before") >= 2, net),
         "first_of_session": (first, net),
         "holding_losers": (F.when(F.col("net") != 0, F.col("net") < 0), F.col("duration").cast("double")),
-    }
+    } | ({} if typical is None else {"size_escalation": ((F.col("pnl_before") < 0) & (F.col(size) > typical), net)})
+
+
+def typical_size(state: DataFrame, size: str = "qty_opened") -> float | None:
+    """The sample's median position, an aggregate of one row."""
+    return state.agg(F.median(F.col(size).cast("double"))).first()[0]
 
 
 def behaviours(state: DataFrame) -> DataFrame:
     """Per behaviour: number, mean and variance with and without it, the difference, and its cost in money."""
-    each = F.array(*(F.struct(F.lit(k).alias("behaviour"), p.alias("present"), v.alias("value")) for k, (p, v) in detectors().items()))
+    found = detectors(typical_size(state))
+    each = F.array(*(F.struct(F.lit(k).alias("behaviour"), p.alias("present"), v.alias("value")) for k, (p, v) in found.items()))
     x = state.select(F.explode(each).alias("e")).select("e.*").filter("present is not null and value is not null")
     a = x.groupBy("behaviour").agg(*(f(F.when(F.col("present") == F.lit(b), F.col("value"))).alias(f"{n}_{s}") for b, s in ((True, "with"), (False, "without")) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
     diff = F.col("mean_with") - F.col("mean_without")
@@ -77,27 +84,6 @@ def benjamini_hochberg(tests: DataFrame, p: str, *family: str) -> DataFrame:
     return t.withColumn("q", F.when(F.col("_known"), F.least(F.lit(1.0), q))).drop("_known", "_r", "_raw")
 
 
-def what_if(trades: DataFrame, max_trades: int | None = None, stop_after_losses: int | None = None, hours: tuple[int, int] | None = None) -> DataFrame:
-    """Which trades a plan would have taken: ``taken`` and ``delta`` (what leaving it out changes).
-
-    A skipped trade changes nothing for the next ones, so a loss streak that is reached ends the session: eligible trades
-    are numbered, and those behind the first that sees the streak are dropped.
-    """
-    ok = F.lit(True) if hours is None else F.coalesce(F.hour("opened_at").between(hours[0], hours[1] - 1), F.lit(False))
-    t = trades.withColumn("_ok", ok)
-    part = W.partitionBy("session_date", "_ok").orderBy("opened_at", "trade_id")
-    t = t.withColumn("_n", F.row_number().over(part))
-    taken = F.col("_ok")
-    if max_trades is not None:
-        taken = taken & (F.col("_n") <= max_trades)
-    if stop_after_losses is not None:
-        lost = F.sum((F.col("net") < 0).cast("int")).over(part.rowsBetween(-stop_after_losses, -1))
-        seen = F.count("*").over(part.rowsBetween(-stop_after_losses, -1))
-        t = t.withColumn("_trip", ((lost == stop_after_losses) & (seen == stop_after_losses)).cast("int")).withColumn("_stopped", F.max("_trip").over(part.rowsBetween(W.unboundedPreceding, 0)))
-        taken = taken & (F.coalesce("_stopped", F.lit(0)) == 0)
-    return t.withColumn("taken", taken).withColumn("delta", F.when(F.col("taken"), F.lit(0)).otherwise(-F.col("net"))).drop("_ok", "_n", "_trip", "_stopped")
-
-
 def impact(outcomes: DataFrame) -> DataFrame:
     """Per rule: mean P&L where it was kept and broken and what breaking it cost; unevaluable ones left out."""
     x = F.col("net").cast("double")

@@ -61,8 +61,8 @@ _SPECS = "specs AS (SELECT p_partkey AS contract_id, p_brand AS symbol, CASE WHE
 _MAPPED = _SPECS + """, mapped AS (SELECT event_id AS id, o_custkey AS account, symbol, CASE WHEN event_id % 7 <> 0 THEN 1.25 ELSE 0 END AS commission, CASE WHEN event_id % 7 <> 0 THEN 0.5 ELSE 0 END AS fees,
  CASE WHEN o_custkey IS NULL THEN 'order missing' WHEN symbol IS NULL THEN 'contract missing' WHEN event_id % 7 = 0 AND ts > TIMESTAMP '2024-01-01 05:55:00' THEN 'fee not settled' END AS reason
  FROM events LEFT JOIN orders ON o_orderkey = event_id * 2 LEFT JOIN specs ON contract_id = event_id % 2500 + 1)"""
-_DETECT = """det AS (SELECT trade_id, unnest(['revenge', 'overtrading', 'while_down', 'after_losing_streak', 'first_of_session', 'holding_losers']) AS behaviour,
- unnest([CASE WHEN index > 0 THEN prev_loss AND minutes_since_exit <= 10 END, index >= 6, pnl_before < 0, losses_before >= 2, index = 0, CASE WHEN net <> 0 THEN net < 0 END]) AS present, unnest([net, net, net, net, net, CAST(duration AS DOUBLE)]) AS value FROM state),
+_DETECT = """det AS (SELECT trade_id, unnest(['revenge', 'overtrading', 'while_down', 'after_losing_streak', 'first_of_session', 'holding_losers', 'size_escalation']) AS behaviour,
+ unnest([CASE WHEN index > 0 THEN prev_loss AND minutes_since_exit <= 10 END, index >= 6, pnl_before < 0, losses_before >= 2, index = 0, CASE WHEN net <> 0 THEN net < 0 END, pnl_before < 0 AND qo > typical]) AS present, unnest([net, net, net, net, net, CAST(duration AS DOUBLE), net]) AS value FROM state, (SELECT median(CAST(qo AS DOUBLE)) AS typical FROM state)),
 beh AS (SELECT behaviour, count(*) FILTER (present) AS n_with, avg(value) FILTER (present) AS mean_with, var_samp(value) FILTER (present) AS var_with, count(*) FILTER (NOT present) AS n_without, avg(value) FILTER (NOT present) AS mean_without, var_samp(value) FILTER (NOT present) AS var_without FROM det WHERE present IS NOT NULL AND value IS NOT NULL GROUP BY 1),
 behc AS (SELECT *, mean_with - mean_without AS difference, CASE WHEN behaviour <> 'holding_losers' THEN (mean_with - mean_without) * n_with END AS cost FROM beh)"""
 
@@ -104,35 +104,14 @@ SELECT dimension, key, n, winners, {r('net')}, {r('expectancy', None, 9)}, {r('r
     "w07_session_state": f"WITH {_STATE} SELECT trade_id, index, {r('pnl_before')}, CAST(losses_before AS BIGINT) AS losses_before, CAST(minutes_since_exit AS BIGINT) AS minutes_since_exit, prev_loss FROM state",
     "w11_bar_gaps": f"WITH {_BARS.format(s=3600)}, g AS (SELECT symbol, ts, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM bars) SELECT symbol, p + INTERVAL 1 HOUR AS gap_start, ts AS gap_end FROM g WHERE ts - p > INTERVAL 1 HOUR",
     "w13_atr": f"WITH RECURSIVE {_BARS.format(s=3600)}, t AS (SELECT symbol, ts, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr, row_number() OVER w - 1 AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), a AS (SELECT symbol, CAST(14 AS BIGINT) AS i, avg(tr) AS atr FROM t WHERE i BETWEEN 1 AND 14 GROUP BY 1 HAVING count(*) = 14 UNION ALL SELECT a.symbol, t.i, (a.atr * 13 + t.tr) / 14 FROM a JOIN t ON a.symbol = t.symbol AND t.i = a.i + 1) SELECT symbol, {r('arg_max(atr, i)', 'atr')}, max(i) AS n_ranges FROM a GROUP BY 1",
-    "w14_what_if": f"WITH {_TRADES}, n AS (SELECT session_date, net, opened_at, trade_id, row_number() OVER w AS k, CASE WHEN lag(net, 1) OVER w < 0 AND lag(net, 2) OVER w < 0 THEN 1 ELSE 0 END AS trip FROM facts WINDOW w AS (PARTITION BY session_date ORDER BY opened_at, trade_id)), s AS (SELECT *, max(trip) OVER (PARTITION BY session_date ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING) AS stopped FROM n) SELECT session_date, count(*) FILTER (k <= 5 AND stopped = 0) AS taken, {r('sum(CASE WHEN k <= 5 AND stopped = 0 THEN 0 ELSE -net END)', 'delta')} FROM s GROUP BY 1",
     "w15_benjamini_hochberg": f"WITH {_ORDERS}, p AS (SELECT account, count(*) AS n, CASE WHEN count(*) >= 5 THEN round(count(*) FILTER (net < 0) / count(*), 9) END AS p FROM facts GROUP BY 1), k AS (SELECT *, p * count(*) OVER () / rank() OVER (ORDER BY p) AS raw, p * count(*) OVER () / (rank() OVER (ORDER BY p) + count(*) OVER (PARTITION BY p) - 1) AS tied FROM p WHERE p IS NOT NULL), q AS (SELECT account, least(1, min(tied) OVER (ORDER BY p RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k) SELECT p.account, n, {r('p.p', 'p')}, {r('q.q', 'q')} FROM p LEFT JOIN q USING (account)",
     "j03_as_of_equity": f"WITH {_ORDERS}, e AS (SELECT o_custkey AS account, o_orderdate AS as_of, max(o_totalprice) AS equity FROM orders GROUP BY 1, 2) SELECT f.trade_id, f.account, f.closed_at, CASE WHEN epoch(f.closed_at) - epoch(e.as_of) < 691200 THEN {r('e.equity', 'x').replace(' AS x', '')} END AS equity, CASE WHEN epoch(f.closed_at) - epoch(e.as_of) < 691200 THEN e.as_of END AS as_of FROM facts f ASOF LEFT JOIN e ON f.account = e.account AND f.closed_at >= e.as_of",
     "x01_excursions": f"WITH {_TRADES}, {_BARS.format(s=3600)}, c AS (SELECT t.trade_id, t.direction, t.avg_entry, least(min(b.low), t.avg_entry) AS lo, greatest(max(b.high), t.avg_entry) AS hi, count(*) AS n_bars FROM facts t JOIN bars b ON t.symbol = b.symbol AND epoch(b.ts) >= floor(epoch(t.opened_at) / 3600) * 3600 AND floor(epoch(b.ts)) <= floor(epoch(t.closed_at)) GROUP BY 1, 2, 3) SELECT trade_id, {r("CASE direction WHEN 'long' THEN avg_entry - lo ELSE hi - avg_entry END", 'mae')}, {r("CASE direction WHEN 'long' THEN hi - avg_entry ELSE avg_entry - lo END", 'mfe')}, n_bars FROM c",
     "j08_first_touch": f"WITH {_TRADES}, {_BARS.format(s=3600)} SELECT t.trade_id, min(b.ts) AS touched_at FROM facts t JOIN bars b ON t.symbol = b.symbol AND epoch(b.ts) >= floor(epoch(t.opened_at) / 3600) * 3600 AND b.ts <= t.closed_at AND t.avg_entry * 2 BETWEEN b.low AND b.high GROUP BY 1",
-    "b01_bootstrap": f"WITH {_TRADES}, v AS (SELECT segment, net AS x, row_number() OVER (PARTITION BY segment ORDER BY trade_id) - 1 AS i FROM facts), n AS (SELECT segment, count(*) AS n, avg(x) AS mean FROM v GROUP BY 1), d AS (SELECT segment, n, rep, unnest(range(n)) AS k FROM (SELECT segment, n, unnest(range(200)) AS rep FROM n WHERE n >= 5)), bm AS (SELECT d.segment, d.rep, sum(v.x) / max(d.n) AS m FROM d JOIN v ON v.segment = d.segment AND v.i = {_DRAW.format("d.segment || ':' || d.rep || ':' || d.k")} % d.n GROUP BY 1, 2), q AS (SELECT segment, quantile_cont(m, [0.025, 0.975]) AS p, count(*) FILTER (m <= 0) / count(*) AS s FROM bm GROUP BY 1) SELECT segment, n, {r('mean')}, {r('p[1]', 'low')}, {r('p[2]', 'high')}, {r('s', 'share_not_above')}, {_REL} FROM n LEFT JOIN q USING (segment)",
-    "b06_permutation": f"WITH {_TRADES}, v AS (SELECT segment AS g, net AS x, trade_id FROM facts), t AS (SELECT count(*) AS tn, sum(x) AS ts FROM v), w AS (SELECT g, count(*) AS n, sum(x) AS s FROM v GROUP BY 1), r AS (SELECT g, n, s, tn, ts FROM w, t WHERE n >= 5 AND tn - n >= 5), p AS (SELECT rep, g, x, row_number() OVER (PARTITION BY rep ORDER BY trade_id) AS i, row_number() OVER (PARTITION BY rep ORDER BY {_DRAW.format("rep || ':' || trade_id")}, trade_id) AS j FROM v, range(100) z(rep)), u AS (SELECT a.rep, a.g, sum(b.x) AS ps FROM p a JOIN p b ON a.rep = b.rep AND a.i = b.j GROUP BY 1, 2), h AS (SELECT r.g, n, s, tn, ts, count(*) FILTER (abs(ps / n - (ts - ps) / (tn - n)) >= abs(s / n - (ts - s) / (tn - n)) - 1e-9) AS k FROM u JOIN r USING (g) GROUP BY 1, 2, 3, 4, 5) SELECT g AS segment, n, {r('s / n - (ts - s) / (tn - n)', 'difference')}, {r('(k + 1) / 101', 'p')} FROM h",
     "d08_behaviours": f"WITH {_STATE}, {_DETECT} SELECT behaviour, n_with, n_without, {', '.join(r(x, None, 4) for x in 'mean_with var_with mean_without var_without difference cost'.split())} FROM behc",
     "e02_leaks": f"WITH {_STATE}, {_DETECT}, c AS (SELECT behaviour AS pattern, trade_id, cost / count(*) OVER (PARTITION BY behaviour) AS share FROM det JOIN behc USING (behaviour) WHERE present AND cost < 0), f AS (SELECT *, row_number() OVER (PARTITION BY trade_id ORDER BY abs(share) DESC, pattern) = 1 AS first FROM c) SELECT pattern, {r('sum(share)', 'naive', 3)}, {r('sum(CASE WHEN first THEN share ELSE 0 END)', 'exclusive', 3)}, count(*) AS n_trades, count(*) FILTER (first) AS n_exclusive FROM f GROUP BY 1",
     "e03_due_periods": f"WITH {_ORDERS}, d AS (SELECT DISTINCT account, session_date FROM facts), p AS (SELECT account, unnest(['daily', 'weekly', 'monthly', 'quarterly', 'yearly']) AS report_type, unnest([session_date, CAST(date_trunc('week', session_date) AS DATE), CAST(date_trunc('month', session_date) AS DATE), CAST(date_trunc('quarter', session_date) AS DATE), CAST(date_trunc('year', session_date) AS DATE)]) AS period_start FROM d), c AS (SELECT account, report_type, period_start, count(*) AS sessions FROM p GROUP BY 1, 2, 3), e AS (SELECT *, CAST(CASE report_type WHEN 'daily' THEN period_start WHEN 'weekly' THEN period_start + 6 WHEN 'monthly' THEN period_start + INTERVAL 1 MONTH - INTERVAL 1 DAY WHEN 'quarterly' THEN period_start + INTERVAL 3 MONTH - INTERVAL 1 DAY ELSE period_start + INTERVAL 1 YEAR - INTERVAL 1 DAY END AS DATE) AS period_end FROM c) SELECT account, report_type, period_start, sessions, period_end FROM e WHERE period_end < DATE '1999-06-15' AND sessions >= CASE report_type WHEN 'daily' THEN 1 WHEN 'weekly' THEN 3 WHEN 'monthly' THEN 8 WHEN 'quarterly' THEN 20 ELSE 60 END",
     "f_s1_root_symbols": "SELECT upper(substr(o_orderpriority, 3, 2)) AS root, count(*) AS n FROM orders GROUP BY 1",
-    "b04_paths": f"""WITH {_ORDERS}, v AS (SELECT instrument AS g, CAST(net AS DECIMAL(20,8)) AS x, row_number() OVER (PARTITION BY instrument ORDER BY trade_id) - 1 AS i FROM facts), n AS (SELECT g, count(*) AS n FROM v GROUP BY 1 HAVING count(*) >= 5),
- d AS (SELECT g, rep, k, {_DRAW.format("'path:' || g || ':' || rep || ':' || k")} % n AS i FROM n, range(50) a(rep), range(100) b(k)),
- e AS (SELECT g, rep, k, sum(x) OVER (PARTITION BY g, rep ORDER BY k ROWS UNBOUNDED PRECEDING) AS equity FROM d JOIN v USING (g, i)),
- w AS (SELECT *, min(CASE WHEN equity <= -20000 THEN k END) OVER (PARTITION BY g, rep) AS fin, greatest(0, max(equity) OVER (PARTITION BY g, rep ORDER BY k ROWS UNBOUNDED PRECEDING)) AS peak FROM e),
- p AS (SELECT g, rep, CAST(arg_max(equity, k) AS DOUBLE) AS final, CAST(max(peak - equity) AS DOUBLE) AS dd, bool_or(fin IS NOT NULL) AS ruined FROM w WHERE fin IS NULL OR k <= fin GROUP BY 1, 2),
- q AS (SELECT g, count(*) AS iterations, quantile_cont(final, [0.05, 0.25, 0.5, 0.75, 0.95]) AS f, quantile_cont(dd, [0.05, 0.25, 0.5, 0.75, 0.95]) AS d, count(*) FILTER (final < 0) AS l, count(*) FILTER (ruined) AS r FROM p GROUP BY 1)
-SELECT g AS instrument, iterations, {', '.join(r(f'{c}[{i + 1}]', f'{m}_p{x}') for c, m in (('f', 'final'), ('d', 'drawdown')) for i, x in enumerate((5, 25, 50, 75, 95)))}, {r('l / iterations', 'p_loss')}, {r('r / iterations', 'p_ruin')} FROM q""",
-    "b08_block_skill": f"""WITH {_ORDERS}, {_PRED}, b AS (SELECT session, count(*) AS m, sum((actual - predicted) ** 2) AS e, sum(actual) AS y, sum(actual * actual) AS yy, row_number() OVER (ORDER BY session) - 1 AS i FROM pred GROUP BY 1), c AS (SELECT count(*) AS n, sum(m) AS m, sum(e) AS e, sum(y) AS y, sum(yy) AS yy FROM b),
- d AS (SELECT rep, {_DRAW.format("'block::' || rep || ':' || k")} % n AS i FROM c, range(20) a(rep), range(n) z(k)),
- s AS (SELECT rep, sum(m) AS m, sum(e) AS e, sum(y) AS y, sum(yy) AS yy FROM d JOIN b USING (i) GROUP BY 1), k AS (SELECT list(1 - e / (yy - y * y / m) ORDER BY 1 - e / (yy - y * y / m)) AS a FROM s)
-SELECT n AS sessions, CAST(m AS BIGINT) AS predictions, {r('1 - e / (yy - y * y / m)', 'skill')}, {r('a[1]', 'low')}, {r('a[20]', 'high')}, a[1] > 0 AS established FROM c, k""",
-    "b09_paired_test": f"""WITH {_TRADES}, n AS (SELECT *, row_number() OVER w AS k, CASE WHEN lag(net, 1) OVER w < 0 AND lag(net, 2) OVER w < 0 THEN 1 ELSE 0 END AS trip FROM facts WINDOW w AS (PARTITION BY session_date ORDER BY opened_at, trade_id)), s AS (SELECT *, max(trip) OVER (PARTITION BY session_date ORDER BY opened_at, trade_id ROWS UNBOUNDED PRECEDING) AS stopped FROM n),
- v AS (SELECT segment AS g, CASE WHEN k <= 5 AND stopped = 0 THEN 0 ELSE -net END AS x, row_number() OVER (PARTITION BY segment ORDER BY trade_id) - 1 AS i FROM s), c AS (SELECT g, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd FROM v GROUP BY 1),
- d AS (SELECT g, rep, {_DRAW.format("'pair:' || g || ':' || rep || ':' || k")} % n AS i FROM (SELECT g, n, rep, unnest(range(n)) AS k FROM c, range(100) a(rep) WHERE n >= 5)), t AS (SELECT g, rep, sum(CAST(x AS DECIMAL(20,8))) AS s FROM d JOIN v USING (g, i) GROUP BY 1, 2), h AS (SELECT g, count(*) FILTER (s <= 0) AS lo, count(*) FILTER (s >= 0) AS hi FROM t GROUP BY 1)
-SELECT g AS segment, n, {r('m', 'difference')}, {r('m / nullif(sd, 0)', 'effect')}, CASE WHEN lo IS NOT NULL THEN {r('least(1, greatest(2 * least(lo, hi) / 100, 0.01))', 'p').replace(' AS p', '')} END AS p FROM c LEFT JOIN h USING (g)""",
-    "b10_calibration": f"""WITH {_ORDERS}, {_PRED}, x AS (SELECT trade_id, predicted AS p, actual AS y, CAST(least(9, greatest(0, floor(predicted * 10))) AS INT) AS bin FROM pred), s AS (SELECT rep, bin, p, CASE WHEN {_DRAW.format("'cal:' || rep || ':' || trade_id")} < p * 4294967296 THEN 1 ELSE 0 END AS y FROM x, range(20) a(rep)),
- o AS (SELECT sum(gap) / sum(m) AS ece, CAST(sum(m) AS BIGINT) AS n FROM (SELECT count(*) AS m, abs(sum(p) - sum(y)) AS gap FROM x GROUP BY bin)), u AS (SELECT rep, sum(gap) / sum(m) AS e FROM (SELECT rep, count(*) AS m, abs(sum(p) - sum(y)) AS gap FROM s GROUP BY rep, bin) GROUP BY 1)
-SELECT n, {r('ece')}, {r('(count(*) FILTER (e >= ece - 1e-9) + 1) / 21', 'p')} FROM o, u GROUP BY n, ece""",
     "d10_feature_matrix": f"WITH {_ORDERS}, x AS (SELECT trade_id, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h, CAST(isodow(session_date) - 1 AS DOUBLE) AS w FROM facts), a AS (SELECT avg(q) AS mq, stddev_samp(q) AS sq, avg(h) AS mh, stddev_samp(h) AS sh, avg(w) AS mw, stddev_samp(w) AS sw FROM x) SELECT trade_id, {r('(q - mq) / sq', 'quantity')}, {r('(h - mh) / sh', 'hold')}, {r('(w - mw) / sw', 'weekday')} FROM x, a",
     "l04_ridge": f"""WITH {_ORDERS}, x AS (SELECT CAST(net AS DOUBLE) AS y, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h FROM facts), m AS (SELECT avg(y) AS my, avg(q) AS mq, avg(h) AS mh FROM x), c AS (SELECT any_value(my) AS my, any_value(mq) AS mq, any_value(mh) AS mh, sum((q - mq) ** 2) + 10 AS qq, sum((h - mh) ** 2) + 10 AS hh, sum((q - mq) * (h - mh)) AS qh, sum((q - mq) * (y - my)) AS qy, sum((h - mh) * (y - my)) AS hy FROM x, m),
  b AS (SELECT *, (qy * hh - hy * qh) / (qq * hh - qh * qh) AS bq, (hy * qq - qy * qh) / (qq * hh - qh * qh) AS bh FROM c) SELECT unnest(['intercept', 'quantity', 'hold']) AS term, unnest([{r('my - bq * mq - bh * mh', 'a', 4).replace(' AS a', '')}, {r('bq', 'a', 4).replace(' AS a', '')}, {r('bh', 'a', 4).replace(' AS a', '')}]) AS beta FROM b""",
@@ -142,13 +121,6 @@ SELECT CAST(fold AS BIGINT) AS fold, {r('target', None, 4)}, {r('score', None, 4
     "q06_exit_recommendation": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK},
  m AS (SELECT target, count(*) AS votes FROM pick GROUP BY 1), t AS (SELECT arg_max(target, votes * 100 - target) AS target, max(votes) AS votes FROM m), a AS (SELECT count(*) AS folds, CAST(sum(applicable) AS BIGINT) AS scored, sum(delta) AS delta FROM pick)
 SELECT folds, scored, {r('target', None, 4)}, {r('votes / folds', 'stability', 4)}, {r('delta / scored', 'mean_delta', 4)}, CASE WHEN scored < 40 THEN 'too few scored trades' WHEN votes / folds < 0.6 THEN 'unstable choice' WHEN NOT delta / scored > 0 THEN 'no improvement' END AS reason FROM a, t""",
-    "e01_period_comparison": f"""WITH {_ORDERS}, v AS (SELECT trade_id, session_date >= DATE '1996-01-01' AS now, unnest(['net', 'win_rate', 'r_multiple', 'duration', 'quantity']) AS metric, unnest([CAST(net AS DOUBLE), CASE WHEN net > 0 THEN 1 ELSE 0 END, r_multiple, duration, quantity]) AS x FROM facts WHERE session_date BETWEEN DATE '1995-12-01' AND DATE '1996-01-31'),
- a AS (SELECT metric, count(*) FILTER (now) AS n_current, count(*) FILTER (NOT now) AS n_previous, avg(x) FILTER (now) AS cur, avg(x) FILTER (NOT now) AS prev, sum(x) AS total FROM v WHERE x IS NOT NULL GROUP BY 1),
- o AS (SELECT metric, rep, x, row_number() OVER (PARTITION BY metric, rep ORDER BY {_DRAW.format("'period:' || rep || ':' || trade_id")}, trade_id) AS i FROM v, range(50) z(rep) WHERE x IS NOT NULL),
- s AS (SELECT a.metric, rep, n_current, n_previous, cur, prev, total, sum(x) AS s FROM o JOIN a ON a.metric = o.metric AND i <= n_current WHERE n_current >= 5 AND n_previous >= 5 GROUP BY ALL),
- p AS (SELECT metric, (count(*) FILTER (abs(s / n_current - (total - s) / n_previous) >= abs(cur - prev) * (1 - 1e-9)) + 1) / 51 AS p FROM s GROUP BY 1),
- k AS (SELECT metric, p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p), q AS (SELECT metric, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
-SELECT metric, n_current, n_previous, {r('cur', 'current')}, {r('prev', 'previous')}, {r('p', 'p')}, {r('q', 'q')}, CASE WHEN NOT coalesce(q <= 0.05, FALSE) THEN 'unchanged' WHEN cur > prev THEN 'up' WHEN cur < prev THEN 'down' ELSE 'flat' END AS direction FROM a LEFT JOIN q USING (metric)""",
     "e07_evidence": f"""WITH {_ORDERS}, a AS (SELECT account, count(*) AS n, count(*) FILTER (net > 0) AS w, count(*) FILTER (net < 0) AS l, avg(CAST(net AS DOUBLE)) FILTER (net > 0) AS aw, avg(CAST(net AS DOUBLE)) FILTER (net < 0) AS al FROM facts GROUP BY 1),
 k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a) SELECT account || '.' || k AS key, {r('v', 'value')}, v IS NULL AS gap FROM k""",
     "s35_map_fills": f"WITH {_MAPPED} SELECT id, account, symbol, {r('commission')}, {r('fees')}, reason FROM mapped",
@@ -157,21 +129,8 @@ k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CA
     "x03_replay_windows": f"WITH {_TRADES}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 WHEN duration <= 14400 THEN 300 WHEN duration <= 86400 THEN 900 ELSE 3600 END AS b FROM facts) SELECT trade_id, symbol, CAST(b AS BIGINT) AS bar_seconds, opened_at - to_seconds(b * 120) AS window_start, closed_at + to_seconds(b * 60) AS window_end FROM z",
     "x03_replay_markers": f"WITH {_SLICES}, k AS (SELECT *, row_number() OVER (PARTITION BY account, symbol, tid, role ORDER BY ts, fill_id) AS i, count(*) OVER (PARTITION BY account, symbol, tid, role) AS n FROM slices) SELECT account, symbol, CAST(tid AS BIGINT) AS tid, CASE WHEN role = 'entry' THEN CASE WHEN i = 1 THEN 'entry' ELSE 'scale_in' END WHEN i = n THEN 'exit' ELSE 'scale_out' END AS kind, fill_id, ts, {r('price')}, {r('q', 'qty')} FROM k",
     "x03_replay_bars": f"WITH {_TRADES}, {_BARS.format(s=300)}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 ELSE 300 END AS b FROM facts WHERE duration <= 14400), j AS (SELECT trade_id, z.b, bars.* FROM z JOIN bars ON z.symbol = bars.symbol AND ts BETWEEN opened_at - to_seconds(b * 120) AND closed_at + to_seconds(b * 60)) SELECT trade_id, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY trade_id ORDER BY ts)) > b, FALSE) AS gap FROM j",
-    "d16_behaviour_scan": f"""WITH {_STATE}, {_DETECT}, v AS (SELECT trade_id, behaviour AS test, present AS now, CAST(value AS DOUBLE) AS x FROM det WHERE present IS NOT NULL AND value IS NOT NULL),
- a AS (SELECT test, count(*) FILTER (now) AS n_in, count(*) FILTER (NOT now) AS n_out, avg(x) FILTER (now) AS mi, avg(x) FILTER (NOT now) AS mo, sum(x) AS total FROM v GROUP BY 1),
- o AS (SELECT test, rep, x, row_number() OVER (PARTITION BY test, rep ORDER BY {_DRAW.format("'scan:' || rep || ':' || trade_id")}, trade_id) AS i FROM v, range(50) z(rep)),
- s AS (SELECT a.test, rep, n_in, n_out, mi, mo, total, sum(x) AS s FROM o JOIN a ON a.test = o.test AND i <= n_in WHERE n_in >= 5 AND n_out >= 5 GROUP BY ALL),
- p AS (SELECT test, (count(*) FILTER (abs(s / n_in - (total - s) / n_out) >= abs(mi - mo) * (1 - 1e-9)) + 1) / 51 AS p FROM s GROUP BY 1),
- k AS (SELECT test, p, row_number() OVER (ORDER BY p) AS i, count(*) OVER () AS m FROM p), q AS (SELECT test, p, least(1, min(p * m / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
-SELECT test, n_in, n_out, {r('mi', 'mean_in')}, {r('mo', 'mean_out')}, {r('p', 'p')}, {r('q', 'q')}, coalesce(q <= 0.05, FALSE) AS found FROM a LEFT JOIN q USING (test)""",
 }
 ORACLE["e05_next_reports"] = f"SELECT * FROM ({ORACLE['e03_due_periods']}) ORDER BY period_end, period_start, account, report_type LIMIT 25"
 ORACLE["e08_claims"] = f"WITH {_ORDERS}, n AS (SELECT account, count(*) AS n FROM facts GROUP BY 1) SELECT account AS claim_id, CASE WHEN account % 5 = 0 THEN 'uncited,unsupported' WHEN account % 3 = 0 THEN 'unsupported' ELSE '' END AS problems FROM n"
-ORACLE["l11_gate"] = f"""SELECT predictions AS scored, skill, low, ece, p, CASE WHEN predictions < 50 THEN 'too few scored trades' WHEN skill IS NULL THEN 'skill unknown' WHEN skill <= 0 THEN 'no skill' WHEN low IS NULL THEN 'too few sessions' WHEN NOT established THEN 'skill within chance' WHEN p <= 0.05 THEN 'miscalibrated' END AS reason
-FROM ({ORACLE['b08_block_skill']}), ({ORACLE['b10_calibration']})"""
 _WON = f"WITH {_ORDERS}, d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM (SELECT DISTINCT session_date FROM facts))"
 ORACLE["l07_walk_forward_logistic"] = f"{_WON} SELECT CAST((i - 21) // 400 + 1 AS BIGINT) AS fold, count(*) AS scored, count(DISTINCT session_date) AS sessions, count(*) AS converged FROM facts JOIN d USING (session_date) WHERE i > 20 GROUP BY 1"
-ORACLE["e04_report"] = f"""WITH {_ORDERS}, a AS (SELECT instrument, count(*) AS n, count(*) FILTER (net > 0) AS w, count(*) FILTER (net < 0) AS l, avg(CAST(net AS DOUBLE)) FILTER (net > 0) AS aw, avg(CAST(net AS DOUBLE)) FILTER (net < 0) AS al FROM facts WHERE session_date BETWEEN DATE '1996-01-01' AND DATE '1996-01-31' GROUP BY 1),
- k AS (SELECT instrument, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a),
- c AS (SELECT metric, unnest(['n_current', 'n_previous', 'current', 'previous', 'q']) AS k, unnest([n_current, n_previous, current, previous, q]) AS v FROM ({ORACLE['e01_period_comparison']}))
-SELECT 'performance' AS section, instrument || '.' || k AS key, {r('v', 'value')}, CAST(NULL AS VARCHAR) AS reason FROM k UNION ALL SELECT 'comparison', metric || '.' || k, {r('v', 'value')}, NULL FROM c"""

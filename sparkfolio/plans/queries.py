@@ -186,12 +186,6 @@ def w13_atr(spark, sf):
     return rounded(B.atr(views.bars(spark, sf)))
 
 
-@query
-def w14_what_if(spark, sf):
-    w = Q.what_if(facts(spark, sf), max_trades=5, stop_after_losses=2)
-    return rounded(w.groupBy("session_date").agg(F.count_if("taken").alias("taken"), F.sum("delta").alias("delta")))
-
-
 @query
 def w15_benjamini_hochberg(spark, sf):
     """Share of an account's trades that lost, taken for a p value."""
@@ -219,16 +213,6 @@ def j08_first_touch(spark, sf):
     return rounded(B.first_touch(t, views.bars(spark, sf), 3600, "target"))
 
 
-@query
-def b01_bootstrap(spark, sf):
-    return rounded(R.bootstrap_mean(facts(spark, sf), "net", "segment", 200))
-
-
-@query
-def b06_permutation(spark, sf):
-    return rounded(R.permutation_test(facts(spark, sf), "net", "segment", 100))
-
-
 @query
 def d08_behaviours(spark, sf):
     return rounded(Q.behaviours(state(spark, sf)), 4)
@@ -238,7 +222,7 @@ def d08_behaviours(spark, sf):
 def e02_leaks(spark, sf):
     s = state(spark, sf)
     b = Q.behaviours(s).filter("cost < 0").select("behaviour", "cost")
-    each = F.array(*(F.struct(F.lit(k).alias("behaviour"), p.alias("present")) for k, (p, _) in Q.detectors().items()))
+    each = F.array(*(F.struct(F.lit(k).alias("behaviour"), p.alias("present")) for k, (p, _) in Q.detectors(Q.typical_size(s)).items()))
     claims = s.select("trade_id", F.explode(each).alias("e")).filter("e.present").select("trade_id", F.col("e.behaviour").alias("behaviour")).join(F.broadcast(b), "behaviour")
     return rounded(reports.attribute_leaks(claims.withColumnRenamed("behaviour", "pattern")), 3)
 
@@ -264,7 +248,7 @@ def exits_input(spark: SparkSession, sf: str) -> DataFrame:
     """Orders with made-up excursions; every fifth has none."""
     t = views.order_facts(spark, sf)
     known = F.col("trade_id") % 5 != 0
-    return t.withColumns({"mfe_r": F.when(known, F.abs("r_multiple") + (F.col("trade_id") % 7) * 0.75), "mae_r": F.when(known, F.lit(0.5))})
+    return t.withColumns({"mfe_r": F.when(known, F.abs("r_multiple") + (F.col("trade_id") % 7) * 0.75), "mae_r": F.when(known, (F.col("trade_id") % 4) * 0.4)})
 
 
 def features() -> dict:
@@ -272,27 +256,6 @@ def features() -> dict:
     return {"quantity": F.col("quantity"), "hold": F.col("duration") / 86400, "weekday": F.weekday("session_date"), "half": F.when(F.col("trade_id") % 2 == 0, F.col("quantity")), "constant": F.lit(1)}
 
 
-@query
-def b04_paths(spark, sf):
-    return rounded(R.path_summary(R.paths(views.order_facts(spark, sf), "net", "instrument", 50, 100, 20000.0), "instrument"))
-
-
-@query
-def b08_block_skill(spark, sf):
-    return rounded(R.block_skill(predictions(spark, sf), 20))
-
-
-@query
-def b09_paired_test(spark, sf):
-    t = Q.what_if(facts(spark, sf), max_trades=5, stop_after_losses=2)
-    return rounded(R.paired_test(t, "delta", "segment", 100))
-
-
-@query
-def b10_calibration(spark, sf):
-    return rounded(R.calibration(predictions(spark, sf), 20))
-
-
 @query
 def d10_feature_matrix(spark, sf):
     m, _ = models.feature_matrix(views.order_facts(spark, sf), features())
@@ -325,11 +288,6 @@ def q06_exit_recommendation(spark, sf):
     return rounded(models.exit_recommendation(exits_input(spark, sf)), 4)
 
 
-@query
-def e01_period_comparison(spark, sf):
-    return rounded(reports.compare_periods(views.order_facts(spark, sf), ("1996-01-01", "1996-01-31"), ("1995-12-01", "1995-12-31"), 50))
-
-
 @query
 def e07_evidence(spark, sf):
     return rounded(reports.evidence(stats.kelly(views.order_facts(spark, sf), "account").select("account", "n", "kelly"), "account"))
@@ -382,21 +340,6 @@ def x03_replay_bars(spark, sf):
     return rounded(replay.window_bars(replay.windows(facts(spark, sf).filter("duration <= 14400")), views.bars(spark, sf, 300)))
 
 
-@query
-def d16_behaviour_scan(spark, sf):
-    return rounded(discovery.scan(state(spark, sf), None, 50))
-
-
-@query
-def e04_report(spark, sf):
-    """January 1996: Kelly by instrument, and the comparison with the month before."""
-    t = views.order_facts(spark, sf)
-    now = t.filter("session_date between '1996-01-01' and '1996-01-31'")
-    compared = reports.compare_periods(t, ("1996-01-01", "1996-01-31"), ("1995-12-01", "1995-12-31"), 50).select("metric", "n_current", "n_previous", "current", "previous", "q")
-    sections = {"performance": (stats.kelly(now, "instrument").select("instrument", "n", "kelly"), "instrument"), "comparison": (compared, "metric")}
-    return rounded(reports.compose(sections, now.select("session_date").distinct().count(), "monthly"))
-
-
 @query
 def e05_next_reports(spark, sf):
     return rounded(reports.next_reports(reports.due_periods(views.order_facts(spark, sf), "1999-06-15")))
@@ -412,11 +355,6 @@ def e08_claims(spark, sf):
     return reports.check_claims(claims, reports.evidence(n, "account")).select("claim_id", F.concat_ws(",", "problems").alias("problems"))
 
 
-@query
-def l11_gate(spark, sf):
-    return rounded(models.gate(predictions(spark, sf), True, 20, 20))
-
-
 @query
 def l07_walk_forward_logistic(spark, sf):
     """Chance of a gain by quantity and days held; per fold what was scored."""
