@@ -71,10 +71,17 @@ def spans_of(texts, size=13):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    rows = [b for i in range(0, len(texts), 50) for b in substring_dedup._paths(size, 5)(iter([batch.slice(i, 50)]))]
-    t = pa.Table.from_batches(rows).sort_by([("kmer", "ascending"), ("doc_id", "ascending")]).combine_chunks()
-    spans = [(d, s >> 32, s & 0xFFFFFFFF) for b in substring_dedup._repeats(size)(iter(t.to_batches())) for d, s in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-    return spans, collections.Counter(t.column("kmer").to_pylist())
+    sort = lambda rows, *by: pa.Table.from_batches(rows).sort_by([(c, "ascending") for c in by]).combine_chunks().to_batches(max_chunksize=17)
+    parts = [batch.slice(i, 50) for i in range(0, len(texts), 50)]
+    known = collections.defaultdict(list)
+    for b in substring_dedup._marks(iter(sort([x for b in parts for x in substring_dedup._kmers(size, 5)(iter([b]))], "deal", "doc_id"))):
+        for d, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            known[d].append(k)
+    marked = [pa.RecordBatch.from_arrays([*b.columns, pa.array([known[d] for d in b.column("doc_id").to_pylist()], pa.list_(pa.int64()))], ["doc_id", "text", "marks"]) for b in parts]
+    rows = [x for b in marked for x in substring_dedup._paths(size, 5)(iter([b]))]
+    t = sort(rows, "kmer", "doc_id") if rows else []
+    spans = [(d, a, a + n + size - 1) for b in substring_dedup._repeats(iter(t)) for d, a, n, *_ in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    return spans, collections.Counter(k for b in t for k in b.column("kmer").to_pylist())
 
 
 def test_substring_windows_that_share_32_bits(monkeypatch):
@@ -87,12 +94,30 @@ def test_substring_windows_that_share_32_bits(monkeypatch):
     assert {(d, a, b) for d, a, b in spans_of([texts[0], texts[1], texts[0]])[0] if d != 2} == set()
 
 
+def test_substring_spans_are_verified():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(20))
+    right = next(substring_dedup._digests(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text]), pa.array([[{"sa": 2, "n": 13}, {"sa": 2, "n": 99}]])], ["doc_id", "text", "asked"])])))
+    assert right.num_rows == 1
+    for digest, gone in ((right.column("digest")[0].as_py(), 13), (b"x" * 16, 0)):
+        batch = pa.RecordBatch.from_arrays([pa.array([2]), pa.array([text]), pa.array([[{"a": 2, "n": 13, "digest": digest}]])], ["doc_id", "text", "spans"])
+        assert next(substring_dedup._kept(iter([batch]))).column("n_removed").to_pylist() == [gone]
+
+
 def test_substring_settled_rows_have_no_company():
     spans, rows = spans_of([f"n{k} " + "a b " * 100 for k in range(400)])
     assert max(rows.values()) <= 8 * 189  # each of 8 pieces sends its first document's windows; no key gathers what is settled
     assert {d for d, _, _ in spans} == set(range(1, 400))
 
 
+def test_substring_repeated_ids_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    d = spark.createDataFrame([(1, a), (5, a), (5, b), (5, a + " x"), (7, b), (None, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(d).collect()))
+    assert got == [(0, 40, 0), (1, 40, 0), (5, 40, 0), (5, 40, 40), (5, 41, 40), (7, 40, 40)]
+
+
 def test_substring_dedup_with_hot_kmers(spark, docs, monkeypatch):
     t = texts() + [" ".join([*(f"w{k}x{i}" for i in range(k % 9)), "one phrase of five words", "a b " * (k % 20), *(f"v{k % 7}x{i}" for i in range(20))]) for k in range(60)]
     d = table(spark, list(enumerate(t))).repartition(6).cache()
