@@ -14,13 +14,24 @@ KEY = "_row"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID doesn't reject."""
-    model = language_id.fit(docs.filter(~language_id.held_out()))
-    return language_id.identify(docs, model, tuple(docs.columns)).filter("not rejected").select(docs.columns)
+    """Documents that language ID doesn't reject.
+
+    Every row is decided by its text alone, so repeated rows and rows without a doc_id are decided alike or by themselves; null,
+    empty and letterless texts are rejected.  Without any labelled row nothing can be identified and all rows go.  An empty
+    table stays empty; further columns may have any name.
+    """
+    models = language_id.fit(docs.filter(~language_id.held_out()))
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    own[docs.columns.index("text")] = "text"
+    return language_id.identify(docs.toDF(*own), models, tuple(own)).filter("not rejected").select(own).toDF(*docs.columns)
 
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows in a written table, each with a key of its own, as doc_id may be null or repeated."""
+    """The rows with a long key of their own: doc_id, or, in a table with null or repeated ids, a number that is written
+    with the rows, so that it is the same whenever they are read."""
+    irregular = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
+    if irregular.isEmpty():
+        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
     return cut(docs.withColumn(KEY, F.monotonically_increasing_id()), f"{name}_rows")
 
 
@@ -30,7 +41,11 @@ def by_key(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row of least doc_id of each group of near duplicates, without one only if all are; of equal ids, by the text's hash."""
+    """The row of least doc_id of each group of near duplicates, without one only if all are; of equal ids, by the text's hash.
+
+    A repeated row is a copy and goes; null, empty and wordless texts are near nothing and stay; ties are decided by the
+    row's key.  An empty table stays empty; further columns may have any name but _row.
+    """
     rows = keyed(docs, "near_duplicates")
     classes = ngram_join.near_duplicates(by_key(rows, "text")).select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text"), F.col(KEY).alias("key")))
@@ -39,21 +54,33 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without any occurrence of a benchmark window."""
+    """Rows without any occurrence of a benchmark window.
+
+    Each row is decided by itself, whatever its doc_id; null and empty texts stay, as do all rows if there is no benchmark
+    item.  An empty table stays empty; further columns may have any name but _row.
+    """
     rows = keyed(docs, "decontamination")
     found = decontamination.contamination(by_key(rows, "text"), table(spark, sf_dir, "benchmark"))
     return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)), KEY, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mixture takes it."""
+    """Each row as often as the mixture takes it: equal rows and rows without a doc_id each by themselves.
+
+    Null and empty texts have no words, so they go as often as their source is taken in whole.  A null source is a source of
+    its own.  An empty table stays empty; further columns may have any name but _row and _times.
+    """
     rows = keyed(docs, "mixing")
-    times = mixing.mix(rows, keep=(KEY,)).filter("times > 0").select(KEY, F.col("times").alias("_times"))
-    return rows.join(times, KEY).withColumn("_time", F.explode(F.expr("sequence(1L, _times)"))).select(docs.columns)
+    times = mixing.mix(rows.select("doc_id", "text", "source", KEY), keep=(KEY,)).filter("times > 0").select(KEY, F.col("times").alias("_times"))
+    each = rows.join(times, KEY).select(F.struct(*docs.columns).alias("_r"), F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
+    return each.select("_r.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the written token store holds of each document: doc_id, start, n_tokens, ids_crc32."""
+    """What the written token store holds of each document: doc_id, start, n_tokens, ids_crc32.
+
+    One row for each row, by ascending doc_id (null first); a null or empty text holds the end id alone.
+    """
     return token_store.read_store(spark, token_store.write_store(docs, tokenizer_path()), tokenizer_path())
 
 
