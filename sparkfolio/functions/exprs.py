@@ -83,3 +83,70 @@ def root_symbol(symbol: Column) -> Column:
 
 def r_multiple(net: Column, risk: Column) -> Column:
     return F.when(risk > 0, ratio(net, risk))
+
+
+def clamp(x: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), x))
+
+
+def sigmoid(x: Column) -> Column:
+    """The logistic function, with its exponent held within 30."""
+    return 1 / (1 + F.exp(-clamp(x, -30.0, 30.0)))
+
+
+def to_scaled(x: Column) -> Column:
+    """Money as a whole number of 10^-8."""
+    return F.bround(x.cast("decimal(28,10)") * 100_000_000, 0).cast("long")
+
+
+def from_scaled(x: Column) -> Column:
+    return (x.cast("decimal(20,0)") / F.lit(100_000_000).cast("decimal(10,0)")).cast("decimal(20,8)")
+
+
+def risk_per_contract(direction: Column, entry: Column, stop: Column) -> Column:
+    """Points at risk; NULL for a stop on the wrong side."""
+    points = (entry - stop) * F.when(direction == "long", 1).otherwise(-1)
+    return F.when(points > 0, points)
+
+
+def planned_risk(direction: Column, entry: Column, stop: Column, quantity: Column, point: Column) -> Column:
+    return F.when(quantity > 0, risk_per_contract(direction, entry, stop) * quantity * point)
+
+
+def planned_reward(direction: Column, entry: Column, target: Column, quantity: Column, point: Column) -> Column:
+    points = (target - entry) * F.when(direction == "long", 1).otherwise(-1)
+    return F.when((points > 0) & (quantity > 0), points * quantity * point)
+
+
+def reward_risk(risk: Column, reward: Column) -> Column:
+    return F.when(risk > 0, ratio(reward, risk))
+
+
+# Decimal places and suffix of a unit in reports.
+UNITS = {"currency": (2, ""), "ratio": (4, ""), "r": (3, "R"), "seconds": (0, "s"), "count": (2, "")}
+
+
+def plain(x: Column, places: int) -> Column:
+    """A number with so many places, rounded half to even."""
+    return F.format_string(f"%.{places}f", F.bround(x.cast("double"), places))
+
+
+def display_value(x: Column, unit: str) -> Column:
+    places, suffix = UNITS.get(unit, (2, ""))
+    return F.coalesce(F.concat(plain(x, places), F.lit(suffix)), F.lit("not available"))
+
+
+def evidence_text(x: Column, unit: str) -> Column:
+    """A value as evidence cites it: money, percentage, ratio, R or duration."""
+    money = F.format_number(F.abs(F.bround(x.cast("double"), 2)), 2)
+    seconds = F.floor(x).cast("long")
+    out = {
+        "currency": F.concat(F.when(F.bround(x.cast("double"), 2) < 0, "-$").otherwise("$"), money), "percent": F.concat(plain(x * 100, 1), F.lit("%")),
+        "ratio": plain(x, 3), "r": F.concat(plain(x, 2), F.lit("R")), "seconds": F.concat(seconds.cast("string"), F.lit("s")),
+    }[unit]
+    return F.coalesce(out, F.lit("not defined for this sample"))
+
+
+def trim_decimal(text: Column) -> Column:
+    """A decimal's text without the zeros at its end, and without a point that nothing follows."""
+    return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")

@@ -77,3 +77,75 @@ def atr(bars: DataFrame, periods: int = 14) -> DataFrame:
     keep = (periods - 1) / periods
     weight = F.when(F.col("i") <= periods, F.pow(F.lit(keep), F.col("n") - periods) / periods).otherwise(F.pow(F.lit(keep), F.col("n") - F.col("i")) / periods)
     return t.groupBy("symbol").agg(F.when(F.max("n") >= periods, F.sum(F.col("tr") * weight)).alias("atr"), F.max("n").alias("n_ranges"))
+
+
+def invalid(bars: DataFrame) -> DataFrame:
+    """Bars to set aside: a high under the low, or an open or close outside of both."""
+    fits = (F.col("high") >= F.col("low")) & F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high"))
+    return bars.filter(~F.coalesce(fits, F.lit(False)))
+
+
+def shapes(bars: DataFrame) -> DataFrame:
+    """Bars with their range, midpoint, whether they closed up, and whether which of high and low came first can't be told."""
+    up = F.col("close") >= F.col("open")
+    both = (F.col("high") > F.greatest("open", "close")) & (F.col("low") < F.least("open", "close"))
+    return bars.withColumns({"range": F.col("high") - F.col("low"), "midpoint": (F.col("high") + F.col("low")) / 2, "is_up": up, "sequence_ambiguous": both})
+
+
+def bar_at(left: DataFrame, bars: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Adds ``close`` and ``value_ts`` of the bar that is open at each row's time, NULL in a gap."""
+    return as_of(left, bars, "symbol", ts, "ts", "close", seconds)
+
+
+def latest_close(bars: DataFrame, at: str) -> DataFrame:
+    """Per symbol the close of the last bar at or before a time."""
+    some = bars.filter(F.col("ts") <= F.to_timestamp(F.lit(at)))
+    return some.groupBy("symbol").agg(F.max_by("close", "ts").alias("close"), F.max("ts").alias("ts"))
+
+
+def stored_timeframes(bars: DataFrame) -> DataFrame:
+    """(symbol, seconds) that bars are stored at, finest first."""
+    return bars.select("symbol", "seconds").distinct().orderBy("symbol", "seconds")
+
+
+def at_resolution(bars: DataFrame, seconds: int) -> DataFrame:
+    """Bars of ``seconds`` of every symbol: the stored ones, or else made of the coarsest stored finer ones; none if there are
+    only coarser ones.  bars: with their ``seconds``."""
+    best = bars.filter(F.col("seconds") <= seconds).groupBy("symbol").agg(F.max("seconds").alias("_best"))  # a symbol a row
+    own = bars.join(best, "symbol").filter(F.col("seconds") == F.col("_best"))
+    return resample(own.drop("seconds", "_best"), seconds).withColumn("seconds", F.lit(seconds))
+
+
+def partial_coverage(trades: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
+    """(trade_id, n_bars, partial): whether bars leave part of a trade unseen: before the first, after the last, or in a gap."""
+    c = covering(trades.select("trade_id", "symbol", "opened_at", "closed_at"), bars, seconds)
+    a = c.groupBy("trade_id", "opened_at", "closed_at").agg(F.count("*").alias("n_bars"), F.min("_ts").alias("first"), F.max("_ts").alias("last"))
+    unix = lambda x: F.unix_micros(x) / 1e6
+    holes = F.col("last") - F.col("first") > (F.col("n_bars") - 1) * seconds
+    return a.select("trade_id", "n_bars", ((F.col("first") > unix("opened_at")) | (F.col("last") + seconds < unix("closed_at")) | holes).alias("partial"))
+
+
+def has_bars(trades: DataFrame, bars: DataFrame, lead: int, trail: int) -> DataFrame:
+    """Trades of which some bar lies within ``lead`` seconds before the opening and ``trail`` after the closing.
+
+    Both sides meet on (symbol, day); each trade is kept once, however many bars it has.
+    """
+    day = lambda c: F.floor(c / 86400)
+    low, high = F.unix_timestamp("opened_at") - lead, F.unix_timestamp("closed_at") + trail
+    t = trades.withColumns({"_low": low, "_high": high}).withColumn("_day", F.explode(F.sequence(day(F.col("_low")), day(F.col("_high")))))
+    b = bars.select(F.col("symbol").alias("_symbol"), F.unix_timestamp("ts").alias("_ts")).withColumn("_bday", day(F.col("_ts")))
+    hit = t.join(b, (F.col("symbol") == F.col("_symbol")) & (F.col("_day") == F.col("_bday")) & F.col("_ts").between(F.col("_low"), F.col("_high")), "left_semi")
+    return trades.join(hit.select("trade_id").distinct(), "trade_id", "left_semi")
+
+
+def backfill(trades: DataFrame, bars: DataFrame, timeframes: list[tuple[int, int]]) -> DataFrame:
+    """Excursions of all trades, each at the resolution for its duration; trades without bars are left out.
+
+    timeframes: (least duration, seconds of a bar), ascending; bars: with their ``seconds``.
+    """
+    out = None
+    for i, (least, seconds) in enumerate(timeframes):
+        own = trades.filter(F.col("duration") >= least) if i + 1 == len(timeframes) else trades.filter((F.col("duration") >= least) & (F.col("duration") < timeframes[i + 1][0]))
+        e = excursions(own, at_resolution(bars, seconds), seconds).withColumn("seconds", F.lit(seconds))
+        out = e if out is None else out.unionByName(e)
+    return out

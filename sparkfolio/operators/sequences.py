@@ -58,7 +58,9 @@ def detectors(typical: float | None = None, size: str = "qty_opened") -> dict[st
 
 
 def typical_size(state: DataFrame, size: str = "qty_opened") -> float | None:
-    """The sample's median position, an aggregate of one row."""
+    """The sample's median position, an aggregate of one row; None where positions aren't known."""
+    if size not in state.columns:
+        return None
     return state.agg(F.median(F.col(size).cast("double"))).first()[0]
 
 

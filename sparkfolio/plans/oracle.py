@@ -94,8 +94,6 @@ o AS (SELECT a.dimension, a.key, CAST(sum(b.net) AS DOUBLE) / count(b.x) AS re,
 v AS (SELECT dimension, key, var_samp(x) AS sv FROM x GROUP BY 1, 2),
 d AS (SELECT s.*, re, CASE WHEN n >= 2 AND rn >= 2 THEN (expectancy - re) / sqrt(((n - 1) * sv + (rn - 1) * rv) / (n + rn - 2)) END AS cd FROM s JOIN o USING (dimension, key) JOIN v USING (dimension, key))
 SELECT dimension, key, n, winners, {r('net')}, {r('expectancy', None, 9)}, {r('re', 'rest_expectancy', 8)}, {r('cd', 'cohens_d')}, {_REL}, CASE WHEN cd IS NULL THEN NULL WHEN abs(cd) < 0.2 THEN 'negligible' WHEN abs(cd) < 0.5 THEN 'small' WHEN abs(cd) < 0.8 THEN 'medium' ELSE 'large' END AS effect FROM d""",
-    "a30_compliance": f"WITH {_STATE}, e AS (SELECT trade_id, [index < 6, (losses_before < 2 OR minutes_since_exit >= 10), (pnl_before >= 0 OR qo <= 2)] AS v FROM state) SELECT trade_id, {r('len(list_filter(v, lambda x: x)) / nullif(len(list_filter(v, lambda x: x IS NOT NULL)), 0)', 'score')}, {r('len(list_filter(v, lambda x: x IS NOT NULL)) / 3', 'coverage')}, CAST(len(list_filter(v, lambda x: NOT x)) AS BIGINT) AS failed FROM e",
-    "a29_rule_impact": f"WITH {_STATE}, e AS (SELECT net, {_RULES} FROM state), u AS (SELECT net, unnest(['max_trades_per_session', 'pause_after_two_losses', 'no_revenge_sizing']) AS rule, unnest([r1, r2, r3]) AS p FROM e), a AS (SELECT rule, count(*) FILTER (p) AS n_kept, count(*) FILTER (NOT p) AS n_broken, avg(net) FILTER (p) AS mk, avg(net) FILTER (NOT p) AS mb FROM u WHERE p IS NOT NULL GROUP BY 1) SELECT rule, n_kept, n_broken, {r('mk', 'mean_kept')}, {r('mb', 'mean_broken')}, {r('(mb - mk) * n_broken', 'cost')}, {r('n_broken / (n_broken + n_kept)', 'broken_share')} FROM a",
     "a31_resample": f"WITH {_BARS.format(s=14400)} SELECT * FROM bars",
     "w01_equity_curve": f"WITH {_CURVE} SELECT account, trade_id, i, {r('cum_net')}, {r('cum_r')}, {r('peak')}, {r('drawdown')} FROM curve",
     "w02_drawdown_periods": f"WITH {_CURVE} SELECT account, first_i, last_i, {r('depth')}, trough_i, recovered_i FROM periods",

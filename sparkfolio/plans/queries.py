@@ -132,20 +132,6 @@ def a26_segment_cube(spark, sf):
     return rounded(c, 9)
 
 
-@query
-def a30_compliance(spark, sf):
-    s = state(spark, sf).select("trade_id", F.col("index").alias("trades_today"), F.col("losses_before").alias("consecutive_losses"), F.col("minutes_since_exit").alias("minutes_since_last_trade"), F.col("pnl_before").alias("session_pnl_before"), F.col("qty_opened").alias("quantity"), "net")
-    e = rules.score(rules.evaluate(s, rules.STARTERS))
-    return rounded(e.select("trade_id", "score", "coverage", F.size(F.filter("verdicts", lambda v: ~v["passed"])).alias("failed")))
-
-
-@query
-def a29_rule_impact(spark, sf):
-    s = state(spark, sf).select("trade_id", F.col("index").alias("trades_today"), F.col("losses_before").alias("consecutive_losses"), F.col("minutes_since_exit").alias("minutes_since_last_trade"), F.col("pnl_before").alias("session_pnl_before"), F.col("qty_opened").alias("quantity"), "net")
-    v = rules.evaluate(s, rules.STARTERS).select("net", F.explode("verdicts").alias("v")).select("net", "v.rule", "v.passed")
-    return rounded(Q.impact(v))
-
-
 @query
 def a31_resample(spark, sf):
     return rounded(views.bars(spark, sf, 14400))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import oracle, queries, resampling
+from . import analytics, compliance, oracle, queries, resampling, storage
 
-_PARTS = (resampling,)
+_PARTS = (resampling, analytics, compliance, storage)
 QUERIES = queries.QUERIES | {k: f for part in _PARTS for k, (f, _) in part.TABLE.items()}
 ORACLE = oracle.ORACLE | {k: sql for part in _PARTS for k, (_, sql) in part.TABLE.items() if sql}
