@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import Piece, mix, pieces
+from .text import Piece, mix, pieces, tidy
 
 ORDER = 5
 #: Labelled rows per language that a model is fitted on, and their characters, about; languages that are scored at once.
 TRAIN_ROWS, TRAIN_CHARS, SHARD = 1000, 8_000_000, 8
+#: Bytes of text that are scored at once: each takes some 100 bytes of arrays.
+PIECE = 1 << 18
 _FACTORS = [np.uint64(pow(0x100000001B3, t, 1 << 64)) for t in range(ORDER)]
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -87,7 +89,7 @@ def _keys(codes: np.ndarray) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
-        for p in pieces(batch.column("text")):
+        for p in pieces(batch.column("text"), PIECE):
             chars, doc, place = letters(p)
             bounds = np.searchsorted(doc, np.arange(p.n + 1))
             each: dict[str, Counter] = {}
@@ -197,11 +199,12 @@ class Model:
 
 
 def _calibrate(shared):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for p in pieces(batch.column("text")):
+            for p in pieces(batch.column("text"), PIECE):
                 count, h = model.score(p)
                 own = np.array([model.langs.index(x) for x in langs[p.rows]])
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count), pa.array(h[np.arange(p.n), own])], ["lang", "count", "h"])
@@ -254,12 +257,13 @@ CERTAIN = 64
 
 
 def _predict(shared, text: str, last: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             had = "_low" in batch.schema.names
             names = [x for x in batch.schema.names if x[0] != "_" or x == "_text" and not last]
-            for p in pieces(batch.column(text)):
+            for p in pieces(batch.column(text), PIECE):
                 count, h = model.score(p)
                 best = h.argmin(axis=1)
                 low = h[np.arange(p.n), best]

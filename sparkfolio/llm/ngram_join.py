@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import cut
-from .text import Piece, SpanHash, mix, pieces, window_hash
+from .text import Piece, SpanHash, mix, pieces, tidy, window_hash
 
 BLOCK = 1024
 #: Bits of the map that keeps most texts without a candidate out of the shuffle; it's broadcast as 64-bit words.
@@ -65,6 +65,7 @@ def _sign(size: int, bands: int, rows: int):
     factor = rng.integers(1, 2**63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, bands * rows, dtype=np.uint64)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for p in pieces(batch.column("text")):
@@ -160,6 +161,7 @@ def _verify(size: int, threshold: float):
                 front = link[front].any(axis=0) & ~seen
         return nodes, far, link @ copies
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .storage import cut, new_path
-from .text import Piece, SpanHash, mix, pieces, spaced
+from .text import Piece, SpanHash, mix, pieces, spaced, tidy
 
 #: Rolling window, expected length beyond the least one, least and largest length of a chunk, in ids.
 WINDOW, MEAN, LEAST, MOST = 32, 512, 128, 4096
@@ -169,6 +169,7 @@ _ENCODED = pa.schema([("deal", pa.binary()), ("kind", pa.int32()), ("body", pa.b
 
 
 def _encode(path: str):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
