@@ -3,7 +3,8 @@
 The index is a stored table of postings (term, document, position) of every test term, with one posting of the
 reserved term 0 at each document's end, which tells its length.  A test window is looked up from its rarest
 term: that term's postings, moved back by its offset, are the first candidates; they are intersected with the
-next rarest term's postings at its own offset, and what is left with all other terms of the window.
+next rarest term's postings at its own offset, and what is left with all other terms of the window.  Near matches are found
+alike, with each term at most a few words off its place.
 Each intersection is an equi-join on (document, position, term), so a frequent term's list is never multiplied by the
 number of windows it is in, and a document's text is read once.
 """
@@ -20,6 +21,8 @@ from .storage import cut
 #: Rows up to which a small side is broadcast (a few tens of MB); larger ones are shuffled.
 BROADCAST_ROWS = 500_000
 END = "\x00"
+#: Words by which a term of a near match may be off its place.
+SLOP = 3
 
 
 def words_of(text: Column) -> Column:
@@ -53,37 +56,55 @@ def plan(index: DataFrame, phrases: DataFrame) -> DataFrame:
     return each.groupBy("win", "size").agg(F.array_sort(F.collect_list(F.struct("often", "term", "offset"))).alias("terms"))
 
 
-def candidates(index: DataFrame, plan_: DataFrame) -> DataFrame:
-    """(win, doc_id, start) where the rarest and the next rarest term of a window stand as in the window."""
+def _near(left: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
+    """Rows of ``left`` (doc_id, term, at, ...) with ``off``, how far from ``at`` the term stands, for each place within ``slop``.
+
+    Places are dealt into blocks of 2 * slop + 1 words, so a place within reach is in one of at most two blocks: an equi-join,
+    whose rows don't grow with how often a term occurs elsewhere.
+    """
+    block = 2 * slop + 1
+    asked = left.withColumn("_block", F.explode(F.array_distinct(F.array(*(F.floor((F.col("at") + d) / block) for d in (-slop, slop))))))
+    held = lists.select("doc_id", "term", F.col("pos").alias("_pos"), F.floor(F.col("pos") / block).alias("_block"))
+    return asked.join(held, ["doc_id", "term", "_block"]).withColumn("off", F.col("_pos") - F.col("at")).filter(F.abs("off") <= slop).drop("_block", "_pos")
+
+
+def candidates(index: DataFrame, plan_: DataFrame, slop: int = 0) -> DataFrame:
+    """(win, doc_id, start, off) where a window's rarest term stands as if the window began at ``start``, with its next rarest
+    term at most ``slop`` words off its place; off is the least deviation, 0 for windows of one word."""
     first = small(cut(plan_.filter("terms[0].often > 0").select(F.expr("terms[0].term").alias("term"), F.expr("terms[0].offset").alias("back"), "win", F.expr("get(terms, 1).term").alias("next"), F.expr("get(terms, 1).offset").alias("ahead")), "rarest"))
-    one = index.join(first, "term").select("win", "doc_id", (F.col("pos") - F.col("back")).alias("start"), "next", "ahead").filter("start >= 0")
+    one = index.join(first, "term").select("win", "doc_id", (F.col("pos") - F.col("back")).alias("start"), "back", "next", "ahead")
     second = small(cut(plan_.filter("size(terms) > 1").select(F.expr("terms[1].term").alias("term")).distinct(), "second"))
-    lists = index.join(second, "term", "left_semi").select(F.col("term").alias("next"), "doc_id", F.col("pos").alias("at"))
-    two = one.filter("next is not null").withColumn("at", F.col("start") + F.col("ahead")).join(lists, ["doc_id", "at", "next"]).select("win", "doc_id", "start")
-    return two.unionByName(one.filter("next is null").select("win", "doc_id", "start")).distinct()
+    lists = index.join(second, "term", "left_semi")
+    asked = one.filter("next is not null").select("win", "doc_id", "start", "back", F.col("next").alias("term"), (F.col("start") + F.col("ahead")).alias("at"))
+    # two terms of one window never share a place
+    two = _near(asked, lists, slop).filter("at + off <> start + back").groupBy("win", "doc_id", "start").agg(F.min(F.abs("off")).alias("off"))
+    return two.unionByName(one.filter("next is null").select("win", "doc_id", "start", F.lit(0).alias("off")))
 
 
-def phrase_matches(index: DataFrame, plan_: DataFrame, size: int = 10) -> DataFrame:
-    """(win, size, doc_id, start) of every exact occurrence of a window in a document."""
-    found = cut(candidates(index, plan_), "candidates")
+def phrase_matches(index: DataFrame, plan_: DataFrame, found: DataFrame) -> DataFrame:
+    """(win, size, doc_id, start) of every exact occurrence of a window in a document, of the stored candidates."""
     rest = small(cut(plan_.select("win", "size", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest")), "rest"))
-    need = found.join(rest, "win")
-    doc_ids = small(cut(found.select("doc_id").distinct(), "matched"))
+    exact = found.filter("off = 0 and start >= 0")
+    need = exact.join(rest, "win")
+    doc_ids = small(cut(exact.select("doc_id").distinct(), "matched"))
     lists = index.filter("term <> 0").join(doc_ids, "doc_id", "left_semi").withColumnRenamed("pos", "at")
     asked = need.filter("size(rest) > 0").select("win", "size", "doc_id", "start", F.explode("rest").alias("r")).select("win", "size", "doc_id", "start", F.expr("start + r.offset").alias("at"), F.expr("r.term").alias("term"))
     held = asked.join(lists, ["doc_id", "at", "term"]).groupBy("win", "size", "doc_id", "start").agg(F.count_distinct("at").alias("n")).filter("n = size - 2").drop("n")
     return held.unionByName(need.filter("size(rest) = 0").select("win", "size", "doc_id", "start"))
 
 
-def proximity_matches(index: DataFrame, plan_: DataFrame, slop: int = 5) -> DataFrame:
-    """(win, doc_id, pos, off): windows whose two rarest terms stand at most ``slop`` words off their distance in
-    the window; pos is the rarest term's place, off the least deviation.  Windows of one word match where it is."""
-    first = small(cut(plan_.select(F.expr("terms[0].term").alias("term"), "win", F.expr("get(terms, 1).term").alias("next"), F.expr("get(terms, 1).offset - terms[0].offset").alias("ahead")), "rarest"))
-    one = index.join(first, "term")
-    near = one.filter("next is not null").select("win", "doc_id", "pos", "next", F.explode(F.expr(f"sequence(-{slop}, {slop})")).alias("off"), "ahead").withColumn("at", F.col("pos") + F.col("ahead") + F.col("off"))
-    lists = index.select(F.col("term").alias("next"), "doc_id", F.col("pos").alias("at"))
-    two = near.join(lists, ["doc_id", "at", "next"]).filter("at <> pos").groupBy("win", "doc_id", "pos").agg(F.min(F.abs("off")).alias("off"))
-    return two.unionByName(one.filter("next is null").select("win", "doc_id", "pos", F.lit(0).alias("off")))
+def proximity_matches(index: DataFrame, plan_: DataFrame, found: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(win, doc_id, start, off): windows all of whose terms stand at most ``slop`` words off their places, counted from
+    the rarest one; off is the largest of their least deviations.  found: candidates() with this slop.  Exact ones are among them."""
+    rest = small(cut(plan_.select("win", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest")), "rest"))
+    need = found.join(rest, "win")
+    doc_ids = small(cut(found.select("doc_id").distinct(), "near"))
+    lists = index.filter("term <> 0").join(doc_ids, "doc_id", "left_semi")
+    asked = need.select("win", "doc_id", "start", F.col("off").alias("first"), F.explode("rest").alias("r")).select("win", "doc_id", "start", "first", F.expr("r.term").alias("term"), F.expr("r.offset").alias("offset"), F.expr("start + r.offset").alias("at"))
+    each = _near(asked, lists, slop).groupBy("win", "doc_id", "start", "first", "offset").agg(F.min(F.abs("off")).alias("off"))
+    all_of = each.groupBy("win", "doc_id", "start", "first").agg(F.count("*").alias("n"), F.max("off").alias("off"))
+    met = all_of.join(rest.select("win", F.size("rest").alias("many")), "win").filter("n = many")
+    return met.select("win", "doc_id", "start", F.greatest("first", "off").alias("off")).unionByName(need.filter("size(rest) = 0").select("win", "doc_id", "start", "off"))
 
 
 def prepare(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -96,19 +117,29 @@ def prepare(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[Data
     return index, windows, cut(plan(index, windows.select("win", "phrase").distinct()), "plan")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_hit, items): per document the number of its words, of those inside an occurrence of a
     window of ``size`` consecutive benchmark words, and the sorted item_ids (as strings) whose windows occur.
 
+    With a ``slop`` also near_items: the item_ids with a window that occurs exactly or near (proximity_matches()).
+
     A null or empty text has no words; an item without words has no window; a shorter item is one window.
     Rows with one doc_id count as one document, rows without a doc_id are left out.  Without benchmark items nothing is hit.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
     index, windows, plan_ = prepare(docs, benchmark, size)
-    matches = cut(phrase_matches(index, plan_, size), "matches")
+    found = cut(candidates(index, plan_, slop or 0), "candidates")
+    matches = cut(phrase_matches(index, plan_, found), "matches")
     hits = matches.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     hits = hits.select("doc_id", F.expr("cast(size(array_distinct(flatten(transform(spans, s -> sequence(s.start, s.start + s.size - 1))))) as long)").alias("n_hit"))
-    items = matches.join(small(windows.select("win", "item_id")), "win").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    named = small(windows.select("win", "item_id"))
+    items_of = lambda found, name: found.join(named, "win").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias(name))
+    items = items_of(matches, "items")
     length = index.filter("term = 0").groupBy("doc_id").agg(F.max("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    return length.join(hits, "doc_id", "left").join(items, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
+    out = length.join(hits, "doc_id", "left").join(items, "doc_id", "left")
+    columns = ["doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")]
+    if slop is None:
+        return out.select(*columns)
+    near = cut(items_of(proximity_matches(index, plan_, found, slop).unionByName(matches.select("win", "doc_id", "start", F.lit(0).alias("off"))), "near_items"), "near_items")
+    return out.join(near, "doc_id", "left").select(*columns, F.coalesce("near_items", none).alias("near_items"))

@@ -24,8 +24,11 @@ def tokenizer_path() -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10, decontamination.SLOP)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near_items"),
+    )
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +89,20 @@ win AS (SELECT DISTINCT item_id, n, w[i:i + n - 1] AS g FROM (SELECT item_id, w,
 pos AS (SELECT doc_id, n, i, w[i:i + n - 1] AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
 hit AS (SELECT DISTINCT doc_id, pos.n, i, item_id FROM pos JOIN win USING (g)),
 words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id),
+exact AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)),
+vocab AS (SELECT DISTINCT unnest(g) AS t FROM win),
+tok AS (SELECT doc_id, t, p FROM (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM d) SEMI JOIN vocab USING (t)),
+freq AS (SELECT t, count(*) AS often FROM tok GROUP BY 1),
+wins AS (SELECT g, row_number() OVER () AS win FROM (SELECT DISTINCT g FROM win)),
+wt AS (SELECT win, len(g) AS n, unnest(g) AS t, unnest(range(len(g))) AS o FROM wins),
+ranked AS (SELECT wt.*, coalesce(often, 0) AS often, row_number() OVER (PARTITION BY win ORDER BY coalesce(often, 0), o) AS rk FROM wt LEFT JOIN freq USING (t)),
+start AS (SELECT win, n, doc_id, p - o AS s FROM ranked JOIN tok USING (t) WHERE rk = 1),
+placed AS (SELECT DISTINCT s.win, s.n, s.doc_id, s.s, r.o FROM start s JOIN ranked r ON s.win = r.win JOIN tok k ON k.doc_id = s.doc_id AND k.t = r.t AND k.p BETWEEN s.s + r.o - 3 AND s.s + r.o + 3),
+near AS (SELECT DISTINCT doc_id, item_id FROM (SELECT win, doc_id, s, n FROM placed GROUP BY ALL HAVING count(*) = n) JOIN wins USING (win) JOIN win USING (g)),
+nears AS (SELECT doc_id, count(*) AS n_near_items FROM near GROUP BY 1)
+SELECT exact.*, coalesce(n_near_items, 0) AS n_near_items FROM exact LEFT JOIN nears USING (doc_id)""",
     "op3_substring_dedup": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),

@@ -209,10 +209,41 @@ def test_decontamination(spark, docs):
 
 
 def test_proximity(spark):
-    d = spark.createDataFrame([(1, "zebra x x lion"), (2, "zebra lion"), (3, "lion zebra"), (4, "zebra x x x x x x x x lion")], "doc_id long, text string")
-    index, _, plan = decontamination.prepare(d, spark.createDataFrame([(1, "zebra lion")], "item_id long, text string"))
-    got = {r.doc_id: r.off for r in decontamination.proximity_matches(index, plan, 3).collect()}
-    assert got == {1: 2, 2: 0, 3: 2}
+    rng = random.Random(12)
+    words_of = [f"w{k}" for k in range(30)]
+    items = [[rng.choice(words_of) for _ in range(n)] for n in (1, 2, 4, 6, 12)]
+    rows = []
+    for k in range(80):
+        w = [rng.choice(words_of + ["x", "y"]) for _ in range(rng.randint(0, 30))]
+        if k % 2:  # an item with words put in and left out
+            for t in items[k % 5]:
+                w += [t] + ["x"] * rng.choice([0, 0, 0, 1, 2])
+        rows.append((k, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: set(r.near_items) for r in decontamination.contamination(d, b, 10, 2).collect()}
+    often = collections.Counter(t for _, text in rows for t in text.split() if t in {x for w in items for x in w})
+    # which of equally frequent terms is the first is the plan's choice
+    index, windows, plan = decontamination.prepare(d, b, 10)
+    first = {r.win: (r.terms[0].offset, len(r.terms), r.terms[0].often, r.terms[0].term, [(t.term, t.offset) for t in r.terms]) for r in plan.collect()}
+    names = collections.defaultdict(set)
+    phrase = {}
+    for r in windows.collect():
+        names[r.win].add(str(r.item_id))
+        phrase[r.win] = list(r.phrase)
+    assert all(o[2] == min(often[t] for t in phrase[w]) for w, o in first.items())
+    for i, text in rows:
+        w, want = text.split(), set()
+        for win, g in phrase.items():
+            back = first[win][0]
+            second = first[win][4][1][1] if len(g) > 1 else None
+            for at, t in enumerate(w):
+                if t != g[back]:
+                    continue
+                fits = lambda o, at=at, back=back, g=g, w=w, second=second: any(0 <= q < len(w) and w[q] == g[o] and not (o == second and q == at) for q in range(at - back + o - 2, at - back + o + 3))
+                if all(o == back or fits(o) for o in range(len(g))):
+                    want |= names[win]
+        assert got[i] == want, (i, got[i], want)
 
 
 def test_mixing(spark, docs):
