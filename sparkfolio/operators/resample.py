@@ -39,8 +39,13 @@ def poisson(u: Column) -> Column:
 
 
 def hashed(values: DataFrame, kind: str, replicates: int) -> DataFrame:
-    """Each row once for every LANES replicates, with a hash ``_h`` of (seed, kind, block, trade_id)."""
-    blocks = values.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // LANES))))
+    """Each row once for every LANES replicates, with a hash ``_h`` of (seed, kind, block, trade_id).
+
+    The rows, not the draws, are dealt out first: few small partitions would leave most cores idle while rows multiply.
+    """
+    spark = values.sparkSession
+    many = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = values.repartition(many, "trade_id").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // LANES))))
     return blocks.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{SEED}:{kind}"), F.col("_block").cast("string"), F.col("trade_id").cast("string"))))
 
 
@@ -52,7 +57,9 @@ def replicate_sums(values: DataFrame, terms: dict[str, Column], group: str, kind
     NULL term counts as 0.
     """
     v = values.select(F.col(group).alias("g"), "trade_id", *(F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"_{t}") for t, c in terms.items()))
-    w = hashed(v, kind, replicates).select("g", "_block", *(f"_{t}" for t in terms), *(poisson(lane("_h", i)).alias(f"_w{i}") for i in range(LANES)))
+    # numbers before weights, and weights before products: each is then computed once a row
+    u = hashed(v, kind, replicates).select("g", "_block", *(f"_{t}" for t in terms), *(lane("_h", i).alias(f"_u{i}") for i in range(LANES)))
+    w = u.select("g", "_block", *(f"_{t}" for t in terms), *(poisson(F.col(f"_u{i}")).alias(f"_w{i}") for i in range(LANES)))
     sums = w.groupBy("g", "_block").agg(*(F.sum(F.col(f"_w{i}") * F.col(f"_{t}")).alias(f"{t}_{i}") for t in terms for i in range(LANES)))
     each = F.array(*(F.struct((F.col("_block") * LANES + i).alias("rep"), *(F.col(f"{t}_{i}").alias(t) for t in terms)) for i in range(LANES)))
     return sums.select("g", F.explode(each).alias("e")).select("g", "e.*").filter(F.col("rep") < replicates)
@@ -239,8 +246,10 @@ def two_sample(values: DataFrame, kind: str, permutations: int = 1000) -> DataFr
     bound = F.floor(F.col("n_in") * F.lit(2.0**32) / F.col("tn"))
     tested = real.filter((F.col("n_in") >= MIN_SAMPLE) & (F.col("n_out") >= MIN_SAMPLE)).withColumn("d", _scaled("s", "n_in", "ts", "tn")).select("test", "ts", "tn", "d", bound.alias("bound"))
     # one row a test: dimensions of a scan, never rows of data
-    draws = hashed(v.join(F.broadcast(tested.select("test", "bound")), "test"), kind, permutations)
-    draws = draws.select("test", "bound", "x", "_block", *((lane("_h", i) < F.col("bound")).alias(f"_i{i}") for i in range(LANES)))
+    rows = v.join(F.broadcast(tested.select("test", "bound")), "test").groupBy("trade_id").agg(F.collect_list(F.struct("test", "bound", "x")).alias("_t"))  # one hash serves all tests
+    draws = hashed(rows, kind, permutations).select("_block", "_t", *(lane("_h", i).alias(f"_u{i}") for i in range(LANES)))
+    draws = draws.select("_block", F.explode("_t").alias("_t"), *(f"_u{i}" for i in range(LANES)))
+    draws = draws.select("_t.test", "_t.x", "_block", *((F.col(f"_u{i}") < F.col("_t.bound")).alias(f"_i{i}") for i in range(LANES)))
     inside = lambda i, c: F.sum(F.when(F.col(f"_i{i}"), c).otherwise(0.0))
     sums = draws.groupBy("test", "_block").agg(*(inside(i, F.lit(1.0)).alias(f"n{i}") for i in range(LANES)), *(inside(i, F.col("x")).alias(f"s{i}") for i in range(LANES)))
     each = F.array(*(F.struct((F.col("_block") * LANES + i).alias("rep"), F.col(f"n{i}").alias("pn"), F.col(f"s{i}").alias("ps")) for i in range(LANES)))
