@@ -57,7 +57,7 @@ def _windows(p, size: int, seed: int):
 
 def _kmers(size: int, seed: int):
     """Least k-mers of windows, each once a document.  Of those of several documents of a piece the least document's travels
-    under the k-mer; the others are known to repeat and are dealt out evenly."""
+    under the k-mer (``deal``; ``kmer`` is then 0); the others are known to repeat and are dealt out evenly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,7 +76,7 @@ def _kmers(size: int, seed: int):
                 kmer, ident, first = kmer[new], ident[new], first[new]
                 last = np.append(first[1:], True)
                 deal = np.where(first, kmer, mix(kmer ^ mix(ident.view(np.uint64) + np.uint64(1))))
-                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(kmer.view(np.int64)), pa.array(ident), pa.array(~(first & last))], ["deal", "kmer", "doc_id", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(deal.view(np.int64)), pa.array(np.where(first, 0, kmer.view(np.int64))), pa.array(ident), pa.array(~(first & last))], ["deal", "kmer", "doc_id", "known"])
 
     return run
 
@@ -88,6 +88,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         deal, kmer, doc, known = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("deal", "kmer", "doc_id", "known"))
+        kmer = np.where(kmer == 0, deal, kmer)
         head = np.ones(len(deal), dtype=bool)
         head[1:] = deal[1:] != deal[:-1]
         goes_on = held is not None and deal[0] == held[0]
@@ -244,7 +245,8 @@ def compacted(fragments: DataFrame, size: int) -> DataFrame:
     Fragments that continue each other have one document, source and distance; each one's successor is the next of these.
     """
     order = W.partitionBy("doc_id", "sdoc", "far").orderBy("a")
-    f = fragments.withColumn("far", F.col("sa") - F.col("a"))
+    # the filter is what joins ask for anyway: with it, all uses of the fragments are one exchange
+    f = fragments.filter("doc_id is not null and sdoc is not null").withColumn("far", F.col("sa") - F.col("a"))
     f = f.withColumn("upto", F.max(F.col("a") + F.col("n")).over(order.rowsBetween(W.unboundedPreceding, -1)))
     f = f.withColumn("path", F.sum((F.col("upto").isNull() | (F.col("a") > F.col("upto"))).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     spans = f.groupBy("doc_id", "sdoc", "far", "path").agg(F.min("a").alias("a"), F.max(F.col("a") + F.col("n")).alias("end"))
@@ -311,7 +313,8 @@ def remove_repeats(docs: DataFrame, size: int = 13, seed: int = 5) -> DataFrame:
     doc_id are the same document: neither removes words of the other.  A null doc_id is kept whole.  An empty table gives
     an empty one; other columns are ignored.
     """
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    long = docs.schema["doc_id"].dataType.simpleString() == "bigint"
+    some = docs.select("doc_id" if long else F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = some.filter("doc_id is not null")  # dealt out by doc_id once, for all three joins
     spans = repeated_spans(named, size, seed)
     asked = spans.select("sdoc", "sa", "n").distinct().groupBy(F.col("sdoc").alias("doc_id")).agg(F.collect_list(F.struct("sa", "n")).alias("asked"))
