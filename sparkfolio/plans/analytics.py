@@ -105,9 +105,13 @@ def a26_segments_tested(spark, sf):
     return rounded(A.segments(labelled(spark, sf)))
 
 
-@query(f"{_CUBE} SELECT dimension, arg_max(key, (expectancy, key)) AS best, arg_min(key, (expectancy, key)) AS worst FROM seg WHERE n >= 30 GROUP BY 1")
+_KEYS = f"WITH {_TRADES}, v0 AS (SELECT trade_id, CAST(net AS DOUBLE) AS x, unnest([{', '.join(f"'{d}'" for d in _DIMS)}]) AS dimension, unnest([{', '.join(_DIMS.values())}]) AS key FROM facts), s AS (SELECT dimension, key, count(*) AS n, round(avg(x), 6) AS e FROM v0 WHERE key IS NOT NULL GROUP BY 1, 2)"
+
+
+@query(f"{_KEYS} SELECT dimension, arg_max(key, (e, key)) AS best, arg_min(key, (e, key)) AS worst FROM s WHERE n >= 30 GROUP BY 1")
 def t05_best_and_worst(spark, sf):
-    return A.best_and_worst(A.segments(labelled(spark, sf)))
+    c = stats.cube(labelled(spark, sf), A.segment_dimensions())
+    return A.best_and_worst(c.withColumn("expectancy", F.round("expectancy", 6)))
 
 
 @query(f"{_CUBE} SELECT dimension, key, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY key) AS rank FROM seg WHERE actionable) WHERE rank <= 3")
@@ -140,14 +144,14 @@ def d18_pattern_rows(spark, sf):
     return out.withColumns({"impact": F.round("impact", 3), "annual_impact": F.round("annual_impact", 3)})
 
 
-@query(f"""WITH {_ORDERS}, n AS (SELECT trade_id, CAST(net AS DOUBLE) + 0.001 AS x, r_multiple AS rm, duration FROM facts),
+@query(f"""WITH {_ORDERS}, n AS (SELECT trade_id, CAST(net AS DOUBLE) + 0.00003 AS x, r_multiple AS rm, duration FROM facts),
  m AS (SELECT *, round_even(x, 2) AS c FROM n)
 SELECT trade_id, CAST(round_even(x * 100000000, 0) AS BIGINT) AS scaled, {bare('1 / (1 + exp(-greatest(-30, least(30, x / 1000))))', 9)} AS sigmoid, CASE WHEN c < 0 THEN '-$' ELSE '$' END || format('{{:,.2f}}', CAST(abs(c) AS DOUBLE)) AS money, printf('%.1f', round_even(rm * 100, 1) + 0.0) || '%' AS percent, printf('%.2f', round_even(rm, 2) + 0.0) || 'R' AS r, printf('%.0f', CAST(duration AS DOUBLE)) || 's' AS held,
  regexp_replace(regexp_replace(printf('%.2f', c), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') AS trimmed FROM m""")
 def f_s3_texts(spark, sf):
     """Money, percentages, R and durations as they are shown; money as whole numbers; the logistic function."""
     t = views.order_facts(spark, sf)
-    x = F.col("net").cast("double") + 0.001  # so that no value is halfway
+    x = F.col("net").cast("double") + 0.00003  # so that no value is halfway
     return rounded(t.select(
         "trade_id", X.to_scaled(x).alias("scaled"), F.round(X.sigmoid(x / 1000), 9).alias("sigmoid"), X.evidence_text(x, "currency").alias("money"), X.evidence_text(F.col("r_multiple"), "percent").alias("percent"),
         X.evidence_text(F.col("r_multiple"), "r").alias("r"), X.display_value(F.col("duration"), "seconds").alias("held"), X.trim_decimal(X.plain(x, 2)).alias("trimmed"),
