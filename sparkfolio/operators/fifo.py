@@ -76,3 +76,10 @@ def trades(fills: DataFrame, instruments: DataFrame) -> DataFrame:
 def closed_facts(fills: DataFrame, instruments: DataFrame) -> DataFrame:
     """Closed trades as statistics take them."""
     return trades(fills, instruments).filter("status = 'closed'").withColumn("trade_id", F.concat_ws("-", "account", "symbol", F.col("tid").cast("string")))
+
+
+def max_position(parts: DataFrame) -> DataFrame:
+    """(account, symbol, tid, quantity): the greatest position that each trade of slices() held."""
+    order = W.partitionBy(*KEY, "tid").orderBy("ts", "fill_id").rowsBetween(W.unboundedPreceding, 0)
+    held = F.sum(F.when(F.col("role") == "entry", F.col("qty")).otherwise(-F.col("qty"))).over(order)
+    return parts.withColumn("held", held).groupBy(*KEY, "tid").agg(F.max("held").alias("quantity"))

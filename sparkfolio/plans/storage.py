@@ -198,3 +198,32 @@ def x02_backfill(spark, sf):
     """Trades of less than a day by quarters of an hour, longer ones by hours."""
     t = facts(spark, sf).select("trade_id", "symbol", "direction", "opened_at", "closed_at", "avg_entry", "duration")
     return rounded(B.backfill(t, stored_bars(spark, sf), [(0, 900), (86400, 3600)]))
+
+
+@query(f"WITH {_SLICES}, w AS (SELECT account, symbol, tid, sum(CASE role WHEN 'entry' THEN q ELSE -q END) OVER (PARTITION BY account, symbol, tid ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING) AS p FROM slices) SELECT account, symbol, CAST(tid AS BIGINT) AS tid, {bare('max(p)')} AS quantity FROM w GROUP BY 1, 2, 3")
+def s05_pattern_scan(spark, sf):
+    """Trades with the size that patterns look at: the greatest position held."""
+    return rounded(fifo.max_position(fifo.slices(views.fills(spark, sf))))
+
+
+@query(f"WITH {_ORDERS} SELECT account, count(*) AS n, count(*) FILTER (trade_id % 100 = 7) AS found FROM facts GROUP BY 1")
+def s16_counts(spark, sf):
+    """A tenant's trades, and those that are looked up among them by id."""
+    t = views.order_facts(spark, sf)
+    return t.groupBy("account").agg(F.count("*").alias("n"), F.count_if(F.col("trade_id") % 100 == 7).alias("found"))
+
+
+@query(f"WITH {_ORDERS}, k AS (SELECT instrument, count(DISTINCT session_date) AS days FROM facts GROUP BY 1) SELECT instrument, DATE '1999-01-01' AS as_of, days, 'old' AS assumptions FROM k WHERE instrument >= '3' UNION ALL SELECT instrument, DATE '1999-01-01', days, 'new' FROM k WHERE instrument < '3' UNION ALL SELECT instrument, DATE '1999-02-01', days, 'new' FROM k")
+def s24_risk_upsert(spark, sf):
+    """Risk metrics by (instrument, as_of) with their assumptions; a second run renews some of a day and adds another."""
+    risk = stats.risk_adjusted(views.order_facts(spark, sf), "instrument").select("instrument", "days")
+    at = lambda df, day, why: df.select("instrument", F.to_date(F.lit(day)).alias("as_of"), "days", F.lit(why).alias("assumptions"))
+    batch = at(risk.filter("instrument < '3'"), "1999-01-01", "new").unionByName(at(risk, "1999-02-01", "new"))
+    return rounded(sinks.merge(at(risk, "1999-01-01", "old"), batch, ["instrument", "as_of"], ["days", "assumptions"]))
+
+
+@query("""SELECT * FROM (VALUES ('click', 0.5::DOUBLE, 50.0::DOUBLE), ('error', 0.25, 5.0), ('purchase', 0.01, 1000.0), ('signup', 0.01, 10.0), ('view', 0.25, 20.0), ('refund', 0.1, NULL)) t(symbol, tick, point)""")
+def s30_instrument_upsert(spark, sf):
+    """Corrected and new instruments: only what the batch knows is overwritten."""
+    stored = views.instruments(spark).select("symbol", F.col("tick").cast("double").alias("tick"), F.col("point").cast("double").alias("point"))
+    return rounded(sinks.merge(stored, spark.createDataFrame([("click", 0.5), ("refund", 0.1)], "symbol string, tick double"), ["symbol"], ["tick"]))
