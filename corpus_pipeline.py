@@ -86,7 +86,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontamination", decontaminated), ("mixing", mixture), ("token_store", tokens)]
 
-#: Language models and token ids are beyond SQL; tests hold the stages against brute force.
+#: Language models and token ids are beyond SQL; tests hold each operator against brute force, and stages on small cases.
 ORACLE_SQL = None
 
 
