@@ -56,13 +56,13 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 class SpanHash:
-    """64-bit hashes of any spans of a byte array in constant time each."""
+    """64-bit hashes of any spans of a byte array in constant time each; hashes of two odd bases are independent."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = _BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * powers(_BASE, n), out=self.sums[1:])
-        self.back = powers(_INVERSE, n + 1)
+        np.cumsum(_BYTE[data] * powers(base, n), out=self.sums[1:])
+        self.back = powers(_INVERSE if base == _BASE else pow(base, -1, 1 << 64), n + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _M2)
