@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges, scan
+
 
 def resample(bars: DataFrame, seconds: int) -> DataFrame:
     """Epoch-anchored coarser bars stamped at their start: first open, max high, min low, last close, sum of the volumes
@@ -15,11 +17,11 @@ def resample(bars: DataFrame, seconds: int) -> DataFrame:
     return bars.groupBy("symbol", start.alias("ts")).agg(F.min_by("open", order).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", order).alias("close"), F.sum("volume").alias("volume"))
 
 
-def gaps(bars: DataFrame, seconds: int) -> DataFrame:
+def gaps(bars: DataFrame, seconds: int, **chunks: int) -> DataFrame:
     """Missing ranges between stored bars."""
-    after = F.lag("ts").over(W.partitionBy("symbol").orderBy("ts"))
+    after = scan.running(bars.select("symbol", "ts"), ["symbol"], ["ts"], {"prev": ("last", F.col("ts"))}, before=True, **chunks)
     due = F.timestamp_seconds(F.unix_timestamp("prev") + seconds)
-    return bars.select("symbol", "ts", after.alias("prev")).filter(F.unix_timestamp("ts") - F.unix_timestamp("prev") > seconds).select("symbol", due.alias("gap_start"), F.col("ts").alias("gap_end"))
+    return after.filter(F.unix_timestamp("ts") - F.unix_timestamp("prev") > seconds).select("symbol", due.alias("gap_start"), F.col("ts").alias("gap_end"))
 
 
 def coverage(bars: DataFrame) -> DataFrame:
@@ -44,36 +46,42 @@ def as_of(left: DataFrame, right: DataFrame, by: str, ts: str, right_ts: str, va
     return out.withColumn(value, F.when(fresh, F.col(value))).withColumn("value_ts", F.when(fresh, F.col("value_ts")))
 
 
-def covering(trades: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
-    """Trade x bar rows from the bar that contains the entry to the one at the exit, joined on (symbol, day)."""
-    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
-    spans = trades.withColumn("_from", F.floor(F.unix_timestamp("opened_at") / seconds) * seconds).withColumn("_day", F.explode(F.sequence(F.floor(F.col("_from") / 86400), day("closed_at"))))
-    b = bars.select(F.col("symbol").alias("_symbol"), day("ts").alias("_bday"), F.unix_timestamp("ts").alias("_ts"), "open", "high", "low", "close")
-    return spans.join(b, (spans.symbol == b._symbol) & (spans._day == b._bday) & (b._ts >= spans._from) & (b._ts <= F.unix_timestamp(spans.closed_at))).drop("_symbol", "_bday", "_day", "_from")
-
-
 def excursions(trades: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
-    """(trade_id, mae, mfe, n_bars): worst and best move from the entry price over the covering bars, both >= 0."""
+    """(trade_id, mae, mfe, n_bars): worst and best move from the entry price over the covering bars, both >= 0.
+
+    With ``risk`` (money) and ``point_value`` (money of a point at the trade's size) among the trades' columns also mae_r and mfe_r,
+    the same in units of risk; NULL without a positive risk.
+    """
+    in_r = {"risk", "point_value"} <= set(trades.columns)
+    keep = ["direction", "avg_entry", *(("risk", "point_value") if in_r else ())]
+    c = ranges.over_bars(trades, bars, seconds, *keep)
     long = F.col("direction") == "long"
-    c = covering(trades, bars, seconds).groupBy("trade_id", "direction", "avg_entry").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n_bars"))
-    low, high = F.least("low", "avg_entry"), F.greatest("high", "avg_entry")
-    return c.select("trade_id", F.when(long, F.col("avg_entry") - low).otherwise(high - F.col("avg_entry")).alias("mae"), F.when(long, high - F.col("avg_entry")).otherwise(F.col("avg_entry") - low).alias("mfe"), "n_bars")
+    down, up = F.col("avg_entry") - F.least("low", "avg_entry"), F.greatest("high", "avg_entry") - F.col("avg_entry")
+    out = c.withColumns({"mae": F.when(long, down).otherwise(up), "mfe": F.when(long, up).otherwise(down)})
+    if not in_r:
+        return out.select("trade_id", "mae", "mfe", "n_bars")
+    r = lambda c: F.when(F.col("risk") > 0, F.col(c) * F.col("point_value") / F.col("risk"))
+    return out.select("trade_id", "mae", "mfe", r("mae").alias("mae_r"), r("mfe").alias("mfe_r"), "n_bars")
 
 
 def first_touch(trades: DataFrame, bars: DataFrame, seconds: int, price: str) -> DataFrame:
-    """(trade_id, touched_at): the first covering bar whose range holds ``price``."""
-    return covering(trades, bars, seconds).filter(F.col(price).between(F.col("low"), F.col("high"))).groupBy("trade_id").agg(F.timestamp_seconds(F.min("_ts")).alias("touched_at"))
+    """(trade_id, touched_at): the first covering bar whose range holds ``price``; bars are read only in blocks whose range does."""
+    asked = ranges.cover(trades.select("trade_id", "symbol", "opened_at", "closed_at", price), ranges.slot(F.col("opened_at"), seconds), ranges.slot(F.col("closed_at"), seconds))
+    maybe = asked.join(ranges.pyramid(bars, seconds), ranges.BLOCK).filter(F.col(price).between(F.col("low"), F.col("high")))
+    seen = ranges.bars_in_blocks(maybe.select("trade_id", price, *ranges.BLOCK), bars, seconds)
+    return seen.filter(F.col(price).between(F.col("low"), F.col("high"))).groupBy("trade_id").agg(F.timestamp_seconds(F.min("_ts")).alias("touched_at"))
 
 
-def atr(bars: DataFrame, periods: int = 14) -> DataFrame:
+def atr(bars: DataFrame, periods: int = 14, **chunks: int) -> DataFrame:
     """Wilder's average true range at the last bar of each symbol; NULL with fewer than periods + 1 bars.
 
-    The recursion is a weighted sum: a seed mean of the first true ranges, then (p-1)/p per step.
+    The recursion is a weighted sum: a seed mean of the first true ranges, then (p-1)/p per step, so after each bar's number is
+    known, it's an aggregation.
     """
-    order = W.partitionBy("symbol").orderBy("ts")
-    prev = F.lag("close").over(order)
+    t = scan.running(bars.select("symbol", "ts", "high", "low", "close"), ["symbol"], ["ts"], {"prev": ("last", F.col("close")), "i": ("count", F.lit(1))}, before=True, **chunks)
     tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("prev")), F.abs(F.col("low") - F.col("prev")))
-    t = bars.withColumn("prev", prev).filter("prev is not null").withColumn("tr", tr).withColumn("i", F.row_number().over(order)).withColumn("n", F.count("*").over(W.partitionBy("symbol")))
+    t = t.filter("prev is not null").withColumn("tr", tr)
+    t = t.join(t.groupBy("symbol").agg(F.max("i").alias("n")), "symbol")  # a symbol a row
     keep = (periods - 1) / periods
     weight = F.when(F.col("i") <= periods, F.pow(F.lit(keep), F.col("n") - periods) / periods).otherwise(F.pow(F.lit(keep), F.col("n") - F.col("i")) / periods)
     return t.groupBy("symbol").agg(F.when(F.max("n") >= periods, F.sum(F.col("tr") * weight)).alias("atr"), F.max("n").alias("n_ranges"))
@@ -118,24 +126,19 @@ def at_resolution(bars: DataFrame, seconds: int) -> DataFrame:
 
 def partial_coverage(trades: DataFrame, bars: DataFrame, seconds: int) -> DataFrame:
     """(trade_id, n_bars, partial): whether bars leave part of a trade unseen: before the first, after the last, or in a gap."""
-    c = covering(trades.select("trade_id", "symbol", "opened_at", "closed_at"), bars, seconds)
-    a = c.groupBy("trade_id", "opened_at", "closed_at").agg(F.count("*").alias("n_bars"), F.min("_ts").alias("first"), F.max("_ts").alias("last"))
+    a = ranges.over_bars(trades, bars, seconds, "opened_at", "closed_at")
     unix = lambda x: F.unix_micros(x) / 1e6
     holes = F.col("last") - F.col("first") > (F.col("n_bars") - 1) * seconds
     return a.select("trade_id", "n_bars", ((F.col("first") > unix("opened_at")) | (F.col("last") + seconds < unix("closed_at")) | holes).alias("partial"))
 
 
 def has_bars(trades: DataFrame, bars: DataFrame, lead: int, trail: int) -> DataFrame:
-    """Trades of which some bar lies within ``lead`` seconds before the opening and ``trail`` after the closing.
-
-    Both sides meet on (symbol, day); each trade is kept once, however many bars it has.
-    """
-    day = lambda c: F.floor(c / 86400)
-    low, high = F.unix_timestamp("opened_at") - lead, F.unix_timestamp("closed_at") + trail
-    t = trades.withColumns({"_low": low, "_high": high}).withColumn("_day", F.explode(F.sequence(day(F.col("_low")), day(F.col("_high")))))
-    b = bars.select(F.col("symbol").alias("_symbol"), F.unix_timestamp("ts").alias("_ts")).withColumn("_bday", day(F.col("_ts")))
-    hit = t.join(b, (F.col("symbol") == F.col("_symbol")) & (F.col("_day") == F.col("_bday")) & F.col("_ts").between(F.col("_low"), F.col("_high")), "left_semi")
-    return trades.join(hit.select("trade_id").distinct(), "trade_id", "left_semi")
+    """Trades of which some bar lies within ``lead`` seconds before the opening and ``trail`` after the closing."""
+    levels = 13  # of seconds: some two years
+    asked = ranges.cover(trades.select("trade_id", "symbol", "opened_at", "closed_at"), F.unix_timestamp("opened_at") - lead, F.unix_timestamp("closed_at") + trail, levels)
+    held = bars.select("symbol", F.unix_timestamp("ts").alias("at")).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    held = held.select("symbol", "level", F.expr(ranges._up("at", "level")).alias("block")).distinct()
+    return trades.join(asked.join(held, ranges.BLOCK, "left_semi").select("trade_id").distinct(), "trade_id", "left_semi")
 
 
 def backfill(trades: DataFrame, bars: DataFrame, timeframes: list[tuple[int, int]]) -> DataFrame:

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import duration_bucket, ratio, reliability
+from . import scan
 
 TRADING_DAYS, MIN_DAYS, SQN_CAP = 252, 20, 100
 
@@ -62,43 +62,52 @@ def kelly(trades: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def equity_curve(trades: DataFrame, *by: str) -> DataFrame:
+def equity_curve(trades: DataFrame, *by: str, **chunks: int) -> DataFrame:
     """Running net, peak (from 0), drawdown (<= 0) and running R, NULL for good after the first NULL R."""
-    order = W.partitionBy(*by).orderBy("closed_at", "opened_at", "trade_id").rowsBetween(W.unboundedPreceding, 0)
-    t = trades.select(*by, "trade_id", "opened_at", "closed_at", "net", "r_multiple", F.row_number().over(order.rowsBetween(W.unboundedPreceding, 0)).alias("i"), F.sum("net").over(order).alias("cum_net"))
-    no_r = F.sum(F.col("r_multiple").isNull().cast("int")).over(order)
-    t = t.withColumn("cum_r", F.when(no_r == 0, F.sum("r_multiple").over(order))).withColumn("peak", F.greatest(F.lit(0), F.max("cum_net").over(order)))
-    return t.withColumn("drawdown", F.col("cum_net") - F.col("peak"))
+    order = ["closed_at", "opened_at", "trade_id"]
+    sums = {
+        "i": ("count", F.lit(1)), "cum_net": ("sum", F.col("net")), "_no_r": ("sum", F.col("r_multiple").isNull().cast("long")), "cum_r": ("sum", F.col("r_multiple")),
+    }
+    t = scan.running(trades.select(*by, "trade_id", "opened_at", "closed_at", "net", "r_multiple"), list(by), order, sums, **chunks)
+    t = scan.running(t.withColumn("cum_r", F.when(F.col("_no_r") == 0, F.col("cum_r"))).drop("_no_r"), list(by), order, {"peak": ("max", F.col("cum_net"))}, **chunks)
+    return t.withColumn("peak", F.greatest(F.lit(0), "peak")).withColumn("drawdown", F.col("cum_net") - F.col("peak"))
 
 
-def drawdown_periods(curve: DataFrame, *by: str) -> DataFrame:
+def drawdown_periods(curve: DataFrame, *by: str, **chunks: int) -> DataFrame:
     """Maximal runs under the peak: first and last place, depth, place of the trough, place of recovery or NULL."""
-    order = W.partitionBy(*by).orderBy("i")
     t = curve.withColumn("under", F.col("drawdown") < 0)
-    t = t.withColumn("run", F.sum((~F.col("under")).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    last = F.max("i").over(W.partitionBy(*by))
-    p = t.withColumn("_last", last).filter("under").groupBy(*by, "run").agg(F.min("i").alias("first_i"), F.max("i").alias("last_i"), F.min("drawdown").alias("depth"), F.min(F.struct("drawdown", "i")).alias("_t"), F.max("_last").alias("_last"))
-    return p.select(*by, "first_i", "last_i", "depth", F.col("_t.i").alias("trough_i"), F.when(F.col("last_i") < F.col("_last"), F.col("last_i") + 1).alias("recovered_i"))
+    t = scan.running(t, list(by), ["i"], {"run": ("sum", (~F.col("under")).cast("long"))}, **chunks)
+    # the row behind a run is the first of the next number, so only runs of a key's last number may be unrecovered
+    runs = t.groupBy(*by, "run").agg(
+        F.min(F.when(F.col("under"), F.col("i"))).alias("first_i"), F.max(F.when(F.col("under"), F.col("i"))).alias("last_i"), F.min("drawdown").alias("depth"),
+        F.min(F.when(F.col("under"), F.struct("drawdown", "i"))).alias("_t"), F.max("i").alias("_end"),
+    )
+    ends = runs.groupBy(*by).agg(F.max("_end").alias("_last"))
+    p = runs.filter("first_i is not null").join(ends, list(by)) if by else runs.filter("first_i is not null").crossJoin(ends)  # one row
+    recovered = F.when(F.col("last_i") < F.col("_last"), F.col("last_i") + 1)
+    return p.select(*by, "first_i", "last_i", "depth", F.col("_t.i").alias("trough_i"), recovered.alias("recovered_i"))
 
 
-def drawdown_summary(trades: DataFrame, *by: str) -> DataFrame:
+def drawdown_summary(trades: DataFrame, *by: str, **chunks: int) -> DataFrame:
     """Deepest and mean drawdown, how many, share of trades under the peak, the current one, and net over the deepest."""
-    curve = equity_curve(trades, *by)
-    p = drawdown_periods(curve, *by).groupBy(*by).agg(F.count("*").alias("periods"), F.min("depth").alias("deepest"), F.avg(F.col("depth").cast("double")).alias("mean_depth"), F.max(F.col("last_i") - F.col("first_i") + 1).alias("longest"))
+    curve = equity_curve(trades, *by, **chunks)
+    p = drawdown_periods(curve, *by, **chunks).groupBy(*by).agg(F.count("*").alias("periods"), F.min("depth").alias("deepest"), F.avg(F.col("depth").cast("double")).alias("mean_depth"), F.max(F.col("last_i") - F.col("first_i") + 1).alias("longest"))
     c = curve.groupBy(*by).agg(F.avg((F.col("drawdown") < 0).cast("double")).alias("underwater"), F.max_by("drawdown", "i").alias("current"), F.max_by("cum_net", "i").alias("net"))
     return c.join(p, list(by), "left").withColumn("recovery_factor", ratio(F.col("net"), -F.col("deepest")))
 
 
-def streaks(trades: DataFrame, *by: str) -> DataFrame:
+def streaks(trades: DataFrame, *by: str, **chunks: int) -> DataFrame:
     """Longest and mean runs of wins and losses and the current one (losses negative); scratches don't count."""
-    order = W.partitionBy(*by).orderBy("closed_at", "opened_at", "trade_id")
-    t = trades.filter("net <> 0").withColumn("won", F.col("net") > 0).withColumn("i", F.row_number().over(order))
-    t = t.withColumn("run", F.col("i") - F.row_number().over(W.partitionBy(*by, "won").orderBy("closed_at", "opened_at", "trade_id")))
+    order = ["closed_at", "opened_at", "trade_id"]
+    t = trades.filter("net <> 0").withColumn("won", F.col("net") > 0).select(*by, *order, "won")
+    t = scan.running(t, list(by), order, {"i": ("count", F.lit(1)), "_wins": ("sum", F.col("won").cast("long"))}, **chunks)
+    # a run of wins has seen equally many losses, and a run of losses equally many wins
+    t = t.withColumn("run", F.when(F.col("won"), F.col("i") - F.col("_wins")).otherwise(F.col("_wins")))
     runs = t.groupBy(*by, "won", "run").agg(F.count("*").alias("len"), F.max("i").alias("last_i"))
     won = F.col("won")
     return runs.groupBy(*by).agg(
-        F.max(F.when(won, F.col("len"))).alias("longest_win"), F.max(F.when(~won, F.col("len"))).alias("longest_loss"), F.avg(F.when(won, F.col("len"))).alias("mean_win"), F.avg(F.when(~won, F.col("len"))).alias("mean_loss"),
-        F.max_by(F.when(won, F.col("len")).otherwise(-F.col("len")), "last_i").alias("current"),
+        F.max(F.when(won, F.col("len"))).alias("longest_win"), F.max(F.when(~won, F.col("len"))).alias("longest_loss"), F.avg(F.when(won, F.col("len"))).alias("mean_win"),
+        F.avg(F.when(~won, F.col("len"))).alias("mean_loss"), F.max_by(F.when(won, F.col("len")).otherwise(-F.col("len")), "last_i").alias("current"),
     )
 
 

@@ -7,7 +7,7 @@ from ..sources.views import INSTRUMENTS
 
 _INST = "inst AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', {t}::DECIMAL(20,8), {p}::DECIMAL(12,2), '{z}', {clock(r)})" for s, t, p, z, r in INSTRUMENTS) + ") t(symbol, tick, point, zone, rollover))"
 _FILLS = _INST + """,
-fills AS (SELECT event_id AS fill_id, user_id AS account, event_type AS symbol, ts, CASE WHEN (event_id + user_id) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id % 4 + 1 AS qty, round(value, 2) AS price, (event_id % 4 + 1) * 0.25 AS commission FROM events)"""
+fills AS (SELECT event_id AS fill_id, user_id AS account, event_type AS symbol, ts, CASE WHEN (event_id + user_id) % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id % 4 + 1 AS qty, round(value, 2) AS price, (event_id % 4 + 1) * 0.25 AS commission, (event_id % 4 + 1) * 0.02 AS fees FROM events)"""
 _SLICES = _FILLS + """,
 f1 AS (SELECT *, CASE side WHEN 'buy' THEN 1 ELSE -1 END AS s FROM fills),
 f2 AS (SELECT *, sum(s * qty) OVER (PARTITION BY account, symbol ORDER BY ts, fill_id ROWS UNBOUNDED PRECEDING) AS aft FROM f1),
@@ -20,11 +20,11 @@ slices AS (SELECT *, sum(q) OVER (PARTITION BY account, symbol, tid, role ORDER
 lots AS (SELECT e.account, e.symbol, e.tid, e.fill_id AS entry_id, x.fill_id AS exit_id, least(e.hi, x.hi) - greatest(e.hi - e.q, x.hi - x.q) AS qty, (x.price - e.price) * e.dir * (least(e.hi, x.hi) - greatest(e.hi - e.q, x.hi - x.q)) AS points
   FROM slices e JOIN slices x ON e.account = x.account AND e.symbol = x.symbol AND e.tid = x.tid AND e.role = 'entry' AND x.role = 'exit' AND e.hi - e.q < x.hi AND x.hi - x.q < e.hi)"""
 _TRADES = _SLICES + """,
-m AS (SELECT account, symbol, tid, max(dir) AS dir, min(ts) AS opened_at, max(ts) FILTER (role = 'exit') AS last_exit, sum(q) FILTER (role = 'entry') AS qo, coalesce(sum(q) FILTER (role = 'exit'), 0) AS qc, sum(price * q) FILTER (role = 'entry') AS paid, sum(price * q) FILTER (role = 'exit') AS got, sum(q) * 0.25 AS commission, count(*) FILTER (role = 'entry') AS ne, count(*) FILTER (role = 'exit') AS nx FROM slices GROUP BY ALL),
+m AS (SELECT account, symbol, tid, max(dir) AS dir, min(ts) AS opened_at, max(ts) FILTER (role = 'exit') AS last_exit, sum(q) FILTER (role = 'entry') AS qo, coalesce(sum(q) FILTER (role = 'exit'), 0) AS qc, sum(price * q) FILTER (role = 'entry') AS paid, sum(price * q) FILTER (role = 'exit') AS got, sum(q) * 0.25 AS commission, sum(q) * 0.02 AS fees, count(*) FILTER (role = 'entry') AS ne, count(*) FILTER (role = 'exit') AS nx FROM slices GROUP BY ALL),
 g AS (SELECT account, symbol, tid, sum(points) AS points FROM lots GROUP BY ALL),
-tr AS (SELECT m.account, m.symbol, CAST(m.tid AS BIGINT) AS tid, CASE WHEN dir > 0 THEN 'long' ELSE 'short' END AS direction, CASE WHEN qo = qc THEN 'closed' ELSE 'open' END AS status, opened_at, CASE WHEN qo = qc THEN last_exit END AS closed_at, qo, qc, paid / qo AS avg_entry, got / nullif(qc, 0) AS avg_exit, points, round(coalesce(points, 0), 8) * CAST(point AS DOUBLE) AS gross, commission, ne > 1 AS scaled_in, nx > 1 AS scaled_out,
+tr AS (SELECT m.account, m.symbol, CAST(m.tid AS BIGINT) AS tid, CASE WHEN dir > 0 THEN 'long' ELSE 'short' END AS direction, CASE WHEN qo = qc THEN 'closed' ELSE 'open' END AS status, opened_at, CASE WHEN qo = qc THEN last_exit END AS closed_at, qo, qc, paid / qo AS avg_entry, got / nullif(qc, 0) AS avg_exit, points, round(coalesce(points, 0), 8) * CAST(point AS DOUBLE) AS gross, commission, fees, ne > 1 AS scaled_in, nx > 1 AS scaled_out,
   CASE WHEN qo = qc THEN (epoch_us(last_exit) - epoch_us(opened_at)) // 1000000 END AS duration, timezone(zone, timezone('UTC', opened_at)) AS local, rollover FROM m LEFT JOIN g USING (account, symbol, tid) JOIN inst USING (symbol)),
-trades AS (SELECT *, round(gross - commission, 6) AS net, account || '-' || symbol || '-' || tid AS trade_id, CAST(local AS DATE) + CASE WHEN hour(local) * 3600 + minute(local) * 60 + second(local) >= rollover THEN 1 ELSE 0 END AS d0 FROM tr),
+trades AS (SELECT *, round(gross - commission - fees, 6) AS net, account || '-' || symbol || '-' || tid AS trade_id, CAST(local AS DATE) + CASE WHEN hour(local) * 3600 + minute(local) * 60 + second(local) >= rollover THEN 1 ELSE 0 END AS d0 FROM tr),
 facts AS (SELECT *, CAST(d0 + CASE WHEN isodow(d0) = 6 THEN 2 ELSE 0 END AS DATE) AS session_date, (SELECT name FROM (VALUES """ + ", ".join(f"({clock(t)}, '{n}')" for t, n in SEGMENTS) + """) v(start, name) WHERE start <= hour(local) * 3600 + minute(local) * 60 + second(local) ORDER BY start DESC LIMIT 1) AS segment FROM trades WHERE status = 'closed')"""
 _STATE = _TRADES + """,
 st1 AS (SELECT *, row_number() OVER w - 1 AS index, coalesce(sum(net) OVER b, 0) AS pnl_before, coalesce(sum(CASE WHEN net > 0 THEN 1 ELSE 0 END) OVER b, 0) AS wins, last_value(closed_at IGNORE NULLS) OVER b AS prev_exit, last_value(CASE WHEN net <> 0 THEN net < 0 END IGNORE NULLS) OVER b AS pl
@@ -67,7 +67,7 @@ beh AS (SELECT behaviour, count(*) FILTER (present) AS n_with, avg(value) FILTER
 behc AS (SELECT *, mean_with - mean_without AS difference, CASE WHEN behaviour <> 'holding_losers' THEN (mean_with - mean_without) * n_with END AS cost FROM beh)"""
 
 ORACLE = {
-    "f01_fifo_trades": f"WITH {_TRADES} SELECT account, symbol, tid, direction, status, opened_at, closed_at, {r('qo', 'qty_opened')}, {r('qc', 'qty_closed')}, {r('avg_entry')}, {r('avg_exit')}, {r('points')}, {r('gross')}, {r('commission')}, {r('net')}, scaled_in, scaled_out, CAST(duration AS BIGINT) AS duration FROM trades",
+    "f01_fifo_trades": f"WITH {_TRADES} SELECT account, symbol, tid, direction, status, opened_at, closed_at, {r('qo', 'qty_opened')}, {r('qc', 'qty_closed')}, {r('avg_entry')}, {r('avg_exit')}, {r('points')}, {r('gross')}, {r('commission')}, {r('fees')}, {r('net')}, scaled_in, scaled_out, CAST(duration AS BIGINT) AS duration FROM trades",
     "f02_fifo_lots": f"WITH {_SLICES} SELECT account, symbol, CAST(tid AS BIGINT) AS tid, entry_id, exit_id, {r('qty')}, {r('points')} FROM lots",
     "f05_sessions": f"WITH {_TRADES} SELECT trade_id, session_date, segment, hour(local) AS entry_hour, isodow(local) AS entry_weekday FROM facts",
     "s01_fresh_fills": f"WITH {_FILLS} SELECT account, count(*) AS n, {r('sum(qty)', 'qty')} FROM fills WHERE account >= 100 GROUP BY 1",

@@ -44,7 +44,7 @@ def state(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def f01_fifo_trades(spark, sf):
     t = fifo.trades(views.fills(spark, sf), views.instruments(spark))
-    return rounded(t.select("account", "symbol", "tid", "direction", "status", "opened_at", "closed_at", "qty_opened", "qty_closed", "avg_entry", "avg_exit", "points", "gross", "commission", "net", "scaled_in", "scaled_out", "duration"))
+    return rounded(t.select("account", "symbol", "tid", "direction", "status", "opened_at", "closed_at", "qty_opened", "qty_closed", "avg_entry", "avg_exit", "points", "gross", "commission", "fees", "net", "scaled_in", "scaled_out", "duration"))
 
 
 @query

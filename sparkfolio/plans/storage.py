@@ -124,7 +124,7 @@ def f08_reconciliation(spark, sf):
     return rounded(sinks.reconciled(ours, theirs, 0.015))
 
 
-@query(f"WITH {_TRADES} SELECT trade_id, {bare('round(coalesce(points, 0), 8) * 2 * CAST(point AS DOUBLE)')} AS gross, {bare('round(coalesce(points, 0), 8) * 2 * CAST(point AS DOUBLE) - commission')} AS net FROM trades JOIN inst USING (symbol)")
+@query(f"WITH {_TRADES} SELECT trade_id, {bare('round(coalesce(points, 0), 8) * 2 * CAST(point AS DOUBLE)')} AS gross, {bare('round(coalesce(points, 0), 8) * 2 * CAST(point AS DOUBLE) - commission - fees')} AS net FROM trades JOIN inst USING (symbol)")
 def f04_respec(spark, sf):
     new = views.instruments(spark).withColumn("point", (F.col("point") * 2).cast("decimal(12,2)"))
     return rounded(sinks.respecified(trades(spark, sf), new).select("trade_id", "gross", "net"))

@@ -88,4 +88,4 @@ def respecified(trades: DataFrame, instruments: DataFrame) -> DataFrame:
     """Trades with their money computed anew from points by corrected instruments."""
     i = instruments.select("symbol", F.col("point").alias("_point"))
     gross = F.coalesce(F.col("points"), F.lit(0)) * F.col("_point")
-    return trades.join(F.broadcast(i), "symbol").withColumn("gross", gross.cast("decimal(30,8)")).withColumn("net", (F.col("gross") - F.col("commission")).cast("decimal(30,8)")).drop("_point")
+    return trades.join(i, "symbol").withColumn("gross", gross.cast("decimal(30,8)")).withColumn("net", (F.col("gross") - F.col("commission") - F.col("fees")).cast("decimal(30,8)")).drop("_point")

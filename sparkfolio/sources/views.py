@@ -28,13 +28,14 @@ def instruments(spark: SparkSession) -> DataFrame:
 
 
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as fills: (fill_id, account, symbol, ts, side, qty, price, commission)."""
+    """Events as fills: (fill_id, account, symbol, ts, side, qty, price, commission, fees)."""
     e = table(spark, sf_dir, "events")
     qty = (F.col("event_id") % 4 + 1).cast("decimal(6,0)")
     return e.select(
         F.col("event_id").alias("fill_id"), F.col("user_id").alias("account"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"),
         F.when((F.col("event_id") + F.col("user_id")) % 2 == 0, "buy").otherwise("sell").alias("side"), qty.alias("qty"),
         F.round("value", 2).cast("decimal(20,8)").alias("price"), (qty * F.lit("0.25").cast("decimal(4,2)")).cast("decimal(20,8)").alias("commission"),
+        (qty * F.lit("0.02").cast("decimal(4,2)")).cast("decimal(20,8)").alias("fees"),
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import exprs
-from sparkfolio.operators import bars, fifo, rules, sequences, stats
+from sparkfolio.operators import bars, fifo, ranges, rules, scan, sequences, stats
 from sparkfolio.sources import stores, views
 
 T0 = dt.datetime(2026, 3, 5, 14, 0)
@@ -137,18 +137,76 @@ def test_fresh_keeps_each_key_once(spark):
     assert stores.fresh(f.unionByName(f), f.limit(1), "account", "fill_id").count() == 1
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    from sparkfolio.streaming import fills as stream
-
-    rng = random.Random(9)
-    f = fills(spark, [(rng.choice(["buy", "sell"]), rng.randint(1, 4), rng.randint(10, 90), 1) for _ in range(60)])
-    for k in (1, 0, 1):  # the late half first, then replayed
-        f.filter(F.col("fill_id") % 2 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.run(spark, source, str(tmp_path / "fills"), str(tmp_path / "trades"), str(tmp_path / "ck"), views.instruments(spark)).awaitTermination(120)
-    got = stream.latest_trades(spark, str(tmp_path / "trades"))
-    batch = fifo.trades(f, views.instruments(spark))
-    assert got.select(batch.columns).exceptAll(batch).isEmpty() and got.count() == batch.count()
+def test_scans_in_two_levels(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.randrange(50), i, None if rng.random() < 0.2 else rng.randint(-9, 9)) for k in ("a", "b", None) for i in range(60 if k == "a" else 5)]
+    d = spark.createDataFrame(rows, "k string, at int, i int, x int").withColumn("at", F.timestamp_seconds("at"))
+    values = {"s": ("sum", F.col("x")), "n": ("count", F.col("x")), "m": ("max", F.col("x")), "l": ("last", F.col("x"))}
+    for before in (False, True):
+        plain = scan.running(d, ["k"], ["at", "i"], values, before)
+        cut = scan.running(d, ["k"], ["at", "i"], values, before, rows=7, small=0)
+        assert "/scan-" in cut.inputFiles()[0] and cut.columns == plain.columns and cut.dtypes == plain.dtypes
+        assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty()
+
+
+def test_one_position_that_never_goes_flat(spark):
+    n = 100_000
+    f = spark.range(n).select(
+        F.col("id").alias("fill_id"), F.lit(1).cast("long").alias("account"), F.lit("click").alias("symbol"), F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"),
+        F.when(F.col("id") % 2 == 0, "buy").otherwise("sell").alias("side"), F.when(F.col("id") % 2 == 0, 2).otherwise(1).cast("decimal(6,0)").alias("qty"),
+        (F.col("id") % 97).cast("decimal(20,8)").alias("price"), F.lit(0).cast("decimal(20,8)").alias("commission"),
+    )
+    chunks = {"rows": 20_000, "small": 0}
+    m = fifo.matches(fifo.slices(f, **chunks), **chunks)
+    assert m.agg(F.count("*"), F.sum("qty")).first() == (n // 2, n // 2)
+    # the k-th unit sold was bought in fill 2 * (k // 2)
+    points = sum((2 * k + 1) % 97 - (2 * (k // 2)) % 97 for k in range(n // 2))
+    t = fifo.trades(f, views.instruments(spark), **chunks).collect()
+    assert [(r.status, int(r.points), int(r.qty_closed)) for r in t] == [("open", points, n // 2)]
+
+
+def test_hot_keys_give_the_same_statistics(spark):
+    rng = random.Random(6)
+    t = facts(spark, [rng.randint(-40, 45) for _ in range(200)])
+    b = spark.createDataFrame([("s", T0 + dt.timedelta(minutes=i + i // 50), 5.0, 6.0 + rng.random(), 4.0 - rng.random(), 5 + rng.random()) for i in range(200)], "symbol string, ts timestamp, open double, high double, low double, close double")
+    chunks = {"rows": 20, "small": 0}
+    for f in (
+        lambda **c: stats.drawdown_summary(t, "account", **c), lambda **c: stats.drawdown_periods(stats.equity_curve(t, "account", **c), "account", **c), lambda **c: stats.streaks(t, "account", **c),
+        lambda **c: bars.gaps(b, 60, **c), lambda **c: bars.atr(b, **c).select("n_ranges", F.round("atr", 9)),
+    ):
+        plain, cut = f().collect(), f(**chunks).collect()
+        assert plain and sorted(map(str, plain)) == sorted(map(str, cut))
+
+
+def test_excursions_over_blocks(spark):
+    rng = random.Random(12)
+    b = [("s", T0 + dt.timedelta(minutes=i), 50 - rng.random() * 9, 50 + rng.random() * 9) for i in range(900) if rng.random() < 0.8]
+    bars_ = spark.createDataFrame([(s, t, 50.0, h, lo, 50.0) for s, t, lo, h in b], "symbol string, ts timestamp, open double, high double, low double, close double")
+    trades, expected, touched = [], {}, {}
+    for i in range(40):
+        a = T0 + dt.timedelta(seconds=rng.randrange(50000))
+        z = a + dt.timedelta(seconds=rng.choice([0, 30, 600, 20000]))
+        trades.append((i, "s", rng.choice(["long", "short"]), a, z, 50.0, 100.0, 2.0))
+        own = [(t, lo, h) for _, t, lo, h in b if a.replace(second=0) <= t <= z]
+        if own:
+            down, up = 50 - min(50, *(x[1] for x in own)), max(50, *(x[2] for x in own)) - 50
+            expected[i] = tuple(round(x, 9) for x in ((down, up) if trades[-1][2] == "long" else (up, down))) + (len(own),)
+            if first := [t for t, lo, h in own if lo <= 55 <= h]:
+                touched[i] = first[0]
+    t = spark.createDataFrame(trades, "trade_id int, symbol string, direction string, opened_at timestamp, closed_at timestamp, avg_entry double, risk double, point_value double")
+    got = bars.excursions(t, bars_, 60).collect()
+    assert {r.trade_id: (round(r.mae, 9), round(r.mfe, 9), r.n_bars) for r in got} == expected
+    assert all(abs(r.mae_r - r.mae / 50) < 1e-9 for r in got)
+    assert {r.trade_id: r.touched_at for r in bars.first_touch(t.withColumn("p", F.lit(55.0)), bars_, 60, "p").collect()} == touched
+    long = spark.createDataFrame([(1, "s", T0, T0 + dt.timedelta(days=400))], "trade_id int, symbol string, opened_at timestamp, closed_at timestamp")
+    assert ranges.cover(long, ranges.slot(F.col("opened_at"), 60), ranges.slot(F.col("closed_at"), 60)).count() <= 6 * ranges.LEVELS
+
+
+def test_fills_set_aside_with_a_reason(spark):
+    d = fills(spark, [("buy", 1, 1, 0), ("sell", 0, 1, 0), ("buy", 1, -1, 0), ("hold", 1, 1, 0), ("buy", 1, 1, -1)])
+    got = fifo.screened(d.unionByName(d.filter("fill_id = 0")).unionByName(d.filter("fill_id = 0")))
+    assert sorted((r.fill_id, r.reason or "") for r in got.collect()) == [(0, ""), (0, fifo.REPEATED), (0, fifo.REPEATED), (1, fifo.NO_SIZE), (2, fifo.NO_PRICE), (3, fifo.NO_SIDE), (4, fifo.BAD_COST)]
+    assert fifo.usable(d).count() == 1
 
 
 def test_queries_have_sql():
