@@ -37,15 +37,74 @@ def markers(slices: DataFrame) -> DataFrame:
     return s.select("account", "symbol", "tid", F.when(F.col("role") == "entry", entry).otherwise(leave).alias("kind"), "fill_id", "ts", "price", "qty")
 
 
+def excursion_markers(excursions: DataFrame) -> DataFrame:
+    """(trade_id, kind, price) of the worst and the best price of each trade, as lines across it; none where it isn't known.
+
+    excursions: (trade_id, direction, avg_entry, mae, mfe), both magnitudes."""
+    way = F.when(F.col("direction") == "long", 1).otherwise(-1)
+    both = F.array(
+        F.struct(F.lit("mae").alias("kind"), (F.col("avg_entry") - way * F.col("mae")).alias("price")), F.struct(F.lit("mfe").alias("kind"), (F.col("avg_entry") + way * F.col("mfe")).alias("price"))
+    )
+    return excursions.select("trade_id", F.explode(both).alias("m")).select("trade_id", "m.*").filter("price is not null")
+
+
+def risk_box(trades: DataFrame) -> DataFrame:
+    """(trade_id, box_from, box_to, entry_price, stop_price, risk_points): from entry to stop; none without a stop or with one on the wrong side."""
+    way = F.when(F.col("direction") == "long", 1).otherwise(-1)
+    t = trades.withColumn("risk_points", (F.col("avg_entry") - F.col("stop_price")) * way).filter("risk_points > 0")
+    return t.select("trade_id", F.col("opened_at").alias("box_from"), F.coalesce("closed_at", "opened_at").alias("box_to"), F.col("avg_entry").alias("entry_price"), "stop_price", "risk_points")
+
+
+# What a frame shows before the entry and after the exit, in parts of the time held.
+LEAD, TRAIL = 1.0, 1.0
+
+
+def frames(trades: DataFrame) -> DataFrame:
+    """(trade_id, symbol, bar_seconds, kind, frame_start, frame_end, highlight) of the four views of each closed trade.
+
+    The view before the entry ends there: nothing on it tells the outcome."""
+    held = F.unix_micros("closed_at") - F.unix_micros("opened_at")
+    whole = lambda part: F.floor(held * part / 1_000_000) * 1_000_000
+    at = lambda c: F.unix_micros(c)
+    views = {
+        "before_entry": (at("opened_at") - whole(LEAD), at("opened_at"), "opened_at"), "entry": (at("opened_at") - whole(LEAD), at("closed_at"), "opened_at"),
+        "exit": (at("opened_at"), at("closed_at") + whole(TRAIL), "closed_at"), "after_exit": (at("closed_at"), at("closed_at") + F.col("bar_seconds").cast("long") * (AFTER * 1_000_000), "closed_at"),
+    }
+    rows = F.array(*(
+        F.struct(F.lit(k).alias("kind"), F.timestamp_micros(a).alias("frame_start"), F.timestamp_micros(b).alias("frame_end"), F.col(h).alias("highlight")) for k, (a, b, h) in views.items()
+    ))
+    t = trades.filter("closed_at is not null").withColumn("bar_seconds", bar_seconds(F.coalesce("duration", F.lit(0))))
+    return t.select("trade_id", "symbol", "bar_seconds", F.explode(rows).alias("f")).select("trade_id", "symbol", "bar_seconds", "f.*")
+
+
+def frame_contents(shown: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
+    """Frames with n_bars, the first and last bar, and n_markers: the events (trade_id, ts) between these two, and no others."""
+    j = in_windows(shown, bars, "frame_start", "frame_end")
+    seen = j.groupBy("trade_id", "kind").agg(F.count("*").alias("n_bars"), F.min("ts").alias("first_bar"), F.max("ts").alias("last_bar"))
+    f = shown.join(seen, ["trade_id", "kind"], "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+    e = events.select("trade_id", F.col("ts").alias("_at"))
+    n = f.select("trade_id", "kind", "first_bar", "last_bar").join(e, "trade_id").filter(F.col("_at").between(F.col("first_bar"), F.col("last_bar")))
+    n = n.groupBy("trade_id", "kind").agg(F.count("*").alias("n_markers"))
+    return f.join(n, ["trade_id", "kind"], "left").withColumn("n_markers", F.coalesce("n_markers", F.lit(0)))
+
+
+def in_windows(shown: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of ``shown`` with each bar of their resolution between ``start`` and ``end``, joined on (symbol, resolution, day).
+
+    bars: (symbol, seconds, ts, open, high, low, close)."""
+    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
+    w = shown.withColumn("_day", F.explode(F.sequence(day(start), day(end))))
+    b = bars.select(F.col("symbol").alias("_symbol"), F.col("seconds").alias("_seconds"), day("ts").alias("_bday"), "ts", "open", "high", "low", "close")
+    same = (F.col("symbol") == F.col("_symbol")) & (F.col("bar_seconds") == F.col("_seconds")) & (F.col("_day") == F.col("_bday"))
+    return w.join(b, same & F.col("ts").between(F.col(start), F.col(end))).drop("_day", "_symbol", "_seconds", "_bday")
+
+
 def window_bars(shown: DataFrame, bars: DataFrame) -> DataFrame:
-    """Bars inside each window, joined on (symbol, day), with gap: whether more than a bar lies behind the one before.
+    """Bars inside each window at its own resolution, with gap: whether more than a bar lies behind the one before.
 
-    shown: windows(); bars: (symbol, ts, open, high, low, close) of one resolution.
+    shown: windows(); bars: of all resolutions that are shown, with their ``seconds``.
     """
-    day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
-    w = shown.withColumn("_day", F.explode(F.sequence(day("window_start"), day("window_end"))))
-    b = bars.select(F.col("symbol").alias("_symbol"), day("ts").alias("_bday"), "ts", "open", "high", "low", "close")
-    j = w.join(b, (F.col("symbol") == F.col("_symbol")) & (F.col("_day") == F.col("_bday")) & F.col("ts").between(F.col("window_start"), F.col("window_end")))
-    before = F.lag("ts").over(W.partitionBy("trade_id").orderBy("ts"))
+    j = in_windows(shown, bars, "window_start", "window_end")
+    before = F.lag("ts").over(W.partitionBy("trade_id").orderBy("ts"))  # a window's bars, some thousands at most
     gap = F.coalesce(F.unix_timestamp("ts") - F.unix_timestamp(before) > F.col("bar_seconds"), F.lit(False))
     return j.select("trade_id", "ts", "open", "high", "low", "close", gap.alias("gap"))

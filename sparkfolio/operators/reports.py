@@ -59,6 +59,13 @@ def attribute_leaks(claims: DataFrame) -> DataFrame:
     return c.groupBy("pattern").agg(F.sum("share").alias("naive"), F.sum(F.when(F.col("first"), F.col("share")).otherwise(0.0)).alias("exclusive"), F.count("*").alias("n_trades"), F.count_if("first").alias("n_exclusive"))
 
 
+def ranked_leaks(attributed: DataFrame) -> DataFrame:
+    """Attributions with ``place``: most negative exclusive cost first, as the money that no other leak claims is the first to save;
+    unknown costs last, equal ones by name."""
+    cost = F.when(F.col("naive").isNotNull(), F.col("exclusive"))
+    return attributed.withColumn("exclusive", cost).withColumn("place", F.row_number().over(W.orderBy(F.col("exclusive").asc_nulls_last(), "pattern")))  # a row a pattern
+
+
 # Compared means, least reported significance.
 METRICS = {"net": "net", "win_rate": "cast(net > 0 as int)", "r_multiple": "r_multiple", "duration": "duration", "quantity": "quantity"}
 ALPHA = 0.05

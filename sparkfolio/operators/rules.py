@@ -145,7 +145,7 @@ def evaluate(facts: DataFrame, rules: list[tuple]) -> DataFrame:
 
 def current_rules(strategies: DataFrame, rules: DataFrame) -> DataFrame:
     """Active rules of strategies that aren't deleted, of superseded versions too, as trades keep the version they were taken under."""
-    return rules.filter("is_active").join(F.broadcast(strategies.filter("not deleted").select("strategy_id", "name", "version")), "strategy_id")
+    return rules.filter("is_active").join(strategies.filter("not deleted").select("strategy_id", "name", "version"), "strategy_id")
 
 
 def evaluate_by_strategy(facts: DataFrame, rules: DataFrame) -> DataFrame:

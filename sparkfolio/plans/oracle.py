@@ -123,10 +123,11 @@ SELECT folds, scored, {r('target', None, 4)}, {r('votes / folds', 'stability', 4
 k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a) SELECT account || '.' || k AS key, {r('v', 'value')}, v IS NULL AS gap FROM k""",
     "s35_map_fills": f"WITH {_MAPPED} SELECT id, account, symbol, {r('commission')}, {r('fees')}, reason FROM mapped",
     "s36_specs": f"WITH {_SPECS} SELECT contract_id, symbol, {r('tick')}, {r('point * tick', 'tick_value')}, CAST(2 AS BIGINT) AS digits FROM specs",
-    "s37_next_cursor": f"WITH {_MAPPED}, z(lo, hi, cur, k) AS (VALUES (100, 140, 99, 1), (0, 2000000000, 3, 2), (0, 2000000000, 50, 3)) SELECT CAST(greatest(cur, least(greatest(max(id), cur), min(CASE WHEN reason IS NOT NULL THEN id END) - 1)) AS BIGINT) AS cursor FROM z JOIN mapped ON id BETWEEN lo AND hi AND (k <> 2 OR reason IS NULL) GROUP BY cur, k",
+    "s37_next_cursor": f"""WITH {_MAPPED}, z AS (SELECT unnest(['all', 'settled', 'known']) AS kind)
+SELECT kind AS "case", CAST(greatest(99, least(greatest(max(id), 99), coalesce(min(id) FILTER (reason IS NOT NULL OR (kind = 'known' AND (account IS NULL OR account % 10 = 3))) - 1, 9000000000000))) AS BIGINT) AS cursor
+FROM z JOIN mapped ON kind = 'all' OR reason IS NULL GROUP BY 1""",
     "x03_replay_windows": f"WITH {_TRADES}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 WHEN duration <= 14400 THEN 300 WHEN duration <= 86400 THEN 900 ELSE 3600 END AS b FROM facts) SELECT trade_id, symbol, CAST(b AS BIGINT) AS bar_seconds, opened_at - to_seconds(b * 120) AS window_start, closed_at + to_seconds(b * 60) AS window_end FROM z",
     "x03_replay_markers": f"WITH {_SLICES}, k AS (SELECT *, row_number() OVER (PARTITION BY account, symbol, tid, role ORDER BY ts, fill_id) AS i, count(*) OVER (PARTITION BY account, symbol, tid, role) AS n FROM slices) SELECT account, symbol, CAST(tid AS BIGINT) AS tid, CASE WHEN role = 'entry' THEN CASE WHEN i = 1 THEN 'entry' ELSE 'scale_in' END WHEN i = n THEN 'exit' ELSE 'scale_out' END AS kind, fill_id, ts, {r('price')}, {r('q', 'qty')} FROM k",
-    "x03_replay_bars": f"WITH {_TRADES}, {_BARS.format(s=300)}, z AS (SELECT *, CASE WHEN duration <= 120 THEN 15 WHEN duration <= 900 THEN 60 WHEN duration <= 3600 THEN 120 ELSE 300 END AS b FROM facts WHERE duration <= 14400), j AS (SELECT trade_id, z.b, bars.* FROM z JOIN bars ON z.symbol = bars.symbol AND ts BETWEEN opened_at - to_seconds(b * 120) AND closed_at + to_seconds(b * 60)) SELECT trade_id, ts, {r('open', 'open')}, {r('high', 'high')}, {r('low', 'low')}, {r('close', 'close')}, coalesce(epoch(ts) - epoch(lag(ts) OVER (PARTITION BY trade_id ORDER BY ts)) > b, FALSE) AS gap FROM j",
 }
 ORACLE["e05_next_reports"] = f"SELECT * FROM ({ORACLE['e03_due_periods']}) ORDER BY period_end, period_start, account, report_type LIMIT 25"
 ORACLE["e08_claims"] = f"WITH {_ORDERS}, n AS (SELECT account, count(*) AS n FROM facts GROUP BY 1) SELECT account AS claim_id, CASE WHEN account % 5 = 0 THEN 'uncited,unsupported' WHEN account % 3 = 0 THEN 'unsupported' ELSE '' END AS problems FROM n"

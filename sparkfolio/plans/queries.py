@@ -41,10 +41,14 @@ def state(spark: SparkSession, sf: str) -> DataFrame:
     return Q.session_state(facts(spark, sf), "account")
 
 
+def f01_columns(t: DataFrame) -> DataFrame:
+    names = """account symbol tid direction status opened_at closed_at qty_opened qty_closed avg_entry avg_exit points gross commission fees net scaled_in scaled_out duration"""
+    return t.select(*names.split())
+
+
 @query
 def f01_fifo_trades(spark, sf):
-    t = fifo.trades(views.fills(spark, sf), views.instruments(spark))
-    return rounded(t.select("account", "symbol", "tid", "direction", "status", "opened_at", "closed_at", "qty_opened", "qty_closed", "avg_entry", "avg_exit", "points", "gross", "commission", "fees", "net", "scaled_in", "scaled_out", "duration"))
+    return rounded(f01_columns(fifo.trades(views.fills(spark, sf), views.instruments(spark))))
 
 
 @query
@@ -307,8 +311,12 @@ def s36_specs(spark, sf):
 
 @query
 def s37_next_cursor(spark, sf):
+    """Where a cursor at 99 goes over all fills, over those that wait for nothing, and with accounts that aren't known."""
     m = mapped(spark, sf)
-    return mapping.next_cursor(m.filter("id between 100 and 140"), 99).unionByName(mapping.next_cursor(m.filter("reason is null"), 3)).unionByName(mapping.next_cursor(m, 50))
+    known = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("account")).filter("account % 10 <> 3")
+    cases = {"all": (m, None), "settled": (m.filter("reason is null"), None), "known": (m.filter("reason is null"), known)}
+    each = [mapping.next_cursor(f, 99, k).select(F.lit(name).alias("case"), "cursor") for name, (f, k) in cases.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query
@@ -321,11 +329,6 @@ def x03_replay_markers(spark, sf):
     return rounded(replay.markers(fifo.slices(views.fills(spark, sf))))
 
 
-@query
-def x03_replay_bars(spark, sf):
-    return rounded(replay.window_bars(replay.windows(facts(spark, sf).filter("duration <= 14400")), views.bars(spark, sf, 300)))
-
-
 @query
 def e05_next_reports(spark, sf):
     return rounded(reports.next_reports(reports.due_periods(views.order_facts(spark, sf), "1999-06-15")))

@@ -22,6 +22,7 @@ from ..operators import fifo
 from ..sources.versions import Store
 
 KEY = fifo.KEY
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 FILL = "account long, symbol string, fill_id long, ts timestamp, side string, qty decimal(6,0), price decimal(20,8), commission decimal(20,8), fees decimal(20,8)"
 SUMS = (
     "tid long, dir int, opened_at timestamp, last_exit timestamp, qty_opened decimal(22,0), qty_closed decimal(22,0), paid decimal(38,8), got decimal(38,8), "
@@ -205,8 +206,9 @@ def run(spark: SparkSession, source: DataFrame, store: Store, checkpoint: str, s
     """Starts the stream over what is there and returns its query.
 
     A checkpoint goes on where it was.  With ``restart`` the new checkpoint of a new ``stream`` begins at the store's fills, and no position
-    is stale any more.  The session's state store provider must be RocksDB's.
+    is stale any more.  State of this kind needs RocksDB's provider, which the session gets here.
     """
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     start = None
     if restart:
         base = store.version()

@@ -12,7 +12,6 @@ from sparkfolio.sources import reports, sync, versions, views
 from sparkfolio.streaming import positions
 
 T0 = dt.datetime(2026, 3, 5, 14, 0)
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def random_fills(spark, n, seed, accounts=4):
@@ -31,7 +30,6 @@ def land(spark, rows, folder):
 
 
 def follow(spark, tmp, store, **more):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     name = more.get("stream", "fills")
     source = spark.readStream.schema(positions.FILL).option("maxFilesPerTrigger", 1).parquet(str(tmp / "in"))
     query = positions.run(spark, source, store, str(tmp / f"ck-{name}"), instruments=views.instruments(spark), **more)
