@@ -16,6 +16,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import free_name, keyed
 from .storage import cut
 
 #: Rows up to which a small side is broadcast (a few tens of MB); larger ones are shuffled.
@@ -118,15 +119,20 @@ def prepare(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[Data
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:
-    """(doc_id, n_words, n_hit, items): per document the number of its words, of those inside an occurrence of a
+    """(doc_id, n_words, n_hit, items): per row the number of its words, of those inside an occurrence of a
     window of ``size`` consecutive benchmark words, and the sorted item_ids (as strings) whose windows occur.
 
     With a ``slop`` also near_items: the item_ids with a window that occurs exactly or near (proximity_matches()).
 
     A null or empty text has no words; an item without words has no window; a shorter item is one window.
-    Rows with one doc_id count as one document, rows without a doc_id are left out.  Without benchmark items nothing is hit.
+    Every row is a document of its own, whatever its doc_id: null and repeated ids get a key that is written with the rows.
+    Without benchmark items nothing is hit.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    docs = docs.select("doc_id", "text")
+    key = free_name(docs, "row")
+    rows = keyed(docs, key, "contamination_rows")
+    ids = rows.select(F.col(key).alias("doc_id"), F.col("doc_id").cast("long").alias("_id"))
+    docs = rows.select(F.col(key).alias("doc_id"), "text")
     index, windows, plan_ = prepare(docs, benchmark, size)
     found = cut(candidates(index, plan_, slop or 0), "candidates")
     matches = cut(phrase_matches(index, plan_, found), "matches")
@@ -137,8 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: i
     items = items_of(matches, "items")
     length = index.filter("term = 0").groupBy("doc_id").agg(F.max("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
-    out = length.join(hits, "doc_id", "left").join(items, "doc_id", "left")
-    columns = ["doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")]
+    out = length.join(hits, "doc_id", "left").join(items, "doc_id", "left").join(ids, "doc_id")
+    columns = [F.col("_id").alias("doc_id"), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items")]
     if slop is None:
         return out.select(*columns)
     near = cut(items_of(proximity_matches(index, plan_, found, slop).unionByName(matches.select("win", "doc_id", "start", F.lit(0).alias("off"))), "near_items"), "near_items")

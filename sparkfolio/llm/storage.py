@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,8 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def freed(spark: SparkSession, keep: Callable[[], list[str]]) -> Iterator[None]:
+    """Removes the scratch tables made inside it, but for those that ``keep`` names at its end, when nothing reads them any more."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in set(_made.pop()) - set(keep()):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import free_name, keyed
 from .storage import cut
 from .text import _BASE, _BYTE, SpanHash, mix, pieces, powers, sliding_argmin
 
@@ -347,7 +348,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, end, parts, n = int(p.offsets[i]), int(p.offsets[i + 1]), [], 0
                 base = last = at
                 for x in sorted(ranges[p.first + i] or ()):
-                    a, b = base + (x >> 32), base + (x & 0xFFFFFFFF)
+                    a, b = min(end, base + (x >> 32)), min(end, base + (x & 0xFFFFFFFF))
                     if a > last or not n:
                         parts.append(raw[last:a])
                         n += 1
@@ -363,12 +364,17 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_long_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
-    """Documents without the bytes covered by a string of ``size`` bytes that also starts anywhere else.
+    """Rows without the bytes covered by a string of ``size`` bytes that also starts anywhere else.
 
-    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary).  Null and empty texts have
-    no bytes and shorter texts lose nothing.  Repeated rows are copies of each other, so both lose what they
-    share.  A null doc_id is kept whole.  Strings are compared by 64-bit hashes and then by bytes.
+    Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary), a row for each row.  Null and empty texts have
+    no bytes and shorter texts lose nothing.  Every row is a document of its own, whatever its doc_id: repeated rows are copies of
+    each other, so both lose what they share; null and repeated ids get a key that is written with the rows.  Neighbourhoods of seeds
+    are the same if their 64-bit hashes are; different ones are compared by bytes, very many of one seed by window hashes.
     """
-    ranges = repeated_ranges(docs, size).groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("ranges"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ranges, "doc_id", "left")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    key = free_name(docs, "row")
+    rows = keyed(docs, key, "suffix_rows")
+    ranges = repeated_ranges(rows.select(F.col(key).alias("doc_id"), "text"), size).withColumnRenamed("doc_id", key)
+    ranges = ranges.groupBy(key).agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("ranges"))
+    joined = rows.join(ranges, key, "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

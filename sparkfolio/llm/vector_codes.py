@@ -121,7 +121,7 @@ def with_label_errors(coded: DataFrame) -> DataFrame:
 
     Labels are summed before anything travels; rows get the sums from a broadcast if the labels are proven few, else from a join."""
     coded = cut(coded, "vector_codes")
-    sums = cut(coded.groupBy("label").agg(F.try_sum("error").alias("label_error")), "label_errors").withColumnRenamed("label", "of")
+    sums = cut(coded.groupBy("label").agg(F.when(F.count_if(F.col("error").isNull()) == 0, F.try_sum("error")).alias("label_error")), "label_errors").withColumnRenamed("label", "of")
     if sums.count() <= BROADCAST_LABELS:
         sums = F.broadcast(sums)
     return coded.join(sums, F.col("label").eqNullSafe(F.col("of")), "left").drop("of")
