@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkfolio.llm import decontamination, language_id, mixing, ngram_join, token_store
 from sparkfolio.llm.queries import table, tokenizer_path
-from sparkfolio.llm.storage import cut
-
-#: The rows' own key while a stage joins.
-KEY = "_row"
+from sparkfolio.llm.rows import free_name, keyed
+from sparkfolio.llm.storage import freed, new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,53 +24,48 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language_id.identify(docs.toDF(*own), models, tuple(own)).filter("not rejected").select(own).toDF(*docs.columns)
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """The rows with a long key of their own: doc_id, or, in a table with null or repeated ids, a number that is written
-    with the rows, so that it is the same whenever they are read."""
-    irregular = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("doc_id is null or n > 1")
-    if irregular.isEmpty():
-        return docs.withColumn(KEY, F.col("doc_id").cast("long"))
-    return cut(docs.withColumn(KEY, F.monotonically_increasing_id()), f"{name}_rows")
-
-
-def by_key(rows: DataFrame, *columns: str) -> DataFrame:
-    """What an operator reads, with the key as doc_id."""
-    return rows.select(F.col(KEY).alias("doc_id"), *columns)
+def by_key(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """What an operator reads, with the rows' own key as doc_id."""
+    return rows.select(F.col(key).alias("doc_id"), *columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row of least doc_id of each group of near duplicates, without one only if all are; of equal ids, by the text's hash.
 
     A repeated row is a copy and goes; null, empty and wordless texts are near nothing and stay; ties are decided by the
-    row's key.  An empty table stays empty; further columns may have any name but _row.
+    row's key.  An empty table stays empty; further columns may have any name.
     """
-    rows = keyed(docs, "near_duplicates")
-    classes = ngram_join.near_duplicates(by_key(rows, "text")).select(F.col("doc_id").alias(KEY), F.col("class_id").alias("_class"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_text"), F.col(KEY).alias("key")))
-    first = rows.select("doc_id", KEY, F.xxhash64("text").alias("_text")).join(classes, KEY).groupBy("_class").agg(least.alias("least")).select(F.col("least.key").alias(KEY))
-    return rows.join(first, KEY, "left_semi").select(docs.columns)
+    key = free_name(docs, "_row")
+    rows = keyed(docs, key, "near_duplicates_rows")
+    classes = ngram_join.near_duplicates(by_key(rows, key, "text")).select(F.col("doc_id").alias("_key"), F.col("class_id").alias("_class"))
+    own = rows.select(F.col(key).alias("_key"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_text"))
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_text"), F.col("_key").alias("key")))
+    first = own.join(classes, "_key").groupBy("_class").agg(least.alias("least")).select(F.col("least.key").alias(key))
+    return rows.join(first, key, "left_semi").select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any occurrence of a benchmark window.
 
     Each row is decided by itself, whatever its doc_id; null and empty texts stay, as do all rows if there is no benchmark
-    item.  An empty table stays empty; further columns may have any name but _row.
+    item.  An empty table stays empty; further columns may have any name.
     """
-    rows = keyed(docs, "decontamination")
-    found = decontamination.contamination(by_key(rows, "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(KEY)), KEY, "left_anti").select(docs.columns)
+    key = free_name(docs, "_row")
+    rows = keyed(docs, key, "decontamination_rows")
+    found = decontamination.contamination(by_key(rows, key, "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mixture takes it: equal rows and rows without a doc_id each by themselves.
 
     Null and empty texts have no words, so they go as often as their source is taken in whole.  A null source is a source of
-    its own.  An empty table stays empty; further columns may have any name but _row and _times.
+    its own.  An empty table stays empty; further columns may have any name.
     """
-    rows = keyed(docs, "mixing")
-    times = mixing.mix(rows.select("doc_id", "text", "source", KEY), keep=(KEY,)).filter("times > 0").select(KEY, F.col("times").alias("_times"))
-    each = rows.join(times, KEY).select(F.struct(*docs.columns).alias("_r"), F.explode(F.array_repeat(F.lit(1), F.col("_times").cast("int"))))
+    key, many = free_name(docs, "_row"), free_name(docs, "_times")
+    rows = keyed(docs, key, "mixing_rows")
+    times = mixing.mix(rows.select("doc_id", "text", "source", key), keep=(key,)).filter("times > 0").select(key, F.col("times").alias(many))
+    each = rows.join(times, key).select(F.struct(*docs.columns).alias("_r"), F.explode(F.array_repeat(F.lit(1), F.col(many).cast("int"))))
     return each.select("_r.*")
 
 
@@ -91,7 +84,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows.  Each stage's result is written; what the stage wrote besides is removed then."""
+    docs, kept = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        with freed(spark, lambda: kept):
+            made = stage(spark, docs, sf_dir)
+            kept.append(new_path(spark, name))
+            made.write.parquet(kept[-1])
+            docs = spark.read.schema(made.schema).parquet(kept[-1])
     return docs
