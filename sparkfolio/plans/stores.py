@@ -341,9 +341,10 @@ _R = f"""{_TRADES}, {_bars_at(300)}, e AS (SELECT t.trade_id, t.tid, t.direction
 x AS (SELECT *, CASE direction WHEN 'long' THEN down ELSE up END AS mae, CASE direction WHEN 'long' THEN up ELSE down END AS mfe, CASE WHEN tid % 5 <> 0 AND tid % 7 <> 0 AND avg_entry > 0 THEN avg_entry * 0.04 END AS unit FROM e)"""
 
 
-@query(f"WITH {_R} SELECT trade_id, {r('mae')}, {r('mfe')}, {bare('mae / unit')} AS mae_r, {bare('mfe / unit')} AS mfe_r, n_bars FROM x")
+@query(f"WITH {_R} SELECT trade_id, {r('mae')}, {r('mfe')}, {bare('mae / unit', 5)} AS mae_r, {bare('mfe / unit', 5)} AS mfe_r, n_bars FROM x")
 def x01_excursions_in_r(spark, sf):
-    return rounded(excursions_in_r(spark, sf))
+    e = excursions_in_r(spark, sf)
+    return rounded(e.withColumns({c: F.round(c, 5) for c in ("mae_r", "mfe_r")}))
 
 
 @query(f"WITH {_R} SELECT trade_id, unnest(['mae', 'mfe']) AS kind, {bare('unnest([avg_entry - CASE direction WHEN %slong%s THEN mae ELSE -mae END, avg_entry + CASE direction WHEN %slong%s THEN mfe ELSE -mfe END])' % ((chr(39),) * 4))} AS price FROM x")
