@@ -96,6 +96,37 @@ def choose_penalty(sessions: list[np.ndarray]) -> float:
     return min(errors)[1] if errors else PENALTY
 
 
+def fold_models(days: list[tuple], per: dict, width: int) -> list[dict]:
+    """The ridge model of each fold from 1 on: fold, penalty, beta (intercept first, in the columns' units), rows and mean label it
+    was fitted on.  days: (session, fold) in order; per: a session's moments().  A fold whose system is singular has none."""
+    out, held, at = [], [], 0
+    for fold in sorted({f for _, f in days} - {0}):
+        while at < len(days) and days[at][1] < fold:
+            if days[at][0] in per:
+                held.append(per[days[at][0]])
+            at += 1
+        if held:
+            m = sum(held)
+            penalty, t = choose_penalty(held), standardiser(m)
+            beta = ridge(t @ m @ t.T, penalty)
+            if beta is not None:
+                out.append({"fold": fold, "penalty": penalty, "beta": [float(x) for x in beta @ t[:width, :width]], "rows": int(m[0, 0]), "mean": float(m[0, -1] / m[0, 0])})
+    return out
+
+
+def linear(columns: list[str], beta: str = "beta") -> Column:
+    """What a model says of a row: its intercept and its coefficients times ``columns``."""
+    out = F.element_at(beta, 1)
+    for i, c in enumerate(columns, 2):
+        out = out + F.element_at(beta, i) * F.col(c)
+    return out
+
+
+def calendar(rows: DataFrame, session: str, first: int, step: int) -> list[tuple]:
+    """(session, number, fold) of all sessions in order: a row a day of the calendar, so it may stand on the driver."""
+    return [(r[session], r["i"], r["fold"]) for r in folds(rows, first, step, session).orderBy(session).collect()]
+
+
 def walk_forward(rows: DataFrame, columns: list[str], label: str, session: str = "session_date", first: int = MODEL_FOLDS[0], step: int = MODEL_FOLDS[1]) -> DataFrame | None:
     """(all columns, fold, penalty, predicted) of the rows in tested sessions; None without enough sessions.
 
@@ -104,75 +135,101 @@ def walk_forward(rows: DataFrame, columns: list[str], label: str, session: str =
     rows = rows.filter(F.col(session).isNotNull())
     full = rows.dropna(subset=[*columns, label])
     per = dict(moments(full, columns, label, session))
-    days = [(r[session], r["fold"]) for r in folds(rows, first, step, session).orderBy(session).collect()]  # one row a day
+    days = [(d, f) for d, _, f in calendar(rows, session, first, step)]
     if len(days) < first + 1:
         return None
-    models = []
-    for fold in sorted({f for _, f in days} - {0}):
-        train = [per[d] for d, f in days if f < fold and d in per]
-        if not train:
-            continue
-        penalty, m = choose_penalty(train), sum(train)
-        t = standardiser(m)
-        beta = ridge(t @ m @ t.T, penalty)
-        if beta is not None:
-            raw = beta @ t[: len(beta), : len(beta)]  # back to the columns as given
-            models += [(d, fold, penalty, [float(x) for x in raw]) for d, f in days if f == fold]
+    of = {m["fold"]: m for m in fold_models(days, per, len(columns) + 1)}
+    models = [(d, f, of[f]["penalty"], of[f]["beta"]) for d, f in days if f in of]
     schema = T.StructType([T.StructField("_day", full.schema[session].dataType), T.StructField("fold", T.IntegerType()), T.StructField("penalty", T.DoubleType()), T.StructField("beta", T.ArrayType(T.DoubleType()))])
     model = full.sparkSession.createDataFrame(models, schema)
-    beta = lambda i: F.element_at("beta", i + 1)
-    predicted = beta(0)
-    for i, c in enumerate(columns, 1):
-        predicted = predicted + beta(i) * F.col(c)
-    return full.join(F.broadcast(model), F.col(session) == F.col("_day")).withColumn("predicted", predicted).drop("_day", "beta")  # one row a day
+    met = full.join(F.broadcast(model), F.col(session) == F.col("_day"))  # one row a day
+    return met.withColumn("predicted", linear(columns)).drop("_day", "beta")
+
 
+#: Rows that meet all models as one matrix product in a worker.
+MATRIX_ROWS = 512
 
-def walk_forward_logistic(rows: DataFrame, columns: list[str], label: str, session: str = "session_date", first: int = MODEL_FOLDS[0], step: int = MODEL_FOLDS[1], iterations: int = 40, tol: float = 1e-6) -> DataFrame | None:
+
+def _model_sums(dated: DataFrame, columns: list[str], low: str, high: str | None, models: list[tuple], errors: bool) -> dict:
+    """Per model (fold, penalty, beta) the sums over the rows with ``low`` <= fold (and fold < ``high``): of squared errors and rows with
+    ``errors``, else the gradient and the Hessian of the log-likelihood.
+
+    A batch of rows meets all models in matrix products, its rows masked by fold; what leaves a task is a row a model.
+    """
+    ends, beta = np.array([f for f, *_ in models]), np.array([b for *_, b in models]).T
+    k = len(columns) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    names = ["e", "n"] if errors else [*(f"g_{i}" for i in range(k)), *(f"h_{i}_{j}" for i, j in pairs)]
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros((len(names), len(ends)))
+        for batch in batches:
+            data = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(batch.num_columns)])
+            for a in range(0, len(data), MATRIX_ROWS):
+                part = data[a : a + MATRIX_ROWS]
+                x, y = np.column_stack([np.ones(len(part)), part[:, : k - 1]]), part[:, k - 1]
+                p = 1 / (1 + np.exp(-np.clip(x @ beta, -700, 700)))
+                inside = ends[None, :] >= part[:, k, None]
+                if high is not None:
+                    inside &= ends[None, :] < part[:, k + 1, None]
+                if errors:
+                    total[0] += (inside * (y[:, None] - p) ** 2).sum(axis=0)
+                    total[1] += inside.sum(axis=0)
+                else:
+                    total[:k] += x.T @ (inside * (y[:, None] - p))
+                    total[k:] += np.column_stack([x[:, i] * x[:, j] for i, j in pairs]).T @ (inside * p * (1 - p))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends))), *map(pa.array, total)], ["m", *names])
+
+    wanted = dated.select(*(F.col(c).cast("double") for c in columns), "_y", F.col(low).cast("double"), *([F.col(high).cast("double")] if high else []))
+    sums = wanted.mapInArrow(run, ", ".join(["m long", *(f"{n} double" for n in names)])).groupBy("m").agg(*(F.sum(n).alias(n) for n in names))
+    return {r["m"]: r for r in sums.collect()}  # one row a model
+
+
+def walk_forward_logistic(
+    rows: DataFrame, columns: list[str], label: str, session: str = "session_date", first: int = MODEL_FOLDS[0], step: int = MODEL_FOLDS[1], iterations: int = 40, tol: float = 1e-6
+) -> DataFrame | None:
     """walk_forward() for a chance: adds fold, penalty, converged and predicted to the rows in tested sessions.
 
-    All folds and penalties are fitted at once: a Newton step is one aggregation of products per (fold, penalty), and
-    rows meet the coefficients through the folds that train on their session.  A fold without both outcomes isn't scored.
+    All folds and penalties take a Newton step in one pass over the rows (_model_sums); what has converged drops out, and the
+    final fits start from those that chose their penalties.  A fold without both outcomes isn't scored.
     """
     rows = rows.filter(F.col(session).isNotNull())
     full = rows.dropna(subset=[*columns, label]).withColumn("_y", F.col(label).cast("double"))
-    days = [(r[session], r["i"], r["fold"]) for r in folds(rows, first, step, session).orderBy(session).collect()]  # one row a day
+    days = calendar(rows, session, first, step)
     if len(days) < first + 1:
         return None
     spark, top, k = full.sparkSession, max(f for *_, f in days), len(columns) + 1
     ends = {f: first + (f - 1) * step for f in range(1, top + 1)}
     inner = {f: int(n * 0.7) for f, n in ends.items()}
     per = dict(moments(full, columns, label, session))
-    calendar = [(d, f, next((g for g in inner if inner[g] >= i), top + 1)) for d, i, f in days]
+    starts = [next((g for g in inner if inner[g] >= i), top + 1) for _, i, _ in days]
     kind = full.schema[session].dataType
-    calendar = spark.createDataFrame(calendar, T.StructType([T.StructField("_day", kind), T.StructField("_fold", T.IntegerType()), T.StructField("_inner", T.IntegerType())]))
-    dated = full.join(F.broadcast(calendar), F.col(session) == F.col("_day"))  # one row a day
-    x = [F.lit(1.0), *(F.col(c).cast("double") for c in columns)]
-
-    def chance(model: list[tuple]) -> tuple[DataFrame, Column]:
-        m = spark.createDataFrame([(f, p, [float(b) for b in beta], bool(done)) for f, p, beta, done in model], "fold int, penalty double, beta array<double>, converged boolean")
-        s = sum((F.element_at("beta", i + 1) * c for i, c in enumerate(x)), F.lit(0.0))
-        return F.broadcast(m), 1 / (1 + F.exp(-s))  # folds x penalties
-
-    def trained(start: str, stop: Column) -> DataFrame:
-        return dated.filter(F.col(start) <= stop).withColumn("fold", F.explode(F.sequence(F.col(start), stop)))
-
-    def fit(wanted: list[tuple[int, float]], start: str, upto: dict[int, int]) -> list[tuple]:
-        todo, done = {}, []
-        for f, p in wanted:
-            m = sum((per[d] for d, i, _ in days if i <= upto[f] and d in per), np.zeros((k + 1, k + 1)))
+    dates = spark.createDataFrame([(d, f, g, f + 1) for (d, _, f), g in zip(days, starts)], T.StructType([T.StructField("_day", kind), *(T.StructField(n, T.IntegerType()) for n in ("_fold", "_inner", "_first"))]))
+    dated = full.join(F.broadcast(dates), F.col(session) == F.col("_day"))  # one row a day
+    sums, upto = np.zeros((k + 1, k + 1)), [np.zeros((k + 1, k + 1))]
+    for d, *_ in days:
+        sums = sums + per[d] if d in per else sums
+        upto.append(sums)
+
+    def fit(wanted: list[tuple], start: str, last: dict[int, int]) -> dict:
+        """(fold, penalty) to coefficients and whether they converged; wanted: (fold, penalty, coefficients to start from)."""
+        todo, done = {}, {}
+        for f, p, raw in wanted:
+            m = upto[min(last[f], len(days))]
             if 0 < m[0, k] < m[0, 0]:
-                todo[f, p] = (standardiser(m)[:k, :k], np.zeros(k))
+                t = standardiser(m)[:k, :k]
+                todo[f, p] = (t, np.zeros(k) if raw is None else np.array(raw) @ np.linalg.inv(t))
         for _ in range(iterations):
             if not todo:
                 break
-            model, p = chance([(f, q, b @ t, False) for (f, q), (t, b) in todo.items()])
-            w = [F.sum(p * (1 - p) * x[i] * x[j]).alias(f"h_{i}_{j}") for i in range(k) for j in range(i, k)]
-            g = [F.sum((F.col("_y") - p) * x[i]).alias(f"g_{i}") for i in range(k)]
-            for r in trained(start, F.lit(top)).join(model, "fold").groupBy("fold", "penalty").agg(*w, *g).collect():  # one row a model
-                key = r["fold"], r["penalty"]
+            keys = list(todo)
+            found = _model_sums(dated, columns, start, None, [(f, p, todo[f, p][1] @ todo[f, p][0]) for f, p in keys], False)
+            for i, key in enumerate(keys):
                 t, b = todo[key]
+                r, d = found[i], key[1] * np.diag([0.0] + [1.0] * (k - 1))
                 h = np.array([[r[f"h_{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
-                d = key[1] * np.diag([0.0] + [1.0] * (k - 1))
                 try:
                     move = np.linalg.solve(t @ h @ t.T + d, t @ np.array([r[f"g_{i}"] for i in range(k)]) - d @ b)
                 except np.linalg.LinAlgError:
@@ -180,23 +237,23 @@ def walk_forward_logistic(rows: DataFrame, columns: list[str], label: str, sessi
                     continue
                 todo[key] = (t, b + move)
                 if np.abs(move).max() < tol:
-                    done.append((*key, (b + move) @ t, True))
+                    done[key] = ((b + move) @ t, True)
                     del todo[key]
-        return done + [(f, q, b @ t, False) for (f, q), (t, b) in todo.items()]
+        return done | {key: (b @ t, False) for key, (t, b) in todo.items()}
 
-    dated_inner = dated.withColumn("_first", F.col("_fold") + 1)
-    tried = fit([(f, p) for f in ends if ends[f] >= 4 for p in PENALTIES], "_inner", inner)
-    best = {}
+    tried = fit([(f, p, None) for f in ends if ends[f] >= 4 for p in PENALTIES], "_inner", inner)
+    best: dict[int, tuple] = {}
     if tried:
-        model, p = chance(tried)
-        rest = dated_inner.filter("_first < _inner").withColumn("fold", F.explode(F.expr("sequence(_first, _inner - 1)")))
-        for r in rest.join(model, "fold").groupBy("fold", "penalty").agg(F.avg((F.col("_y") - p) * (F.col("_y") - p)).alias("e")).orderBy("e", "penalty").collect():
-            best.setdefault(r["fold"], r["penalty"])
-    dated = dated_inner
-    final = fit([(f, best.get(f, PENALTY)) for f in ends], "_first", ends)
-    model, p = chance(final)
-    out = dated.withColumnRenamed("_fold", "fold").join(model, "fold").withColumn("predicted", F.greatest(F.lit(CLAMP[0]), F.least(F.lit(CLAMP[1]), p)))
-    return out.drop("_day", "_inner", "_first", "_y", "beta")
+        models = [(f, p, b) for (f, p), (b, _) in tried.items()]
+        for i, r in _model_sums(dated, columns, "_first", "_inner", models, True).items():
+            if r["n"]:
+                best[models[i][0]] = min(best.get(models[i][0], (np.inf, 0.0)), (r["e"] / r["n"], models[i][1]))
+    chosen = {f: best[f][1] if f in best else PENALTY for f in ends}
+    final = fit([(f, p, tried[f, p][0] if (f, p) in tried else None) for f, p in chosen.items()], "_first", ends)
+    model = spark.createDataFrame([(f, p, [float(x) for x in b], done) for (f, p), (b, done) in final.items()], "fold int, penalty double, beta array<double>, converged boolean")
+    out = dated.withColumnRenamed("_fold", "fold").join(F.broadcast(model), "fold")  # one row a fold
+    p = 1 / (1 + F.exp(-linear([*columns])))
+    return out.withColumn("predicted", F.greatest(F.lit(CLAMP[0]), F.least(F.lit(CLAMP[1]), p))).drop("_day", "_inner", "_first", "_y", "beta")
 
 
 # Least scored trades of a served model, significance of its calibration test.

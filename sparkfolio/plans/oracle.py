@@ -113,8 +113,7 @@ SELECT dimension, key, n, winners, {r('net')}, {r('expectancy', None, 9)}, {r('r
     "d10_feature_matrix": f"WITH {_ORDERS}, x AS (SELECT trade_id, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h, CAST(isodow(session_date) - 1 AS DOUBLE) AS w FROM facts), a AS (SELECT avg(q) AS mq, stddev_samp(q) AS sq, avg(h) AS mh, stddev_samp(h) AS sh, avg(w) AS mw, stddev_samp(w) AS sw FROM x) SELECT trade_id, {r('(q - mq) / sq', 'quantity')}, {r('(h - mh) / sh', 'hold')}, {r('(w - mw) / sw', 'weekday')} FROM x, a",
     "l04_ridge": f"""WITH {_ORDERS}, x AS (SELECT CAST(net AS DOUBLE) AS y, CAST(quantity AS DOUBLE) AS q, duration / 86400 AS h FROM facts), m AS (SELECT avg(y) AS my, avg(q) AS mq, avg(h) AS mh FROM x), c AS (SELECT any_value(my) AS my, any_value(mq) AS mq, any_value(mh) AS mh, sum((q - mq) ** 2) + 10 AS qq, sum((h - mh) ** 2) + 10 AS hh, sum((q - mq) * (h - mh)) AS qh, sum((q - mq) * (y - my)) AS qy, sum((h - mh) * (y - my)) AS hy FROM x, m),
  b AS (SELECT *, (qy * hh - hy * qh) / (qq * hh - qh * qh) AS bq, (hy * qq - qy * qh) / (qq * hh - qh * qh) AS bh FROM c) SELECT unnest(['intercept', 'quantity', 'hold']) AS term, unnest([{r('my - bq * mq - bh * mh', 'a', 4).replace(' AS a', '')}, {r('bq', 'a', 4).replace(' AS a', '')}, {r('bh', 'a', 4).replace(' AS a', '')}]) AS beta FROM b""",
-    "l07_walk_forward": f"WITH {_ORDERS}, d AS (SELECT session_date, greatest(0, (row_number() OVER (ORDER BY session_date) - 21) // 200 + 1) AS fold FROM (SELECT DISTINCT session_date FROM facts)), i AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM d) SELECT CAST(fold AS BIGINT) AS fold, count(*) FILTER (r_multiple IS NOT NULL) AS scored, count(DISTINCT session_date) AS sessions, count(r_multiple) AS predicted FROM facts JOIN d USING (session_date) JOIN i USING (session_date) WHERE i > 20 GROUP BY 1",
-    "q05_exit_selection": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 100 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK}
+    "q05_exit_selection": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK}
 SELECT CAST(fold AS BIGINT) AS fold, {r('target', None, 4)}, {r('score', None, 4)}, applicable AS scored, {r('delta', None, 4)} FROM pick""",
     "q06_exit_recommendation": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK},
  m AS (SELECT target, count(*) AS votes FROM pick GROUP BY 1), t AS (SELECT arg_max(target, votes * 100 - target) AS target, max(votes) AS votes FROM m), a AS (SELECT count(*) AS folds, CAST(sum(applicable) AS BIGINT) AS scored, sum(delta) AS delta FROM pick)
@@ -131,5 +130,3 @@ FROM z JOIN mapped ON kind = 'all' OR reason IS NULL GROUP BY 1""",
 }
 ORACLE["e05_next_reports"] = f"SELECT * FROM ({ORACLE['e03_due_periods']}) ORDER BY period_end, period_start, account, report_type LIMIT 25"
 ORACLE["e08_claims"] = f"WITH {_ORDERS}, n AS (SELECT account, count(*) AS n FROM facts GROUP BY 1) SELECT account AS claim_id, CASE WHEN account % 5 = 0 THEN 'uncited,unsupported' WHEN account % 3 = 0 THEN 'unsupported' ELSE '' END AS problems FROM n"
-_WON = f"WITH {_ORDERS}, d AS (SELECT session_date, row_number() OVER (ORDER BY session_date) AS i FROM (SELECT DISTINCT session_date FROM facts))"
-ORACLE["l07_walk_forward_logistic"] = f"{_WON} SELECT CAST((i - 21) // 400 + 1 AS BIGINT) AS fold, count(*) AS scored, count(DISTINCT session_date) AS sessions, count(*) AS converged FROM facts JOIN d USING (session_date) WHERE i > 20 GROUP BY 1"

@@ -261,16 +261,9 @@ def l04_ridge(spark, sf):
     return rounded(spark.createDataFrame(rows, "term string, beta double"), 4)
 
 
-@query
-def l07_walk_forward(spark, sf):
-    t = views.order_facts(spark, sf).select("trade_id", "session_date", F.col("r_multiple").alias("y"), F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
-    w = models.walk_forward(t, ["quantity", "hold"], "y", step=200)
-    return rounded(w.groupBy("fold").agg(F.count("*").alias("scored"), F.count_distinct("session_date").alias("sessions"), F.count("predicted").alias("predicted")))
-
-
 @query
 def q05_exit_selection(spark, sf):
-    return rounded(models.exit_selection(exits_input(spark, sf), 25, 100), 4)
+    return rounded(models.exit_selection(exits_input(spark, sf)), 4)
 
 
 @query
@@ -344,14 +337,6 @@ def e08_claims(spark, sf):
     return reports.check_claims(claims, reports.evidence(n, "account")).select("claim_id", F.concat_ws(",", "problems").alias("problems"))
 
 
-@query
-def l07_walk_forward_logistic(spark, sf):
-    """Chance of a gain by quantity and days held; per fold what was scored."""
-    t = views.order_facts(spark, sf).select("trade_id", "session_date", (F.col("net") > 0).cast("int").alias("y"), F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
-    w = models.walk_forward_logistic(t, ["quantity", "hold"], "y", step=400)
-    return rounded(w.groupBy("fold").agg(F.count("*").alias("scored"), F.count_distinct("session_date").alias("sessions"), F.count_if("converged").alias("converged")))
-
-
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Per account: FIFO trades of its fills, by session."""
     return facts(spark, sf).groupBy("account").agg(F.count("*").alias("n"), F.count_distinct("session_date").alias("sessions"), F.sum("net").alias("net"), F.count_if(F.col("net") > 0).alias("winners")).orderBy("account")

@@ -138,3 +138,75 @@ def test_claims_are_held_against_evidence(spark):
     claims = [(1, "42 trades, 53.7% won", ["n", "rate"]), (2, "about 44 trades", ["n"]), (3, "it went well", []), (4, "see this", ["kelly"]), (5, "see that", ["nothing"]), (6, None, None)]
     got = reports.check_claims(spark.createDataFrame(claims, "claim_id long, text string, cites array<string>"), known)
     assert {r.claim_id: r.problems for r in got.collect()} == {1: [], 2: ["unsupported"], 3: ["uncited"], 4: ["undefined"], 5: ["unknown"], 6: ["uncited"]}
+
+
+def plain_logistic(x, y, penalty):
+    """Newton's method on standardised columns, intercept unpenalised; coefficients in the columns' units."""
+    m, s = x.mean(axis=0), x.std(axis=0, ddof=1)
+    z, b = np.column_stack([np.ones(len(x)), (x - m) / s]), np.zeros(x.shape[1] + 1)
+    d = penalty * np.diag([0.0] + [1.0] * x.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-z @ b))
+        move = np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + d, z.T @ (y - p) - d @ b)
+        b = b + move
+        if np.abs(move).max() < 1e-9:
+            break
+    return np.concatenate([[b[0] - (b[1:] * m / s).sum()], b[1:] / s])
+
+
+def test_logistic_walk_forward_against_plain_fits(spark):
+    rng = np.random.default_rng(8)
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(33)]
+    x = rng.normal(size=(400, 2)) * [2.0, 0.5] + [1.0, 3.0]
+    day = np.sort(rng.integers(0, len(days), len(x)))
+    won = (rng.random(len(x)) < 1 / (1 + np.exp(-(0.8 * x[:, 0] - x[:, 1])))).astype(int)
+    df = spark.createDataFrame([(i, days[d], float(a), float(b), int(w)) for i, (d, (a, b), w) in enumerate(zip(day, x, won))], "trade_id int, session_date date, a double, b double, won int")
+    got = {r.trade_id: (r.fold, r.penalty, r.predicted) for r in models.walk_forward_logistic(df, ["a", "b"], "won", first=20, step=5).repartition(3).collect()}
+    tested = sorted(set(day.tolist()))
+    number = {d: i + 1 for i, d in enumerate(tested)}
+    fold = np.array([0 if number[d] <= 20 else (number[d] - 21) // 5 + 1 for d in day])
+    for f in sorted(set(fold) - {0}):
+        train = fold < f
+        size = 20 + (f - 1) * 5
+        inner = train & np.array([number[d] <= int(size * 0.7) for d in day])
+        rest = train & ~inner
+        errors = []
+        for p in models.PENALTIES:
+            b = plain_logistic(x[inner], won[inner], p)
+            errors.append((((won[rest] - 1 / (1 + np.exp(-(b[0] + x[rest] @ b[1:])))) ** 2).mean(), p))
+        penalty = min(errors)[1]
+        b = plain_logistic(x[train], won[train], penalty)
+        for i in np.flatnonzero(fold == f):
+            said = min(0.999, max(0.001, 1 / (1 + np.exp(-(b[0] + x[i] @ b[1:])))))
+            assert got[i][:2] == (f, penalty) and abs(got[i][2] - said) < 1e-6
+    assert set(got) == set(np.flatnonzero(fold).tolist())
+
+
+def test_serving_takes_the_model_in_force(spark):
+    from sparkfolio.operators import serving
+
+    rng = np.random.default_rng(2)
+    days = [dt.date(2026, 1, 1) + dt.timedelta(days=i) for i in range(60)]
+    rows = [(i, days[i // 4], float(a), None if i % 9 == 0 else float(b), float(a - b + rng.normal() * 0.1)) for i, (a, b) in enumerate(rng.normal(size=(240, 2)))]
+    df = spark.createDataFrame(rows, "trade_id int, session_date date, a double, b double, y double")
+    made = serving.train(df, "h", ["a", "b"], "y")
+    m = made.orderBy("fold").collect()
+    assert [r.fold for r in m] == list(range(1, 10)) and m[-1].trained_at == dt.date(2026, 3, 2) and m[0].trained_at == days[20]
+    assert m[0].reason == serving.FEW and m[-1].deployable and m[-1].skill > 0.9
+    assert m[-1].trained + m[-1].skipped == 240 and m[0].trained + m[0].skipped == 80
+    other = made.withColumn("head", F.lit("other")).withColumn("beta", F.array(*[F.lit(1e9)] * 3)).withColumn("deployable", F.lit(True))
+    got = {r.trade_id: r for r in serving.serve(df, made.unionByName(other), "h", ["a", "b"]).collect()}
+    for i, day, a, b, _ in rows:
+        force = [r for r in m if r.trained_at <= day]
+        if not force:
+            assert got[i].trained_at is None and got[i].predicted is None
+            continue
+        assert got[i].trained_at == force[-1].trained_at
+        if b is None or not force[-1].deployable:
+            assert got[i].predicted is None
+        else:
+            assert abs(got[i].predicted - (force[-1].beta[0] + force[-1].beta[1] * a + force[-1].beta[2] * b)) < 1e-9
+    # a later session changes nothing that was said before
+    early = serving.train(df.filter("trade_id < 160"), "h", ["a", "b"], "y").orderBy("fold").collect()
+    assert [tuple(r) for r in early[:-1]] == [tuple(r) for r in m[: len(early) - 1]]
+    assert serving.train(df.filter("trade_id < 40"), "h", ["a", "b"], "y").count() == 0
