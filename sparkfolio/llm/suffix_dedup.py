@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .rows import free_name, keyed
 from .storage import cut
-from .text import _BASE, _BYTE, SpanHash, mix, pieces, powers, sliding_argmin
+from .text import _BASE, _BYTE, SpanHash, mix, pieces, powers, sliding_argmin, tidy
 
 SHALLOW, GROUP, LARGE = 16, 1024, 100_000
 SEEDS = "seed long, near long, doc_id long, at int, a int, b int, dup boolean"
@@ -134,7 +134,7 @@ def _neighbourhoods(size: int):
                 for x in places:
                     at = x["at"]
                     out.append((x["seed"], doc, at, x["done"], raw[x["a"] : at], raw[at + half : x["b"]]))
-                if len(out) >= 5000:
+                if len(out) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _BYTES, strict=True)], BYTES.replace(",", "").split()[::2])
                     out = []
             if out:
@@ -325,11 +325,11 @@ def repeated_ranges(docs: DataFrame, size: int = 400) -> DataFrame:
     """(doc_id, a, b): byte ranges covered by strings of ``size`` bytes that also start elsewhere."""
     spark = docs.sparkSession
     docs = docs.filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    seeds = docs.mapInArrow(_seeds(size), SEEDS).repartition("seed").sortWithinPartitions("seed", "near", "doc_id", "at")
-    settled = cut(seeds.mapInArrow(_settle(size), SETTLED), "suffix-settled")
+    seeds = docs.mapInArrow(tidy(_seeds(size)), SEEDS).repartition("seed").sortWithinPartitions("seed", "near", "doc_id", "at")
+    settled = cut(seeds.mapInArrow(tidy(_settle(size)), SETTLED), "suffix-settled")
     places = settled.filter("kind = 1").groupBy("doc_id").agg(F.collect_list(F.struct("seed", "a", "at", "b", "done")).alias("places"))
-    around = docs.join(places, "doc_id").mapInArrow(_neighbourhoods(size), BYTES)
-    compared = cut(around.repartition("seed").sortWithinPartitions("seed").mapInArrow(_compare(size), RANGES), "suffix-compared")
+    around = docs.join(places, "doc_id").mapInArrow(tidy(_neighbourhoods(size)), BYTES)
+    compared = cut(around.repartition("seed").sortWithinPartitions("seed").mapInArrow(tidy(_compare(size)), RANGES), "suffix-compared")
     windows = compared.filter("kind = 1")
     often = windows.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window")
     return (
@@ -377,4 +377,4 @@ def remove_long_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
     ranges = repeated_ranges(rows.select(F.col(key).alias("doc_id"), "text"), size).withColumnRenamed("doc_id", key)
     ranges = ranges.groupBy(key).agg(F.collect_list(F.shiftleft(F.col("a").cast("long"), 32) + F.col("b")).alias("ranges"))
     joined = rows.join(ranges, key, "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tidy(_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
