@@ -341,20 +341,21 @@ def silhouette(clustered: DataFrame, columns: list[str], sample: int = 400, key:
     return float(np.mean(out))
 
 
-def shuffled(matrix: DataFrame, columns: list[str], reference: int, key: str = "trade_id", rows: int = 10_000) -> DataFrame:
-    """The matrix with each column's values dealt anew: same columns, no structure between them.
+def shuffled(matrix: DataFrame, columns: list[str], reference: int, key: str = "trade_id", **chunks: int) -> DataFrame:
+    """The matrix with each column's values dealt anew over all rows: same columns, no structure between them.
 
-    Values change places inside hashed buckets of about ``rows`` rows, so no task sorts the whole matrix.
+    A column's values are numbered in the order of hashes of their keys, the rows in the order of their keys, and both meet by number:
+    a random permutation of the whole column.  Numbers are running counts in two levels (scan), so no task sorts the matrix.
     """
+    from . import scan
     from .resample import draw
 
-    buckets = matrix.count() // rows + 1
-    m = matrix.withColumn("_b", F.pmod(draw(F.lit("bucket"), F.lit(reference), key), F.lit(buckets)))
-    number = lambda *order: F.row_number().over(W.partitionBy("_b").orderBy(*order)).alias("_i")
-    out = m.select(key, "_b", number(key))
+    number = {"_i": ("count", F.lit(1))}
+    out = scan.running(matrix.select(key), [], [key], number, **chunks)
     for c in columns:
-        out = out.join(m.select(c, "_b", number(draw(F.lit("shuffle"), F.lit(reference), F.lit(c), key), key)), ["_b", "_i"])
-    return out.drop("_b", "_i")
+        dealt = matrix.select(key, c).withColumn("_h", draw(F.lit("shuffle"), F.lit(reference), F.lit(c), key))
+        out = out.join(scan.running(dealt, [], ["_h", key], number, **chunks).select("_i", c), "_i")
+    return out.drop("_i")
 
 
 def choose_clusters(matrix: DataFrame, columns: list[str], ks: range = range(2, 7), least: int = 5, floor: float = 0.15, references: int = 20, alpha: float = 0.05) -> tuple[DataFrame, float, float] | None:

@@ -60,7 +60,7 @@ def chunked(df: DataFrame, by: list[str], at: str, rows: int = CHUNK_ROWS, small
     return df.join(keys, same, "left").withColumn("_chunk", chunk).drop("_n", "_low", "_high", *(f"_k{i}" for i in range(len(by))))
 
 
-_OVER = {"sum": F.sum, "max": F.max, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
+_OVER = {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count, "last": lambda c: F.last(c, ignorenulls=True)}
 
 
 def _total(op: str, column: Column, order: list[str]) -> Column:
@@ -72,15 +72,15 @@ def _total(op: str, column: Column, order: list[str]) -> Column:
 def _joined(op: str, carry: Column, local: Column) -> Column:
     if op == "last":
         return F.coalesce(local, carry)
-    if op == "max":
-        return F.greatest(carry, local)
+    if op in ("max", "min"):
+        return (F.greatest if op == "max" else F.least)(carry, local)
     return F.when(carry.isNull(), local).when(local.isNull(), carry).otherwise(carry + local)
 
 
 def running(
     df: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[str, Column]], before: bool = False, rows: int = CHUNK_ROWS, small: int = SMALL_BYTES
 ) -> DataFrame:
-    """Adds, in ``order`` within ``by``, each running value: name -> (sum, max, count or last, column); of the rows before with ``before``.
+    """Adds, in ``order`` within ``by``, each running value: name -> (sum, max, min, count or last, column); of the rows before with ``before``.
 
     Equal to a window over the whole key.  ``order`` must decide the order of all rows of a key; nulls come first.
     """

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import ratio
+from . import scan
 
 REVENGE_MINUTES, OVERTRADING_INDEX = 10, 6
 
@@ -74,16 +75,24 @@ def behaviours(state: DataFrame) -> DataFrame:
     return a.withColumn("difference", diff).withColumn("cost", F.when(F.col("behaviour") != "holding_losers", diff * F.col("n_with")))
 
 
-def benjamini_hochberg(tests: DataFrame, p: str, *family: str) -> DataFrame:
-    """Adds q: p times family size over rank, made monotonous from the largest down, 1 at most; NULL stays NULL."""
-    some = W.partitionBy(*family)
-    tests = tests.withColumn("_known", F.col(p).isNotNull())
-    up = W.partitionBy(*family, "_known").orderBy(p)
-    m = F.sum(F.col("_known").cast("int")).over(some)
-    rank = F.row_number().over(up)
-    t = tests.withColumn("_r", rank).withColumn("_raw", F.when(F.col("_known"), F.col(p) * m / F.col("_r")))
-    q = F.min("_raw").over(W.partitionBy(*family, "_known").orderBy("_r").rowsBetween(0, W.unboundedFollowing))
-    return t.withColumn("q", F.when(F.col("_known"), F.least(F.lit(1.0), q))).drop("_known", "_r", "_raw")
+def benjamini_hochberg(tests: DataFrame, p: str, *family: str, **chunks: int) -> DataFrame:
+    """Adds q: p times family size over rank, made monotonous from the largest down, 1 at most; NULL stays NULL.
+
+    Ranks and the minimum from above are running values in two levels, so one family of all tests is no single task."""
+    some = tests.filter(F.col(p).isNotNull())
+    ranked = scan.running(some, list(family), [p], {"_r": ("count", F.lit(1))}, **chunks)
+    if family:
+        sizes = some.groupBy(*family).agg(F.count("*").alias("_m")).select(*(F.col(c).alias(f"_f{i}") for i, c in enumerate(family)), "_m")
+        same = F.lit(True)
+        for i, c in enumerate(family):
+            same = same & F.col(c).eqNullSafe(F.col(f"_f{i}"))
+        ranked = ranked.join(sizes, same).drop(*(f"_f{i}" for i in range(len(family))))
+    else:
+        ranked = ranked.crossJoin(some.agg(F.count("*").alias("_m")))  # one row
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / F.col("_r")).withColumn("_from", -F.col("_r"))
+    out = scan.running(raw, list(family), ["_from"], {"q": ("min", F.col("_raw"))}, **chunks)
+    out = out.withColumn("q", F.least(F.lit(1.0), "q")).select(*tests.columns, "q")
+    return out.unionByName(tests.filter(F.col(p).isNull()).withColumn("q", F.lit(None).cast("double")))
 
 
 def impact(outcomes: DataFrame) -> DataFrame:

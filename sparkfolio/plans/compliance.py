@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules
 from ..operators import sequences as Q
+from ..sources import views
 from .analytics import bare
 from .oracle import _STATE, r
 from .queries import rounded, state
@@ -109,12 +110,39 @@ def p03_operators(spark, sf):
     return f.select("trade_id", *(rules.compile_rule(x, f.schema).alias(k) for k, x in each.items()))
 
 
-@query("""SELECT * FROM (VALUES (0, 'open drive', 1, FALSE, TRUE), (1, 'open drive', 2, FALSE, TRUE), (2, 'fade', 1, FALSE, FALSE), (3, 'old', 1, TRUE, FALSE), (9, 'open drive', 3, FALSE, FALSE), (10, 'new', 1, FALSE, FALSE)) t(strategy_id, name, version, deleted, superseded)""".replace("(0,", "(0::BIGINT,").replace(", 1, FALSE, TRUE)", ", 1::BIGINT, FALSE, TRUE)", 1))
+def strategies_of(spark, sf):
+    """Suppliers as strategies: those of a nation are versions of one, and a debt stands for a deleted one."""
+    from pyspark.sql import Window as W
+
+    s = views.table(spark, sf, "supplier").join(views.table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    version = F.row_number().over(W.partitionBy("n_name").orderBy("s_suppkey"))
+    return s.select(F.col("s_suppkey").alias("strategy_id"), F.col("n_name").alias("name"), version.alias("version"), (F.col("s_acctbal") < 0).alias("deleted"))
+
+
+def rules_of(spark, sf):
+    """What suppliers deliver as their rules: one of the eight starter rules by the part, active unless a third of its lines says no."""
+    starters = spark.createDataFrame([(i, code, severity, json.dumps(e)) for i, (code, severity, e) in enumerate(rules.STARTERS)], "k long, code string, severity string, expression string")
+    n = views.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("strategy_id"), (F.col("l_partkey") % 8).alias("k")).agg(F.count("*").alias("n"))
+    return n.join(starters, "k").select("strategy_id", "code", "severity", "expression", (F.col("k") + 1.0).alias("weight"), (F.col("n") % 3 != 0).alias("is_active"))
+
+
+_STRATEGIES = "st AS (SELECT s_suppkey AS strategy_id, n_name AS name, CAST(row_number() OVER (PARTITION BY n_name ORDER BY s_suppkey) AS BIGINT) AS version, s_acctbal < 0 AS deleted FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+_CODES = "codes(k, code, severity) AS (VALUES " + ", ".join(f"({i}, '{code}', '{severity}')" for i, (code, severity, _) in enumerate(rules.STARTERS)) + ")"
+
+
+@query(f"""WITH {_STRATEGIES}, ch AS (SELECT 1000000 + n_nationkey AS strategy_id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 2000000 + r_regionkey, r_name FROM region),
+v AS (SELECT * FROM st UNION ALL SELECT strategy_id, ch.name, coalesce((SELECT max(version) FROM st WHERE st.name = ch.name), 0) + 1, FALSE FROM ch)
+SELECT strategy_id, name, version, deleted, version < max(version) OVER (PARTITION BY name) AS superseded FROM v""")
 def c05_versions(spark, sf):
-    changed = spark.createDataFrame([(9, "open drive", False), (10, "new", False)], "strategy_id long, name string, deleted boolean")
-    return rounded(rules.supersede(strategies(spark), changed))
+    """Every second nation gets a next version, and regions come as new strategies."""
+    nation, region = views.table(spark, sf, "nation"), views.table(spark, sf, "region")
+    changed = nation.filter("n_nationkey % 2 = 0").select((F.col("n_nationkey").cast("long") + 1000000).alias("strategy_id"), F.col("n_name").alias("name"))
+    changed = changed.unionByName(region.select((F.col("r_regionkey").cast("long") + 2000000).alias("strategy_id"), F.col("r_name").alias("name")))
+    return rounded(rules.supersede(strategies_of(spark, sf), changed.withColumn("deleted", F.lit(False))))
 
 
-@query("SELECT strategy_id::BIGINT AS strategy_id, code FROM (VALUES " + ", ".join(f"({sid}, '{code}')" for sid, code, _, _, _, active in RULES if active and sid != 3) + ") t(strategy_id, code)")
+@query(f"""WITH {_STRATEGIES}, {_CODES}, ru AS (SELECT l_suppkey AS strategy_id, l_partkey % 8 AS k, count(*) AS n FROM lineitem GROUP BY 1, 2)
+SELECT strategy_id, code, severity, CAST(k + 1 AS DOUBLE) AS weight, name, version FROM ru JOIN codes USING (k) JOIN st USING (strategy_id) WHERE n % 3 <> 0 AND NOT deleted""")
 def s07_rules(spark, sf):
-    return rules.current_rules(strategies(spark), rule_table(spark)).select("strategy_id", "code")
+    """Active rules of strategies that aren't deleted, superseded versions among them."""
+    return rounded(rules.current_rules(strategies_of(spark, sf), rules_of(spark, sf)).select("strategy_id", "code", "severity", "weight", "name", "version"))

@@ -118,3 +118,13 @@ def l08_next_trade(spark, sf):
     last = t.agg(F.date_add(F.max("session_date"), 1).alias("session_date"))
     ahead = latest.crossJoin(F.broadcast(last))  # one row
     return rounded(serving.serve(ahead, stored_models(spark, sf).read("models"), "r", COLUMNS).select("account", "reason", "predicted"))
+
+
+_DEALT = "row_number() OVER (ORDER BY ('0x' || substr(md5('20260731:shuffle:3:{c}:' || trade_id), 1, 8))::BIGINT, trade_id) AS i"
+
+
+@query(f"WITH {_ORDERS}, x AS (SELECT trade_id, CAST(quantity AS DOUBLE) AS quantity, duration / 86400 AS hold FROM facts), o AS (SELECT trade_id, row_number() OVER (ORDER BY trade_id) AS i FROM x), a AS (SELECT quantity, {_DEALT.format(c='quantity')} FROM x), b AS (SELECT hold, {_DEALT.format(c='hold')} FROM x) SELECT trade_id, {r('quantity')}, {r('hold')} FROM o JOIN a USING (i) JOIN b USING (i)")
+def d13_reference(spark, sf):
+    """The feature matrix with each column permuted over all trades."""
+    t = views.order_facts(spark, sf).select("trade_id", F.col("quantity").cast("double").alias("quantity"), (F.col("duration") / 86400).alias("hold"))
+    return rounded(models.shuffled(t, COLUMNS, 3))

@@ -147,7 +147,7 @@ def _bar(seconds: int, where: str = "TRUE", name: str = "bars") -> str:
     return _BARS.format(s=seconds).replace("tick AS", f"tick{seconds} AS").replace("FROM tick ", f"FROM tick{seconds} WHERE {where} ").replace("bars AS", f"{name} AS")
 
 
-@query("SELECT * FROM (VALUES ('click', 300), ('click', 3600), ('error', 300), ('error', 3600), ('purchase', 3600), ('signup', 3600), ('view', 60), ('view', 300), ('view', 3600)) t(symbol, seconds)".replace("300)", "300::BIGINT)", 1))
+@query("SELECT DISTINCT event_type AS symbol, unnest(CASE WHEN event_type = 'view' THEN [60, 300, 3600] WHEN event_type IN ('click', 'error') THEN [300, 3600] ELSE [3600] END)::BIGINT AS seconds FROM events")
 def s09_timeframes(spark, sf):
     return rounded(B.stored_timeframes(stored_bars(spark, sf)))
 
@@ -222,8 +222,13 @@ def s24_risk_upsert(spark, sf):
     return rounded(sinks.merge(at(risk, "1999-01-01", "old"), batch, ["instrument", "as_of"], ["days", "assumptions"]))
 
 
-@query("""SELECT * FROM (VALUES ('click', 0.5::DOUBLE, 50.0::DOUBLE), ('error', 0.25, 5.0), ('purchase', 0.01, 1000.0), ('signup', 0.01, 10.0), ('view', 0.25, 20.0), ('refund', 0.1, NULL)) t(symbol, tick, point)""")
+@query("""WITH p AS (SELECT p_brand || '-' || p_type AS symbol, p_partkey % 3 = 0 AS late, p_size / 100 AS tick, p_retailprice AS point FROM part),
+s AS (SELECT symbol, min(tick) AS tick, max(point) AS point FROM p WHERE NOT late AND tick < 0.3 GROUP BY 1), b AS (SELECT symbol, min(tick) AS tick FROM p WHERE late GROUP BY 1)
+SELECT symbol, round(coalesce(b.tick, s.tick), 6) AS tick, round(s.point, 6) AS point FROM s FULL JOIN b USING (symbol)""")
 def s30_instrument_upsert(spark, sf):
-    """Corrected and new instruments: only what the batch knows is overwritten."""
-    stored = views.instruments(spark).select("symbol", F.col("tick").cast("double").alias("tick"), F.col("point").cast("double").alias("point"))
-    return rounded(sinks.merge(stored, spark.createDataFrame([("click", 0.5), ("refund", 0.1)], "symbol string, tick double"), ["symbol"], ["tick"]))
+    """Brands and kinds of parts as instruments: later parts correct the ticks of known ones and bring new ones, whose point nobody knows yet."""
+    p = views.table(spark, sf, "part").select(
+        F.concat_ws("-", "p_brand", "p_type").alias("symbol"), (F.col("p_partkey") % 3 == 0).alias("late"), (F.col("p_size") / 100).alias("tick"), F.col("p_retailprice").alias("point")
+    )
+    stored = p.filter("not late and tick < 0.3").groupBy("symbol").agg(F.min("tick").alias("tick"), F.max("point").alias("point"))
+    return rounded(sinks.merge(stored, p.filter("late").groupBy("symbol").agg(F.min("tick").alias("tick")), ["symbol"], ["tick"]))

@@ -130,6 +130,14 @@ def test_rules_are_three_valued(spark):
 def test_benjamini_hochberg(spark):
     d = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, None)], "i int, p double")
     assert [r.q and round(r.q, 6) for r in sequences.benjamini_hochberg(d, "p").orderBy("i").collect()] == [0.03, 0.04, 0.04, None]
+    rng = random.Random(1)
+    many = spark.createDataFrame([(i, rng.choice(["a", None]), rng.choice([None, *[round(rng.random(), 2) for _ in range(4)]])) for i in range(300)], "i int, f string, p double")
+    for family in ((), ("f",)):
+        plain = sequences.benjamini_hochberg(many, "p", *family).orderBy("i").collect()
+        assert plain == sequences.benjamini_hochberg(many, "p", *family, rows=30, small=0).orderBy("i").collect()
+        for r in plain:
+            own = sorted(x.p for x in plain if x.p is not None and (not family or x.f == r.f))
+            assert (r.q is None) == (r.p is None) and (r.p is None or abs(r.q - min(1.0, *(own[k] * len(own) / (k + 1) for k in range(own.index(r.p), len(own))))) < 1e-9)
 
 
 def test_fresh_keeps_each_key_once(spark):
