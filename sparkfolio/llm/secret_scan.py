@@ -2,13 +2,16 @@
 
 Each format is learned from labelled credentials: their prefix tree's states are merged where their next symbols and the
 lengths of what is still to come are statistically compatible (Hoeffding bounds), which leaves a probabilistic automaton.
-Every run of token characters of a text, of any length, is scored by its likelihood under each automaton, its end included;
-it's a credential where that is as high as for labelled ones and clearly higher than under ordinary words.
+Every span of a text's runs of token characters that a format allows (from the run's begin, a mark in it or a literal prefix to its end or a
+mark, of a length that the automata give a chance) is scored by its likelihood under each automaton, its end included; it's a
+credential where that is as high as for labelled ones and clearly higher than under ordinary words.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
+import os
 import random
 import re
 import string
@@ -43,6 +46,8 @@ FORMATS = {
 #: merging tests; nats by which a credential must be likelier than ordinary text, or less if labelled ones are; the least
 #: likelihood of a candidate's length under a format.
 LABELLED, ALPHA, MARGIN, LENGTH = 150, 0.05, 10.0, 1e-4
+#: Symbols that all labelled credentials of a format begin with make a literal prefix if there are so many.
+LITERAL = 3
 #: Frequent words of several languages: which letters follow each other in words.
 WORDS = """
 the of and to in that is was for with as his on be at by had not are but from have they which you were all their one been there would when who will more out said what about
@@ -249,6 +254,11 @@ class Detector:
             # as 99 of 100 labelled ones have it, with a little room
             self.least.append(np.quantile(own, 0.01) - 2.0)
             self.lead.append(max(0.0, min(MARGIN, np.quantile(own - plain, 0.01))))
+        #: All lengths that some format gives a chance, and the formats' literal prefixes with the lengths of each.
+        each = [np.flatnonzero(a.likely) for a in self.automata]
+        self.sizes = np.unique(np.concatenate(each)) if each else np.zeros(0, dtype=np.int64)
+        same = [os.path.commonprefix(learn[x]) for x in self.names]
+        self.literals = [(re.escape(x.encode()), n) for x, n in zip(same, each, strict=True) if len(x) >= LITERAL]
 
     def scores(self, strings: list[str]) -> np.ndarray:
         """Log likelihoods of strings: a column for each automaton, and the last for ordinary text."""
@@ -284,6 +294,10 @@ class Detector:
 
     def accepts(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Which spans some automaton finds as likely as its own credentials and likelier than ordinary words by its lead."""
+        return self.margins(symbols, start, size) > -np.inf
+
+    def margins(self, symbols: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """By how much the likeliest automaton that accepts a span exceeds ordinary words; negative infinity if none does."""
         scores = self.run(symbols, start, size, np.array(self.least))
         with np.errstate(invalid="ignore"):
             good = (scores[:, :-1] >= np.array(self.least)) & (scores[:, :-1] - scores[:, -1:] >= np.array(self.lead))
@@ -291,7 +305,8 @@ class Detector:
         for i in np.flatnonzero(good.any(axis=1)):
             s = "".join(SYMBOLS[k] for k in symbols[start[i] : start[i] + size[i]])
             good[i] &= scores[i, :-1] > monotonous(s)
-        return good.any(axis=1)
+        with np.errstate(invalid="ignore"):
+            return np.where(good, scores[:, :-1] - scores[:, -1:], -np.inf).max(axis=1, initial=-np.inf)
 
 
 def published() -> Detector:
@@ -348,18 +363,56 @@ for _k, _c in enumerate(SYMBOLS):
     _SYMBOL[ord(_c)] = _k
 
 
-def _formats(p, detector: Detector) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, start and end in bytes of the accepted candidates: runs of token characters without ``=``, full stops at
-    their end left out.  The likelihood of their length comes first; each different one of the rest is scored once."""
+_PARTS = np.zeros(256, dtype=bool)
+_PARTS[[ord(c) for c in "+/_.-"]] = True
+
+
+def _candidates(p, detector: Detector) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every span that a format allows: from a run's begin, from behind a mark inside it or from where a format's literal
+    prefix stands, up to the run's end, to a mark, or, behind a prefix, as far as that format's lengths go."""
     symbols = _SYMBOL[p.data]
-    start, stop = _runs(p, symbols < len(SYMBOLS))
-    while (dots := (p.data[stop - 1] == 46) & (stop > start)).any():
-        stop = stop - dots
-    some = detector.lengths(stop - start).any(axis=1)
-    start, stop = start[some], stop[some]
+    first, stop = _runs(p, symbols < len(SYMBOLS))
+    sizes = detector.sizes
+    long = stop - first >= sizes[0]
+    starts, ends = [], []
+    for a, b in zip(first[long].tolist(), stop[long].tolist()):
+        marks = np.flatnonzero(_PARTS[p.data[a:b]]) + a
+        begins, limits = np.unique(np.concatenate([[a], marks + 1])), np.concatenate([marks, [b]])
+        # each begin meets the limits within the longest length, which are neighbours
+        low, high = np.searchsorted(limits, begins + sizes[0]), np.searchsorted(limits, begins + sizes[-1], side="right")
+        n = np.maximum(high - low, 0)
+        starts.append(np.repeat(begins, n))
+        ends.append(limits[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)])
+        text = p.data[a:b].tobytes()
+        for literal, lengths in detector.literals:
+            for m in re.finditer(literal, text):
+                at = a + m.start() + lengths
+                at = at[at <= b]
+                starts.append(np.full(len(at), a + m.start()))
+                ends.append(at)
+    if not starts:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none
+    start, end = np.concatenate(starts), np.concatenate(ends)
+    fits = np.isin(end - start, sizes)
+    return start[fits], end[fits]
+
+
+def _formats(p, detector: Detector) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end in bytes of the accepted candidates; of overlapping ones the one of largest margin.  Each different
+    candidate is scored once."""
+    start, stop = _candidates(p, detector)
     _, first, back = np.unique(SpanHash(p.data)(start, stop), return_index=True, return_inverse=True)
-    hit = detector.accepts(symbols, start[first], (stop - start)[first])[back]
-    start, stop = start[hit], stop[hit]
+    margin = detector.margins(_SYMBOL[p.data], start[first], (stop - start)[first])[back]
+    held: list[tuple[int, int]] = []
+    for i in np.lexsort((start, -margin)).tolist():
+        if margin[i] == -np.inf:
+            break
+        span = int(start[i]), int(stop[i])
+        at = bisect.bisect(held, span)
+        if (at == 0 or held[at - 1][1] <= span[0]) and (at == len(held) or span[1] <= held[at][0]):
+            held.insert(at, span)
+    start, stop = np.array(held, dtype=np.int64).reshape(-1, 2).T
     return np.searchsorted(p.offsets, start, side="right") - 1, start, stop
 
 
@@ -387,8 +440,8 @@ def _scan(shared):
 def scan(docs: DataFrame, detector: Detector | None = None) -> DataFrame:
     """(doc_id, spans) of every row: spans of (kind, start, end) in code points, end exclusive, by start and then kind.
 
-    Kinds: assign, access and hex by pattern, each leftmost and non-overlapping, and format for runs of token characters
-    outside these that an automaton accepts.  ``=``, ``:``, quotes and white space end a run.  The detector is that of
+    Kinds: assign, access and hex by pattern, each leftmost and non-overlapping, and format for spans of token characters
+    outside these that an automaton accepts.  ``=``, ``:``, quotes and white space end a run; keys are found inside paths and names too.  The detector is that of
     the published formats unless learned() gives another.  Null and empty texts have none; repeated rows and rows
     without a doc_id are scanned each; an empty table gives an empty one; other columns are ignored.
     """

@@ -93,14 +93,16 @@ def test_automata_keep_lengths_and_merge_the_rest(detector):
         assert a.likely[len(prefix) + length] and not a.likely[len(prefix) + length - 2]
 
 
-@pytest.mark.parametrize("name", list(S.FORMATS))
-def test_recall_of_each_format(spark, name):
-    keys = S.labelled_credentials(name, 300, 77)
-    for template in ("{}", "note value={}, then", 'x:"{}".', "{}."):
-        rows = [(k, template.format(s)) for k, s in enumerate(keys)]
-        got = S.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
-        hit = sum(any(dict(rows)[r.doc_id][a:b] == keys[r.doc_id] for _, a, b in r.spans) for r in got)
-        assert hit >= 0.95 * len(keys), (template, hit)
+def test_recall_of_each_format_and_placement(spark):
+    keys = {x: S.labelled_credentials(x, 300, 77) for x in S.FORMATS}
+    places = ("{}", "note value={}, then", 'x:"{}".', "{}.", "path/{}", "key-{}", "{}/x", "https://h/{}", "a.b_{}.c")
+    rows = [(x, t, k, t.format(k)) for x, own in keys.items() for t in places for k in own]
+    docs = spark.createDataFrame([(i, r[3]) for i, r in enumerate(rows)], "doc_id long, text string").repartition(4)
+    hit = dict.fromkeys(((x, t) for x in keys for t in places), 0)
+    for r in S.scan(docs).collect():
+        x, t, key, text = rows[r.doc_id]
+        hit[x, t] += any(text[a:b] == key for _, a, b in r.spans)
+    assert min(hit.values()) >= 0.95 * 300, hit
 
 
 def test_ordinary_text_is_left_alone(detector):
@@ -119,3 +121,30 @@ def test_learned_from_labelled_credentials(spark):
     assert not accepted(d, ["tk-" + "".join(rng.choice("ACDFHJKLMN23456") for _ in range(n)) for n in (5, 9, 15, 25)]).any()
     got = S.scan(spark.createDataFrame([(1, f"use {fresh[0]} now")], "doc_id long, text string"), d).collect()[0]
     assert [tuple(x) for x in got.spans] == [("format", 4, 4 + len(fresh[0]))]
+
+
+def test_keys_inside_runs(spark, detector):
+    """Two keys beside each other, and a key behind a letter where its format has a literal prefix."""
+    keys = {x: S.labelled_credentials(x, 40, 91) for x in S.FORMATS}
+    rows, want = [], {}
+    for x, own in keys.items():
+        for k, (a, b) in enumerate(zip(own[::2], own[1::2])):
+            glue = "." if x != "hex digest" else "/"
+            rows.append((len(rows), f"{a}{glue}{b}"))
+            want[len(rows) - 1] = {(0, len(a)), (len(a) + 1, len(a) + 1 + len(b))}
+            if len(S.FORMATS[x][0]) >= S.LITERAL:
+                rows.append((len(rows), f"x{a}"))
+                want[len(rows) - 1] = {(1, 1 + len(a))}
+    got = S.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sum(want[r.doc_id] <= {(a, b) for _, a, b in r.spans} for r in got)
+    assert found >= 0.9 * len(rows)
+
+
+def test_false_positives_on_words(spark):
+    """Joined words, paths and names of the given word list: none of 20,000 is a credential."""
+    rng = random.Random(13)
+    words = S.WORDS.split()
+    lines = [rng.choice(["/", "-", "_", ".", ""]).join(rng.choice(words) for _ in range(rng.randint(2, 9))) for _ in range(20_000)]
+    got = S.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    wrong = got.filter("exists(spans, s -> s.kind = 'format')").count()
+    assert wrong <= 20, wrong
