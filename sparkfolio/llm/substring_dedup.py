@@ -41,6 +41,8 @@ PATH, FOUND, PLACES = 0, 1, 2
 #: K-mers of about so many paths are dealt out by window, as one of SAMPLE documents tells.  This only decides where windows
 #: are compared, never whether they are equal.
 HOT, SAMPLE = 16384, 16
+#: K-mers are counted by so many cells of their hashes: a bit each is what all tasks get, so its size doesn't grow with the documents.
+CELLS = 1 << 24
 
 
 def _windows(p, size: int, seed: int):
@@ -117,7 +119,7 @@ def _marked(kmer: np.ndarray, owner: np.ndarray, marks: pa.ListArray) -> np.ndar
 
 def _paths(size: int, seed: int, shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = np.zeros(0, dtype=np.uint64) if shared is None else shared.value
+        hot = np.zeros(CELLS // 64, dtype=np.uint64) if shared is None else shared.value
         for batch in batches:
             ids, marks = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("marks")
             for p in pieces(batch.column("text"), PIECE):
@@ -138,7 +140,7 @@ def _paths(size: int, seed: int, shared=None):
                 source = np.zeros(len(by), dtype=np.int64)
                 source[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
                 local = ident > ident[source]
-                kind = np.where(local, FOUND, np.where(np.isin(kmers[at], hot), PLACES, PATH) if len(hot) else PATH)
+                kind = np.where(local, FOUND, np.where(is_hot(kmers[at], hot), PLACES, PATH))
                 sdoc, sat = np.where(local, ident[source], 0), np.where(local, place[source], 0)
                 cut = np.ones(len(inside), dtype=bool)
                 along = (np.diff(inside) == 1) & (kind[1:] == kind[:-1])
@@ -186,11 +188,21 @@ def _path_counts(size: int, seed: int):
     return run
 
 
-def hot_kmers(docs: DataFrame, size: int, seed: int) -> np.ndarray:
-    """K-mers that are least in about HOT or more paths; at most one in HOT paths of them reach the driver."""
+def hot_cells(docs: DataFrame, size: int, seed: int) -> np.ndarray:
+    """A bit for each of CELLS cells of k-mers: whether its k-mers are least in about HOT or more paths.  2 MB, whatever the documents."""
     some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    counts = some.mapInArrow(_path_counts(size, seed), "kmer long, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
-    return np.array(sorted(r["kmer"] for r in counts.filter(F.col("n") * SAMPLE >= HOT).select("kmer").collect()), dtype=np.int64).view(np.uint64)
+    counts = some.mapInArrow(_path_counts(size, seed), "kmer long, n long")
+    cells = counts.groupBy(F.col("kmer").bitwiseAND(CELLS - 1).alias("cell")).agg(F.sum("n").alias("n")).filter(F.col("n") * SAMPLE >= HOT)
+    words = cells.groupBy(F.expr("shiftright(cell, 6)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits"))
+    out = np.zeros(CELLS // 64, dtype=np.int64)
+    for r in words.collect():  # at most CELLS / 64 rows
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def is_hot(kmers: np.ndarray, words: np.ndarray) -> np.ndarray:
+    cell = (kmers & np.uint64(CELLS - 1)).astype(np.int64)
+    return (words[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +269,7 @@ def repeated_spans(named: DataFrame, size: int = 13, seed: int = 5) -> DataFrame
     """compacted() of all documents (doc_id, text; no null ids): words covered by windows that start in a document of smaller
     doc_id too."""
     marks = named.mapInArrow(_kmers(size, seed), KMERS).repartition("deal").sortWithinPartitions("deal", "doc_id").mapInArrow(_marks, "doc_id long, kmer long")
-    shared = named.sparkSession.sparkContext.broadcast(hot_kmers(named, size, seed))
+    shared = named.sparkSession.sparkContext.broadcast(hot_cells(named, size, seed))
     marked = named.join(marks.groupBy("doc_id").agg(F.collect_list("kmer").alias("marks")), "doc_id")
     paths = marked.mapInArrow(_paths(size, seed, shared), PATHS).repartition("kmer").sortWithinPartitions("kmer", "doc_id")
     return compacted(paths.mapInArrow(_repeats, FRAGMENTS), size)
