@@ -150,3 +150,55 @@ def evidence_text(x: Column, unit: str) -> Column:
 def trim_decimal(text: Column) -> Column:
     """A decimal's text without the zeros at its end, and without a point that nothing follows."""
     return F.regexp_replace(F.regexp_replace(text, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+#: Report types and the unit that each covers; weeks run from Monday.
+PERIODS = {"daily": "day", "weekly": "week", "monthly": "month", "quarterly": "quarter", "yearly": "year"}
+
+
+def period_start(kind: Column, day: Column) -> Column:
+    """First day of the period of a type that a day falls in; NULL for an unknown type."""
+    out = F.lit(None).cast("date")
+    for name, unit in PERIODS.items():
+        out = F.when(kind == name, F.to_date(F.date_trunc(unit, day))).otherwise(out)
+    return out
+
+
+def period_end(kind: Column, start: Column) -> Column:
+    """Last day of the period that begins on ``start``."""
+    out = F.lit(None).cast("date")
+    steps = {"daily": F.date_add(start, 1), "weekly": F.date_add(start, 7), "monthly": F.add_months(start, 1), "quarterly": F.add_months(start, 3), "yearly": F.add_months(start, 12)}
+    for name, after in steps.items():
+        out = F.when(kind == name, F.date_sub(after, 1)).otherwise(out)
+    return out
+
+
+def period_label(kind: Column, start: Column) -> Column:
+    """A period as headlines name it: 1999-03-08, 1999-03-08 to 1999-03-14, March 1999, Q1 1999, 1999."""
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd")
+    names = {
+        "daily": iso(start), "weekly": F.concat(iso(start), F.lit(" to "), iso(period_end(kind, start))), "monthly": F.date_format(start, "MMMM yyyy"),
+        "quarterly": F.concat(F.lit("Q"), F.quarter(start), F.lit(" "), F.year(start)), "yearly": F.year(start).cast("string"),
+    }
+    out = F.lit(None).cast("string")
+    for name, label in names.items():
+        out = F.when(kind == name, label).otherwise(out)
+    return out
+
+
+def trim_decimal(text: Column, least: int = 0) -> Column:
+    """A plain decimal without zeros at its end, but with ``least`` digits after the point; other texts stay as they are."""
+    whole, fraction = F.regexp_extract(text, r"^(-?\d+)\.(\d+)$", 1), F.rtrim(F.regexp_extract(text, r"^(-?\d+)\.(\d+)$", 2), F.lit("0"))
+    kept = F.when(F.length(fraction) < least, F.rpad(fraction, least, "0")).otherwise(fraction)
+    return F.when(whole == "", text).otherwise(F.concat(whole, F.when(kept == "", "").otherwise(F.concat(F.lit("."), kept))))
+
+
+#: What stands for a number in a text: {{ key }}.
+PLACEHOLDER = r"\{\{\s*([a-zA-Z0-9_.\[\]-]+)\s*\}\}"
+
+
+def render(text: Column, values: Column) -> Column:
+    """The text with each placeholder replaced by its key's value in the map ``values``, or by [unavailable]."""
+    keys = F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(1))
+    said = lambda piece, key: F.when(key.isNull(), piece).otherwise(F.concat(piece, F.coalesce(F.try_element_at(values, key), F.lit("[unavailable]"))))
+    return F.concat_ws("", F.zip_with(F.split(text, PLACEHOLDER, -1), keys, said))

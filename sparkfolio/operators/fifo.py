@@ -53,10 +53,11 @@ def usable(fills: DataFrame) -> DataFrame:
 def slices(fills: DataFrame, **chunks: int) -> DataFrame:
     """Entry and exit slices: (account, symbol, tid, role, dir, fill_id, ts, price, qty, lo, hi, commission, fees).
 
-    lo and hi count what the position opened (entries) or closed (exits) since its first fill.
+    Fills go by ts, by the broker's ``sequence`` where there is one, and by fill_id.  lo and hi count what the position opened
+    (entries) or closed (exits) since its first fill.
     """
     s = F.when(F.col("side") == "buy", 1).otherwise(-1)
-    order = ["ts", "fill_id"]
+    order = ["ts", *(["sequence"] if "sequence" in fills.columns else []), "fill_id"]
     f = scan.running(usable(fills).withColumn("s", s), KEY, order, {"aft": ("sum", F.col("s") * F.col("qty"))}, **chunks)
     f = f.withColumn("bef", F.col("aft") - F.col("s") * F.col("qty"))
     kind = fills.schema["qty"].dataType  # a part of a fill is no larger; wider types would cost the division digits
