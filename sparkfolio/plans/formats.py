@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import exprs
+from ..functions import exprs, payload
 from ..operators import fifo, reports
 from ..sources import mapping, scratch, versions, views
 from ..sources import reports as report_store
@@ -112,3 +112,41 @@ def t01_total_order(spark, sf):
     """Slices of fills whose times are whole hours: the broker's sequence decides, then the fill's number."""
     f = views.fills(spark, sf).withColumn("ts", F.date_trunc("hour", "ts")).withColumn("sequence", -F.col("fill_id") % 7)
     return rounded(fifo.slices(f).select("account", "symbol", "tid", "role", "fill_id", "qty"))
+
+
+def payloads(spark, sf):
+    """What an account's report holds, as one tree: counts, percentiles as a map, trades as an array of structs."""
+    t = views.order_facts(spark, sf).withColumn("x", F.col("net").cast("double"))
+    marks = [0.25, 0.5, 0.75]
+    a = t.groupBy("account").agg(
+        F.count("*").alias("n"), F.sum("x").alias("net"), F.percentile("x", marks).alias("p"), F.array_sort(F.collect_list(F.struct("trade_id", F.col("direction").alias("side"), F.col("quantity").cast("double").alias("quantity")))).alias("trades")
+    )
+    keys = F.array(*(F.lit(f"p{int(m * 100)}") for m in marks))
+    return a.select("account", F.struct(F.struct("n", F.round("net", 4).alias("net")).alias("totals"), F.map_from_arrays(keys, F.transform("p", lambda v: F.round(v, 6))).alias("percentiles"), "trades").alias("payload"))
+
+
+_TREE = f"""{_ORDERS}, a AS (SELECT account, count(*) AS n, sum(CAST(net AS DOUBLE)) AS net, quantile_cont(CAST(net AS DOUBLE), [0.25, 0.5, 0.75]) AS p FROM facts GROUP BY 1),
+o AS (SELECT account, trade_id, direction, quantity, row_number() OVER (PARTITION BY account ORDER BY trade_id) - 1 AS i FROM facts),
+leaves AS (SELECT account, 'totals.n' AS path, CAST(n AS DOUBLE) AS number, NULL AS text FROM a UNION ALL SELECT account, 'totals.net', round(net, 4), NULL FROM a
+UNION ALL SELECT account, 'percentiles.' || unnest(['p25', 'p50', 'p75']), unnest([round(p[1], 6), round(p[2], 6), round(p[3], 6)]), NULL FROM a
+UNION ALL SELECT account, 'trades[' || i || '].' || unnest(['trade_id', 'side', 'quantity']), unnest([CAST(trade_id AS DOUBLE), NULL, CAST(quantity AS DOUBLE)]), unnest([NULL, direction, NULL]) FROM o)"""
+
+
+@query(f"WITH {_TREE} SELECT account, path, {r('number')}, text FROM leaves")
+def f_j1_payload_paths(spark, sf):
+    """Every leaf of each account's payload under its dotted path."""
+    found = payload.dotted(payloads(spark, sf), "payload", "account")
+    number = F.expr("try_cast(value as double)")
+    return rounded(found.select("account", "path", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text")))
+
+
+@query(f"WITH {_ORDERS} SELECT account, count(*) AS n, round(quantile_cont(CAST(net AS DOUBLE), 0.5), 6) + 0.0 AS middle, count(*) FILTER (direction = 'long') AS longs, {r('sum(quantity)', 'quantity')}, min(trade_id) AS first FROM facts GROUP BY 1")
+def f_a1_round_trip(spark, sf):
+    """Payloads to paths, back to trees, to JSON and from it; then read from: a field, a map's value, sums over an array."""
+    p = payloads(spark, sf)
+    kind = p.schema["payload"].dataType
+    again = payload.rebuilt(payload.dotted(p, "payload", "account"), kind, "payload", "account")
+    again = again.select("account", F.from_json(F.to_json("payload"), kind).alias("t"))
+    total = F.aggregate("t.trades", F.lit(0.0), lambda s, x: s + x["quantity"])
+    longs = F.size(F.filter("t.trades", lambda x: x["side"] == "long"))
+    return rounded(again.select("account", F.col("t.totals.n").alias("n"), F.col("t.percentiles")["p50"].alias("middle"), longs.alias("longs"), total.alias("quantity"), F.col("t.trades")[0]["trade_id"].alias("first")))

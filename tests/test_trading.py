@@ -221,3 +221,21 @@ def test_queries_have_sql():
     from sparkfolio.plans.registry import ORACLE, QUERIES
 
     assert QUERIES.keys() - ORACLE.keys() == {"e06_report"} and ORACLE.keys() <= QUERIES.keys()
+
+
+def test_payload_trees(spark):
+    from pyspark.sql import types as T
+
+    from sparkfolio.functions import payload
+
+    kind = "struct<a:int,b:struct<c:string,d:array<double>>,m:map<string,struct<x:int>>,l:array<struct<y:int,z:array<int>>>>"
+    rows = [
+        (1, (1, ("é", [1.5, None]), {"k": (7,), "j": (None,)}, [(1, [2, 3]), (4, [])])), (2, (None, (None, None), None, None)), (3, (3, ("", []), {}, [])),
+    ]
+    d = spark.createDataFrame(rows, f"id int, t {kind}")
+    paths = {(r.id, r.path): r.value for r in payload.dotted(d, "t", "id").collect()}
+    assert paths[1, "b.d[1]"] is None and paths[1, "m.k.x"] == "7" and paths[1, "l[0].z[1]"] == "3" and paths[1, "l[1].y"] == "4" and (2, "a") in paths
+    assert len([k for k in paths if k[0] == 1]) == 10 and len([k for k in paths if k[0] == 2]) == 2
+    back = payload.rebuilt(payload.dotted(d, "t", "id"), T._parse_datatype_string(kind), "t", "id").orderBy("id").collect()
+    assert back[0].t == d.first().t
+    assert [(r.t.a, r.t.b.c, r.t.b.d, r.t.m, r.t.l) for r in back[1:]] == [(None, None, [], {}, []), (3, "", [], {}, [])]
