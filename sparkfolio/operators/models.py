@@ -398,12 +398,32 @@ def exit_selection(trades: DataFrame, first: int = EXIT_FOLDS[0], step: int = EX
     return f.select("fold", "target", "score", F.col("applicable").alias("scored"), "delta")
 
 
-def exit_recommendation(trades: DataFrame) -> DataFrame:
-    """One row: folds, scored trades, the commonest target, the folds' share that chose it, the mean change, and the first
-    reason against recommending it (NULL: none)."""
+def exit_interval(trades: DataFrame, replicates: int = 1000, level: float = 0.95) -> DataFrame:
+    """One row (low, high): the mean change of the chosen targets when whole tested sessions are drawn again; NULL under MIN_BLOCKS sessions.
+
+    A session comes down to its scored trades and what its fold's target changed, so replicates are sums of two numbers."""
+    from .resample import MIN_BLOCKS, _picks
+
+    own = exit_selection(trades).select("fold", "target")
+    days = folds(trades, *EXIT_FOLDS).select("session_date", "fold")
+    b = exit_deltas(trades).join(days, "session_date").join(own, ["fold", "target"]).filter("applicable > 0")
+    b = b.select(F.col("applicable").alias("m"), "delta", (F.row_number().over(W.orderBy("session_date")) - 1).alias("i"))  # a row a day
+    n = b.agg(F.lit("").alias("g"), F.count("*").alias("n")).filter(F.col("n") >= MIN_BLOCKS)
+    reps = _picks(n, "exit", replicates, F.col("n")).join(b, "i").groupBy("rep").agg(ratio(F.sum("delta"), F.sum("m")).alias("s")).filter("s is not null")
+    a = reps.agg(F.array_sort(F.collect_list("s")).alias("a"))  # one value a replicate
+    at = lambda f: F.try_element_at("a", F.least(F.floor(F.lit(f) * F.size("a") + 1e-9).cast("int") + 1, F.greatest(F.size("a"), F.lit(1))))
+    tail = (1 - level) / 2
+    return a.select(at(tail).alias("low"), at(1 - tail).alias("high"))
+
+
+def exit_recommendation(trades: DataFrame, replicates: int = 1000) -> DataFrame:
+    """One row: folds, scored trades, the commonest target, the folds' share that chose it, the mean change, its interval by sessions, and
+    the first reason against recommending it (NULL: none): too few trades, an unstable choice, no improvement, one within chance."""
     s = exit_selection(trades)
     modes = s.groupBy("target").agg(F.count("*").alias("votes"), F.sum("scored").alias("scored"), F.sum("delta").alias("delta"))
     a = modes.agg(F.sum("votes").alias("folds"), F.sum("scored").alias("scored"), F.sum("delta").alias("delta"), F.max(F.struct("votes", (-F.col("target")).alias("t"))).alias("m"))
+    a = a.crossJoin(exit_interval(trades, replicates))  # one row each
     mean, share = ratio(F.col("delta"), F.col("scored")), ratio(F.col("m.votes"), F.col("folds"))
     why = F.when(F.col("folds").isNull(), "no fold").when(F.col("scored") < MIN_SCORED, "too few scored trades").when(share < STABLE, "unstable choice").when(~(mean > 0), "no improvement")
-    return a.select(F.coalesce("folds", F.lit(0)).alias("folds"), "scored", (-F.col("m.t")).alias("target"), share.alias("stability"), mean.alias("mean_delta"), why.alias("reason"))
+    why = why.when(F.col("low").isNull(), "too few sessions").when(~(F.col("low") > 0), "within chance")
+    return a.select(F.coalesce("folds", F.lit(0)).alias("folds"), "scored", (-F.col("m.t")).alias("target"), share.alias("stability"), mean.alias("mean_delta"), "low", "high", why.alias("reason"))

@@ -116,8 +116,11 @@ SELECT dimension, key, n, winners, {r('net')}, {r('expectancy', None, 9)}, {r('r
     "q05_exit_selection": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK}
 SELECT CAST(fold AS BIGINT) AS fold, {r('target', None, 4)}, {r('score', None, 4)}, applicable AS scored, {r('delta', None, 4)} FROM pick""",
     "q06_exit_recommendation": f"""WITH {_ORDERS}, {_EXITS}, d AS (SELECT session_date, CASE WHEN row_number() OVER (ORDER BY session_date) <= 25 THEN 0 ELSE (row_number() OVER (ORDER BY session_date) - 26) // 10 + 1 END AS fold FROM (SELECT DISTINCT session_date FROM facts)), {_PICK},
- m AS (SELECT target, count(*) AS votes FROM pick GROUP BY 1), t AS (SELECT arg_max(target, votes * 100 - target) AS target, max(votes) AS votes FROM m), a AS (SELECT count(*) AS folds, CAST(sum(applicable) AS BIGINT) AS scored, sum(delta) AS delta FROM pick)
-SELECT folds, scored, {r('target', None, 4)}, {r('votes / folds', 'stability', 4)}, {r('delta / scored', 'mean_delta', 4)}, CASE WHEN scored < 40 THEN 'too few scored trades' WHEN votes / folds < 0.6 THEN 'unstable choice' WHEN NOT delta / scored > 0 THEN 'no improvement' END AS reason FROM a, t""",
+ m AS (SELECT target, count(*) AS votes FROM pick GROUP BY 1), t AS (SELECT arg_max(target, votes * 100 - target) AS target, max(votes) AS votes FROM m), a AS (SELECT count(*) AS folds, CAST(sum(applicable) AS BIGINT) AS scored, sum(delta) AS delta FROM pick),
+ xb AS (SELECT row_number() OVER (ORDER BY session_date) - 1 AS i, * FROM (SELECT session_date, count(CASE WHEN known AND r IS NOT NULL THEN 1 END) AS m, sum(CASE WHEN known AND r IS NOT NULL AND mfe >= target THEN (target - r) * CAST(risk AS DOUBLE) ELSE 0 END) AS dl FROM x JOIN d USING (session_date) JOIN pick USING (fold) GROUP BY 1) WHERE m > 0),
+ xd AS (SELECT rep, {_DRAW.format("'exit::' || rep || ':' || k")} % n AS i FROM (SELECT count(*) AS n FROM xb), range(1000) u(rep), range(n) z(k)),
+ xk AS (SELECT list(v ORDER BY v) AS l FROM (SELECT sum(dl) / sum(m) AS v FROM xd JOIN xb USING (i) GROUP BY rep))
+SELECT folds, scored, {r('target', None, 4)}, {r('votes / folds', 'stability', 4)}, {r('delta / scored', 'mean_delta', 4)}, {r('l[26]', 'low', 4)}, {r('l[976]', 'high', 4)}, CASE WHEN scored < 40 THEN 'too few scored trades' WHEN votes / folds < 0.6 THEN 'unstable choice' WHEN NOT delta / scored > 0 THEN 'no improvement' WHEN NOT l[26] > 0 THEN 'within chance' END AS reason FROM a, t, xk""",
     "e07_evidence": f"""WITH {_ORDERS}, a AS (SELECT account, count(*) AS n, count(*) FILTER (net > 0) AS w, count(*) FILTER (net < 0) AS l, avg(CAST(net AS DOUBLE)) FILTER (net > 0) AS aw, avg(CAST(net AS DOUBLE)) FILTER (net < 0) AS al FROM facts GROUP BY 1),
 k AS (SELECT account, unnest(['n', 'kelly']) AS k, unnest([CAST(n AS DOUBLE), CASE WHEN w > 0 AND l > 0 THEN w / (w + l) - (1 - w / (w + l)) / (aw / abs(al)) END]) AS v FROM a) SELECT account || '.' || k AS key, {r('v', 'value')}, v IS NULL AS gap FROM k""",
     "s35_map_fills": f"WITH {_MAPPED} SELECT id, account, symbol, {r('commission')}, {r('fees')}, reason FROM mapped",
