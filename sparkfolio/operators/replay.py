@@ -91,11 +91,14 @@ def frame_contents(shown: DataFrame, bars: DataFrame, events: DataFrame) -> Data
 def in_windows(shown: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of ``shown`` with each bar of their resolution between ``start`` and ``end``, joined on (symbol, resolution, day).
 
-    bars: (symbol, seconds, ts, open, high, low, close)."""
+    bars: (symbol, seconds, ts, open, high, low, close); without ``seconds`` they stand for every resolution."""
     day = lambda c: F.floor(F.unix_timestamp(c) / 86400)
     w = shown.withColumn("_day", F.explode(F.sequence(day(start), day(end))))
-    b = bars.select(F.col("symbol").alias("_symbol"), F.col("seconds").alias("_seconds"), day("ts").alias("_bday"), "ts", "open", "high", "low", "close")
-    same = (F.col("symbol") == F.col("_symbol")) & (F.col("bar_seconds") == F.col("_seconds")) & (F.col("_day") == F.col("_bday"))
+    own = F.col("seconds") if "seconds" in bars.columns else F.lit(None).cast("long")
+    b = bars.select(F.col("symbol").alias("_symbol"), own.alias("_seconds"), day("ts").alias("_bday"), "ts", "open", "high", "low", "close")
+    same = (F.col("symbol") == F.col("_symbol")) & (F.col("_day") == F.col("_bday"))
+    if "seconds" in bars.columns:
+        same = same & (F.col("bar_seconds") == F.col("_seconds"))
     return w.join(b, same & F.col("ts").between(F.col(start), F.col(end))).drop("_day", "_symbol", "_seconds", "_bday")
 
 
