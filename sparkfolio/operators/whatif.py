@@ -44,7 +44,7 @@ def simulate(trades: DataFrame, scenarios: list[dict], *by: str) -> DataFrame:
     risk, net = ratio(F.col("net"), F.col("r_multiple")), F.col("net").cast("double")
     level = F.when(stopped, -F.col("stop_r")).when(reached, F.col("target_r"))
     kind = F.when(only_filters, "unchanged").when(~known, "inapplicable").when(level.isNotNull(), "repriced").otherwise("unchanged")
-    t = t.withColumn("_kind", kind).withColumn("_sim", F.when(F.col("_kind") == "repriced", F.bround(level * risk, 2)).when(F.col("_kind") == "unchanged", net))
+    t = t.withColumn("_kind", kind).withColumn("_sim", F.when(F.col("_kind") == "repriced", F.rint(level * risk * 100) / 100).when(F.col("_kind") == "unchanged", net))
     t = t.withColumn("_in", F.col("hours").isNull() | F.coalesce(F.array_contains("hours", F.col("entry_hour")), F.lit(False)))
     key = ["i", *by, "session_date", "_in"]
     before = W.partitionBy(*key).orderBy("opened_at", "trade_id").rowsBetween(W.unboundedPreceding, -1)

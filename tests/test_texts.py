@@ -10,3 +10,11 @@ def test_halves_are_those_of_the_double(spark):
     rows = [(1.015, "1.01"), (0.125, "0.12"), (2.675, "2.68"), (-1.015, "-1.01"), (0.0, "0.00")]
     got = spark.createDataFrame(rows, "x double, text string").withColumn("made", X.plain(F.col("x"), 2)).collect()
     assert [r["made"] for r in got] == [r["text"] for r in got]
+
+
+def test_repriced_results_are_rounded_likewise(spark):
+    from sparkfolio.operators import whatif
+
+    # 1.015 is a little under the half as a double: 1.01, as the SQL has it, where its shortest text made it 1.02
+    t = spark.sql("select 1 trade_id, date'2024-01-01' session_date, timestamp'2024-01-01' opened_at, 1.015D net, 1 entry_hour, 1.0D r_multiple, 0.0D mae_r, 2.0D mfe_r")
+    assert [r["simulated"] for r in whatif.simulate(t, [{"name": "a", "target_r": 1.0}]).collect()] == [1.01]
