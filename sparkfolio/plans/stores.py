@@ -39,13 +39,17 @@ def parts_by_time(fills: DataFrame) -> list[DataFrame]:
     return [fills.filter(at <= a), fills.filter((at > a) & (at <= b)), fills.filter((at > a) & (at <= b)), fills.filter(at > b)]
 
 
+#: Files of a micro-batch, written by as many tasks.
+FILES = 16
+
+
 def streamed(spark: SparkSession, fills: list[DataFrame], store: versions.Store, **more) -> None:
-    """Each DataFrame as a micro-batch of one stream."""
+    """Each DataFrame as a micro-batch of one stream (tables of few rows make fewer files, and so share one)."""
     folder = scratch.folder(spark, "landing")
     kinds = [x.split(" ") for x in positions.FILL.split(", ")]
     for i, part in enumerate(fills):
-        part.select(*(F.col(c).cast(t).alias(c) for c, t in kinds)).coalesce(1).write.parquet(f"{folder}/part={i}")
-    source = spark.readStream.schema(positions.FILL + ", part int").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(folder).drop("part")
+        part.select(*(F.col(c).cast(t).alias(c) for c, t in kinds)).repartition(FILES).write.parquet(f"{folder}/part={i}")
+    source = spark.readStream.schema(positions.FILL + ", part int").option("maxFilesPerTrigger", FILES).option("pathGlobFilter", "*.parquet").parquet(folder).drop("part")
     run = positions.run(spark, source, store, scratch.folder(spark, "stream"), instruments=views.instruments(spark), **more)
     run.awaitTermination()
 

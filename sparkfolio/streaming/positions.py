@@ -1,7 +1,8 @@
 """Positions resumed from keyed state: fills stream by, trades come out, and the state store holds what is open.
 
 Per (account, symbol) the state is the open lots, the open trade's sums, the number of trades and the last fill: it's as large as what is
-open, whatever came before, and no stored fill is read again.  Fills at or before the last one of their position are passed on as late.  The
+open, whatever came before, and no stored fill is read again.  Positions are dealt to BUCKETS groups of CELLS cells by hash: a group's rows come as
+one, and a cell that a batch touches is read and written once.  Fills at or before the last one of their position are passed on as late.  The
 sink commits each micro-batch as one version of a store: fills, closed trades, open positions and the batch number change together, and a
 batch that is replayed after a crash changes nothing.  A late fill that is stored already is a repeat; any other makes its position stale: from
 then on the sink rebuilds that position from its stored fills, until a new stream starts from ``opening``, so every split and order of batches
@@ -10,6 +11,7 @@ gives the trades of one batch.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from decimal import ROUND_HALF_EVEN, Decimal
 
@@ -30,8 +32,16 @@ SUMS = (
 )
 #: What the stream puts out: a fill that was applied, a late one, a closed trade's sums, or those of the trade that is open.
 OUT = f"{FILL}, kind string, trade struct<{SUMS.replace(' ', ':').replace(',:', ', ')}>"
-_SUMS = [x.split()[0] for x in SUMS.split(", ")]
+_KINDS = [x.split() for x in SUMS.split(", ")]
+_SUMS = [c for c, _ in _KINDS]
 _FILL = [x.split()[0] for x in FILL.split(", ")]
+#: Groups that the positions are dealt to by hash, cells of each group, and what stands for no time in a group's rows.
+BUCKETS, CELLS, NO_TIME = 512, 16, -(1 << 63)
+#: The rows of a group: OUT with the trade's sums side by side.
+FLAT = ", ".join([
+    FILL.replace("account long", "account string").replace("timestamp", "long"), "kind string", *(f"_{x}" for x in SUMS.replace("timestamp", "long").split(", ")),
+])
+_FLAT = [x.split()[0] for x in FLAT.split(", ")]
 OPENING = f"account long, symbol string, last_ts timestamp, last_id long, {SUMS}, lot_qty decimal(22,0), lot_price decimal(20,8), lot_lo decimal(22,0)"
 
 
@@ -78,55 +88,88 @@ class Position:
 
 
 def _plain(x):
-    return None if x is None or x is pd.NaT or (not isinstance(x, Decimal) and x != x) else x.to_pydatetime() if isinstance(x, pd.Timestamp) else x
+    return None if x is None or x != x else x
 
 
 class Resume(StatefulProcessor):
+    """The positions of one bucket of keys, as cells of a map state: a batch reads and writes each cell that it touches once.
+
+    A group of its own for each position would cost several calls by Arrow, pandas and the state's socket each; a bucket's rows come and
+    go as one, and so do the positions of a cell, as a JSON text of which only touched positions are looked into.  Times are microseconds
+    (NO_TIME: none), accounts and fill_ids texts, so that no null turns its neighbours into doubles.
+    """
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "ts timestamp, fill_id long, tid long")
-        self.open = handle.getValueState("open", SUMS)
-        self.lots = handle.getListState("lots", "qty decimal(22,0), price decimal(20,8)")
-
-    def _store(self, position: Position, last: tuple) -> None:
-        self.last.update((*last, position.tid))
-        if position.trade:
-            self.open.update(tuple(position.trade[c] for c in _SUMS))
-            self.lots.put(position.lots)
-        else:
-            self.open.clear()
-            self.lots.clear()
+        self.cells = handle.getMapState("cells", "cell long", "held string")
+
+    def _load(self, cell: int) -> dict:
+        held = self.cells.getValue((cell,))
+        return {} if held is None else {(x[0], x[1]): x for x in json.loads(held[0])}
+
+    def _keep(self, cell: int, held: dict) -> None:
+        self.cells.updateValue((cell,), (json.dumps(list(held.values()), separators=(",", ":"), default=str),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        *last, tid = map(_plain, self.last.get()) if self.last.exists() else (None, None, 0)
-        last = tuple(last) if last[0] is not None else None
-        trade = dict(zip(_SUMS, map(_plain, self.open.get()))) if self.open.exists() else None
-        position = Position(tid, trade, [tuple(x) for x in self.lots.get()] if trade else [])
-        fills = [{c: _plain(v) for c, v in r.items()} for part in rows for r in part[_FILL].to_dict("records")]
-        out = []
-        for fill in sorted(fills, key=lambda f: (f["ts"], f["fill_id"])):
-            at = fill["ts"], fill["fill_id"]
-            late = last is not None and at <= last
-            out.append(fill | {"kind": "late" if late else "fill", "trade": None})
-            if not late:
-                out += [{"account": fill["account"], "symbol": fill["symbol"], "kind": "closed", "trade": t} for t in position.apply(fill)]
-                last = at
-        if last is not None:
-            self._store(position, last)
-        if position.trade:
-            out.append({"account": key[0], "symbol": key[1], "kind": "open", "trade": dict(position.trade)})
-        yield pd.DataFrame(out, columns=[*_FILL, "kind", "trade"])
+        touched: dict[int, dict[tuple, list[dict]]] = {}
+        for part in rows:
+            for cell, *x in zip(*(part[c].tolist() for c in ("cell", *_FILL))):
+                fill = dict(zip(_FILL, x))
+                fill["fill_id"] = None if _plain(fill["fill_id"]) is None else int(fill["fill_id"])
+                touched.setdefault(cell, {}).setdefault((_plain(fill["account"]), _plain(fill["symbol"])), []).append(fill)
+        out, none = [], (None,) * len(_SUMS)
+        for cell, positions in touched.items():
+            held, changed = self._load(cell), False
+            for who, fills in positions.items():
+                last, position = unpacked(held[who]) if who in held else (None, Position())
+                ends = None
+                nothing = (*who, *(None,) * (len(_FILL) - 2))
+                for fill in sorted(fills, key=lambda f: _place(f["ts"], f["fill_id"])):
+                    at = _place(fill["ts"], fill["fill_id"])
+                    late = last is not None and at <= last
+                    out.append((*who, *(fill[c] for c in _FILL[2:]), "late" if late else "fill", *none))
+                    if not late:
+                        out += [(*nothing, "closed", *(t[c] for c in _SUMS)) for t in position.apply(fill)]
+                        last, ends = at, fill
+                if ends is not None:
+                    held[who], changed = packed(who, position, ends["ts"], ends["fill_id"]), True
+                if position.trade:
+                    out.append((*nothing, "open", *(position.trade[c] for c in _SUMS)))
+            if changed:
+                self._keep(cell, held)
+        yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(_FLAT, zip(*out))})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        rows = [{c: _plain(v) for c, v in r.items()} for r in initialState.to_dict("records")]
-        rows.sort(key=lambda r: r["lot_lo"] or 0)
-        first = rows[0]
-        trade = {c: first[c] for c in _SUMS} if first["lot_qty"] is not None else None
-        self._store(Position(first["tid"], trade, [(r["lot_qty"], r["lot_price"]) for r in rows] if trade else []), (first["last_ts"], first["last_id"]))
+        columns, cells = ["account", "symbol", "last_ts", "last_id", *_SUMS, "qtys", "prices"], {}
+        for cell, *x in zip(*(initialState[c].tolist() for c in ("cell", *columns))):
+            r = dict(zip(columns, x))
+            lots = list(zip(r["qtys"], r["prices"]))
+            trade = {c: _plain(r[c]) for c in _SUMS} if lots else None
+            last_id, who = _plain(r["last_id"]), (_plain(r["account"]), _plain(r["symbol"]))
+            cells.setdefault(cell, {})[who] = packed(who, Position(r["tid"], trade, lots), r["last_ts"], None if last_id is None else int(last_id))
+        for cell, new in cells.items():  # a bucket may come in several parts
+            self._keep(cell, self._load(cell) | new)
 
     def close(self) -> None:
         pass
 
 
+def packed(who: tuple, position: Position, ts: int, fill_id: int | None) -> list:
+    """A position and its last fill as JSON takes them; numbers with decimals become texts."""
+    trade = position.trade and [position.trade[c] for c in _SUMS]
+    return [*who, ts, fill_id, position.tid, trade, position.lots]
+
+
+def unpacked(x: list) -> tuple[tuple, Position]:
+    _, _, ts, fill_id, tid, trade, lots = x
+    sums = trade and {c: Decimal(v) if v is not None and k.startswith("decimal") else v for (c, k), v in zip(_KINDS, trade)}
+    return _place(ts, fill_id), Position(tid, sums, [(Decimal(q), Decimal(p)) for q, p in lots])
+
+
+def _place(ts: int, fill_id: int | None) -> tuple:
+    """Where a fill stands among its position's, as fifo orders them: no fill_id comes before any."""
+    return ts, fill_id is not None, fill_id or 0
+
+
 def opening(fills: DataFrame) -> DataFrame:
     """The state after ``fills``, a row for each open lot and one for a position that is flat: what a new stream starts from."""
     parts = fifo.slices(fills)
@@ -139,12 +182,31 @@ def opening(fills: DataFrame) -> DataFrame:
     return out.select(*(F.col(c).cast(t).alias(c) for c, t in kinds))
 
 
+def _micros(c: str):
+    return F.coalesce(F.unix_micros(c), F.lit(NO_TIME)).alias(c)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    cell = F.pmod(F.xxhash64(*KEY), F.lit(BUCKETS * CELLS))
+    return df.withColumn("cell", cell).withColumn("bucket", F.col("cell") % BUCKETS).withColumn("account", F.col("account").cast("string"))
+
+
 def trades_of(source: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """The streaming rows OUT of a streaming DataFrame of fills; ``start``: rows of opening()."""
     kinds = [x.split(" ") for x in FILL.split(", ")]
-    clean = fifo.usable_rows(source).select(*(F.col(c).cast(t).alias(c) for c, t in kinds))
-    first = None if start is None else start.groupBy(*KEY)
-    return clean.groupBy(*KEY).transformWithStateInPandas(Resume(), OUT, "Update", "None", first)
+    clean = _dealt(fifo.usable_rows(source).select(*(F.col(c).cast(t).alias(c) for c, t in kinds)))
+    clean = clean.withColumns({"ts": _micros("ts"), "fill_id": F.col("fill_id").cast("string")})
+    first = None
+    if start is not None:
+        lots = F.array_sort(F.collect_list(F.when(F.col("lot_qty").isNotNull(), F.struct("lot_lo", "lot_qty", "lot_price"))))
+        whole = start.groupBy(*KEY, "last_ts", "last_id", *_SUMS).agg(lots.alias("_lots"))  # a row a position, so that no batch of rows parts its lots
+        whole = whole.withColumns({c: _micros(c) for c in ("last_ts", "opened_at", "last_exit")} | {"last_id": F.col("last_id").cast("string"), "qtys": F.col("_lots.lot_qty"), "prices": F.col("_lots.lot_price")})
+        first = _dealt(whole.drop("_lots")).groupBy("bucket")
+    out = clean.groupBy("bucket").transformWithStateInPandas(Resume(), FLAT, "Update", "None", first)
+    time = lambda c: F.when(F.col(c) != NO_TIME, F.timestamp_micros(c))
+    sums = F.struct(*((time(f"_{c}") if t == "timestamp" else F.col(f"_{c}")).alias(c) for c, t in (x.split(" ") for x in SUMS.split(", "))))
+    own = {"account": F.col("account").cast("long"), "ts": time("ts")}
+    return out.select(*(own.get(c, F.col(c)).alias(c) for c in _FILL), "kind", F.when(F.col("_tid").isNotNull(), sums).alias("trade"))
 
 
 def sink(batch: DataFrame, number: int, store: Store, stream: str, instruments: DataFrame | None = None) -> None:
@@ -158,7 +220,8 @@ def sink(batch: DataFrame, number: int, store: Store, stream: str, instruments:
         own = batch.filter("kind = 'fill'").select(_FILL)
         refuse(own, instruments)
         late = batch.filter("kind = 'late'").select(_FILL).dropDuplicates(["account", "fill_id"])
-        late = late.join(fills.unionByName(own).select("account", "fill_id"), ["account", "fill_id"], "left_anti").select(_FILL)
+        if not late.isEmpty():  # else the stored fills needn't be read
+            late = late.join(fills.unionByName(own).select("account", "fill_id"), ["account", "fill_id"], "left_anti").select(_FILL)
         known = store.read("stale", "account long, symbol string", base)
         stale = known.unionByName(late.select(*KEY)).distinct()
         touched = batch.select(*KEY).distinct()
