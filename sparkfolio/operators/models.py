@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.exprs import ratio
+from . import scan
 
 # Coverage of a feature, penalties and the one without a choice, folds' first sessions and step for models
 # and exits, targets in R, least scored trades, stable share of folds, bounds of a probability.
@@ -147,15 +148,17 @@ def walk_forward(rows: DataFrame, columns: list[str], label: str, session: str =
 
 
 #: Rows that meet all models as one matrix product in a worker.
-MATRIX_ROWS = 512
+MATRIX_ROWS = 128
 
 
 def _model_sums(dated: DataFrame, columns: list[str], low: str, high: str | None, models: list[tuple], errors: bool) -> dict:
     """Per model (fold, penalty, beta) the sums over the rows with ``low`` <= fold (and fold < ``high``): of squared errors and rows with
     ``errors``, else the gradient and the Hessian of the log-likelihood.
 
-    A batch of rows meets all models in matrix products, its rows masked by fold; what leaves a task is a row a model.
+    dated: rows with ``_n``, how many there are of each.  A batch of rows meets all models in matrix products, its rows masked by fold; what
+    leaves a task is a row a model.
     """
+    models, numbers = zip(*sorted(zip(models, range(len(models))), key=lambda m: m[0][0]))
     ends, beta = np.array([f for f, *_ in models]), np.array([b for *_, b in models]).T
     k = len(columns) + 1
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
@@ -169,20 +172,31 @@ def _model_sums(dated: DataFrame, columns: list[str], low: str, high: str | None
             data = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in range(batch.num_columns)])
             for a in range(0, len(data), MATRIX_ROWS):
                 part = data[a : a + MATRIX_ROWS]
-                x, y = np.column_stack([np.ones(len(part)), part[:, : k - 1]]), part[:, k - 1]
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -700, 700)))
-                inside = ends[None, :] >= part[:, k, None]
+                x, y, w = np.column_stack([np.ones(len(part)), part[:, : k - 1]]), part[:, k - 1, None], part[:, -1, None]
+                # models that some row of the part belongs to: rows come by fold, so they are few
+                these = slice(np.searchsorted(ends, part[:, k].min()), len(ends) if high is None else np.searchsorted(ends, part[:, k + 1].max()))
+                upto = ends[None, these]
+                if upto.size == 0:
+                    continue
+                p = x @ beta[:, these]
+                np.clip(p, -700, 700, out=p)
+                np.exp(np.negative(p, out=p), out=p)
+                p += 1
+                np.reciprocal(p, out=p)
+                inside = (upto >= part[:, k, None]) * w
                 if high is not None:
-                    inside &= ends[None, :] < part[:, k + 1, None]
+                    inside *= upto < part[:, k + 1, None]
                 if errors:
-                    total[0] += (inside * (y[:, None] - p) ** 2).sum(axis=0)
-                    total[1] += inside.sum(axis=0)
+                    total[0, these] += (inside * (y - p) ** 2).sum(axis=0)
+                    total[1, these] += inside.sum(axis=0)
                 else:
-                    total[:k] += x.T @ (inside * (y[:, None] - p))
-                    total[k:] += np.column_stack([x[:, i] * x[:, j] for i, j in pairs]).T @ (inside * p * (1 - p))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(ends))), *map(pa.array, total)], ["m", *names])
+                    total[:k, these] += x.T @ (inside * (y - p))
+                    inside *= p
+                    inside *= 1 - p
+                    total[k:, these] += np.column_stack([x[:, i] * x[:, j] for i, j in pairs]).T @ inside
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(numbers)), *map(pa.array, total)], ["m", *names])
 
-    wanted = dated.select(*(F.col(c).cast("double") for c in columns), "_y", F.col(low).cast("double"), *([F.col(high).cast("double")] if high else []))
+    wanted = dated.select(*(F.col(c).cast("double") for c in columns), "_y", F.col(low).cast("double"), *([F.col(high).cast("double")] if high else []), F.col("_n").cast("double"))
     sums = wanted.mapInArrow(run, ", ".join(["m long", *(f"{n} double" for n in names)])).groupBy("m").agg(*(F.sum(n).alias(n) for n in names))
     return {r["m"]: r for r in sums.collect()}  # one row a model
 
@@ -208,6 +222,9 @@ def walk_forward_logistic(
     kind = full.schema[session].dataType
     dates = spark.createDataFrame([(d, f, g, f + 1) for (d, _, f), g in zip(days, starts)], T.StructType([T.StructField("_day", kind), *(T.StructField(n, T.IntegerType()) for n in ("_fold", "_inner", "_first"))]))
     dated = full.join(F.broadcast(dates), F.col(session) == F.col("_day"))  # one row a day
+    # every pass reads this table: equal rows of equal folds once with their number, by fold inside a part
+    kept = dated.groupBy(*columns, "_y", "_inner", "_first").agg(F.count("*").alias("_n")).sortWithinPartitions("_first")
+    kept = scan.written(kept)
     sums, upto = np.zeros((k + 1, k + 1)), [np.zeros((k + 1, k + 1))]
     for d, *_ in days:
         sums = sums + per[d] if d in per else sums
@@ -225,7 +242,7 @@ def walk_forward_logistic(
             if not todo:
                 break
             keys = list(todo)
-            found = _model_sums(dated, columns, start, None, [(f, p, todo[f, p][1] @ todo[f, p][0]) for f, p in keys], False)
+            found = _model_sums(kept, columns, start, None, [(f, p, todo[f, p][1] @ todo[f, p][0]) for f, p in keys], False)
             for i, key in enumerate(keys):
                 t, b = todo[key]
                 r, d = found[i], key[1] * np.diag([0.0] + [1.0] * (k - 1))
@@ -245,7 +262,7 @@ def walk_forward_logistic(
     best: dict[int, tuple] = {}
     if tried:
         models = [(f, p, b) for (f, p), (b, _) in tried.items()]
-        for i, r in _model_sums(dated, columns, "_first", "_inner", models, True).items():
+        for i, r in _model_sums(kept, columns, "_first", "_inner", models, True).items():
             if r["n"]:
                 best[models[i][0]] = min(best.get(models[i][0], (np.inf, 0.0)), (r["e"] / r["n"], models[i][1]))
     chosen = {f: best[f][1] if f in best else PENALTY for f in ends}
@@ -347,7 +364,6 @@ def shuffled(matrix: DataFrame, columns: list[str], reference: int, key: str = "
     A column's values are numbered in the order of hashes of their keys, the rows in the order of their keys, and both meet by number:
     a random permutation of the whole column.  Numbers are running counts in two levels (scan), so no task sorts the matrix.
     """
-    from . import scan
     from .resample import draw
 
     number = {"_i": ("count", F.lit(1))}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import models, serving
+from ..operators import models, scan, serving
 from ..sources import scratch, versions, views
 from .oracle import _ORDERS, r
 from .queries import rounded
@@ -30,6 +30,11 @@ def attempts(spark, sf):
     )
 
 
+def attempts_once(spark, sf):
+    """attempts() as a table: training and scoring pass over them some times, and orders and lines are joined once."""
+    return scan.written(attempts(spark, sf))
+
+
 COLUMNS = ["quantity", "hold"]
 _SUMS = {"n": "1.0", "a": "a", "b": "b", "y": "y", "aa": "a * a", "ab": "a * b", "bb": "b * b", "ay": "a * y", "by_": "b * y", "yy": "y * y"}
 
@@ -66,14 +71,14 @@ fits AS (SELECT ends.fold, coalesce(best.p, 10.0) AS p, {mine} FROM ends JOIN c
 @query(f"WITH {_models()} SELECT trade_id, CAST(m.fold AS BIGINT) AS fold, m.p AS penalty, {r('w0 + wa * ok.a + wb * ok.b', 'predicted')} FROM ok JOIN d USING (session_date) JOIN m ON m.fold = d.fold")
 def l07_walk_forward(spark, sf):
     """Each trade's R as the model of the sessions before its fold says, refitted every five sessions."""
-    w = models.walk_forward(attempts(spark, sf), COLUMNS, "y")
+    w = models.walk_forward(attempts_once(spark, sf), COLUMNS, "y")
     return rounded(w.select("trade_id", "fold", "penalty", "predicted"))
 
 
 @query(f"WITH {_models()} SELECT CAST(d.fold AS BIGINT) AS fold, count(*) AS scored, count(DISTINCT session_date) AS sessions, count(*) AS converged FROM ok JOIN d USING (session_date) WHERE d.fold > 0 GROUP BY 1")
 def l07_walk_forward_logistic(spark, sf):
     """Chance of a gain by the same features and folds; per fold what was scored (a test holds its predictions against plain fits)."""
-    w = models.walk_forward_logistic(attempts(spark, sf).filter("y is not null"), COLUMNS, "won")
+    w = models.walk_forward_logistic(attempts_once(spark, sf).filter("y is not null"), COLUMNS, "won")
     return rounded(w.groupBy("fold").agg(F.count("*").alias("scored"), F.count_distinct("session_date").alias("sessions"), F.count_if("converged").alias("converged")))
 
 
@@ -82,10 +87,9 @@ def l02_design(spark, sf):
     return serving.design(attempts(spark, sf), COLUMNS, "y")[1]
 
 
-def stored_models(spark, sf):
-    """A head's models in an append-only table."""
+def stored_models(spark, t):
+    """A head's models of attempts_once() in an append-only table."""
     store = versions.Store(spark, scratch.folder(spark, "models"))
-    t = attempts(spark, sf)
     store.commit({"models": serving.train(t, "r", COLUMNS, "y")})
     return store
 
@@ -99,25 +103,26 @@ lost AS (SELECT fo.fold, count(*) AS skipped FROM fo JOIN d ON d.fold < fo.fold
 @query(f"WITH {_GATE}, b AS (SELECT fold, min(session_date) AS trained_at FROM d GROUP BY 1) SELECT CAST(fold AS BIGINT) AS fold, coalesce(trained_at, (SELECT CAST(max(session_date) + 1 AS DATE) FROM d)) AS trained_at, p AS penalty, CAST(n AS BIGINT) AS trained, coalesce(skipped, 0) AS skipped, CAST(scored AS BIGINT) AS scored, {r('skill')}, reason, reason IS NULL AS deployable FROM gate LEFT JOIN b USING (fold) LEFT JOIN lost USING (fold)")
 def l12_model_rows(spark, sf):
     """What training leaves: a row a fold and a last one, with the reason against serving."""
-    m = stored_models(spark, sf).read("models")
+    m = stored_models(spark, attempts_once(spark, sf)).read("models")
     return rounded(m.select("fold", "trained_at", "penalty", "trained", "skipped", "scored", "skill", "reason", "deployable"))
 
 
 @query(f"WITH {_GATE} SELECT trade_id, reason, CASE WHEN gate.fold IS NOT NULL AND reason IS NULL THEN {r('w0 + wa * x.a + wb * x.b', 'z').replace(' AS z', '')} END AS predicted FROM x JOIN d USING (session_date) LEFT JOIN gate ON gate.fold = d.fold")
 def l12_served(spark, sf):
     """What the model in force said of each trade when it was opened."""
-    served = serving.serve(attempts(spark, sf), stored_models(spark, sf).read("models"), "r", COLUMNS)
+    t = attempts_once(spark, sf)
+    served = serving.serve(t, stored_models(spark, t).read("models"), "r", COLUMNS)
     return rounded(served.select("trade_id", "reason", "predicted"))
 
 
 @query(f"WITH {_GATE}, z AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY account ORDER BY session_date DESC, trade_id DESC) = 1) SELECT account, reason, CASE WHEN reason IS NULL THEN {r('w0 + wa * z.a + wb * z.b', 'z').replace(' AS z', '')} END AS predicted FROM z, gate WHERE gate.fold = (SELECT max(fold) FROM gate)")
 def l08_next_trade(spark, sf):
     """What the last model, of all sessions, says of a trade like each account's latest one, opened after them."""
-    t = attempts(spark, sf)
+    t = attempts_once(spark, sf)
     latest = t.groupBy("account").agg(F.max_by(F.struct(*COLUMNS), F.struct("session_date", "trade_id")).alias("t")).select("account", "t.*")
     last = t.agg(F.date_add(F.max("session_date"), 1).alias("session_date"))
     ahead = latest.crossJoin(F.broadcast(last))  # one row
-    return rounded(serving.serve(ahead, stored_models(spark, sf).read("models"), "r", COLUMNS).select("account", "reason", "predicted"))
+    return rounded(serving.serve(ahead, stored_models(spark, t).read("models"), "r", COLUMNS).select("account", "reason", "predicted"))
 
 
 _DEALT = "row_number() OVER (ORDER BY ('0x' || substr(md5('20260731:shuffle:3:{c}:' || trade_id), 1, 8))::BIGINT, trade_id) AS i"
