@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .storage import cut, new_path
 from .text import Piece, SpanHash, mix, pieces, spaced, tidy
 
-#: Rolling window, expected length beyond the least one, least and largest length of a chunk, in ids.
+#: Rolling window, expected length beyond the least one (a power of two), least and largest length of a chunk, in ids.
 WINDOW, MEAN, LEAST, MOST = 32, 512, 128, 4096
 #: Words whose ids a worker remembers (about 30 bytes each), and digests of chunks a task has sent (about 100 bytes each).
 CACHE, SENT = 400_000, 100_000
@@ -106,7 +106,7 @@ class Encoder:
         start, stop, doc = np.insert(start, at, end[parted] - 1), np.insert(end, at, end[parted]), np.insert(doc, at, doc[parted])
         stop[parted + np.arange(len(parted))] -= 1
         key = SpanHash(low)(start, stop)
-        unique, first, back = np.unique(key, return_index=True, return_inverse=True)
+        unique, first, back = different(key)
         a, b = start[first], stop[first]
         check = (b - a).astype(np.uint32) << np.uint32(16) | low[a].astype(np.uint32) << np.uint32(8) | low[b - 1] if len(a) else np.zeros(0, dtype=np.uint32)
         i, known = self.find(unique, check)
@@ -143,13 +143,29 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def different(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with first places and inverse; only the different keys are sorted, not all."""
+    met = pa.array(key).dictionary_encode()
+    codes, keys = met.indices.to_numpy(), met.dictionary.to_numpy()
+    order = np.argsort(keys)
+    first, rank = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)  # the last one written is the first place
+    rank[order] = np.arange(len(keys))
+    return keys[order], first[order], rank[codes]
+
+
+#: mix() of the ids that two bytes hold.
+_SIGNS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(977))
+
+
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of an id stream."""
     n, ends, last = len(ids), [], 0
     if n > LEAST:
-        sums = np.append(np.uint64(0), np.cumsum(mix(ids.astype(np.uint64) + np.uint64(977)), dtype=np.uint64))
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(_SIGNS[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(977)), out=sums[1:])
         rolling = mix(sums[WINDOW:] - sums[:-WINDOW])
-        for at in (np.flatnonzero(rolling % np.uint64(MEAN) == 0) + WINDOW).tolist():
+        for at in (np.flatnonzero(rolling & np.uint64(MEAN - 1) == 0) + WINDOW).tolist():
             while at - last > MOST:
                 last += MOST
                 ends.append(last)
@@ -259,7 +275,8 @@ def crc32_joined(parts: list[tuple[int, int]]) -> int:
     """crc32 of the concatenation of parts given by (crc32, bytes)."""
     out = 0
     for crc, n in parts:
-        out = _times(_shift(n), out) ^ crc if n else out
+        if n:
+            out = (_times(_shift(n), out) if out else 0) ^ crc  # nothing before the first part
     return out
 
 
