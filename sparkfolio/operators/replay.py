@@ -79,15 +79,59 @@ def frames(trades: DataFrame) -> DataFrame:
 
 def frame_contents(shown: DataFrame, bars: DataFrame, events: DataFrame) -> DataFrame:
     """Frames with n_bars, the first and last bar, and n_markers: the events (trade_id, ts) between these two, and no others."""
-    j = in_windows(shown, bars, "frame_start", "frame_end")
-    seen = j.groupBy("trade_id", "kind").agg(F.count("*").alias("n_bars"), F.min("ts").alias("first_bar"), F.max("ts").alias("last_bar"))
-    f = shown.join(seen, ["trade_id", "kind"], "left").withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+    f = bar_spans(shown, bars, "frame_start", "frame_end")
     e = events.select("trade_id", F.col("ts").alias("_at"))
     n = f.select("trade_id", "kind", "first_bar", "last_bar").join(e, "trade_id").filter(F.col("_at").between(F.col("first_bar"), F.col("last_bar")))
     n = n.groupBy("trade_id", "kind").agg(F.count("*").alias("n_markers"))
     return f.join(n, ["trade_id", "kind"], "left").withColumn("n_markers", F.coalesce("n_markers", F.lit(0)))
 
 
+#: Bars that a block of a time line has at most, if they stand on their resolution's grid.
+BLOCK = 64
+
+
+def bar_spans(shown: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
+    """``shown`` with n_bars between ``start`` and ``end``, and the first_bar and last_bar of these.
+
+    A time line (symbol and resolution) is cut into blocks that know their bars, how many come before, and the bars next to them, so each
+    window meets two blocks, however many bars it holds.  bars: as in_windows() takes them."""
+    each = "seconds" in bars.columns
+    line = ["_symbol", *(["_seconds"] if each else [])]
+    width = (F.col("_seconds").cast("long") if each else F.lit(60).cast("long")) * (BLOCK * 1_000_000)
+    block = lambda t: F.floor(t / width)
+    b = bars.filter("ts is not null").select(F.col("symbol").alias("_symbol"), *([F.col("seconds").alias("_seconds")] if each else []), F.unix_micros("ts").alias("_t"))
+    k = b.withColumn("_block", block(F.col("_t"))).groupBy(*line, "_block").agg(F.array_sort(F.collect_list("_t")).alias("_in"))
+    w = W.partitionBy(*line).orderBy("_block")  # blocks of a time line: its calendar, not its trades
+    n = F.size("_in").cast("long")
+    k = k.withColumns({"_n": F.coalesce(F.sum(n).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_prior": F.lag(F.element_at("_in", -1)).over(w), "_then": F.lead(F.col("_in")[0]).over(w), "_to": F.coalesce(F.lead("_block").over(w) - 1, F.col("_block"))})
+    own, gap = F.col("_at") == F.col("_block"), F.array().cast("array<bigint>")
+    k = k.withColumn("_at", F.explode(F.sequence("_block", "_to"))).select(
+        *line, F.col("_at").alias("_block"), F.when(own, F.col("_in")).otherwise(gap).alias("_in"), F.when(own, F.col("_n")).otherwise(F.col("_n") + n).alias("_n"),
+        F.when(own, F.col("_prior")).otherwise(F.element_at("_in", -1)).alias("_prior"), "_then",
+    )
+    whole = b.groupBy(*line).agg(F.min("_t").alias("_low"), F.max("_t").alias("_high"))
+    same = [F.col("symbol") == F.col("_symbol"), *([F.col("bar_seconds") == F.col("_seconds")] if each else [])]
+    s = shown.join(F.broadcast(whole), same, "left")  # one row a time line
+    s = s.withColumns({"_a": F.greatest(F.unix_micros(start), F.col("_low")), "_e": F.least(F.unix_micros(end), F.col("_high"))})
+    inside = (F.unix_micros(start) <= F.col("_high")) & (F.unix_micros(end) >= F.col("_low"))
+    s = s.withColumns({"_ba": F.when(inside, block(F.col("_a"))), "_be": F.when(inside, block(F.col("_e")))}).drop(*line)
+    for side, at in (("a", "_ba"), ("e", "_be")):
+        of = k.select(*(F.col(c).alias(f"{c}_{side}") for c in (*line, "_block", "_in", "_n", "_prior", "_then")))
+        keys = [F.col("symbol") == F.col(f"_symbol_{side}"), F.col(at) == F.col(f"_block_{side}"), *([F.col("bar_seconds") == F.col(f"_seconds_{side}")] if each else [])]
+        s = s.join(of, keys, "left")
+        if side == "a":
+            rest = F.filter("_in_a", lambda x: x >= F.col("_a"))
+            s = s.withColumns({"_less": F.col("_n_a") + F.size("_in_a") - F.size(rest), "_first": F.coalesce(F.try_element_at(rest, F.lit(1)), F.col("_then_a"))})
+        else:
+            upto = F.filter("_in_e", lambda x: x <= F.col("_e"))
+            s = s.withColumns({"_upto": F.col("_n_e") + F.size(upto), "_last": F.coalesce(F.try_element_at(upto, F.lit(-1)), F.col("_prior_e"))})
+        s = s.drop(*of.columns)
+    n_bars = F.coalesce(F.greatest(F.col("_upto") - F.col("_less"), F.lit(0)), F.lit(0)).cast("long")
+    s = s.withColumn("n_bars", n_bars)
+    some = lambda c: F.when(F.col("n_bars") > 0, F.timestamp_micros(c))
+    return s.select(*shown.columns, "n_bars", some("_first").alias("first_bar"), some("_last").alias("last_bar"))
+
+
 def in_windows(shown: DataFrame, bars: DataFrame, start: str, end: str) -> DataFrame:
     """Rows of ``shown`` with each bar of their resolution between ``start`` and ``end``, joined on (symbol, resolution, day).
 
