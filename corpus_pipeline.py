@@ -52,8 +52,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     key = free_name(docs, "_row")
     rows = keyed(docs, key, "decontamination_rows")
-    found = decontamination.contamination(by_key(rows, key, "text"), table(spark, sf_dir, "benchmark"))
-    return rows.join(found.filter("n_hit > 0").select(F.col("doc_id").alias(key)), key, "left_anti").select(docs.columns)
+    found = decontamination.hit_rows(by_key(rows, key, "text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(found.withColumnRenamed("doc_id", key), key, "left_anti").select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -72,9 +72,9 @@ def _near(left: DataFrame, lists: DataFrame, slop: int) -> DataFrame:
 def candidates(index: DataFrame, plan_: DataFrame, slop: int = 0) -> DataFrame:
     """(win, doc_id, start, off) where a window's rarest term stands as if the window began at ``start``, with its next rarest
     term at most ``slop`` words off its place; off is the least deviation, 0 for windows of one word."""
-    first = small(cut(plan_.filter("terms[0].often > 0").select(F.expr("terms[0].term").alias("term"), F.expr("terms[0].offset").alias("back"), "win", F.expr("get(terms, 1).term").alias("next"), F.expr("get(terms, 1).offset").alias("ahead")), "rarest"))
+    first = plan_.filter("terms[0].often > 0").select(F.expr("terms[0].term").alias("term"), F.expr("terms[0].offset").alias("back"), "win", F.expr("get(terms, 1).term").alias("next"), F.expr("get(terms, 1).offset").alias("ahead"))
     one = index.join(first, "term").select("win", "doc_id", (F.col("pos") - F.col("back")).alias("start"), "back", "next", "ahead")
-    second = small(cut(plan_.filter("size(terms) > 1").select(F.expr("terms[1].term").alias("term")).distinct(), "second"))
+    second = plan_.filter("size(terms) > 1").select(F.expr("terms[1].term").alias("term")).distinct()
     lists = index.join(second, "term", "left_semi")
     asked = one.filter("next is not null").select("win", "doc_id", "start", "back", F.col("next").alias("term"), (F.col("start") + F.col("ahead")).alias("at"))
     # two terms of one window never share a place
@@ -84,7 +84,7 @@ def candidates(index: DataFrame, plan_: DataFrame, slop: int = 0) -> DataFrame:
 
 def phrase_matches(index: DataFrame, plan_: DataFrame, found: DataFrame) -> DataFrame:
     """(win, size, doc_id, start) of every exact occurrence of a window in a document, of the stored candidates."""
-    rest = small(cut(plan_.select("win", "size", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest")), "rest"))
+    rest = plan_.select("win", "size", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest"))
     exact = found.filter("off = 0 and start >= 0")
     need = exact.join(rest, "win")
     doc_ids = small(cut(exact.select("doc_id").distinct(), "matched"))
@@ -97,7 +97,7 @@ def phrase_matches(index: DataFrame, plan_: DataFrame, found: DataFrame) -> Data
 def proximity_matches(index: DataFrame, plan_: DataFrame, found: DataFrame, slop: int = SLOP) -> DataFrame:
     """(win, doc_id, start, off): windows all of whose terms stand at most ``slop`` words off their places, counted from
     the rarest one; off is the largest of their least deviations.  found: candidates() with this slop.  Exact ones are among them."""
-    rest = small(cut(plan_.select("win", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest")), "rest"))
+    rest = plan_.select("win", F.expr("slice(terms, 3, greatest(size(terms) - 2, 0))").alias("rest"))
     need = found.join(rest, "win")
     doc_ids = small(cut(found.select("doc_id").distinct(), "near"))
     lists = index.filter("term <> 0").join(doc_ids, "doc_id", "left_semi")
@@ -109,13 +109,21 @@ def proximity_matches(index: DataFrame, plan_: DataFrame, found: DataFrame, slop
 
 
 def prepare(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The stored index, the stored windows (item_id, phrase, win) and the lookup plan."""
+    """The stored index, the stored windows (item_id, phrase, win) and the stored lookup plan, which is to be broadcast
+    wherever it's joined if its rows allow that (the hint holds for what is selected from it)."""
     windows = cut(test_windows(benchmark, size).withColumn("win", F.xxhash64("phrase")), "windows")
     spark = docs.sparkSession
     end = spark.range(1).select(F.lit(END).alias("word"), F.lit(0).cast("long").alias("term"))
     terms = small(cut(windows.select(F.explode("phrase").alias("word")).distinct().withColumn("term", F.xxhash64("word")).unionByName(end), "terms"))
     index = build_index(docs, terms)
-    return index, windows, cut(plan(index, windows.select("win", "phrase").distinct()), "plan")
+    return index, windows, small(cut(plan(index, windows.select("win", "phrase").distinct()), "plan"))
+
+
+def hit_rows(rows: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """(doc_id): those of ``rows``, whose long doc_id no other row has, with an occurrence of a window of ``size`` consecutive
+    benchmark words, as contamination() finds them (n_hit > 0)."""
+    index, _, plan_ = prepare(rows, benchmark, size)
+    return phrase_matches(index, plan_, cut(candidates(index, plan_), "candidates")).select("doc_id").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, slop: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .text import Piece, mix, pieces, tidy
+from .text import Piece, give_back, mix, pieces, tidy
 
 ORDER = 5
 #: Labelled rows per language that a model is fitted on, and their characters, about; languages that are scored at once.
@@ -247,6 +247,8 @@ def fit(rows: DataFrame, train_rows: int = TRAIN_ROWS, train_chars: int = TRAIN_
             limits[:, i] = mean, sd, max(4.0 + 60 / len(e), 1.5 * np.quantile((e - mean) / (sd + 2 / np.sqrt(n)), quantile)) if len(e) >= 5 else 0
         model.limits = limits
         models.append(model)
+        del seen, lang, count, h
+        give_back()  # the driver keeps no more than the model
     return models
 
 
