@@ -30,8 +30,8 @@ from .text import Piece, SpanHash, mix, pieces, spaced, tidy
 
 #: Rolling window, expected length beyond the least one (a power of two), least and largest length of a chunk, in ids.
 WINDOW, MEAN, LEAST, MOST = 32, 512, 128, 4096
-#: Words whose ids a worker remembers (about 30 bytes each), and digests of chunks a task has sent (about 100 bytes each).
-CACHE, SENT = 400_000, 100_000
+#: Words whose ids a worker remembers (about 35 bytes each), and digests of chunks a task has sent (about 100 bytes each).
+CACHE, SENT = 1_000_000, 100_000
 END_ID = 1
 #: Texts on which the encoding by words must give what the tokenizer gives for the whole text.
 PROBE = (
@@ -76,19 +76,46 @@ class Encoder:
     def forget(self) -> None:
         self.key, self.check = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
         self.at, self.size, self.flat = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=self.width)
-
-    def word(self, raw: bytes) -> list[int]:
-        if _PLAIN.fullmatch(raw):  # the steps before the model leave lower-case letters as they are
-            return [t.id for t in self.model.tokenize(raw.decode("latin-1").translate(_BYTE_SIGNS))]
-        return self.tokenizer.encode(raw.decode("utf-8", "replace"), add_special_tokens=False).ids
+        self.met = np.zeros(0, dtype=bool)
+
+    def plain(self, raws: list[bytes]) -> tuple[list[int], list[int]]:
+        """All ids of some _PLAIN words and how many each has: the steps before the model leave lower-case letters as they are."""
+        tokenize, ids, size = self.model.tokenize, [], []
+        for signs in b" ".join(raws).decode("latin-1").translate(_BYTE_SIGNS).split(" ") if raws else ():
+            tokens = tokenize(signs)
+            size.append(len(tokens))
+            ids += [t.id for t in tokens]
+        return ids, size
+
+    def other(self, raws: list[bytes]) -> tuple[list[int], list[int]]:
+        """The same of any words, encoded in one call of the tokenizer."""
+        if not raws:
+            return [], []
+        made = self.tokenizer.encode([raw.decode("utf-8", "replace") for raw in raws], is_pretokenized=True, add_special_tokens=False)
+        return made.ids, np.bincount(np.array(made.word_ids, dtype=np.int64), minlength=len(raws)).tolist()
 
     def learn(self, key: np.ndarray, check: np.ndarray, raws: list[bytes]) -> None:
-        ids = [self.word(raw) for raw in raws]
-        size = np.array([len(x) for x in ids], dtype=np.int32)
-        at = np.cumsum(size) - size + len(self.flat)
-        self.flat = np.concatenate([self.flat, np.array([t for x in ids for t in x], dtype=self.width)])
+        plain = np.array([_PLAIN.fullmatch(raw) is not None for raw in raws], dtype=bool)
+        size, at = np.zeros(len(raws), dtype=np.int32), np.zeros(len(raws), dtype=np.int64)
+        for encode, own in ((self.plain, np.flatnonzero(plain)), (self.other, np.flatnonzero(~plain))):
+            ids, size[own] = encode([raws[k] for k in own.tolist()])
+            at[own] = np.cumsum(size[own]) - size[own] + len(self.flat)
+            self.flat = np.concatenate([self.flat, np.array(ids, dtype=self.width)])
         into = np.searchsorted(self.key, key)  # both are sorted
-        self.key, self.check, self.at, self.size = (np.insert(a, into, b) for a, b in ((self.key, key), (self.check, check), (self.at, at), (self.size, size)))
+        self.key, self.check, self.at, self.size, self.met = (
+            np.insert(a, into, b) for a, b in ((self.key, key), (self.check, check), (self.at, at), (self.size, size), (self.met, False))
+        )
+
+    def make_room(self) -> None:
+        """Forgets all words but those met again since they were learned or room was made, and these too if they are most."""
+        keep = np.flatnonzero(self.met)
+        if 2 * len(keep) > CACHE:
+            self.forget()
+            return
+        size = self.size[keep]
+        self.flat = self.flat[np.repeat(self.at[keep], size) + spaced(size)]
+        self.key, self.check, self.size, self.at = self.key[keep], self.check[keep], size, np.cumsum(size, dtype=np.int64) - size
+        self.met = np.zeros(len(keep), dtype=bool)
 
     def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i = np.searchsorted(self.key, key)
@@ -112,11 +139,12 @@ class Encoder:
         i, known = self.find(unique, check)
         if not known.all():
             if len(self.key) + len(unique) > CACHE:
-                self.forget()
-                known[:] = False
+                self.make_room()
+                i, known = self.find(unique, check)
             new, raw = np.flatnonzero(~known), low.tobytes()
             self.learn(unique[new], check[new], [raw[x:y] for x, y in zip(a[new].tolist(), b[new].tolist(), strict=True)])
             i, _ = self.find(unique, check)
+        self.met[i[known]] = True  # new words are not met again yet
         size = self.size[i][back]
         ids = self.flat[np.repeat(self.at[i][back], size) + spaced(size)] if len(size) else self.flat[:0]
         ends = np.append(0, np.cumsum(size))[np.searchsorted(doc, np.arange(p.n + 1))]
@@ -127,7 +155,7 @@ def _byte_signs() -> dict[int, int]:
     """The printable sign that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)}
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(rest)} | {32: 32}  # no word holds a space
 
 
 _BYTE_SIGNS = _byte_signs()
@@ -158,26 +186,36 @@ def different(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _SIGNS = mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(977))
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
-    n, ends, last = len(ids), [], 0
-    if n > LEAST:
-        sums = np.zeros(n + 1, dtype=np.uint64)
+def cuts_of(ids: np.ndarray, bounds: np.ndarray) -> Iterator[list[int]]:
+    """Ends of the chunks of each id stream, counted from its own begin; the streams stand one after another between ``bounds``."""
+    found = np.zeros(0, dtype=np.int64)
+    if len(ids) > LEAST:
+        sums = np.zeros(len(ids) + 1, dtype=np.uint64)
         np.cumsum(_SIGNS[ids] if ids.dtype.itemsize == 2 else mix(ids.astype(np.uint64) + np.uint64(977)), out=sums[1:])
-        rolling = mix(sums[WINDOW:] - sums[:-WINDOW])
-        for at in (np.flatnonzero(rolling & np.uint64(MEAN - 1) == 0) + WINDOW).tolist():
+        found = np.flatnonzero(mix(sums[WINDOW:] - sums[:-WINDOW]) & np.uint64(MEAN - 1) == 0) + WINDOW
+    # an end lies behind WINDOW ids of its own stream
+    upto = np.searchsorted(found, bounds[1:], side="right").tolist()
+    since = np.searchsorted(found, bounds[:-1] + WINDOW).tolist()
+    for first, n, i, j in zip(bounds[:-1].tolist(), np.diff(bounds).tolist(), since, upto, strict=True):
+        ends, last = [], 0
+        for at in (found[i:j] - first).tolist() if n > LEAST else ():
             while at - last > MOST:
                 last += MOST
                 ends.append(last)
             if at - last >= LEAST:
                 ends.append(at)
                 last = at
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    if last < n:
-        ends.append(n)
-    return ends
+        while n - last > MOST:
+            last += MOST
+            ends.append(last)
+        if last < n:
+            ends.append(n)
+        yield ends
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of an id stream."""
+    return next(cuts_of(ids, np.array([0, len(ids)])))
 
 
 ENCODED = "deal binary, kind int, body binary, doc_id long, n_tokens long, digests array<binary>"
@@ -194,11 +232,15 @@ def _encode(path: str):
             ids = batch.column("doc_id").to_pylist()
             for p in pieces(batch.column("text")):
                 rows = []
-                for i, stream in enumerate(encode(p)):
-                    stream = np.append(stream, np.array([END_ID], dtype=stream.dtype))
-                    recipe, last = [], 0
-                    for end in cuts(stream):
-                        chunk = stream[last:end].tobytes()
+                streams = encode(p)
+                end_id = np.array([END_ID], dtype=streams[0].dtype)
+                bounds = np.append(0, np.cumsum([len(x) + 1 for x in streams]))
+                flat = np.concatenate([x for stream in streams for x in (stream, end_id)])
+                raw, width = flat.tobytes(), flat.itemsize
+                for i, ends in enumerate(cuts_of(flat, bounds)):
+                    recipe, last, first = [], 0, int(bounds[i])
+                    for end in ends:
+                        chunk = raw[(first + last) * width : (first + end) * width]
                         recipe.append(d := digest(chunk))
                         if d not in sent:
                             if len(sent) >= SENT:
@@ -207,7 +249,7 @@ def _encode(path: str):
                             rows.append((d, 0, pack.compress(chunk), None, None, None))
                         last = end
                     doc = ids[p.first + i]
-                    rows.append((digest(f"{doc}".encode()), 1, None, doc, len(stream), recipe))
+                    rows.append((digest(f"{doc}".encode()), 1, None, doc, last, recipe))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ENCODED, strict=True)], schema=_ENCODED)
 
     return run
