@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.exprs import MIN_RELIABLE, MIN_SAMPLE, ratio, reliability
+from . import scan
 from .resample import replicate_sums, two_tails
 from .sequences import benjamini_hochberg
 
@@ -26,6 +27,60 @@ MOST, COVERAGE, ALPHA = 12, 0.5, 0.05
 FIELDS = {"stop_r": "double", "target_r": "double", "max_trades": "int", "after_losses": "int", "hours": "array<int>"}
 
 
+def _exits(s: dict) -> bool:
+    return s.get("stop_r") is not None or s.get("target_r") is not None
+
+
+def _filters(s: dict) -> bool:
+    return any(s.get(k) is not None for k in ("max_trades", "after_losses", "hours"))
+
+
+def _alone(s: dict) -> tuple[Column, Column]:
+    """What a scenario makes of a trade by itself: kind (unchanged, repriced, inapplicable) and result."""
+    net = F.col("net").cast("double")
+    if not _exits(s):
+        return F.lit("unchanged"), net
+    stop, target = _literal(s.get("stop_r"), FIELDS["stop_r"]), _literal(s.get("target_r"), FIELDS["target_r"])
+    known = F.col("r_multiple").isNotNull() & (F.col("r_multiple") != 0) & F.col("mae_r").isNotNull() & F.col("mfe_r").isNotNull()
+    stopped, reached = F.coalesce(F.col("mae_r") >= stop, F.lit(False)), F.coalesce(F.col("mfe_r") >= target, F.lit(False))
+    level = F.when(stopped, -stop).when(reached, target)
+    priced = F.rint(level * ratio(F.col("net"), F.col("r_multiple")) * 100) / 100
+    kind = F.when(~known, "inapplicable").when(level.isNotNull(), "repriced").otherwise("unchanged")
+    return kind, F.when(known, F.when(level.isNotNull(), priced).otherwise(net))
+
+
+def _skipped(trades: DataFrame, scenarios: list[dict], *by: str) -> DataFrame:
+    """Trades with ``_skip<i>`` for each scenario that filters: windows of all scenarios over one order of the trades."""
+    order = W.partitionBy(*by, "session_date").orderBy("opened_at", "trade_id")
+    before, upto = order.rowsBetween(W.unboundedPreceding, -1), order.rowsBetween(W.unboundedPreceding, 0)
+    of = {i: s for i, s in enumerate(scenarios) if _filters(s)}
+    in_ = {i: F.lit(True) if s.get("hours") is None else F.coalesce(F.array_contains(_literal(s["hours"], FIELDS["hours"]), F.col("entry_hour")), F.lit(False)) for i, s in of.items()}
+    streaks = [i for i, s in of.items() if s.get("after_losses") is not None]
+    where = lambda i, c: F.coalesce(in_[i] & c, F.lit(False))
+    t = trades.withColumns({f"_n{i}": F.count_if(in_[i]).over(before) for i, s in of.items() if s.get("max_trades") is not None} | {f"_l{i}": F.count_if(where(i, _alone(of[i])[1] < 0)).over(before) for i in streaks})
+    # losses in a row are those since the last win, or all
+    t = t.withColumns({f"_w{i}": F.coalesce(F.max(F.when(where(i, _alone(of[i])[1] > 0), F.col(f"_l{i}"))).over(before), F.lit(0)) for i in streaks})
+    ended = {}
+    for i, s in of.items():
+        over = F.lit(False)
+        if s.get("max_trades") is not None:
+            over = over | (F.col(f"_n{i}") >= _literal(s["max_trades"], FIELDS["max_trades"]))
+        if i in streaks:
+            over = over | (F.col(f"_l{i}") - F.col(f"_w{i}") >= _literal(s["after_losses"], FIELDS["after_losses"]))
+        ended[f"_skip{i}"] = ~in_[i] | F.max(in_[i] & over).over(upto)
+    return t.withColumns(ended).select(*trades.columns, *ended)
+
+
+def _results(scenarios: list[dict]) -> list[tuple[Column, Column, Column]]:
+    """Outcome, simulated and delta of each scenario over _skipped()."""
+    out, net = [], F.col("net").cast("double")
+    for i, s in enumerate(scenarios):
+        kind, sim = _alone(s)
+        skip = F.col(f"_skip{i}") if _filters(s) else F.lit(False)
+        out.append((F.when(skip, "skipped").otherwise(kind), F.when(~skip, sim), F.when(skip, -net).otherwise(sim - net)))
+    return out
+
+
 def simulate(trades: DataFrame, scenarios: list[dict], *by: str) -> DataFrame:
     """A row for each trade and scenario: outcome (unchanged, repriced, skipped, inapplicable), simulated and delta.
 
@@ -36,28 +91,13 @@ def simulate(trades: DataFrame, scenarios: list[dict], *by: str) -> DataFrame:
     count for nothing) as end it, or outside the hours; a skipped trade changes nothing for later ones, so a session that
     has ended stays so, and windows find where that is.
     """
-    each = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s["name"]).alias("scenario"), *(_literal(s.get(k), t).alias(k) for k, t in FIELDS.items())) for i, s in enumerate(scenarios)))
-    t = trades.select("trade_id", *by, "session_date", "opened_at", "net", "entry_hour", "r_multiple", "mae_r", "mfe_r", F.explode(each).alias("s")).select("*", "s.*").drop("s")
-    only_filters = F.col("stop_r").isNull() & F.col("target_r").isNull()
-    known = F.col("r_multiple").isNotNull() & (F.col("r_multiple") != 0) & F.col("mae_r").isNotNull() & F.col("mfe_r").isNotNull()
-    stopped, reached = F.coalesce(F.col("mae_r") >= F.col("stop_r"), F.lit(False)), F.coalesce(F.col("mfe_r") >= F.col("target_r"), F.lit(False))
-    risk, net = ratio(F.col("net"), F.col("r_multiple")), F.col("net").cast("double")
-    level = F.when(stopped, -F.col("stop_r")).when(reached, F.col("target_r"))
-    kind = F.when(only_filters, "unchanged").when(~known, "inapplicable").when(level.isNotNull(), "repriced").otherwise("unchanged")
-    t = t.withColumn("_kind", kind).withColumn("_sim", F.when(F.col("_kind") == "repriced", F.rint(level * risk * 100) / 100).when(F.col("_kind") == "unchanged", net))
-    t = t.withColumn("_in", F.col("hours").isNull() | F.coalesce(F.array_contains("hours", F.col("entry_hour")), F.lit(False)))
-    key = ["i", *by, "session_date", "_in"]
-    before = W.partitionBy(*key).orderBy("opened_at", "trade_id").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("_n", F.coalesce(F.count("*").over(before), F.lit(0))).withColumn("_wins", F.coalesce(F.sum((F.col("_sim") > 0).cast("int")).over(before), F.lit(0)))
-    stretch = W.partitionBy(*key, "_wins").orderBy("opened_at", "trade_id").rowsBetween(W.unboundedPreceding, -1)
-    t = t.withColumn("_losses", F.coalesce(F.sum((F.col("_sim") < 0).cast("int")).over(stretch), F.lit(0)))
-    over = F.coalesce(F.col("_n") >= F.col("max_trades"), F.lit(False)) | F.coalesce(F.col("_losses") >= F.col("after_losses"), F.lit(False))
-    upto = W.partitionBy(*key).orderBy("opened_at", "trade_id").rowsBetween(W.unboundedPreceding, 0)
-    t = t.withColumn("_ended", F.max(over.cast("int")).over(upto) == 1)
-    skipped = ~F.col("_in") | F.col("_ended")
-    outcome = F.when(skipped, "skipped").otherwise(F.col("_kind"))
-    delta = F.when(skipped, -net).when(F.col("_kind") != "inapplicable", F.col("_sim") - net)
-    return t.select("i", "scenario", "trade_id", *by, "session_date", "net", outcome.alias("outcome"), F.when(~skipped, F.col("_sim")).alias("simulated"), delta.alias("delta"))
+    t = _skipped(trades.select("trade_id", *by, "session_date", "opened_at", "net", "entry_hour", "r_multiple", "mae_r", "mfe_r"), scenarios, *by)
+    each = [
+        F.struct(F.lit(i).alias("i"), F.lit(s["name"]).alias("scenario"), outcome.alias("outcome"), simulated.alias("simulated"), delta.alias("delta"))
+        for i, (s, (outcome, simulated, delta)) in enumerate(zip(scenarios, _results(scenarios)))
+    ]
+    t = t.select("trade_id", *by, "session_date", "net", F.explode(F.array(*each)).alias("s"))
+    return t.select("s.i", "s.scenario", "trade_id", *by, "session_date", "net", "s.outcome", "s.simulated", "s.delta")
 
 
 def _literal(value, kind: str):
@@ -83,18 +123,23 @@ def sweep(trades: DataFrame, *by: str, scenarios: list[dict] | None = None, repl
     scenarios = scenarios or SCENARIOS
     if len(scenarios) > max(MOST, len(SCENARIOS)):
         raise ValueError(f"at most {MOST} scenarios")
-    s = simulate(trades, scenarios, *by)
-    is_ = lambda k: F.count_if(F.col("outcome") == k)
-    part = F.col("outcome") != "inapplicable"
-    total = s.groupBy("i", "scenario").agg(
-        F.count("*").alias("n"), *(is_(k).alias(k) for k in ("repriced", "unchanged", "skipped", "inapplicable")), F.coalesce(F.sum(F.when(part, F.col("net").cast("double"))), F.lit(0.0)).alias("baseline"),
-        F.coalesce(F.sum("simulated"), F.lit(0.0)).alias("simulated"), F.avg("delta").alias("mean_delta"),
-    )
-    many = range(len(scenarios))
-    wide = s.groupBy("trade_id").agg(*(F.max(F.when(F.col("i") == k, F.col("delta"))).alias(f"d{k}") for k in many)).withColumn("g", F.lit(0))
-    terms = {f"s{k}": F.col(f"d{k}") for k in many} | {f"n{k}": F.col(f"d{k}").isNotNull().cast("double") for k in many}
-    reps = replicate_sums(wide, terms, "g", "sweep", replicates)
-    each = F.array(*(F.struct(F.lit(k).alias("i"), F.col(f"s{k}").alias("s"), F.try_divide(f"s{k}", f"n{k}").alias("m")) for k in many))
+    kept = ["trade_id", "r_multiple", "mae_r", "mfe_r", *(f"_skip{i}" for i, s in enumerate(scenarios) if _filters(s))]
+    # a row a trade, read twice: once for the totals, once for the draws
+    t = scan.written(_skipped(trades, scenarios, *by).select(F.col("net").cast("double").alias("net"), *kept))
+    results = _results(scenarios)
+    numbers = ["n", "repriced", "unchanged", "skipped", "inapplicable", "baseline", "simulated", "mean_delta"]
+    sums, terms, counted = [], {}, {}
+    for i, (s, (outcome, simulated, delta)) in enumerate(zip(scenarios, results)):
+        of = [F.count("*"), *(F.count_if(outcome == k) for k in numbers[1:5]), F.coalesce(F.sum(F.when(outcome != "inapplicable", F.col("net"))), F.lit(0.0)), F.coalesce(F.sum(simulated), F.lit(0.0)), F.avg(delta)]
+        sums += [c.alias(f"{k}{i}") for k, c in zip(numbers, of)]
+        # deltas are known of the same trades where scenarios filter alone, and where they price exits alone
+        known = counted.setdefault((_exits(s), i if _exits(s) and _filters(s) else None), f"n{i}")
+        terms |= {f"s{i}": delta} | ({known: delta.isNotNull().cast("double")} if known == f"n{i}" else {})
+    number = dict(enumerate(counted[_exits(s), i if _exits(s) and _filters(s) else None] for i, s in enumerate(scenarios)))
+    one = t.agg(*sums).select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(s["name"]).alias("scenario"), *(F.col(f"{k}{i}").alias(k) for k in numbers)) for i, s in enumerate(scenarios)))).alias("e"))
+    total = one.select("e.*")
+    reps = replicate_sums(t.withColumn("g", F.lit(0)), terms, "g", "sweep", replicates)
+    each = F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("s"), F.try_divide(f"s{i}", number[i]).alias("m")) for i in number))
     tails = reps.select(F.explode(each).alias("e")).select("e.*").groupBy("i").agg(
         F.count_if(F.col("s") <= 1e-9).alias("lo"), F.count_if(F.col("s") >= -1e-9).alias("hi"), F.percentile("m", [0.025, 0.975]).alias("p")
     )
@@ -105,7 +150,8 @@ def sweep(trades: DataFrame, *by: str, scenarios: list[dict] | None = None, repl
         "coverage": ratio(used, F.col("n")), "difference": F.col("simulated") - F.col("baseline"), "low": F.when(enough, F.col("p")[0]), "high": F.when(enough, F.col("p")[1]),
         "p": F.when(enough, two_tails(F.col("lo"), F.col("hi"), replicates)), "evaluated": F.col("repriced") + F.col("unchanged"),
     }).drop("lo", "hi")
-    t = benjamini_hochberg(t, "p").withColumn("reliability", reliability(F.col("evaluated")))
+    # a row a scenario, which the ranks read more than once
+    t = benjamini_hochberg(scan.written(t), "p").withColumn("reliability", reliability(F.col("evaluated")))
     apart = (F.col("low") > 0) | (F.col("high") < 0)
     good = (F.col("evaluated") >= MIN_RELIABLE) & (F.col("coverage") >= COVERAGE) & apart & (F.col("q") < ALPHA)
     return t.withColumn("actionable", F.coalesce(good, F.lit(False)))
