@@ -159,10 +159,8 @@ def sweep(trades: DataFrame, *by: str, scenarios: list[dict] | None = None, repl
 
 def recommendation(swept: DataFrame) -> DataFrame:
     """One row: the actionable scenario of the greatest improvement, or the plain reason why there is none."""
-    best = F.max_by(F.struct("scenario", "difference", "q"), F.struct("difference", (-F.col("i")).alias("i")))
     good = F.col("actionable") & (F.col("difference") > 0)
-    a = swept.agg(F.count("*").alias("tested"), F.count_if("actionable").alias("actionable"), F.max("n").alias("n"), F.count_if(F.col("coverage") < COVERAGE).alias("thin"))
-    b = swept.filter(good).agg(best.alias("b"))
+    best = F.max_by(F.struct("scenario", "difference", "q"), F.when(good, F.struct("difference", (-F.col("i")).alias("i"))))
+    one = swept.agg(F.count("*").alias("tested"), F.count_if("actionable").alias("actionable"), F.max("n").alias("n"), F.count_if(F.col("coverage") < COVERAGE).alias("thin"), best.alias("b"))
     why = F.when(F.col("b").isNotNull(), None).when(F.coalesce("n", F.lit(0)) < MIN_SAMPLE, "too few trades").when(F.col("thin") == F.col("tested"), "too little coverage").otherwise("no established improvement")
-    one = a.withColumn("_j", F.lit(0)).join(b.withColumn("_j", F.lit(0)), "_j")  # one row each
     return one.select("tested", "actionable", "thin", F.col("b.scenario").alias("best"), F.col("b.difference").alias("difference"), F.col("b.q").alias("q"), why.alias("reason"))

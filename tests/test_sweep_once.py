@@ -27,3 +27,13 @@ def test_draws_are_taken_once(spark):
         assert (row.n, row.skipped, row.inapplicable) == (60, sum(r.outcome == "skipped" for r in mine), sum(r.outcome == "inapplicable" for r in mine))
         assert abs(row.difference - sum(r.delta for r in mine if r.delta is not None)) < 1e-9
     assert len(got) == len(whatif.SCENARIOS)
+
+
+def test_a_recommendation_reads_a_sweep_once(spark):
+    row = "scenario string, i int, n long, coverage double, actionable boolean, difference double, q double"
+    swept = spark.createDataFrame([("a", 0, 9, 0.6, True, 5.0, 0.01), ("b", 1, 9, 0.6, True, 7.0, 0.02), ("c", 2, 9, 0.6, True, 7.0, 0.03), ("d", 3, 9, 0.4, False, 8.0, 0.2), ("e", 4, 9, 0.6, True, -1.0, 0.01)], row)
+    best = whatif.recommendation(swept)
+    assert tuple(best.first()) == (5, 4, 1, "b", 7.0, 0.02, None)
+    assert best._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    reasons = [whatif.recommendation(swept.filter(f)).first() for f in ("i = 4", "i = 3", "i > 9")]
+    assert [(r.best, r.reason) for r in reasons] == [(None, "no established improvement"), (None, "too little coverage"), (None, "too few trades")]
